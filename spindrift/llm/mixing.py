@@ -133,16 +133,19 @@ def mix(
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * times).alias("taken"), "row_id")
 
 
-def _fill(last: DataFrame) -> DataFrame:
+def _fill(last: DataFrame, passes: int = 4) -> DataFrame:
     """Of the last range of each source: the rows that fill its rest, in the order of the keys.
 
-    First the longest run of rows that fits; then, of the later rows that are no longer
-    than the gap it leaves, the longest run that fits the gap.
+    First the longest run of rows that fits; then, of the rows that are no longer than the
+    gap it leaves, the longest run that fits the gap, and so on.
     """
     order = W.partitionBy("source_no").orderBy("key", "size", "tie", "row_id")
-    run = last.withColumn("cum", F.sum("size").over(order)).withColumn("fits", F.col("cum") <= F.col("rest"))
     own = W.partitionBy("source_no")
-    run = run.withColumn("gap", F.col("rest") - F.coalesce(F.max(F.when(F.col("fits"), F.col("cum"))).over(own), F.lit(0)))
-    small = ~F.col("fits") & (F.col("size") <= F.col("gap"))
-    run = run.withColumn("more", F.sum(F.when(small, F.col("size")).otherwise(0)).over(order))
-    return run.filter(F.col("fits") | (small & (F.col("more") <= F.col("gap")))).select("row_id")
+    run = last.withColumn("gap", F.col("rest")).withColumn("in", F.lit(False))
+    for _ in range(passes):
+        open_ = ~F.col("in") & (F.col("size") <= F.col("gap"))
+        run = run.withColumn("open", open_).withColumn("cum", F.sum(F.when(F.col("open"), F.col("size")).otherwise(0)).over(order))
+        run = run.withColumn("new", F.col("open") & (F.col("cum") <= F.col("gap")))
+        run = run.withColumn("gap", F.col("gap") - F.coalesce(F.max(F.when(F.col("new"), F.col("cum"))).over(own), F.lit(0)))
+        run = run.withColumn("in", F.col("in") | F.col("new"))
+    return run.filter("in").select("row_id")

@@ -8,6 +8,8 @@ from spindrift.llm import queries as q
 def queries():
     return {
         "op1_mix_sources": q.op1_mix_sources,
+        "op3_token_files": q.op3_token_files,
+        "op6_decontaminate": q.op6_decontaminate,
         "op7_exact_dedup": q.op7_exact_dedup,
         "op8_chat_preferences": q.op8_chat_preferences,
         "op10_url_filters": q.op10_url_filters,
