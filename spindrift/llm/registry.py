@@ -8,6 +8,7 @@ from spindrift.llm import queries as q
 def queries():
     return {
         "op1_mix_sources": q.op1_mix_sources,
+        "op2_simhash": q.op2_simhash,
         "op3_token_files": q.op3_token_files,
         "op6_decontaminate": q.op6_decontaminate,
         "op7_exact_dedup": q.op7_exact_dedup,
