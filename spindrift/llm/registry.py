@@ -10,6 +10,7 @@ def queries():
         "op1_mix_sources": q.op1_mix_sources,
         "op2_simhash": q.op2_simhash,
         "op3_token_files": q.op3_token_files,
+        "op4_language_id": q.op4_language_id,
         "op6_decontaminate": q.op6_decontaminate,
         "op7_exact_dedup": q.op7_exact_dedup,
         "op8_chat_preferences": q.op8_chat_preferences,
