@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from spindrift.llm import chat, decontaminate, exact_dedup, language_id, mixing, simhash, token_files, url_filters
+from spindrift.llm import chat, decontaminate, exact_dedup, html_text, language_id, mixing, simhash, token_files, url_filters
 from spindrift.session import table
 
 
@@ -25,6 +25,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predicted(table(spark, sf_dir, "documents"))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(table(spark, sf_dir, "pages"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find_items(docs, table(spark, sf_dir, "benchmark"))

@@ -11,6 +11,7 @@ def queries():
         "op2_simhash": q.op2_simhash,
         "op3_token_files": q.op3_token_files,
         "op4_language_id": q.op4_language_id,
+        "op5_html_text": q.op5_html_text,
         "op6_decontaminate": q.op6_decontaminate,
         "op7_exact_dedup": q.op7_exact_dedup,
         "op8_chat_preferences": q.op8_chat_preferences,
