@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from spindrift.llm import chat, decontaminate, exact_dedup, html_text, language_id, mixing, simhash, token_files, url_filters
+from spindrift.llm import chat, decontaminate, exact_dedup, html_text, language_id, mixing, repeats, simhash, token_files, url_filters
 from spindrift.session import table
 
 
@@ -49,5 +49,9 @@ def op8_chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge_urls(table(spark, sf_dir, "pages")).drop("score")

@@ -15,6 +15,7 @@ def queries():
         "op6_decontaminate": q.op6_decontaminate,
         "op7_exact_dedup": q.op7_exact_dedup,
         "op8_chat_preferences": q.op8_chat_preferences,
+        "op9_repeats": q.op9_repeats,
         "op10_url_filters": q.op10_url_filters,
     }
 
