@@ -1,9 +1,65 @@
-"""The corpus pipeline: stages over ``documents``, each written and read again."""
+"""The corpus pipeline: five stages over ``documents``, each written and read again.
 
-STAGES = []
+Every stage takes ``(spark, docs, sf_dir)`` and works on all rows of ``docs``, whatever
+their texts; all but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from spindrift.llm import decontaminate, language_id, mixing, simhash, token_files
+from spindrift.session import table, written
+
+#: A document stays if a language is found in it with at least this mean probability.
+MIN_LANGUAGE_SCORE = 0.3
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without letters go, and those whose best language is hardly likelier than the others."""
+    field = language_id.fit(docs)
+    found = language_id.identify(docs, field)
+    stays = (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)
+    return found.filter(stays).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: that of the smallest id."""
+    return simhash.one_of_each(docs)
+
+
+def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of the benchmark are cut out; documents that are mostly such passages go."""
+    columns = docs.columns
+    clean = decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
+    return clean.withColumn("n_chars", F.length("text").cast("long")).select(*columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document comes as often as the mix takes it."""
+    return mixing.mixed(docs, table(spark, sf_dir, "labels"))
+
+
+def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The shard files, read back: ``doc_id, start, n_tokens, ids_crc32``."""
+    return token_files.encoded(docs).drop("ids")
+
+
+STAGES = [
+    ("language ID", identify_language),
+    ("SimHash near-dedup", drop_near_copies),
+    ("benchmark decontamination", remove_benchmark),
+    ("mixing sources", mix_sources),
+    ("token files", write_token_files),
+]
+
+#: Language ID, the sampling keys and the tokenizer have no equivalent in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -68,8 +68,9 @@ def mix(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    row_col: str | None = None,
 ) -> DataFrame:
-    """One row per input row: ``doc_id, size, source_size, target, taken, row_id``.
+    """One row per input row: ``doc_id, size, source_size, target, taken, times, row_id``.
 
     ``taken`` is the number of words the mix takes from the document, a whole multiple
     of its size: the complete epochs, and once more if it is sampled. A sampled
@@ -77,10 +78,11 @@ def mix(
     ``labels`` (``doc_id, quality, toxic``): 2 for good, 0.5 for bad or toxic, else 1.
     Null text has no words; null is a source of its own; rows with a null id share a key
     and are told apart by their text. Empty tables give no rows. Other columns of
-    ``docs`` are not read. ``row_id`` tells repeated ids apart within this result.
+    ``docs`` are not read. ``times`` says how often the document is taken. ``row_id`` tells
+    repeated ids apart: the values of ``row_col``, or else numbers of this result.
     """
     slim = docs.select(
-        F.monotonically_increasing_id().alias("row_id"),
+        (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row_id"),
         F.col(id_col).alias("doc_id"),
         F.col(source_col).alias("source"),
         n_words(F.col(text_col)).alias("size"),
@@ -130,7 +132,19 @@ def mix(
     times = F.col("epochs") + (F.col("whole") | F.coalesce(F.col("picked"), F.lit(False))).cast("long") * (
         F.col("epochs") < F.lit(float(limit))
     ).cast("long")
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * times).alias("taken"), "row_id")
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * times).alias("taken"), times.alias("times"), "row_id")
+
+
+def mixed(docs: DataFrame, labels: DataFrame | None = None, **options) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, with their columns unchanged."""
+    columns = docs.columns
+    id_col, text_col, source_col = (options.get(k, d) for k, d in (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source")))
+    rows = docs.select(F.struct(*columns).alias("doc"), F.monotonically_increasing_id().alias("row"))
+    rows = written(rows, "op1-docs")
+    slim = rows.select("row", *[F.col("doc")[c].alias(c) for c in dict.fromkeys((id_col, text_col, source_col))])
+    times = written(mix(slim, labels, row_col="row", **options).filter("times > 0").select("row_id", "times"), "op1-times")
+    taken = rows.join(times, F.col("row") == F.col("row_id"))
+    return taken.select("doc", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).select("doc.*")
 
 
 def _fill(last: DataFrame, passes: int = 4) -> DataFrame:
