@@ -17,10 +17,11 @@ and return a manifest row; a shard of a task that failed is in no manifest.
 from __future__ import annotations
 
 import os
+import string
 import struct
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ from spindrift.session import new_shared_path, written
 MAGIC = b"SDTOKEN1"
 BLOCK = 1 << 16
 #: Texts that are encoded in one call.
-ENCODE_ROWS = 64
+ENCODE_ROWS = 256
 _MANIFEST = "shard int, path string, n_docs long, n_ids long"
 
 
@@ -155,18 +156,92 @@ def _open(path: str):
     return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else os.path.abspath(path))
 
 
-def _encoder(vocabulary: str) -> Callable[[list[str]], Iterator[np.ndarray]]:
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on every core already
-    from tokenizers import Tokenizer
+#: Ids as far as this worker has met them, by vocabulary: of what follows a space, and of what starts a line.
+_KNOWN: dict[str, tuple[dict[str, bytes], dict[str, bytes]]] = {}
+#: Entries of a table before it is cleared, and composed words in it before they are dropped.
+_KNOWN_MOST, _MADE_MOST = 1_000_000, 250_000
 
-    tokenizer = Tokenizer.from_file(vocabulary)
-    tokenizer.encode_special_tokens = True
 
-    def encode(texts: list[str]) -> Iterator[np.ndarray]:
-        for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False):
-            yield np.array([*e.ids, 0], "<u4")
+class Encoder:
+    """Byte-level BPE of whole texts, each distinct stem of a word encoded once.
 
-    return encode
+    Pieces that the tokenizer looks at end before a space or a line end that stands between
+    two characters that are no white space, and between a letter or digit and a punctuation
+    mark after it; a text may be cut there. The new stems of a call are encoded as one text,
+    a line for each. A text in which white space meets white space is encoded as it is.
+    """
+
+    def __init__(self, vocabulary: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on every core already
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(vocabulary)
+        self.tokenizer.encode_special_tokens = True
+        self.spaced, self.bare = _KNOWN.setdefault(vocabulary, ({}, {}))
+        self.made: list[str] = []
+        self.newline = self._ids("\n").tobytes()
+        if len(self.newline) != 4:
+            raise ValueError("the vocabulary must have one id for a line end")
+        self.end = np.zeros(1, "<u4").tobytes()
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _learn(self, spaced: set[str], bare: set[str]) -> None:
+        """Encode new stems; compose the other words of their lines, and lines of a stem and its punctuation.
+
+        Words with other white space inside stay unknown.
+        """
+        heads = {w for w in spaced if w.isalnum()}
+        starts = {w for w in bare if w.isalnum()}
+        made = []
+        for words, known, stems in ((spaced - heads, self.spaced, heads), (bare - starts, self.bare, starts)):
+            for w in words:
+                lines = w.split("\n")
+                if w.split() != lines:
+                    continue
+                parts = []
+                for x in lines:
+                    stem = x.rstrip(string.punctuation)
+                    tail = x[len(stem) :] if stem and stem[-1].isalnum() else ""
+                    parts.append((stem if tail else x, tail))
+                stems.add(parts[0][0])
+                starts.update([p for p, _ in parts[1:]])
+                starts.update([t for _, t in parts if t])
+                made.append((known, w, parts))
+        heads, starts = list(heads.difference(self.spaced)), list(starts.difference(self.bare))
+        ids = self._ids("".join([f"\n {w}" for w in heads] + [f"\n{w}" for w in starts]))
+        at = 4 * np.flatnonzero(ids == np.frombuffer(self.newline, "<u4")[0])
+        raw, stops = ids.tobytes(), [*at[1:].tolist(), 4 * len(ids)]
+        found = [raw[i:j] for i, j in zip((at + 4).tolist(), stops)]
+        self.spaced.update(zip(heads, found[: len(heads)]))
+        self.bare.update(zip(starts, found[len(heads) :], strict=True))
+        for known, w, parts in made:
+            (stem, tail), *more = parts
+            ids = known[stem] + self.bare[tail] if tail else known[stem]
+            for stem, tail in more:
+                ids += self.newline + self.bare[stem] + (self.bare[tail] if tail else b"")
+            known[w] = ids
+            if known is self.spaced:
+                self.made.append(w)
+
+    def __call__(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text and the end id."""
+        if len(self.made) > _MADE_MOST:
+            for w in self.made:
+                self.spaced.pop(w, None)
+            self.made.clear()
+        for known in (self.spaced, self.bare):
+            if len(known) > _KNOWN_MOST:
+                known.clear()
+        cut = [t.split(" ") for t in texts]
+        self._learn(set().union(*cut).difference(self.spaced), {c[0] for c in cut}.difference(self.bare))
+        for text, words in zip(texts, cut):
+            try:
+                found = b"".join([self.bare[words.pop(0)], *map(self.spaced.__getitem__, words), self.end])
+            except KeyError:
+                found = self._ids(text).tobytes() + self.end
+            yield np.frombuffer(found, "<u4")
 
 
 def write_tokens(
@@ -184,7 +259,7 @@ def write_tokens(
     folder = folder or new_shared_path(spark, "tokens")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(vocabulary)
+        encode = Encoder(vocabulary)
         shard, writer = TaskContext.get().partitionId(), None
         store, root = _open(folder)
         path = f"shard-{shard:06d}-{uuid.uuid4().hex[:12]}.tok"
