@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spindrift.llm import queries as q
+from spindrift.llm import queries as q, sql
 
 
 def queries():
@@ -21,4 +21,5 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    """Of the others, tests compare with a brute-force version, an exact round trip or held-out accuracy."""
+    return {"op6_decontaminate": sql.DECONTAMINATE, "op7_exact_dedup": sql.EXACT_DEDUP, "op8_chat_preferences": sql.CHAT}
