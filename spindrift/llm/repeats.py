@@ -9,7 +9,8 @@ names move as one interval, so that a round costs a shuffle of small rows:
 
 1. the GRAM bytes of smallest hash inside the string (its anchor);
 2. all bytes that the suffixes of one anchor span together;
-3. the LENGTH bytes themselves, where round 2 left suffixes of one anchor apart.
+3. the bytes that BLOCK neighbouring suffixes have in common, where round 2 left suffixes of an anchor apart;
+4. the LENGTH bytes themselves, compared among the suffixes that round 3 left together.
 
 Copies of whole documents are set aside first. The README says why no transform of the
 whole corpus is built.
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,9 +29,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from spindrift.session import written
 
-LENGTH, GRAM = 200, 32
+LENGTH, GRAM, BLOCK = 200, 32, 64
+#: Blocks that may meet in one task of round 4; where more agree, their strings are counted by Spark one by one.
+MOST_TOGETHER = 4096
 #: Bytes looked at at a time.
-_BLOCK = 1 << 19
+_BYTES = 1 << 19
 _LOW = np.uint64((1 << 20) - 1)
 _BASE = 0x9E3779B97F4A7C15
 
@@ -40,8 +44,8 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out)
 
 
-_UP = _powers(_BASE, _BLOCK + LENGTH + 1)
-_DOWN = _powers(pow(_BASE, -1, 1 << 64), _BLOCK + LENGTH + 1)
+_UP = _powers(_BASE, _BYTES + LENGTH + 1)
+_DOWN = _powers(pow(_BASE, -1, 1 << 64), _BYTES + LENGTH + 1)
 
 
 def _gram_hashes(raw: np.ndarray, gram: int) -> np.ndarray:
@@ -64,28 +68,35 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n], np.minimum.accumulate(full, axis=1).ravel()[width - 1 : width - 1 + n])
 
 
-def anchors(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Intervals of starts of ``length``-byte strings (first, last) with the hash of the anchor they share.
+def anchors(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Intervals of starts of ``length``-byte strings: first, last, the hash of the anchor they share, and whether any
+    two strings of the interval are equal.
 
-    The anchor of a string is its ``gram`` bytes of smallest hash, the last of equals, so that
-    equal strings have equal anchors at the same place.
+    The anchor of a string is its ``gram`` bytes of smallest hash, so that equal strings have
+    equal anchors. In text that repeats at a short distance an anchor comes several times in
+    a string; such intervals are looked through here.
     """
-    firsts, lasts, names = [], [], []
+    found: list[tuple[np.ndarray, ...]] = []
     width = length - gram + 1
-    for lo in range(0, len(text) - length + 1, _BLOCK):
-        raw = np.frombuffer(text, np.uint8, min(len(text) - lo, _BLOCK + length - 1), lo)
-        h = _gram_hashes(raw, gram)
-        ranked = (h & ~_LOW) | (_LOW - np.arange(len(h), dtype=np.uint64))
-        place = (_LOW - (_sliding_min(ranked, width) & _LOW)).astype(np.int64)
-        cut = np.flatnonzero(np.diff(place)) + 1
-        first = np.append(0, cut)
-        firsts.append(first + lo)
-        lasts.append(np.append(cut, len(place)) - 1 + lo)
-        names.append(h[place[first]].view(np.int64))
-    if not firsts:
+    for lo in range(0, len(text) - length + 1, _BYTES):
+        raw = np.frombuffer(text, np.uint8, min(len(text) - lo, _BYTES + length - 1), lo)
+        h = _gram_hashes(raw, gram) & ~_LOW
+        place = np.arange(len(h), dtype=np.uint64)
+        left, right = _sliding_min(h | place, width), _sliding_min(h | (_LOW - place), width)
+        name = right >> np.uint64(20)
+        cut = np.flatnonzero(np.diff(name)) + 1
+        first, last = np.append(0, cut), np.append(cut, len(name)) - 1
+        own = (left[first] & _LOW) != _LOW - (right[last] & _LOW)  # the anchor comes at more than one place
+        if own.any():
+            whole = _gram_hashes(raw, length)
+            for k in np.flatnonzero(own):
+                part = whole[first[k] : last[k] + 1]
+                own[k] = len(np.unique(part)) < len(part)
+        found.append((first + lo, last + lo, name[first].view(np.int64), own))
+    if not found:
         none = np.empty(0, np.int64)
-        return none, none, none
-    return np.concatenate(firsts), np.concatenate(lasts), np.concatenate(names)
+        return none, none, none, none.astype(bool)
+    return tuple(np.concatenate(x) for x in zip(*found))
 
 
 def _anchor_rows(length: int, gram: int):
@@ -95,8 +106,9 @@ def _anchor_rows(length: int, gram: int):
                 keys, texts = (b.column(k).slice(lo, 256) for k in (0, 1))
                 found = [anchors(t.encode("utf-8", "surrogatepass"), length, gram) for t in texts.to_pylist()]
                 of = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]), pa.int32())
-                s, e, h = (pa.array(np.concatenate([f[k] for f in found]), pa.int64()) for k in range(3))
-                yield pa.RecordBatch.from_arrays([keys.take(of), h, s, e], names=["dk", "anchor", "s", "e"])
+                s, e, h, own = (np.concatenate([f[k] for f in found]) for k in range(4))
+                cols = [keys.take(of), pa.array(h, pa.int64()), pa.array(s, pa.int64()), pa.array(e, pa.int64()), pa.array(own, pa.bool_())]
+                yield pa.RecordBatch.from_arrays(cols, names=["dk", "anchor", "s", "e", "own"])
 
     return run
 
@@ -125,6 +137,119 @@ def _interval_rows(length: int):
     return run
 
 
+def _runs(starts: np.ndarray) -> Iterator[tuple[int, int]]:
+    """First and last of each run of consecutive numbers."""
+    for part in np.split(starts, np.flatnonzero(np.diff(starts) != 1) + 1):
+        if len(part):
+            yield int(part[0]), int(part[-1])
+
+
+def _names(raw: bytes, first: int, last: int, length: int) -> list[bytes]:
+    from xxhash import xxh3_128_digest as digest
+
+    return [digest(raw[i : i + length]) for i in range(first, last + 1)]
+
+
+def _equal(names: list[bytes]) -> np.ndarray:
+    """Which of the names come more than once."""
+    n = Counter(names)
+    return np.fromiter((n[x] > 1 for x in names), bool, len(names))
+
+
+def _marks(rows: list[tuple[bytes, int, int]]) -> pa.RecordBatch:
+    cols = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.binary(), pa.int64(), pa.int64()))]
+    return pa.RecordBatch.from_arrays(cols, names=["dk", "s", "e"])
+
+
+def _own_rows(length: int):
+    """Runs of starts whose strings come twice within their own interval."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for key, text, places in zip(*(b.column(k).to_pylist() for k in range(3))):
+                raw = text.encode("utf-8", "surrogatepass")
+                for p in places:
+                    twice = _equal(_names(raw, p["s"], p["e"], length))
+                    rows += [(key, i, j) for i, j in _runs(np.flatnonzero(twice) + p["s"])]
+            yield _marks(rows)
+
+    return run
+
+
+def _block_rows(length: int, gram: int, block: int):
+    """The intervals cut at every ``block`` starts, counted from the anchor, with a name for the bytes that a whole block shares."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_digest as digest
+
+        for b in batches:
+            rows, names = [], []
+            for key, text, places in zip(*(b.column(k).to_pylist() for k in range(3))):
+                raw = text.encode("utf-8", "surrogatepass")
+                for s, e in _pieces([(p["s"], p["e"]) for p in places]):
+                    h = _gram_hashes(np.frombuffer(raw, np.uint8, e - s + length, s), gram) & ~_LOW
+                    right = _sliding_min(h | (_LOW - np.arange(len(h), dtype=np.uint64)), length - gram + 1)
+                    at = (_LOW - (right & _LOW)).astype(np.int64)
+                    number = (at - np.arange(len(at))) // block
+                    cut = np.flatnonzero((np.diff(at) != 0) | (np.diff(number) != 0)) + 1
+                    for i, j in zip([0, *cut.tolist()], [*cut.tolist(), len(at)]):
+                        end = s + int(at[i] - block * number[i])  # the last start of the whole block
+                        rows.append((key, s + i, s + j - 1))
+                        names.append(digest(raw[end : end - block + 1 + length]))
+            yield pa.RecordBatch.from_arrays([*_marks(rows).columns, *_two_longs(names)], names=["dk", "s", "e", "n1", "n2"])
+
+    return run
+
+
+def _pieces(intervals: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Intervals in pieces of bounded length."""
+    for s, e in intervals:
+        for i in range(s, e + 1, _BYTES):
+            yield i, min(e, i + _BYTES - 1)
+
+
+def _bytes_rows(length: int):
+    """The blocks with their bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for key, text, places in zip(*(b.column(k).to_pylist() for k in range(3))):
+                raw = text.encode("utf-8", "surrogatepass")
+                rows += [(key, p["s"], raw[p["s"] : p["e"] + length], p["n1"], p["n2"]) for p in places]
+            types = (pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["dk", "s", "raw", "n1", "n2"])
+
+    return run
+
+
+def _compared_rows(length: int):
+    """Runs of starts whose strings come twice among the blocks of one name; the rows come ordered by name."""
+
+    def found(rows: list[tuple]) -> pa.RecordBatch:
+        names = [n for r in rows for n in _names(r[2], 0, len(r[2]) - length, length)]
+        twice, at, out = _equal(names), 0, []
+        for key, s, raw, _, _ in rows:
+            n = len(raw) - length + 1
+            out += [(key, i, j) for i, j in _runs(np.flatnonzero(twice[at : at + n]) + s)]
+            at += n
+        return _marks(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                if len(held) >= 4096 and row[3:] != held[-1][3:]:
+                    yield found(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield found(held)
+
+    return run
+
+
 def _string_rows(length: int):
     """For each start in the intervals: a name for the ``length`` bytes from there on."""
 
@@ -188,7 +313,10 @@ def _distinct_texts(docs: DataFrame) -> DataFrame:
     return spark.table(name)
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, keep_text: bool = False) -> DataFrame:
+def repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, block: int = BLOCK,
+    most_together: int = MOST_TOGETHER, keep_text: bool = False,
+) -> DataFrame:
     """One row per input row: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` (and ``kept``, bytes, if asked for).
 
     Removed is every byte inside a ``length``-byte string of UTF-8 that also starts at another
@@ -204,17 +332,19 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
 
     # Round 1: anchors that occur once name strings that occur once.
     rows = texts.filter(F.octet_length("text") >= length).select("dk", "text").mapInArrow(
-        _anchor_rows(length, gram), "dk binary, anchor long, s long, e long"
+        _anchor_rows(length, gram), "dk binary, anchor long, s long, e long, own boolean"
     )
     shared = written(rows.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "op9-shared")
-    places = written(rows.join(shared, "anchor", "left_semi").select("dk", "anchor", "s", "e"), "op9-places")
+    met = rows.join(shared.withColumn("met", F.lit(True)), "anchor", "left").filter("met or own")
+    places = written(met.select("dk", "anchor", "s", "e", "own"), "op9-places")
 
     def with_text(found: DataFrame, *cols: str) -> DataFrame:
         return texts.select("dk", "text").join(found.groupBy("dk").agg(F.collect_list(F.struct(*cols)).alias("places")), "dk").select("dk", "text", "places")
 
     # Round 2: intervals whose strings span the same bytes hold the same strings.
     named = written(
-        with_text(places, "anchor", "s", "e").mapInArrow(_interval_rows(length), "dk binary, anchor long, s long, e long, n1 long, n2 long"), "op9-intervals"
+        with_text(places, "anchor", "s", "e").mapInArrow(_interval_rows(length), "dk binary, anchor long, s long, e long, n1 long, n2 long"),
+        "op9-intervals",
     )
     classes = written(
         named.groupBy("anchor", "n1", "n2").agg(F.count("*").alias("n"), F.min(F.struct("dk", "s", "e")).alias("one")), "op9-classes"
@@ -222,14 +352,28 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     same = classes.filter("n > 1").select("anchor", "n1", "n2")
     whole = named.join(written(same, "op9-same"), ["anchor", "n1", "n2"], "left_semi").select("dk", "s", "e")
 
-    # Round 3: where an anchor has several classes, their strings one by one, from one interval of each class.
+    # Round 3: where an anchor has several classes, one interval of each class, in blocks.
     apart = written(classes.groupBy("anchor").agg(F.count("*").alias("m")).filter("m > 1").select("anchor"), "op9-apart")
     open_ = written(classes.join(apart, "anchor", "left_semi").select("one.*"), "op9-open")
-    strings = written(with_text(open_, "s", "e").mapInArrow(_string_rows(length), "dk binary, s long, n1 long, n2 long"), "op9-strings")
-    twice = written(strings.groupBy("n1", "n2").agg(F.count("*").alias("n")).filter("n > 1").select("n1", "n2"), "op9-twice")
-    single = strings.join(twice, ["n1", "n2"], "left_semi").select("dk", "s", F.col("s").alias("e"))
+    blocks = written(
+        with_text(open_, "s", "e").mapInArrow(_block_rows(length, gram, block), "dk binary, s long, e long, n1 long, n2 long"), "op9-blocks"
+    )
+    met = written(blocks.groupBy("n1", "n2").agg(F.count("*").alias("n")).filter("n > 1"), "op9-met")
+    blocks = written(blocks.join(met, ["n1", "n2"]), "op9-together")
 
-    marks = written(whole.union(single), "op9-marks")
+    # Round 4: their strings.
+    few = with_text(blocks.filter(F.col("n") <= most_together), "s", "e", "n1", "n2").mapInArrow(
+        _bytes_rows(length), "dk binary, s long, raw binary, n1 long, n2 long"
+    )
+    few = few.repartition("n1", "n2").sortWithinPartitions("n1", "n2").mapInArrow(_compared_rows(length), "dk binary, s long, e long")
+    own = with_text(places.filter("own"), "s", "e").mapInArrow(_own_rows(length), "dk binary, s long, e long")
+    marks = whole.union(few).union(own)
+    many = blocks.filter(F.col("n") > most_together)
+    if not many.isEmpty():
+        strings = written(with_text(many, "s", "e").mapInArrow(_string_rows(length), "dk binary, s long, n1 long, n2 long"), "op9-strings")
+        twice = written(strings.groupBy("n1", "n2").agg(F.count("*").alias("n")).filter("n > 1").select("n1", "n2"), "op9-twice")
+        marks = marks.union(strings.join(twice, ["n1", "n2"], "left_semi").select("dk", "s", F.col("s").alias("e")))
+    marks = written(marks, "op9-marks")
     cut = with_text(marks, "s", "e").mapInArrow(
         _cut_rows(length, keep_text), "dk binary, n_removed long, n_spans long, kept_sha256 string, kept binary"
     )
