@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 MAX_DOCS, MAX_SPANS, SPAN = 6_000, 24_000, 32
 #: Slots of hashed features.
 SLOTS = 1 << 18
-#: Words whose emissions a task keeps, and cells (words with padding) of one forward-backward run.
-_CACHE, _CELLS = 200_000, 400_000
+#: Words whose emissions a task keeps, cells (words with padding) of one forward-backward run, characters at a time.
+_CACHE, _CELLS, _PORTION = 100_000, 100_000, 1 << 20
 UNKNOWN = "und"
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -34,22 +34,44 @@ def letters_words(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
-def features(word: str) -> list[int]:
-    """Slots of a word's features: the word itself (lexicon), prefixes, suffixes and n-grams."""
-    framed = f"<{word}>"
-    names = [f"w{word}"]
-    names += [f"p{word[:k]}" for k in (1, 2, 3)]
-    names += [f"s{word[-k:]}" for k in (1, 2, 3)]
-    names += [f"b{framed[i : i + 2]}" for i in range(len(framed) - 1)]
-    names += [f"t{framed[i : i + 3]}" for i in range(len(framed) - 2)]
-    return [zlib.crc32(n.encode("utf-8", "surrogatepass")) & (SLOTS - 1) for n in names]
+def _slot(kind: int, *codes: np.ndarray) -> np.ndarray:
+    mixed = np.full(len(codes[0]), kind + 1, np.uint64)
+    for c in codes:
+        mixed = (mixed ^ c) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    return (mixed * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(40)).astype(np.int64) % SLOTS
+
+
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of the words' features, and of which word each is, in the order of the words.
+
+    The word itself (lexicon), its prefixes and suffixes of one to three letters, and its
+    bigrams and trigrams with the word's edges.
+    """
+    sizes = np.array([len(w) for w in words]) + 2
+    codes = np.frombuffer("".join([f"<{w}>" for w in words]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    stops = np.cumsum(sizes)
+    starts, owner = stops - sizes, np.repeat(np.arange(len(words)), sizes)
+    left = stops[owner] - np.arange(len(codes))
+    lexicon = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words], np.uint64)
+    slots, owners = [_slot(0, lexicon)], [np.arange(len(words))]
+    for n in (2, 3):
+        at = np.flatnonzero(left >= n)
+        slots.append(_slot(n, *(codes[at + k] for k in range(n))))
+        owners.append(owner[at])
+    for n in (1, 2, 3):
+        long = np.flatnonzero(sizes - 2 >= n)
+        slots.append(_slot(10 + n, *(codes[starts[long] + 1 + k] for k in range(n))))
+        slots.append(_slot(20 + n, *(codes[stops[long] - 2 - k] for k in range(n))))
+        owners += [long, long]
+    order = np.argsort(np.concatenate(owners), kind="stable")
+    return np.concatenate(slots)[order], np.concatenate(owners)[order]
 
 
 def _emissions(words: list[str], weights: np.ndarray) -> np.ndarray:
     """Log-weights of each word for each language."""
-    found = [features(w) for w in words]
-    first = np.concatenate(([0], np.cumsum([len(f) for f in found])[:-1])).astype(np.int64)
-    return np.add.reduceat(weights[np.concatenate([np.array(f) for f in found])], first, axis=0)
+    slots, owner = features(words)
+    return np.stack([np.bincount(owner, weights[slots, c], len(words)) for c in range(weights.shape[1])], axis=1)
 
 
 @dataclass
@@ -102,7 +124,8 @@ def train(spans: list[tuple[str, list[str]]], languages: list[str], epochs: int
     g_w, g_t, g_s = np.full((SLOTS, n), 1e-8), np.full((n, n), 1e-8), np.full(n, 1e-8)
     names = sorted({w for _, ws in spans for w in ws})
     number = {w: i for i, w in enumerate(names)}
-    slots = [np.array(features(w)) for w in names]
+    all_slots, owner = features(names)
+    bounds = np.searchsorted(owner, np.arange(len(names) + 1))
     coded = [(place[x], np.array([number[w] for w in ws])) for x, ws in spans]
     for _ in range(epochs):
         order = rng.permutation(len(coded))
@@ -115,9 +138,9 @@ def train(spans: list[tuple[str, list[str]]], languages: list[str], epochs: int
             seqs.sort(key=lambda s: -len(s[0]))
             lengths = np.array([len(s[0]) for s in seqs])
             words, back = np.unique(np.concatenate([s[1] for s in seqs]), return_inverse=True)
-            flat = np.concatenate([slots[w] for w in words])
-            sizes = np.array([len(slots[w]) for w in words])
-            first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+            sizes = bounds[words + 1] - bounds[words]
+            first = np.cumsum(sizes) - sizes
+            flat = all_slots[np.arange(sizes.sum()) + np.repeat(bounds[words] - first, sizes)]
             emit = np.add.reduceat(weights[flat], first, axis=0)
             seq = np.repeat(np.arange(len(seqs)), lengths)
             at = np.concatenate([np.arange(m) for m in lengths])
@@ -196,8 +219,8 @@ class _Predictor:
         good = sorted(w for w in fresh if any(map(str.isalpha, w)))
         self.rows.update((w, -1) for w in fresh)
         self.rows.update(zip(good, range(len(self.emit), len(self.emit) + len(good))))
-        if good:
-            self.emit = np.concatenate((self.emit, _emissions(good, self.field.weights)))
+        new = [_emissions(good[i : i + 4096], self.field.weights) for i in range(0, len(good), 4096)]
+        self.emit = np.concatenate((self.emit, *new))
         get = self.rows.__getitem__
         codes = (np.fromiter(map(get, ws), np.int64, len(ws)) for ws in texts)
         return [c[c >= 0] for c in codes]
@@ -250,6 +273,19 @@ class _Predictor:
         return total / lengths[:, None]
 
 
+def _portions(texts: pa.Array) -> Iterator[list[str | None]]:
+    """Runs of texts of about _PORTION characters: what is taken apart at a time."""
+    held, size = [], 0
+    for t in texts:
+        held.append(t.as_py())
+        size += len(held[-1] or "")
+        if size >= _PORTION:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def identify(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
     """All rows and columns of ``docs`` with ``lang_pred, score`` (columns of these names are replaced).
 
@@ -267,8 +303,8 @@ def identify(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame
         for batch in batches:
             langs: list[str] = []
             scores: list[float] = []
-            for lo in range(0, len(batch), 2048):
-                a, b = predict(batch.column(at).slice(lo, 2048).to_pylist())
+            for texts in _portions(batch.column(at)):
+                a, b = predict(texts)
                 langs += a
                 scores += b
             yield pa.RecordBatch.from_arrays(
