@@ -80,8 +80,8 @@ def _stem(name: Column) -> Column:
     return F.regexp_replace(name, r"(?<=[^.])\.[^.]*$", "")
 
 
-def facet(path: Column | str, edition: Column | str) -> Column:
-    """``jurisdiction, family, year, doc_key, doc_label`` of a path, as a struct; year may be null."""
+def facet_columns(path: Column | str, edition: Column | str) -> dict[str, Column]:
+    """``jurisdiction, family, year, doc_key, doc_label`` of a path; year may be null."""
     p = F.ltrim(F.translate(text_of(path), "\\", "/"), F.lit("/"))
     parts = F.split(p, "/")
     n = F.size(parts)
@@ -106,10 +106,13 @@ def facet(path: Column | str, edition: Column | str) -> Column:
         .when(juris.isin(*LOCAL_NAMES), F.coalesce(year_in(F.when(n > 1, F.element_at(parts, -1))), stated))
         .otherwise(stated)
     )
-    return F.struct(
-        juris.alias("jurisdiction"), family.alias("family"), year.alias("year"),
-        F.concat(juris, F.lit(":"), family).alias("doc_key"), doc_label(juris, family, edition).alias("doc_label"),
-    )
+    key = F.concat(juris, F.lit(":"), family)
+    return {"jurisdiction": juris, "family": family, "year": year, "doc_key": key, "doc_label": doc_label(juris, family, edition)}
+
+
+def facet(path: Column | str, edition: Column | str) -> Column:
+    """:func:`facet_columns` as a struct."""
+    return F.struct(*[c.alias(n) for n, c in facet_columns(path, edition).items()])
 
 
 def doc_label(juris: Column, family: Column, edition: Column | str) -> Column:

@@ -150,14 +150,15 @@ def in_force(rows: DataFrame, f: Filters) -> DataFrame:
     """Rows whose jurisdiction the location includes and whose edition is the wanted one."""
     if not f.location and f.versions is None:
         return rows
-    rows = rows.withColumn("_f", facets.facet("path", "edition"))
+    facet = facets.facet_columns("path", "edition")
     if f.location:
-        rows = rows.filter(facets.location_allows(F.lit(f.location), F.col("_f.jurisdiction")))
+        rows = rows.filter(facets.location_allows(F.lit(f.location), facet["jurisdiction"]))
     if f.versions is not None:
         v = f.versions.select(F.col("doc_key").alias("_k"), F.col("year").alias("_y"))
-        rows = rows.join(v, F.col("_f.doc_key") == F.col("_k"), "left")
-        rows = rows.filter("_y is null or _f.year is null or _f.year = _y").drop("_k", "_y")
-    return rows.drop("_f")
+        rows = rows.withColumn("_d", facet["doc_key"]).withColumn("_e", facet["year"])
+        rows = rows.join(v, F.col("_d") == F.col("_k"), "left")
+        rows = rows.filter("_y is null or _e is null or _e = _y").drop("_k", "_y", "_d", "_e")
+    return rows
 
 
 def with_codes(rows: DataFrame) -> DataFrame:
