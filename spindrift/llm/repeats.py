@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from spindrift.session import written
+from spindrift.session import new_shared_path, written
 
 LENGTH, GRAM, BLOCK = 200, 32, 64
 #: Blocks that may meet in one task of round 4; where more agree, their strings are counted by Spark one by one.
@@ -178,13 +178,14 @@ def _own_rows(length: int):
 
 
 def _block_rows(length: int, gram: int, block: int):
-    """The intervals cut at every ``block`` starts, counted from the anchor, with a name for the bytes that a whole block shares."""
+    """The intervals cut at every ``block`` starts, counted from the anchor, with a name for the bytes that a whole block
+    shares and one for all its bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest as digest
 
         for b in batches:
-            rows, names = [], []
+            rows, names, wholes = [], [], []
             for key, text, places in zip(*(b.column(k).to_pylist() for k in range(3))):
                 raw = text.encode("utf-8", "surrogatepass")
                 for s, e in _pieces([(p["s"], p["e"]) for p in places]):
@@ -197,7 +198,9 @@ def _block_rows(length: int, gram: int, block: int):
                         end = s + int(at[i] - block * number[i])  # the last start of the whole block
                         rows.append((key, s + i, s + j - 1))
                         names.append(digest(raw[end : end - block + 1 + length]))
-            yield pa.RecordBatch.from_arrays([*_marks(rows).columns, *_two_longs(names)], names=["dk", "s", "e", "n1", "n2"])
+                        wholes.append(digest(raw[s + i : s + j - 1 + length]))
+            cols = [*_marks(rows).columns, *_two_longs(names), *_two_longs(wholes)]
+            yield pa.RecordBatch.from_arrays(cols, names=["dk", "s", "e", "n1", "n2", "w1", "w2"])
 
     return run
 
@@ -309,7 +312,8 @@ def _distinct_texts(docs: DataFrame) -> DataFrame:
     name = f"spindrift_texts_{uuid.uuid4().hex[:12]}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.groupBy("dk").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-    texts.write.format("parquet").option("compression", "zstd").bucketBy(buckets, "dk").saveAsTable(name)
+    place = new_shared_path(spark, "op9-texts")
+    texts.write.format("parquet").option("path", place).option("compression", "zstd").bucketBy(buckets, "dk").saveAsTable(name)
     return spark.table(name)
 
 
@@ -352,23 +356,31 @@ def repeats(
     same = classes.filter("n > 1").select("anchor", "n1", "n2")
     whole = named.join(written(same, "op9-same"), ["anchor", "n1", "n2"], "left_semi").select("dk", "s", "e")
 
-    # Round 3: where an anchor has several classes, one interval of each class, in blocks.
+    # Round 3: where an anchor has several classes, one interval of each class, in blocks; of equal blocks, one goes on.
     apart = written(classes.groupBy("anchor").agg(F.count("*").alias("m")).filter("m > 1").select("anchor"), "op9-apart")
     open_ = written(classes.join(apart, "anchor", "left_semi").select("one.*"), "op9-open")
     blocks = written(
-        with_text(open_, "s", "e").mapInArrow(_block_rows(length, gram, block), "dk binary, s long, e long, n1 long, n2 long"), "op9-blocks"
+        with_text(open_, "s", "e").mapInArrow(
+            _block_rows(length, gram, block), "dk binary, s long, e long, n1 long, n2 long, w1 long, w2 long"
+        ),
+        "op9-blocks",
+    )
+    kinds = written(
+        blocks.groupBy("n1", "n2", "w1", "w2").agg(F.count("*").alias("n"), F.min(F.struct("dk", "s", "e")).alias("one")), "op9-kinds"
     )
-    met = written(blocks.groupBy("n1", "n2").agg(F.count("*").alias("n")).filter("n > 1"), "op9-met")
-    blocks = written(blocks.join(met, ["n1", "n2"]), "op9-together")
+    same = written(kinds.filter("n > 1").select("n1", "n2", "w1", "w2"), "op9-same-blocks")
+    whole = whole.union(blocks.join(same, ["n1", "n2", "w1", "w2"], "left_semi").select("dk", "s", "e"))
+    met = written(kinds.groupBy("n1", "n2").agg(F.count("*").alias("m")).filter("m > 1"), "op9-met")
+    blocks = written(kinds.join(met, ["n1", "n2"]).select("n1", "n2", "m", "one.*"), "op9-together")
 
     # Round 4: their strings.
-    few = with_text(blocks.filter(F.col("n") <= most_together), "s", "e", "n1", "n2").mapInArrow(
+    few = with_text(blocks.filter(F.col("m") <= most_together), "s", "e", "n1", "n2").mapInArrow(
         _bytes_rows(length), "dk binary, s long, raw binary, n1 long, n2 long"
     )
     few = few.repartition("n1", "n2").sortWithinPartitions("n1", "n2").mapInArrow(_compared_rows(length), "dk binary, s long, e long")
     own = with_text(places.filter("own"), "s", "e").mapInArrow(_own_rows(length), "dk binary, s long, e long")
     marks = whole.union(few).union(own)
-    many = blocks.filter(F.col("n") > most_together)
+    many = blocks.filter(F.col("m") > most_together)
     if not many.isEmpty():
         strings = written(with_text(many, "s", "e").mapInArrow(_string_rows(length), "dk binary, s long, n1 long, n2 long"), "op9-strings")
         twice = written(strings.groupBy("n1", "n2").agg(F.count("*").alias("n")).filter("n > 1").select("n1", "n2"), "op9-twice")
