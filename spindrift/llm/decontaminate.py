@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from spindrift.session import bound_batches
+
 #: A window is so many consecutive words of an item; a shorter item is one window.
 WINDOW = 10
 #: One automaton takes items of so many bytes of text at most.
@@ -200,6 +202,7 @@ def find_items(
     Null and empty texts have no words; items without words match nothing; repeated items
     and ids count once; empty tables give no hits or no rows.
     """
+    bound_batches(docs.sparkSession)
     context = docs.sparkSession.sparkContext
     out = docs.drop(*_FOUND.names)
     schema = T.StructType([*out.schema.fields, *_FOUND.fields])

@@ -16,6 +16,8 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from spindrift.session import bound_batches
+
 # Common function words of the languages that are told from lists of names and links.
 STOP_WORDS = frozenset(
     """
@@ -256,6 +258,7 @@ def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     back repeated; an empty table gives no rows; other columns are not read. A map over the
     pages: no shuffle, and a task holds one batch.
     """
+    bound_batches(pages.sparkSession)
     slim = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     kind = slim.schema["page_id"].dataType.simpleString()
 

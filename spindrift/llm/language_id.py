@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from spindrift.session import bound_batches
+
 #: The sample that the field is fitted on: documents (drawn by hash), spans of SPAN words of them (also drawn).
 MAX_DOCS, MAX_SPANS, SPAN = 6_000, 24_000, 32
 #: Slots of hashed features.
@@ -293,6 +295,7 @@ def identify(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame
     ``und`` with score 0. Only the text is looked at. The broadcast field has a fixed number
     of slots, whatever the sample.
     """
+    bound_batches(docs.sparkSession)
     docs = docs.drop("lang_pred", "score")
     columns = docs.columns
     at = columns.index(text_col)

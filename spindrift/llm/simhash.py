@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from spindrift.llm.components import connected
-from spindrift.session import written
+from spindrift.session import bound_batches, written
 
 SHINGLE, SEED, BITS = 3, 42, 64
 #: Differing bits allowed in all, and in the half that a trie starts with.
@@ -53,6 +53,7 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
 
 def with_fingerprints(docs: DataFrame, text_col: str = "text", size: int = SHINGLE, name: str = "fingerprint") -> DataFrame:
     """All rows and columns of ``docs`` and the fingerprint as a signed long (a column of that name is replaced)."""
+    bound_batches(docs.sparkSession)
     docs = docs.drop(name)
     columns = docs.columns
     at = columns.index(text_col)

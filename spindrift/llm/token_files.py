@@ -30,7 +30,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from spindrift.session import new_shared_path, written
+from spindrift.session import bound_batches, new_shared_path, written
 
 MAGIC = b"SDTOKEN1"
 BLOCK = 1 << 16
@@ -159,7 +159,7 @@ def _open(path: str):
 #: Ids as far as this worker has met them, by vocabulary: of what follows a space, and of what starts a line.
 _KNOWN: dict[str, tuple[dict[str, bytes], dict[str, bytes]]] = {}
 #: Entries of a table before it is cleared, and composed words in it before they are dropped.
-_KNOWN_MOST, _MADE_MOST = 1_000_000, 250_000
+_KNOWN_MOST, _MADE_MOST = 600_000, 150_000
 
 
 class Encoder:
@@ -256,6 +256,7 @@ def write_tokens(
     executors can read; ``folder`` is by default a new one in the shared folder.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     folder = folder or new_shared_path(spark, "tokens")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
