@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from spindrift.llm import decontaminate, language_id, mixing, simhash, token_files
+from spindrift.llm import decontaminate, language_id, mixing, near_copies, token_files
 from spindrift.session import table, written
 
 #: A document stays if a language is found in it with at least this mean probability.
@@ -24,8 +24,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: that of the smallest id."""
-    return simhash.one_of_each(docs)
+    """One document of each group of near copies (five-word shingles, similarity 0.8 or more) stays: that of the smallest id."""
+    return near_copies.one_of_each(docs)
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 STAGES = [
     ("language ID", identify_language),
-    ("SimHash near-dedup", drop_near_copies),
+    ("near-dedup", drop_near_copies),
     ("benchmark decontamination", remove_benchmark),
     ("mixing sources", mix_sources),
     ("token files", write_token_files),
