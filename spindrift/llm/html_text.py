@@ -1,8 +1,8 @@
 """Main text of web pages by two-pass block rules.
 
 A page is cut into blocks of running text. The first pass decides each block by
-stop-word density, length and link density, given where it stands (inside an article,
-or nowhere in particular); elements that never hold main text are left out before. The
+stop-word density, length and link density. Where it stands (inside an article or not)
+moves these limits, if the page's articles hold most of its good text; elements that never hold main text are left out before. The
 second pass gives short, undecided blocks the label of their nearest decided neighbour.
 """
 
@@ -12,6 +12,7 @@ import html
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -55,8 +56,8 @@ COMMENTS = frozenset(("comment", "comments", "disqus", "respond", "reply", "repl
 _HEADER = frozenset(("header", "banner", "masthead"))
 
 #: Rules of the first pass: link density over LINKS is bad; below SHORT characters a block is undecided;
-#: stop words of a share of at least STOPS make a block good.
-LINKS, SHORT, STOPS = 0.33, 60, 0.12
+#: stop words of a share of at least STOPS make a block good, outside articles that hold the text from LONG characters on.
+LINKS, SHORT, STOPS, LONG = 0.33, 60, 0.12, 200
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"<]{0,8192}"|'[^'<]{0,8192}')*+)>""")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^<>]*)>")
@@ -205,42 +206,57 @@ def blocks_of(page: str) -> list[Block]:
 
 
 def decide(b: Block, articles: bool) -> bool | None:
-    """First pass: good, bad or undecided. ``articles``: the page marks its articles."""
-    size = max(1, len(b.text.replace(" ", "")))
-    links = b.linked / size
-    if articles:
-        return b.main and not links > 0.8
-    if links > LINKS:
+    """First pass: good, bad or undecided. ``articles``: the page's articles hold its text (see ``trusted``).
+
+    Then a long block inside them that has few stop words is undecided and not bad, and one
+    outside has to be longer.
+    """
+    if b.linked / max(1, len(b.text.replace(" ", ""))) > LINKS:
         return False
-    words = _WORDS.findall(b.text.lower())
-    stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
     if len(b.text) < SHORT or b.heading:
         return None
-    return stops >= STOPS
+    words = _WORDS.findall(b.text.lower())
+    good = sum(w in STOP_WORDS for w in words) / max(1, len(words)) >= STOPS
+    if articles and b.main:
+        return good or None
+    return good and (not articles or len(b.text) >= LONG)
+
+
+def trusted(blocks: list[Block]) -> bool:
+    """Whether at least half of the good text stands inside articles; of all text outside links, if none is good."""
+    if not any(b.main for b in blocks):
+        return False
+    for sizes in ([len(b.text) * (decide(b, False) is True) for b in blocks], [len(b.text) * (b.linked == 0) for b in blocks]):
+        if any(sizes):
+            return 2 * sum(n for n, b in zip(sizes, blocks) if b.main) >= sum(sizes)
+    return True
 
 
 def main_text(page: str | None) -> str:
     """The main text; empty if there is none."""
     blocks = blocks_of(page or "")
-    articles = any(b.main for b in blocks)
+    articles = trusted(blocks)
     labels = [decide(b, articles) for b in blocks]
-    decided = [i for i, x in enumerate(labels) if x is not None]
-    if not any(labels[i] for i in decided):  # nothing long: what is undecided is all there is
-        labels = [x is None or x for x in labels]
+    if not any(labels):  # nothing long: what is undecided is all there is
+        labels = [(x is None or x) and (b.main or not articles) for b, x in zip(blocks, labels)]
+    elif articles:
+        runs = [list(run) for _, run in groupby(range(len(blocks)), lambda i: blocks[i].main)]
+        labels = [x for run in runs for x in _inherit([blocks[i] for i in run], [labels[i] for i in run], blocks[run[0]].main)]
     else:
         labels = _inherit(blocks, labels)
     return "\n\n".join(b.text for b, x in zip(blocks, labels) if x)
 
 
-def _inherit(blocks: list[Block], labels: list[bool | None]) -> list[bool]:
+def _inherit(blocks: list[Block], labels: list[bool | None], inside: bool = False) -> list[bool]:
     """Second pass: an undecided block takes the nearer neighbour's label; the page's ends are bad.
 
     At equal distance a heading follows the next block, and any other is good if both are.
+    ``inside`` an article that holds the text the ends do not count, and without any decided block all is good.
     """
     n = len(labels)
     before, after = [(n + 1, False)] * n, [(n + 1, False)] * n
     for ahead, order in ((False, range(n)), (True, range(n - 1, -1, -1))):
-        last = (0, False)
+        last = (2 * n, True) if inside else (0, False)
         for i in order:
             last = (0, labels[i]) if labels[i] is not None else (last[0] + 1, last[1])
             (after if ahead else before)[i] = last

@@ -176,6 +176,21 @@ def test_html_text_blocks():
     assert html_text.main_text("<p a='x>y'>t</p>") == "t" and html_text.main_text("a < b") == "a < b"
 
 
+def test_html_text_articles_are_evidence_only():
+    body = [f"This is part {k} of the story, and it is as long as it has to be for the rule to see that it is good." for k in range(4)]
+    cards = "".join(f"<article><h3><a href=x>Related story {k}</a></h3><a href=x>Read more of it</a></article>" for k in range(5))
+    page = f"<div><h1>Title of it</h1>{''.join(f'<p>{b}</p>' for b in body)}</div>{cards}"
+    assert html_text.main_text(page).split("\n\n") == ["Title of it", *body]
+    advert = "<p>Buy now <a href=x>the best of the offers that we have for you in the shop</a></p>"
+    menu = "<p><a href=x>Home</a> <a href=x>News</a> and <a href=x>Sport</a></p>"
+    names = "<p>Alpha Bravo Charlie Delta Echo Foxtrot Golf Hotel India Juliett Kilo Lima Mike</p>"
+    page = f"<article><h1>Title of it</h1><p>By me</p><p>{body[0]}</p>{advert}<p>{body[1]}</p>{names}<p>{body[2]}</p><p>End.</p></article>"
+    want = ["Title of it", "By me", body[0], body[1], names[3:-4], body[2], "End."]
+    assert html_text.main_text(page + "<p>We use cookies of the site and of those that it works with for you.</p>").split("\n\n") == want
+    assert html_text.main_text(page.replace("</h1>", f"</h1>{menu}", 1)).split("\n\n")[-5:] == want[-5:]
+    assert "Home" not in html_text.main_text(page.replace("</h1>", f"</h1>{menu}", 1))
+
+
 def test_html_text_table(spark):
     rows = [(1, "u", PAGE, "x"), (None, None, None, "x"), (1, "u", PAGE, "x"), (2, "v", "<p>" + "the word of it " * 50_000, "x")]
     got = html_text.extracted(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
