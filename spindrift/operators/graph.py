@@ -64,7 +64,7 @@ def resolve_refs(refs: DataFrame, sections: DataFrame) -> DataFrame:
     by_number = hits.withColumn("rn", F.row_number().over(order)).filter("rn = 1").select(*keys, "s_path", "s_id")
 
     said = s.select("corpus", "s_path", "s_id", F.length("full_text").alias("size"), F.explode(statute_refs("full_text")).alias("dst_raw"))
-    statutes = refs.filter("dst_kind = 'ncgs'").join(said, ["corpus", "dst_raw"])
+    statutes = refs.filter("dst_kind = 'ncgs'").join(two_longest(said), ["corpus", "dst_raw"])
     statutes = statutes.filter(~((F.col("s_id") == F.col("src_section_id")) & (F.col("s_path") == F.col("path"))))
     longest = W.partitionBy(*keys).orderBy(F.col("size").desc(), "s_path", "s_id")
     by_statute = statutes.withColumn("rn", F.row_number().over(longest)).filter("rn = 1").select(*keys, "s_path", "s_id")
@@ -72,6 +72,17 @@ def resolve_refs(refs: DataFrame, sections: DataFrame) -> DataFrame:
     return refs.join(found, keys, "left")
 
 
+def two_longest(said: DataFrame) -> DataFrame:
+    """Of ``corpus, s_path, s_id, size, dst_raw`` the two longest sections of each statute: a reference excludes one at most, its own."""
+    keys = ["corpus", "dst_raw"]
+    said = said.groupBy(*keys, "s_path", "s_id").agg(F.max("size").alias("size"))
+    said = written(said.select(*keys, F.struct((-F.col("size")).alias("less"), "s_path", "s_id").alias("x")), "said")
+    first = written(said.groupBy(*keys).agg(F.min("x").alias("x")), "said-first")
+    others = said.join(first.withColumnRenamed("x", "y"), keys).filter("x <> y")
+    second = others.groupBy(*keys).agg(F.min("x").alias("x"))
+    return first.unionByName(second).select(*keys, (-F.col("x.less")).alias("size"), "x.s_path", "x.s_id")
+
+
 def breadcrumbs(sections: DataFrame, key: str = "section_id", parent: str = "parent_section_id", depth: int = DEPTH) -> DataFrame:
     """``key, breadcrumb``: labels from the root down, joined by ``>``. Cycles end where they close, parents that do not exist at once.
 

@@ -130,6 +130,17 @@ def test_references_resolve_by_preference(spark):
     assert got == {("e", "101.2"): "b", ("d", "R101.2"): "a", ("d", "R5.1"): None, ("a", "1.1"): None, ("a", "160D-1110"): "e"}
 
 
+def test_statutes_meet_two_sections_only(spark):
+    rows = [("c", "f", f"s{k}", 10 + k % 7, "160D-1110") for k in range(50)] + [("c", "f", "s1", 9, "160D-1110"), ("c", "g", "x", 5, "14-7A")]
+    said = spark.createDataFrame(rows, "corpus string, s_path string, s_id string, size int, dst_raw string")
+    got = sorted((r.dst_raw, r.s_id, r["size"]) for r in graph.two_longest(said).collect())
+    assert got == [("14-7A", "x", 5), ("160D-1110", "s13", 16), ("160D-1110", "s20", 16)]
+    sections = said.select("corpus", F.col("s_path").alias("path"), F.col("s_id").alias("section_id"), F.lit("1").alias("section_number"), F.concat(F.repeat(F.lit("x"), F.col("size")), F.lit(" "), "dst_raw").alias("full_text"))
+    refs = sections.select("corpus", "path", F.col("section_id").alias("src_section_id"), F.lit("160D-1110").alias("dst_raw"), F.lit("ncgs").alias("dst_kind")).distinct()
+    found = {r.src_section_id: r.dst_section_id for r in graph.resolve_refs(refs, sections).collect()}
+    assert found == {k: "s20" if k == "s13" else "s13" for k in found}
+
+
 def _robin(rows, most):
     groups, out = {}, []
     for g, p in rows:
