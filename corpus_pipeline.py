@@ -16,8 +16,13 @@ MIN_LANGUAGE_SCORE = 0.3
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters go, and those whose best language is hardly likelier than the others."""
+    """Documents without letters go, and those whose best language is hardly likelier than the others.
+
+    Where no language could be learned, all documents pass.
+    """
     field = language_id.fit(docs)
+    if not field.languages:
+        return docs
     found = language_id.identify(docs, field)
     stays = (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)
     return found.filter(stays).select(*docs.columns)

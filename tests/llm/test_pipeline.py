@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from spindrift.llm import registry
 
@@ -30,6 +32,12 @@ def test_stages_keep_columns_and_take_effect(spark, tmp_path):
     assert corpus_pipeline.run(spark, d).count() == len(ids[4])
 
 
+def test_language_stage_passes_all_without_languages(frame, tmp_path):
+    docs = frame([prose(k, 30) for k in range(6)], langs=[None] * 6).withColumn("lang", F.lit(None).cast("string"))
+    kept = corpus_pipeline.identify_language(docs.sparkSession, docs, str(tmp_path))
+    assert kept.columns == docs.columns and kept.count() == 6
+
+
 def test_registry_names():
     assert sorted(n.split("_")[0] for n in registry.queries()) == sorted(f"op{k}" for k in range(1, 11))
     assert set(registry.oracle_sql()) <= set(registry.queries())
