@@ -3,9 +3,10 @@
 At 0.8 SimHash differs in about 10 of 64 bits, and a budget that finds such pairs (some
 17 bits) also meets about one in 6,000 of all unrelated pairs. So candidates come from
 bands of min-hashes, which unrelated texts do not share, and each candidate is checked
-on the sets themselves. Copies with equal sets are one node from the start. A bucket of
-a band is not compared in all pairs: in each round a few of its nodes outside its
-largest component meet the others, and it is done when it is one component.
+on the sets themselves. Copies with equal sets are one node from the start. In each
+round some nodes of a band's bucket outside its largest component meet the others, and it
+is done when it is one component: near copies take few pairs, but a bucket of texts that
+are not near each other is compared in all pairs in the end.
 """
 
 from __future__ import annotations
