@@ -18,7 +18,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files.encoded(table(spark, sf_dir, "documents")).drop("ids")
+    return token_files.encoded(table(spark, sf_dir, "documents"), with_ids=False)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ and return a manifest row; a shard of a task that failed is in no manifest.
 from __future__ import annotations
 
 import os
-import string
+import re
 import struct
 import uuid
 import zlib
@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
@@ -34,8 +35,6 @@ from spindrift.session import bound_batches, new_shared_path, written
 
 MAGIC = b"SDTOKEN1"
 BLOCK = 1 << 16
-#: Texts that are encoded in one call.
-ENCODE_ROWS = 256
 _MANIFEST = "shard int, path string, n_docs long, n_ids long"
 
 
@@ -58,7 +57,7 @@ def from_planes(planes: list[bytes], n: int) -> np.ndarray:
 
 
 class ShardWriter:
-    """Writes one shard to an open binary stream, document by document."""
+    """Writes one shard to an open binary stream, some documents at a time."""
 
     def __init__(self, stream, kind: str = "byte", block: int = BLOCK, level: int = 3):
         self.stream, self.kind, self.block = stream, kind, block
@@ -70,9 +69,10 @@ class ShardWriter:
         self.doc_ids: list[int | None] = []
         self.lengths: list[int] = []
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.doc_ids.append(doc_id)
-        self.lengths.append(len(ids))
+    def add(self, doc_ids: list[int | None], ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Documents, all their ids, and how many each has."""
+        self.doc_ids += doc_ids
+        self.lengths += lengths.tolist()
         self.n_ids += len(ids)
         self.pending.append(ids)
         self.waiting += len(ids)
@@ -156,19 +156,25 @@ def _open(path: str):
     return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else os.path.abspath(path))
 
 
-#: Ids as far as this worker has met them, by vocabulary: of what follows a space, and of what starts a line.
-_KNOWN: dict[str, tuple[dict[str, bytes], dict[str, bytes]]] = {}
-#: Entries of a table before it is cleared, and composed words in it before they are dropped.
-_KNOWN_MOST, _MADE_MOST = 600_000, 150_000
+#: Pieces that a worker remembers: it forgets those that it has not met among the last so many, or more.
+REMEMBERED = 250_000
+#: Bytes of text, about, that are encoded in one call.
+PORTION = 2 << 20
+_REMEMBERED: dict[str, list[dict[str, bytes]]] = {}
+# Texts that are encoded as they are: control characters, white space that is no single space or line end inside.
+_AS_IT_IS = r"[\x00-\x09\x0B-\x1F\x7F-\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]|[ \n][ \n]|^[ \n]|[ \n]$"
+# A letter or digit (of scripts that all versions of Unicode agree on) and an ASCII mark after it.
+_BEFORE_MARK = r"([0-9A-Za-zÀ-ÖØ-öø-ɏ])([!-/:-@\[-`{-~])"
+_CUT, _END, _WHOLE = "\x00", "\x01", "\x02"
 
 
 class Encoder:
-    """Byte-level BPE of whole texts, each distinct stem of a word encoded once.
+    """Byte-level BPE of whole texts, each distinct piece encoded once for as long as it is remembered.
 
-    Pieces that the tokenizer looks at end before a space or a line end that stands between
-    two characters that are no white space, and between a letter or digit and a punctuation
-    mark after it; a text may be cut there. The new stems of a call are encoded as one text,
-    a line for each. A text in which white space meets white space is encoded as it is.
+    What the tokenizer looks at ends before a space, around a line end, and between a letter
+    or digit and a mark after it; a text may be cut there. The new pieces of a call are
+    encoded as one text, a line for each. A text with white space of another kind, or with one of the
+    vocabulary's added tokens, is encoded as it is.
     """
 
     def __init__(self, vocabulary: str):
@@ -176,72 +182,77 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.tokenizer.encode_special_tokens = True
-        self.spaced, self.bare = _KNOWN.setdefault(vocabulary, ({}, {}))
-        self.made: list[str] = []
-        self.newline = self._ids("\n").tobytes()
-        if len(self.newline) != 4:
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.as_it_is = "|".join([_AS_IT_IS, *added])
+        self.newline = self._ids("\n")
+        if len(self.newline) != 1:
             raise ValueError("the vocabulary must have one id for a line end")
-        self.end = np.zeros(1, "<u4").tobytes()
+        self.fixed = {"": b"", "\n": self.newline.tobytes(), _END: np.zeros(1, "<u4").tobytes()}
+        self.known = _REMEMBERED.setdefault(vocabulary, [{}, {}])
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def _learn(self, spaced: set[str], bare: set[str]) -> None:
-        """Encode new stems; compose the other words of their lines, and lines of a stem and its punctuation.
-
-        Words with other white space inside stay unknown.
-        """
-        heads = {w for w in spaced if w.isalnum()}
-        starts = {w for w in bare if w.isalnum()}
-        made = []
-        for words, known, stems in ((spaced - heads, self.spaced, heads), (bare - starts, self.bare, starts)):
-            for w in words:
-                lines = w.split("\n")
-                if w.split() != lines:
-                    continue
-                parts = []
-                for x in lines:
-                    stem = x.rstrip(string.punctuation)
-                    tail = x[len(stem) :] if stem and stem[-1].isalnum() else ""
-                    parts.append((stem if tail else x, tail))
-                stems.add(parts[0][0])
-                starts.update([p for p, _ in parts[1:]])
-                starts.update([t for _, t in parts if t])
-                made.append((known, w, parts))
-        heads, starts = list(heads.difference(self.spaced)), list(starts.difference(self.bare))
-        ids = self._ids("".join([f"\n {w}" for w in heads] + [f"\n{w}" for w in starts]))
-        at = 4 * np.flatnonzero(ids == np.frombuffer(self.newline, "<u4")[0])
-        raw, stops = ids.tobytes(), [*at[1:].tolist(), 4 * len(ids)]
-        found = [raw[i:j] for i, j in zip((at + 4).tolist(), stops)]
-        self.spaced.update(zip(heads, found[: len(heads)]))
-        self.bare.update(zip(starts, found[len(heads) :], strict=True))
-        for known, w, parts in made:
-            (stem, tail), *more = parts
-            ids = known[stem] + self.bare[tail] if tail else known[stem]
-            for stem, tail in more:
-                ids += self.newline + self.bare[stem] + (self.bare[tail] if tail else b"")
-            known[w] = ids
-            if known is self.spaced:
-                self.made.append(w)
-
-    def __call__(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """The ids of each text and the end id."""
-        if len(self.made) > _MADE_MOST:
-            for w in self.made:
-                self.spaced.pop(w, None)
-            self.made.clear()
-        for known in (self.spaced, self.bare):
-            if len(known) > _KNOWN_MOST:
-                known.clear()
-        cut = [t.split(" ") for t in texts]
-        self._learn(set().union(*cut).difference(self.spaced), {c[0] for c in cut}.difference(self.bare))
-        for text, words in zip(texts, cut):
-            try:
-                found = b"".join([self.bare[words.pop(0)], *map(self.spaced.__getitem__, words), self.end])
-            except KeyError:
-                found = self._ids(text).tobytes() + self.end
-            yield np.frombuffer(found, "<u4")
+    def _pieces(self, pieces: list[str], own: dict[str, bytes]) -> list[bytes]:
+        """The ids of distinct pieces; ``own``: of those that are not to be looked up."""
+        new, old = self.known
+        out = list(map(new.get, pieces))
+        fresh = []
+        for i in [i for i, x in enumerate(out) if x is None]:
+            p = pieces[i]
+            if (found := own.get(p)) is not None:
+                out[i] = found
+            elif (found := old.get(p)) is not None:
+                out[i] = new[p] = found
+            else:
+                fresh.append(i)
+        if fresh:
+            names = [pieces[i] for i in fresh]
+            ids = self._ids("\n" + "\n".join(names))
+            at = np.append(np.flatnonzero(ids == self.newline[0]), len(ids))
+            raw, at = ids.tobytes(), (4 * at).tolist()
+            found = [raw[i + 4 : j] for i, j in zip(at, at[1:])]
+            new.update(zip(names, found, strict=True))
+            for i, x in zip(fresh, found):
+                out[i] = x
+        if len(new) > REMEMBERED:
+            self.known[:] = {}, new
+        return out
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, the end id after each, and how many each text has."""
+        texts = texts.cast(pa.large_string())
+        odd = np.flatnonzero(pc.match_substring_regex(texts, self.as_it_is).to_numpy(zero_copy_only=False))
+        own = self.fixed | {f"{_WHOLE}{i}": self._ids(texts[i].as_py()).tobytes() for i in odd.tolist()}
+        cut = pc.replace_substring_regex(texts, _BEFORE_MARK, f"\\1{_CUT}\\2")
+        cut = pc.replace_substring(pc.replace_substring(cut, " ", f"{_CUT} "), "\n", f"{_CUT}\n{_CUT}")
+        if len(odd):
+            names = pa.array([f"{_WHOLE}{i}" for i in odd.tolist()], pa.large_string())
+            mask = np.zeros(len(texts), bool)
+            mask[odd] = True
+            cut = pc.replace_with_mask(cut, pa.array(mask), names)
+        lists = pc.split_pattern(pc.binary_join_element_wise(cut, pa.scalar(_END, pa.large_string()), pa.scalar(_CUT, pa.large_string())), _CUT)
+        coded = lists.flatten().dictionary_encode()
+        found = self._pieces(coded.dictionary.to_numpy(zero_copy_only=False).tolist(), own)
+        table, sizes = np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+        codes = coded.indices.to_numpy()
+        n = sizes[codes]
+        stop = np.cumsum(n)
+        start = (np.cumsum(sizes) - sizes)[codes]
+        ids = table[np.repeat(start - stop + n, n) + np.arange(stop[-1] if len(stop) else 0)]
+        offsets = lists.offsets.to_numpy()
+        before = np.append(0, stop)[offsets - offsets[0]]
+        return ids, np.diff(before)
+
+
+def _portions(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Stretches of texts of about PORTION bytes."""
+    stop = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    lo = done = 0
+    while lo < len(stop):
+        hi = max(lo + 1, int(np.searchsorted(stop, done + PORTION, side="right")))
+        yield lo, hi
+        lo, done = hi, int(stop[hi - 1])
 
 
 def write_tokens(
@@ -265,14 +276,13 @@ def write_tokens(
         store, root = _open(folder)
         path = f"shard-{shard:06d}-{uuid.uuid4().hex[:12]}.tok"
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i in range(0, len(ids), ENCODE_ROWS):
+            ids, texts = batch.column(0).to_pylist(), batch.column(1)
+            for lo, hi in _portions(texts):
                 if writer is None:
                     store.create_dir(root, recursive=True)
                     stream = store.open_output_stream(f"{root}/{path}")
                     writer = ShardWriter(stream, kind, block)
-                for doc_id, found in zip(ids[i : i + ENCODE_ROWS], encode(texts[i : i + ENCODE_ROWS])):
-                    writer.add(doc_id, found)
+                writer.add(ids[lo:hi], *encode(texts[lo:hi]))
         if writer is not None:
             writer.close()
             stream.close()
@@ -287,12 +297,13 @@ def write_tokens(
     return manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0).cast("long")))
 
 
-def read_tokens(manifest: DataFrame) -> DataFrame:
-    """The documents of the shards: ``doc_id, start, n_tokens, ids_crc32, ids``.
+def read_tokens(manifest: DataFrame, with_ids: bool = True) -> DataFrame:
+    """The documents of the shards: ``doc_id, start, n_tokens, ids_crc32`` and, ``with_ids``, ``ids``.
 
     ``start`` counts the ids of all documents before this one, ``n_tokens`` includes the end id.
-    A task holds one shard's tables and one document's ids at a time.
+    All ids are read and summed up in any case. A task holds one shard's tables and one document's ids at a time.
     """
+    schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -301,26 +312,26 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                 with store.open_input_file(path) as stream:
                     start, rows, held = row["start"], [], 0
                     for doc_id, ids in ShardReader(stream).documents():
-                        rows.append((doc_id, start, len(ids), zlib.crc32(np.ascontiguousarray(ids, "<u4").tobytes()), ids.astype(np.int32)))
-                        start, held = start + len(ids), held + len(ids)
+                        rows.append((doc_id, start, len(ids), zlib.crc32(np.ascontiguousarray(ids, "<u4")), ids.view(np.int32) if with_ids else None))
+                        start, held = start + len(ids), held + (len(ids) if with_ids else 16)
                         if held > 1 << 20:
-                            yield _rows(rows)
+                            yield _rows(rows, with_ids)
                             rows, held = [], 0
                     if rows:
-                        yield _rows(rows)
+                        yield _rows(rows, with_ids)
 
-    return manifest.select("path", "start").repartition("path").mapInArrow(
-        read, "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<int>"
-    )
+    return manifest.select("path", "start").repartition("path").mapInArrow(read, schema)
 
 
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.int64())
-    cols = [pa.array([r[k] for r in rows], t) for k, t in enumerate(types)]
+def _rows(rows: list[tuple], with_ids: bool) -> pa.RecordBatch:
+    names = ["doc_id", "start", "n_tokens", "ids_crc32"]
+    cols = [pa.array([r[k] for r in rows], pa.int64()) for k in range(4)]
+    if not with_ids:
+        return pa.RecordBatch.from_arrays(cols, names=names)
     flat = pa.array(np.concatenate([r[4] for r in rows]), pa.int32())
     ends = np.concatenate(([0], np.cumsum([len(r[4]) for r in rows])))
     cols.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat))
-    return pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
+    return pa.RecordBatch.from_arrays(cols, names=[*names, "ids"])
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -330,6 +341,10 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
-def encoded(docs: DataFrame, vocabulary: str | None = None, **options) -> DataFrame:
-    """Write the files and read them back: one row per row of ``docs``."""
-    return read_tokens(write_tokens(docs, vocabulary or vocabulary_path(), **options))
+def encoded(docs: DataFrame, vocabulary: str | None = None, with_ids: bool = True, **options) -> DataFrame:
+    """Write the files and read them back: one row per row of ``docs`` (see :func:`read_tokens`).
+
+    Null texts have one id, the end; a null id comes first; repeated rows come back repeated, ordered by
+    text where ids are equal; an empty table gives no rows; other columns are not read.
+    """
+    return read_tokens(write_tokens(docs, vocabulary or vocabulary_path(), **options), with_ids)

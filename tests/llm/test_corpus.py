@@ -4,6 +4,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 
@@ -77,22 +78,47 @@ def test_token_shards_round_trip(ids, kind, block):
     stream = io.BytesIO()
     writer = token_files.ShardWriter(stream, kind, block)
     docs = [(k or None, np.array(ids[k * 7 : k * 7 + 7 * (k % 3)], "<u4")) for k in range(12)]
-    for d, x in docs:
-        writer.add(d, x)
+    for k in (0, 5, 6):  # several documents at a time
+        part = docs[k : {0: 5, 5: 6, 6: 12}[k]]
+        writer.add([d for d, _ in part], np.concatenate([x for _, x in part]), np.array([len(x) for _, x in part]))
     writer.close()
     got = list(token_files.ShardReader(stream).documents())
     assert [d for d, _ in got] == [d for d, _ in docs] and all((a == b).all() for (_, a), (_, b) in zip(got, docs))
 
 
+def _encoded(texts):
+    ids, n = token_files.Encoder(token_files.vocabulary_path())(pa.array(texts, pa.string()))
+    ends = np.cumsum(n)
+    assert len(ids) == ends[-1] and len(n) == len(texts)
+    return [ids[e - k : e].tolist() for e, k in zip(ends, n)]
+
+
 def test_encoder_equals_tokenizer(odd_texts):
     from tokenizers import Tokenizer
 
-    path = token_files.vocabulary_path()
-    plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
-    texts = [t or "" for t in odd_texts] + ["a  b", "a \n b", " a b ", "<|endoftext|> x", "it's a 's ' s, well-known_x", "x  \t y\n\n z ", "\x1c a \x1c b", "a \x85 b", "line.\nNext, line\n", "''s x's ''s"]
-    for t, ids in zip(texts, token_files.Encoder(path)(texts)):
-        assert ids[:-1].tolist() == plain.encode(t, add_special_tokens=False).ids and ids[-1] == 0
+    plain = Tokenizer.from_file(token_files.vocabulary_path())
+    texts = [t or "" for t in odd_texts] + ["a  b", "a \n b", " a b ", "<|endoftext|> x", "x<|endoftext|>", "it's a 's ' s, well-known_x", "x  \t y\n\n z ", "\x1c a \x1c b", "a \x85 b", "line.\nNext, line\n", "''s x's ''s"]
+    texts += ["\x00\x01", "\x01", "\x020", "a.b.c,d", "漢。字.x ²,½.", "e\u0301. a\u00a0b", "don't.we'll", "a\nb\nc. d"]
+    assert _encoded(texts) == [[*plain.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+    assert _encoded(texts) == _encoded(texts[::-1])[::-1]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(st.sampled_from("ab'sté1².,!-<|>\n \u00a0漢\u0301\x00"), max_size=24), min_size=1, max_size=6))
+def test_encoder_equals_tokenizer_on_any_text(texts):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(token_files.vocabulary_path())
+    assert _encoded(texts) == [[*plain.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+
+
+def test_encoder_forgets(monkeypatch):
+    monkeypatch.setattr(token_files, "REMEMBERED", 3)
+    monkeypatch.setattr(token_files, "_REMEMBERED", {})
+    texts = [prose(k % 5, 9) for k in range(30)]
+    assert [_encoded([t])[0] for t in texts] == _encoded(texts)
+    new, old = token_files._REMEMBERED[token_files.vocabulary_path()]
+    assert len(new) + len(old) < 300
 
 
 def test_token_files(frame, odd_texts, tmp_path):
