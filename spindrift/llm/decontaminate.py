@@ -14,9 +14,10 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from spindrift.session import bound_batches
+from spindrift.llm import rows as R
+from spindrift.session import bound_batches, written
 
 #: A window is so many consecutive words of an item; a shorter item is one window.
 WINDOW = 10
@@ -176,13 +177,8 @@ def _automata(benchmark: DataFrame, id_col: str, text_col: str, window: int, max
         yield Automaton([(r["id"], words_of(r["text"])) for r in mine.orderBy("id", "text").toLocalIterator()], window)
 
 
-_FOUND = T.StructType(
-    [
-        T.StructField("n_words", T.LongType()),
-        T.StructField("hit_spans", T.ArrayType(T.ArrayType(T.LongType()))),
-        T.StructField("hit_items", T.ArrayType(T.StringType())),
-    ]
-)
+_NAMES = ("n_words", "hit_spans", "hit_items")
+_TYPES = (T.LongType(), T.ArrayType(T.ArrayType(T.LongType())), T.ArrayType(T.StringType()))
 
 
 def find_items(
@@ -193,8 +189,9 @@ def find_items(
     item_text: str = "text",
     window: int = WINDOW,
     max_bytes: int = MAX_BYTES,
+    names: tuple[str, str, str] = _NAMES,
 ) -> DataFrame:
-    """All rows and columns of ``docs`` with ``n_words, hit_spans, hit_items``.
+    """All rows and columns of ``docs`` with ``n_words, hit_spans, hit_items`` (or other ``names``).
 
     ``hit_spans`` are the maximal spans of word numbers (start, end exclusive) inside any
     occurrence of a window of any item, ``hit_items`` the ids of those items, as strings in
@@ -204,34 +201,36 @@ def find_items(
     """
     bound_batches(docs.sparkSession)
     context = docs.sparkSession.sparkContext
-    out = docs.drop(*_FOUND.names)
-    schema = T.StructType([*out.schema.fields, *_FOUND.fields])
+    out = docs.drop(*names)
+    schema = T.StructType([*out.schema.fields, *map(T.StructField, names, _TYPES)])
     plain = out.columns
     first = True
     for automaton in _automata(benchmark, item_id, item_text, window, max_bytes):
-        out = out.mapInArrow(_scanner(context.broadcast(automaton), plain, text_col, first), schema)
+        if not first:  # one automaton at a time in the tasks' memory
+            out = written(out, "op6-part")
+        out = out.mapInArrow(_scanner(context.broadcast(automaton), plain, names, text_col, first), schema)
         first = False
     return out
 
 
-def _scanner(shared, plain: list[str], text_col: str, first: bool):
+def _scanner(shared, plain: list[str], names: tuple[str, str, str], text_col: str, first: bool):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = shared.value
         for batch in batches:
             n, spans, items = [], [], []
-            old = [None] * len(batch) if first else list(zip(batch.column("hit_spans").to_pylist(), batch.column("hit_items").to_pylist()))
+            old = [None] * len(batch) if first else list(zip(batch.column(len(plain) + 1).to_pylist(), batch.column(len(plain) + 2).to_pylist()))
             for text, before in zip(batch.column(plain.index(text_col)).to_pylist(), old):
                 words = words_of(text)
                 s, k = automaton.matches(words)
-                names = {automaton.names[i] for i in k}
+                hit = {automaton.names[i] for i in k}
                 if before:
-                    s, names = merged([*map(tuple, before[0]), *s]), names | set(before[1])
+                    s, hit = merged([*map(tuple, before[0]), *s]), hit | set(before[1])
                 n.append(len(words))
                 spans.append([list(x) for x in s])
-                items.append(sorted(names))
+                items.append(sorted(hit))
             cols = [batch.column(i) for i in range(len(plain))]
             cols += [pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(items, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(cols, names=[*plain, *_FOUND.names])
+            yield pa.RecordBatch.from_arrays(cols, names=[*plain, *names])
 
     return scan
 
@@ -257,30 +256,32 @@ def without_words(text: str, spans: list[list[int]]) -> str:
     return b"".join([*out, raw[at:]]).decode("utf-8", "surrogatepass")
 
 
-def decontaminated(
-    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", least_words: int = WINDOW, most_share: float = 0.5, **options
-) -> DataFrame:
+def _hit(spans: str) -> Column:
+    return F.aggregate(F.col(spans), F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", most_share: float = 0.5, **options) -> DataFrame:
     """The rows of ``docs`` with the benchmark's spans taken out of their text.
 
-    A span of ``least_words`` words or more is removed, and so is any shorter span if it is a
-    whole item. Rows whose hit words are more than ``most_share`` of all their words are
-    dropped. All other rows come back unchanged, null and empty texts included.
+    Rows whose hit words are more than ``most_share`` of all their words are dropped. Rows without
+    a hit come back unchanged, null and empty texts included, and so do all other columns, whatever their
+    names. Repeated rows come back repeated; an empty table gives no rows, and an empty benchmark changes nothing.
     """
     columns = docs.columns
-    found = find_items(docs, benchmark, text_col, **options)
-    hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
-    kept = found.filter(hit <= F.col("n_words") * F.lit(float(most_share)))
+    n_words, spans, items = R.unused(columns, *_NAMES)
+    found = find_items(docs, benchmark, text_col, names=(n_words, spans, items), **options)
+    kept = found.filter(_hit(spans) <= F.col(n_words) * F.lit(float(most_share)))
 
     @F.pandas_udf("string")
     def cut(text, spans):
         return text.combine(spans, lambda t, s: without_words(t, s) if t is not None and len(s) else t)
 
-    return kept.withColumn(text_col, F.when(F.size("hit_spans") > 0, cut(text_col, "hit_spans")).otherwise(F.col(text_col))).select(*columns)
+    return kept.withColumn(text_col, F.when(F.size(spans) > 0, cut(text_col, spans)).otherwise(F.col(text_col))).select(*columns)
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` of what find_items returns."""
-    hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
+    hit = _hit("hit_spans")
     return found.select(
         F.col(id_col).alias("doc_id"),
         "n_words",

@@ -9,13 +9,13 @@ over all documents.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from spindrift.session import bound_batches
@@ -24,16 +24,19 @@ from spindrift.session import bound_batches
 MAX_DOCS, MAX_SPANS, SPAN = 6_000, 24_000, 32
 #: Slots of hashed features.
 SLOTS = 1 << 18
-#: Words whose emissions a task keeps, cells (words with padding) of one forward-backward run, characters at a time.
-_CACHE, _CELLS, _PORTION = 100_000, 100_000, 1 << 20
+#: Words whose emissions a task keeps, weights (words with padding, times languages) of one forward-backward run, bytes of text at a time.
+_CACHE, _CELLS, _PORTION = 150_000, 4 << 20, 8 << 20
 UNKNOWN = "und"
 
-_WORD = re.compile(r"[^\W\d_]+")
 
-
-def letters_words(text: str | None) -> list[str]:
-    """The runs of letters of the whole text, in lower case."""
-    return _WORD.findall(text.lower()) if text else []
+def letters_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The runs of letters of the whole texts, in lower case, and how many each text has (null: none)."""
+    spaced = pc.replace_substring_regex(pc.utf8_lower(texts.cast(pa.large_string())), r"\PL+", " ")
+    lists = pc.split_pattern(pc.fill_null(spaced, ""), " ")
+    words, offsets = lists.flatten(), lists.offsets.to_numpy()
+    there = pc.greater(pc.binary_length(words), 0)
+    before = np.append(0, np.cumsum(there.to_numpy(zero_copy_only=False)))
+    return words.filter(there), np.diff(before[offsets - offsets[0]])
 
 
 def _slot(kind: int, *codes: np.ndarray) -> np.ndarray:
@@ -73,7 +76,7 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def _emissions(words: list[str], weights: np.ndarray) -> np.ndarray:
     """Log-weights of each word for each language."""
     slots, owner = features(words)
-    return np.stack([np.bincount(owner, weights[slots, c], len(words)) for c in range(weights.shape[1])], axis=1)
+    return np.add.reduceat(weights[slots], np.searchsorted(owner, np.arange(len(words))), axis=0)
 
 
 @dataclass
@@ -178,8 +181,9 @@ def _held_out(doc_id):
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = MAX_DOCS, max_spans: int = MAX_SPANS, seed: int = 5) -> Field:
     """Fit on a sample of the rows with text and language whose id is not held out.
 
-    About ``max_docs`` documents and ``max_spans`` spans at most come to the driver; both are
-    drawn by hash. Without such rows the field has no languages.
+    About ``max_docs`` documents (more only if ids repeat) are cut into spans, and about
+    ``max_spans`` different spans at most come to the driver; both are drawn by hash. Without
+    such rows the field has no languages.
     """
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("x"), F.col(lang_col).cast("string").alias("y"))
     usable = F.col("y").isNotNull() & F.col("x").isNotNull() & F.col("i").isNotNull() & ~_held_out(F.col("i"))
@@ -190,113 +194,124 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[tuple[str, str]] = []
-            for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                words = [w for w in letters_words(text) if any(map(str.isalpha, w))]
-                out += [(lang, " ".join(words[i : i + SPAN])) for i in range(0, len(words), SPAN)]
+            words, n = letters_words(b.column(0))
+            words, stop = words.to_numpy(zero_copy_only=False), np.cumsum(n)
+            out = [
+                (lang, " ".join(words[i : min(i + SPAN, hi)])) for lang, lo, hi in zip(b.column(1).to_pylist(), (stop - n).tolist(), stop.tolist()) for i in range(lo, hi, SPAN)
+            ]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.string()) for k in (0, 1)], names=["y", "s"])
 
-    cut = rows.select("x", "y").mapInArrow(spans, "y string, s string").withColumn("r", F.pmod(F.xxhash64(F.lit(seed), "s"), F.lit(1 << 30)))
-    cut = cut.persist()  # a sample: small
+    cut = rows.select("x", "y").mapInArrow(spans, "y string, s string").distinct().persist()  # a sample: small
     share = min(1.0, max_spans / max(1, cut.count()))
-    found = cut.filter(F.col("r") < int(share * (1 << 30))).orderBy("r", "y", "s").collect()
+    found = cut.filter(F.pmod(F.xxhash64(F.lit(seed), "s"), F.lit(1 << 30)) < int(share * (1 << 30))).collect()
     cut.unpersist()
-    data = [(r["y"], r["s"].split(" ")) for r in found]
-    languages = sorted({y for y, _ in data})
+    data = sorted((zlib.crc32(r["s"].encode()), r["y"], r["s"]) for r in found)
+    languages = sorted({y for _, y, _ in data})
     if not languages:
         return Field([], np.zeros((1, 0), np.float32), np.zeros((0, 0)), np.zeros(0))
-    return train(data, languages)
+    return train([(y, s.split(" ")) for _, y, s in data], languages)
 
 
 class _Predictor:
     def __init__(self, field: Field):
         self.field = field
         self.rows: dict[str, int] = {}
-        self.emit = np.zeros((0, len(field.languages)))
-
-    def _codes(self, texts: list[list[str]]) -> list[np.ndarray]:
-        if len(self.rows) > _CACHE:
-            self.rows, self.emit = {}, self.emit[:0]
-        fresh = {w for ws in texts for w in ws}.difference(self.rows)
-        good = sorted(w for w in fresh if any(map(str.isalpha, w)))
-        self.rows.update((w, -1) for w in fresh)
-        self.rows.update(zip(good, range(len(self.emit), len(self.emit) + len(good))))
-        new = [_emissions(good[i : i + 4096], self.field.weights) for i in range(0, len(good), 4096)]
-        self.emit = np.concatenate((self.emit, *new))
-        get = self.rows.__getitem__
-        codes = (np.fromiter(map(get, ws), np.int64, len(ws)) for ws in texts)
-        return [c[c >= 0] for c in codes]
-
-    def __call__(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        self.emit = np.zeros((0, len(field.languages)), np.float32)
+
+    def _emissions(self, words: list[str]) -> np.ndarray:
+        """Of different words, each looked up if it was met not long ago."""
+        if len(self.rows) > _CACHE:  # keep what is met again
+            kept = [w for w in words if w in self.rows]
+            self.emit = self.emit[[self.rows[w] for w in kept]]
+            self.rows = dict(zip(kept, range(len(kept))))
+        new = [w for w in words if w not in self.rows]
+        self.rows.update(zip(new, range(len(self.emit), len(self.emit) + len(new))))
+        self.emit = np.concatenate((self.emit, *(_emissions(new[i : i + 4096], self.field.weights) for i in range(0, len(new), 4096))))
+        return self.emit[np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))]
+
+    def __call__(self, texts: pa.Array) -> tuple[list[str], list[float]]:
         """Language and score of each text."""
         langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-        if not self.field.languages:
+        n = len(self.field.languages)
+        words, sizes = letters_words(texts) if n else ([], [])
+        if not len(words):
             return langs, scores
-        codes = self._codes([letters_words(t) for t in texts])
-        order = sorted((i for i in range(len(texts)) if len(codes[i])), key=lambda i: -len(codes[i]))
+        coded = words.dictionary_encode()
+        table = self._emissions(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        table = np.exp(table - table.max(axis=1, keepdims=True))
+        codes, start = coded.indices.to_numpy(), np.cumsum(sizes) - sizes
+        order = np.argsort(-sizes, kind="stable")
+        order = order[sizes[order] > 0]
         lo = 0
         while lo < len(order):
-            hi = min(len(order), lo + max(1, _CELLS // len(codes[order[lo]])))
+            hi = min(len(order), lo + max(1, _CELLS // int(n * sizes[order[lo]])))
             group = order[lo:hi]
-            lengths = np.array([len(codes[i]) for i in group])
-            at, seq = np.concatenate([np.arange(m) for m in lengths]), np.repeat(np.arange(len(group)), lengths)
-            grid = np.zeros((lengths[0], len(group), len(self.field.languages)))
-            grid[at, seq] = self.emit[np.concatenate([codes[i] for i in group])]
+            lengths = sizes[group]
+            seq = np.repeat(np.arange(len(group)), lengths)
+            at = np.arange(len(seq)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            grid = np.zeros((lengths[0], n, len(group)), np.float32)
+            grid[at, :, seq] = table[codes[start[group][seq] + at]]
             means = self._means(grid, lengths)
-            best = means.argmax(axis=1)
-            for i, k, m in zip(group, best, means):
-                langs[i], scores[i] = self.field.languages[k], float(min(1.0, max(0.0, m[k])))
+            for i, k, m in zip(group.tolist(), means.argmax(axis=0).tolist(), means.max(axis=0).tolist()):
+                langs[i], scores[i] = self.field.languages[k], min(1.0, max(0.0, m))
             lo = hi
         return langs, scores
 
-    def _means(self, grid: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Mean posterior of each language; like forward_backward, without the expected transitions."""
+    def _means(self, e: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Mean posterior of each language from emissions (time, language, sequence), the largest of a word being 1.
+
+        Like forward_backward, without the expected transitions. A step shrinks the sum of a
+        column by the smallest transition at most, so that it need not be brought to 1 each time.
+        """
         f = self.field
-        steps = len(grid)
-        e = np.exp(grid - grid.max(axis=2, keepdims=True))
-        move, begin = np.exp(f.transitions - f.transitions.max()), np.exp(f.start - f.start.max())
-        live = np.searchsorted(-lengths, -np.arange(steps), side="left")
+        steps, n, _ = e.shape
+        move = np.exp(f.transitions - f.transitions.max()).astype(np.float32)
+        begin = np.exp(f.start - f.start.max()).astype(np.float32)
+        pause = max(1, int(12 / max(1.0, -np.log10(max(1e-30, float(min(move.min(), begin.min())))))))
+        live = np.searchsorted(-lengths, -np.arange(steps), side="left").tolist()
+        live[0] = len(lengths)
         alpha = np.empty_like(e)
-        a = begin * e[0]
-        alpha[0] = a / a.sum(axis=1, keepdims=True)
+        a = alpha[0] = begin[:, None] * e[0]
         for t in range(1, steps):
             k = live[t]
-            a = (alpha[t - 1, :k] @ move) * e[t, :k]
-            a /= a.sum(axis=1, keepdims=True)
-            alpha[t, :k] = a
+            a = move.T @ a[:, :k]
+            a *= e[t, :, :k]
+            if t % pause == 0:
+                a /= a.sum(axis=0)
+            alpha[t, :, :k] = a
         total = np.zeros(e.shape[1:])
-        beta = np.ones(e.shape[1:])
+        beta = np.ones(e.shape[1:], np.float32)
         for t in range(steps - 1, -1, -1):
-            k = live[t] if t else len(lengths)
-            p = alpha[t, :k] * beta[:k]
-            total[:k] += p / p.sum(axis=1, keepdims=True)
-            b = (e[t, :k] * beta[:k]) @ move.T
-            beta[:k] = b / b.sum(axis=1, keepdims=True)
-        return total / lengths[:, None]
-
-
-def _portions(texts: pa.Array) -> Iterator[list[str | None]]:
-    """Runs of texts of about _PORTION characters: what is taken apart at a time."""
-    held, size = [], 0
-    for t in texts:
-        held.append(t.as_py())
-        size += len(held[-1] or "")
-        if size >= _PORTION:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
-
-
-def identify(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
-    """All rows and columns of ``docs`` with ``lang_pred, score`` (columns of these names are replaced).
+            k = live[t]
+            p = alpha[t, :, :k] * beta[:, :k]
+            p /= np.maximum(p.sum(axis=0), 1e-37)
+            total[:, :k] += p
+            b = move @ (e[t, :, :k] * beta[:, :k])
+            if t % pause == 0:
+                b /= b.sum(axis=0)
+            beta[:, :k] = b
+        return total / lengths
+
+
+def _portions(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Stretches of texts of about _PORTION bytes: what is taken apart at a time."""
+    stop = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    lo = done = 0
+    while lo < len(stop):
+        hi = max(lo + 1, int(np.searchsorted(stop, done + _PORTION, side="right")))
+        yield lo, hi
+        lo, done = hi, int(stop[hi - 1])
+
+
+def identify(docs: DataFrame, field: Field, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """All rows and columns of ``docs`` with ``lang_pred, score`` (or other ``names``; columns of these names are replaced).
 
     A text that is null or has no letter, or any text under a field without languages, is
     ``und`` with score 0. Only the text is looked at. The broadcast field has a fixed number
     of slots, whatever the sample.
     """
     bound_batches(docs.sparkSession)
-    docs = docs.drop("lang_pred", "score")
+    docs = docs.drop(*names)
     columns = docs.columns
     at = columns.index(text_col)
     shared = docs.sparkSession.sparkContext.broadcast(field)
@@ -306,15 +321,15 @@ def identify(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame
         for batch in batches:
             langs: list[str] = []
             scores: list[float] = []
-            for texts in _portions(batch.column(at)):
-                a, b = predict(texts)
+            for lo, hi in _portions(batch.column(at)):
+                a, b = predict(batch.column(at)[lo:hi])
                 langs += a
                 scores += b
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*columns, "lang_pred", "score"]
+                [*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*columns, *names]
             )
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
     return docs.mapInArrow(run, schema)
 
 

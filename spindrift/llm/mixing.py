@@ -14,7 +14,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from spindrift.session import written
+from spindrift.llm import rows as R
+from spindrift.session import scratch, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents in one range of keys: what a task sorts at a time.
@@ -136,15 +137,22 @@ def mix(
 
 
 def mixed(docs: DataFrame, labels: DataFrame | None = None, **options) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them, with their columns unchanged."""
+    """The rows of ``docs`` as often as the mix takes them, with their columns unchanged.
+
+    Null and empty texts have no words: they come as often as their source is taken whole. Texts stay where they are (see
+    :mod:`rows`); an empty table gives no rows.
+    """
     columns = docs.columns
-    id_col, text_col, source_col = (options.get(k, d) for k, d in (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source")))
-    rows = docs.select(F.struct(*columns).alias("doc"), F.monotonically_increasing_id().alias("row"))
-    rows = written(rows, "op1-docs")
-    slim = rows.select("row", *[F.col("doc")[c].alias(c) for c in dict.fromkeys((id_col, text_col, source_col))])
-    times = written(mix(slim, labels, row_col="row", **options).filter("times > 0").select("row_id", "times"), "op1-times")
-    taken = rows.join(times, F.col("row") == F.col("row_id"))
-    return taken.select("doc", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).select("doc.*")
+    docs = R.in_files(docs, "op1-docs")
+    read = dict.fromkeys(options.get(k, d) for k, d in (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source")))
+    place, times = R.unused(columns, "place", "times")
+    with scratch(docs.sparkSession, "op1"):
+        slim = R.with_place(docs.select(*read), place)
+        taken = mix(slim, labels, row_col=place, **options).filter("times > 0")
+        taken = written(taken.select(F.col("row_id").alias("place"), F.col("times").alias("value")), "op1-times")
+        rows = R.beside(docs, taken, times)
+    again = R.unused([*columns, times], "again")[0]
+    return rows.withColumn(again, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).select(*columns)
 
 
 def _fill(last: DataFrame, passes: int = 4) -> DataFrame:

@@ -1,12 +1,15 @@
-"""Near copies of the pipeline: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
-
-At 0.8 SimHash differs in about 10 of 64 bits, and a budget that finds such pairs (some
-17 bits) also meets about one in 6,000 of all unrelated pairs. So candidates come from
-bands of min-hashes, which unrelated texts do not share, and each candidate is checked
-on the sets themselves. Copies with equal sets are one node from the start. In each
-round some nodes of a band's bucket outside its largest component meet the others, and it
-is done when it is one component: near copies take few pairs, but a bucket of texts that
-are not near each other is compared in all pairs in the end.
+"""SimHash near-dedup at a similarity: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+
+Fingerprints of the shingles are joined by the trie self-join of :mod:`simhash`, within its
+three bits. That finds the closest copies; at 0.8 fingerprints differ in about 10 of 64 bits,
+and a budget that finds such pairs (some 17 bits) also meets about one in 6,000 of all
+unrelated pairs, so that the join would grow with the square of the table. The rest of the candidates
+come from bands of min-hashes, which unrelated texts do not share, and have to lie within
+a wide Hamming budget. Every candidate, of either kind, is checked on the sets themselves.
+Copies with equal sets are one node from the start. In each round some nodes of a band's
+bucket outside its largest component meet the others, and it is done when it is one
+component: near copies take few pairs, but a bucket of texts that are not near each other
+is compared in all pairs in the end.
 """
 
 from __future__ import annotations
@@ -15,16 +18,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from spindrift.llm import rows as R, simhash
 from spindrift.llm.components import connected
-from spindrift.session import bound_batches, written
+from spindrift.session import bound_batches, scratch, written
 
 SHINGLE, SEED = 5, 42
 #: A pair is near if intersection / union is at least NEAR[0] / NEAR[1].
 NEAR = (4, 5)
 #: Min-hashes in bands: a pair of similarity 0.8 shares no band with probability (1 - 0.8**5)**20 = 0.0004.
 BANDS, ROWS = 20, 5
+#: Differing bits of fingerprints beyond which a pair that shares a band is not looked at. At 0.8 it is about 10 with a deviation of
+#: 3, for the shortest sets (4 of 5 shingles) 12.
+WIDE = 26
 #: Nodes of a bucket that meet its others in the first round, and how that grows from round to round.
 LEADERS, MORE = 4, 4
 _PIECE = 4096
@@ -68,8 +75,16 @@ def bands(s: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+_SKETCH = [
+    T.StructField("set_key", T.BinaryType()),
+    T.StructField("n", T.LongType()),
+    T.StructField("print", T.LongType()),
+    T.StructField("bands", T.ArrayType(T.LongType())),
+]
+
+
 def _sketched(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``set_key``, 128 bits that stand for the set, and ``set_bands`` in place of ``set_text``, the last column."""
+    """``rows`` with ``set_key`` (128 bits that stand for the set), its size ``n``, fingerprint and bands in place of the text, the last column."""
     columns = rows.columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,17 +93,18 @@ def _sketched(rows: DataFrame) -> DataFrame:
         for batch in batches:
             sets = [shingles(t) for t in batch.column(len(columns)).to_pylist()]
             keys = pa.array([xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
+            sizes = pa.array([len(s) for s in sets], pa.int64())
+            prints = pa.array(np.array([simhash.majority(s) for s in sets], np.uint64).view(np.int64))
             found = pa.array([bands(s) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], keys, found], names=[*columns, "set_key", "set_bands"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], keys, sizes, prints, found], names=[*columns, *(f.name for f in _SKETCH)])
 
-    more = [T.StructField("set_key", T.BinaryType()), T.StructField("set_bands", T.ArrayType(T.LongType()))]
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], *more]))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], *_SKETCH]))
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        sets = pa.array([shingles(t).tobytes() for t in b.column(1).to_pylist()], pa.binary())
-        yield pa.RecordBatch.from_arrays([b.column(0), sets], names=["node", "members"])
+        sets = pa.array([shingles(t).tobytes() for t in b.column(0).to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([b.column(1), sets], names=["node", "members"])
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,41 +112,70 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         good = []
         for x, y in zip(batch.column(2), batch.column(3)):
-            s, t = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
-            both = len(s) + len(t) - len(np.union1d(s, t)) if min(len(s), len(t)) * NEAR[1] >= max(len(s), len(t)) * NEAR[0] else 0
+            s, t = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+            both = len(s) + len(t) - len(np.union1d(s, t))
             good.append(both * NEAR[1] >= (len(s) + len(t) - both) * NEAR[0])
         found = batch.filter(pa.array(good, pa.bool_()))
         yield pa.RecordBatch.from_arrays([found.column(0), found.column(1)], names=["a", "b"])
 
 
-def _links(live: DataFrame, sets: DataFrame) -> list[DataFrame]:
-    """Tables of links ``a, b`` that connect what is near; ``live``: ``band, node, comp``, a component of its own for each node."""
+def _possible(n: Column, m: Column, p: Column, q: Column) -> Column:
+    """Whether sets of sizes ``n, m`` and fingerprints ``p, q`` may be near."""
+    return (F.least(n, m) * NEAR[1] >= F.greatest(n, m) * NEAR[0]) & (F.bit_count(p.bitwiseXOR(q)) <= WIDE)
+
+
+def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links ``a, b`` of the pairs ``p, a, q, b`` (nodes and their components) that are near."""
+    left = written(pairs.join(sets, F.col("p") == F.col("node")).select("a", "b", "q", F.col("members").alias("x")), "near-left")
+    both = left.join(sets, F.col("q") == F.col("node")).select("a", "b", "x", F.col("members").alias("y"))
+    return written(both.mapInArrow(_near, "a long, b long"), "near-links")
+
+
+def _by_prints(nodes: DataFrame) -> DataFrame:
+    """Pairs ``p, q`` of nodes that the trie self-join links: of equal fingerprints with the least, and the least ones of linked fingerprints."""
+    least = written(nodes.groupBy("print").agg(F.min(F.struct("node", "n")).alias("m")).select("print", "m.*"), "near-prints")
+    links = written(simhash.near_links(least, "print"), "near-trie")
+    u = least.select(F.col("print").alias("a"), F.col("node").alias("p"), F.col("n").alias("n_p"))
+    v = least.select(F.col("print").alias("b"), F.col("node").alias("q"), F.col("n").alias("n_q"))
+    own = nodes.select(F.col("print").alias("a"), F.col("node").alias("q"), F.col("n").alias("n_q")).join(u, "a").filter("p <> q")
+    far = links.join(u, "a").join(v, "b")
+    pairs = own.select("p", "q", "n_p", "n_q").union(far.select("p", "q", "n_p", "n_q"))
+    return pairs.filter(_possible(F.col("n_p"), F.col("n_q"), F.lit(0), F.lit(0))).select("p", "q")
+
+
+def _joined(live: DataFrame, links: DataFrame) -> DataFrame:
+    """``live`` with each component under its name after the links."""
+    if links.isEmpty():
+        return live
+    roots = written(connected(links, "near-round"), "near-roots").withColumnRenamed("node", "at")
+    others = [c for c in live.columns if c != "comp"]
+    return live.join(roots, F.col("comp") == F.col("at"), "left").select(*others, F.coalesce("root", "comp").alias("comp"))
+
+
+def _by_bands(live: DataFrame, sets: DataFrame) -> list[DataFrame]:
+    """Tables of links ``a, b`` that connect what is near; ``live``: ``band, node, n, print, comp``."""
     out: list[DataFrame] = []
     leaders = LEADERS
     while True:
-        sizes = written(live.groupBy("band", "comp").agg(F.count("*").alias("n")), "near-sizes")
-        most = F.max(F.struct("n", "comp"))
-        open_ = sizes.groupBy("band").agg(F.sum("n").alias("n_all"), most.alias("most"), F.count("*").alias("n_comps")).filter("n_comps > 1")
-        open_ = open_.select(F.col("band").alias("in_band"), F.col("most.comp").alias("largest"), (F.col("n_all") - F.col("most.n")).alias("outside"))
+        sizes = written(live.groupBy("band", "comp").agg(F.count("*").alias("size")), "near-sizes")
+        most = F.max(F.struct("size", "comp"))
+        open_ = sizes.groupBy("band").agg(F.sum("size").alias("size"), most.alias("most"), F.count("*").alias("n_comps")).filter("n_comps > 1")
+        open_ = open_.select(F.col("band").alias("in_band"), F.col("most.comp").alias("largest"), (F.col("size") - F.col("most.size")).alias("outside"))
         open_ = written(open_, "near-open")
         if open_.isEmpty():
             return out
         draw = F.pmod(F.xxhash64(F.lit(len(out)), "node"), F.lit(1 << 30)) * F.col("outside") < F.lit(leaders << 30)
-        live = live.join(open_, F.col("band") == F.col("in_band")).select("band", "node", "comp", ((F.col("comp") != F.col("largest")) & draw).alias("leads"))
+        live = live.join(open_, F.col("band") == F.col("in_band"))
+        live = live.select("band", "node", "n", "print", "comp", ((F.col("comp") != F.col("largest")) & draw).alias("leads"))
         live = written(live, "near-live")
-        lead = live.filter("leads").select(F.col("band").alias("l_band"), F.col("node").alias("l_node"), F.col("comp").alias("l_comp"))
-        pairs = live.join(written(lead, "near-lead"), (F.col("band") == F.col("l_band")) & (F.col("comp") != F.col("l_comp")))
+        lead = live.filter("leads").select(*[F.col(c).alias(f"l_{c}") for c in ("band", "node", "n", "print", "comp")])
+        meets = (F.col("band") == F.col("l_band")) & (F.col("comp") != F.col("l_comp"))
+        pairs = live.join(written(lead, "near-lead"), meets & _possible(F.col("n"), F.col("l_n"), F.col("print"), F.col("l_print")))
         u, v = F.struct("node", "comp"), F.struct(F.col("l_node").alias("node"), F.col("l_comp").alias("comp"))
         pairs = pairs.select(F.least(u, v).alias("u"), F.greatest(u, v).alias("v")).distinct()
         pairs = written(pairs.select(F.col("u.node").alias("p"), F.col("u.comp").alias("a"), F.col("v.node").alias("q"), F.col("v.comp").alias("b")), "near-pairs")
-        left = written(pairs.join(sets, F.col("p") == F.col("node")).select("a", "b", "q", F.col("members").alias("x")), "near-left")
-        both = left.join(sets, F.col("q") == F.col("node")).select("a", "b", "x", F.col("members").alias("y"))
-        out.append(written(both.mapInArrow(_near, "a long, b long"), "near-links"))
-        live = live.filter("not leads").select("band", "node", "comp")
-        if not out[-1].isEmpty():
-            roots = written(connected(out[-1], "near-round"), "near-roots").withColumnRenamed("node", "at")
-            live = live.join(roots, F.col("comp") == F.col("at"), "left").select("band", "node", F.coalesce("root", "comp").alias("comp"))
-        live = written(live, "near-live")
+        out.append(_checked(pairs, sets))
+        live = written(_joined(live.filter("not leads").drop("leads"), out[-1]), "near-live")
         leaders *= MORE
 
 
@@ -138,29 +183,35 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The rows of ``docs``, one of each group of near copies: that of the smallest id (null last), then any one of the equals.
 
     A group is what can be reached over pairs of similarity 0.8 or more. Null texts and
-    texts without words are one group.
+    texts without words are one group. An empty table gives no rows; all columns come back as they are. Texts
+    stay where they are (see :mod:`rows`).
     """
-    bound_batches(docs.sparkSession)
-    columns = docs.columns
-    rows = docs.select(F.struct(*columns).alias("doc"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("set_text"))
-    rows = rows.withColumn("row_id", F.monotonically_increasing_id()).select("doc", "doc_id", "row_id", "set_text")
-    rows = written(_sketched(rows), "near-docs")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("u"), "doc_id", "row_id"))
-    nodes = rows.groupBy("set_key").agg(first.alias("m"), F.min(F.struct("row_id", "set_bands")).alias("s"))
-    nodes = written(nodes.select(F.col("s.row_id").alias("node"), "m", F.col("s.set_bands").alias("set_bands")), "near-nodes")
-    placed = written(nodes.select("node", F.explode("set_bands").alias("band")), "near-bands")
-    shared = placed.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
-    live = written(placed.join(written(shared, "near-shared"), "band", "left_semi").select("band", "node", F.col("node").alias("comp")), "near-live")
-    candidates = written(live.select(F.col("node").alias("row_id")).distinct(), "near-candidates")
-    texts = rows.join(candidates, "row_id", "left_semi").select(F.col("row_id").alias("node"), F.col("doc")[text_col].alias("t"))
-    sets = written(texts.mapInArrow(_sets, "node long, members binary"), "near-sets")
-    links = _links(live, sets)
-    if links:
+    spark = docs.sparkSession
+    bound_batches(spark)
+    docs = R.in_files(docs, "near-docs")
+    with scratch(spark, "near"):
+        rows = R.with_place(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "place")
+        rows = rows.withColumn("row_id", F.monotonically_increasing_id()).select("doc_id", "place", "row_id", "text")
+        rows = written(_sketched(rows), "near-rows")
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("u"), "doc_id", "place"))
+        nodes = rows.groupBy("set_key").agg(first.alias("m"), F.min(F.struct("row_id", "n", "print", "place", "bands")).alias("s"))
+        nodes = written(nodes.select(F.col("s.row_id").alias("node"), "m", "s.n", "s.print", "s.place", "s.bands"), "near-nodes")
+        pairs = written(_by_prints(nodes.filter("n > 0")), "near-print-pairs")
+        placed = written(nodes.select("node", F.explode("bands").alias("band")), "near-bands")
+        shared = placed.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1").select("band")
+        live = written(placed.join(written(shared, "near-shared"), "band", "left_semi"), "near-shared-bands")
+        named = pairs.select(F.col("p").alias("c")).union(pairs.select("q")).union(live.select("node")).distinct()
+        about = written(nodes.join(named, F.col("node") == F.col("c"), "left_semi").select("place", F.col("node").alias("value"), "n", "print"), "near-candidates")
+        texts = R.beside(docs.select(F.col(text_col).alias("text")), about.select("place", "value"), "node")
+        sets = written(texts.mapInArrow(_sets, "node long, members binary"), "near-sets")
+        links = [_checked(pairs.select("p", F.col("p").alias("a"), "q", F.col("q").alias("b")), sets)]
+        live = live.join(about.select(F.col("value").alias("at"), "n", "print"), F.col("node") == F.col("at")).drop("at")
+        live = written(_joined(live.withColumn("comp", F.col("node")), links[0]), "near-live")
+        links += _by_bands(live, sets)
         found = links[0]
         for more in links[1:]:
             found = found.union(more)
         roots = written(connected(found, "near-all"), "near-names").withColumnRenamed("node", "at")
-        nodes = nodes.join(roots, F.col("node") == F.col("at"), "left").select("m", F.coalesce("root", "node").alias("root"))
-        nodes = nodes.groupBy("root").agg(F.min("m").alias("m"))
-    stay = written(nodes.select("m.row_id"), "near-stay")
-    return rows.join(stay, "row_id", "left_semi").select("doc.*")
+        least = nodes.join(roots, F.col("node") == F.col("at"), "left").groupBy(F.coalesce("root", "node")).agg(F.min("m").alias("m"))
+        stay = written(least.select("m.place", F.lit(1).cast("long").alias("value")), "near-stay")
+        return R.beside(docs, stay, R.unused(docs.columns, "stays")[0]).select(*docs.columns)

@@ -45,7 +45,12 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
         hashes = [h(b"%b %b %b" % w, SEED) for w in zip(words, words[1:], words[2:])]
     else:
         hashes = [h(b" ".join(words[i : i + size]), SEED) for i in range(len(words) - size + 1)]
-    raw = np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8)
+    return majority(np.array(hashes, np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The 64 bits that are set in over half of the hashes; of none, zero."""
+    raw = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)
     counts = np.bincount((raw + _COLUMN).ravel(), minlength=2048).reshape(8, 256) @ _BITS_OF_BYTE
     bits = (counts.ravel() * 2 > len(hashes)).astype(np.uint8)
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
@@ -200,7 +205,8 @@ def near_links(prints: DataFrame, col: str = "fingerprint") -> DataFrame:
     Not all pairs: a spanning forest of each task's, so that their number follows the
     number of fingerprints however dense a group is.
     """
-    distinct = written(prints.select(F.col(col).alias("f")).distinct(), "op2-distinct")
+    tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = written(prints.select(F.col(col).alias("f")).distinct().repartition(tasks), "op2-distinct")  # a row becomes many
     n = distinct.count()
     prefix = min(BITS // 2, max(0, (n // PREFIX_ROWS).bit_length()))
     turned = F.shiftleft("f", 32).bitwiseOR(F.shiftrightunsigned("f", 32))
@@ -212,7 +218,7 @@ def near_links(prints: DataFrame, col: str = "fingerprint") -> DataFrame:
         places = F.concat(F.array("x"), F.transform(clear, lambda b: F.col("x").bitwiseOR(b)))
         rows = rows.select("f", "turn", F.explode(places).alias("placed"))
         key = F.shiftrightunsigned("placed", BITS - prefix)
-        tasks = max(1, -(-n * (2 + prefix) // TASK_ROWS), int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        tasks = max(tasks, -(-n * (2 + prefix) // TASK_ROWS))
         rows = rows.withColumn("key", key).repartition(tasks, "turn", "key")
     else:
         rows = rows.withColumn("placed", F.col("x")).repartition(1)
@@ -248,16 +254,3 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = written(with_fingerprints(slim, "text", size).select("doc_id", "fingerprint"), "op2-rows")
     named = labelled(rows)
     return named.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
-    """The rows of ``docs``, one of each component: that of the smallest id (null last), then any one of the equals."""
-    columns = docs.columns
-    rows = docs.select(F.struct(*columns).alias("doc"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.withColumn("row_id", F.monotonically_increasing_id())
-    rows = with_fingerprints(rows, "text", size).drop("text")
-    rows = written(rows, "op2-docs")
-    named = written(labelled(rows.select("row_id", "doc_id", "fingerprint")), "op2-named")
-    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_id")).alias("m"))
-    stay = written(first.select("m.row_id"), "op2-stay")
-    return rows.join(stay, "row_id", "left_semi").select("doc.*")

@@ -27,10 +27,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from spindrift.llm.rows import open_store
 from spindrift.session import bound_batches, new_shared_path, written
 
 MAGIC = b"SDTOKEN1"
@@ -152,10 +152,6 @@ class ShardReader:
             have = have[n:]
 
 
-def _open(path: str):
-    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else os.path.abspath(path))
-
-
 #: Pieces that a worker remembers: it forgets those that it has not met among the last so many, or more.
 REMEMBERED = 250_000
 #: Bytes of text, about, that are encoded in one call.
@@ -273,7 +269,7 @@ def write_tokens(
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder(vocabulary)
         shard, writer = TaskContext.get().partitionId(), None
-        store, root = _open(folder)
+        store, root = open_store(folder)
         path = f"shard-{shard:06d}-{uuid.uuid4().hex[:12]}.tok"
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
@@ -308,7 +304,7 @@ def read_tokens(manifest: DataFrame, with_ids: bool = True) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                store, path = _open(row["path"])
+                store, path = open_store(row["path"])
                 with store.open_input_file(path) as stream:
                     start, rows, held = row["start"], [], 0
                     for doc_id, ids in ShardReader(stream).documents():

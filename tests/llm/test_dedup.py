@@ -4,7 +4,7 @@ import re
 import numpy as np
 import xxhash
 
-from spindrift.llm import exact_dedup, repeats, simhash
+from spindrift.llm import exact_dedup, repeats, near_copies, simhash
 from spindrift.llm.components import connected
 
 from .conftest import prose
@@ -93,7 +93,7 @@ def test_trie_join_finds_all_links_of_dense_groups(spark):
 
 def test_one_of_each_keeps_columns_and_one_row(frame):
     docs = frame(["a b c d", "a b c d", "other words are here", None, ""], [2, 2, 3, 5, 4])
-    kept = simhash.one_of_each(docs)
+    kept = near_copies.one_of_each(docs)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == [2, 3, 4]
 
