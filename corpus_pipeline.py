@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from spindrift.llm import decontaminate, language_id, mixing, near_copies, token_files
+from spindrift.llm import decontaminate, language_id, mixing, near_copies, rows, token_files
 from spindrift.session import table, written
 
 #: A document stays if a language is found in it with at least this mean probability.
@@ -23,8 +23,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     field = language_id.fit(docs)
     if not field.languages:
         return docs
-    found = language_id.identify(docs, field)
-    stays = (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)
+    lang, score = rows.unused(docs.columns, "lang_pred", "score")
+    found = language_id.identify(docs, field, names=(lang, score))
+    stays = (F.col(lang) != language_id.UNKNOWN) & (F.col(score) >= MIN_LANGUAGE_SCORE)
     return found.filter(stays).select(*docs.columns)
 
 
@@ -47,12 +48,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The shard files, read back: ``doc_id, start, n_tokens, ids_crc32``."""
-    return token_files.encoded(docs).drop("ids")
+    return token_files.encoded(docs, with_ids=False)
 
 
 STAGES = [
     ("language ID", identify_language),
-    ("near-dedup", drop_near_copies),
+    ("SimHash near-dedup", drop_near_copies),
     ("benchmark decontamination", remove_benchmark),
     ("mixing sources", mix_sources),
     ("token files", write_token_files),
