@@ -2,8 +2,10 @@
 
 A page is cut into blocks of running text. The first pass decides each block by
 stop-word density, length and link density. Where it stands (inside an article or not)
-moves these limits, if the page's articles hold most of its good text; elements that never hold main text are left out before. The
-second pass gives short, undecided blocks the label of their nearest decided neighbour.
+moves these limits, if the page's articles hold most of its good text. Blocks of
+elements that hold no main text by their name or class (menus, footers, adverts) are
+left out, but not where nothing would be left. The second pass gives short, undecided
+blocks the label of their nearest decided neighbour.
 """
 
 from __future__ import annotations
@@ -37,8 +39,14 @@ BLOCKS = frozenset(
     """.split()
 )
 DROPPED = frozenset(
-    "nav footer aside form head title menu button select option textarea template noscript iframe object svg math dialog canvas audio video map label input datalist".split()
+    "title button select option textarea template noscript iframe object svg math dialog canvas audio video map label input datalist".split()
 )
+UNWANTED = frozenset("nav footer aside form menu".split())
+IN_HEAD = frozenset("head base link meta title script style noscript template".split())
+# What a start tag ends, up to what.
+ENDS_ITEM = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+UNENDED = ("title", "button", "label", "textarea")
+LISTS = frozenset("ul ol menu dir dl table select".split())
 RAW = frozenset(("script", "style", "xmp", "noembed"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 MAIN = frozenset(("article", "main"))
@@ -55,9 +63,10 @@ HINTS = frozenset(
 COMMENTS = frozenset(("comment", "comments", "disqus", "respond", "reply", "replies"))
 _HEADER = frozenset(("header", "banner", "masthead"))
 
-#: Rules of the first pass: link density over LINKS is bad; below SHORT characters a block is undecided;
-#: stop words of a share of at least STOPS make a block good, outside articles that hold the text from LONG characters on.
-LINKS, SHORT, STOPS, LONG = 0.33, 60, 0.12, 200
+#: Rules of the first pass: link density over LINKS is bad, inside articles that hold the text over ALL_LINKS; below SHORT characters
+#: a block is undecided; stop words of a share of at least STOPS make a block good, outside such articles from LONG characters on.
+#: Scripts without spaces have no stop words here: there it is marks of punctuation, of a share of at least MARKS of the characters.
+LINKS, ALL_LINKS, SHORT, STOPS, LONG, MARKS = 0.33, 0.8, 60, 0.12, 200, 0.015
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"<]{0,8192}"|'[^'<]{0,8192}')*+)>""")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^<>]*)>")
@@ -65,6 +74,15 @@ _NAMED = re.compile(r"""(?i)\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s
 _HIDDEN = re.compile(r"""(?i)(?:^|\s)(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""")
 _PARTS = re.compile(r"[-_\s]+|(?<=[a-z])(?=[A-Z])")
 _WORDS = re.compile(r"[^\W\d_]+")
+_UNSPACED = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff]")
+_MARKS = re.compile(r"[\u3001\u3002\uff01\uff0c\uff1f.,!?]|(?<=[\u0e00-\u0eff]) ")
+
+
+@dataclass(eq=False)
+class Unwanted:
+    """An element whose name or class says that it holds no main text, and whether it was ever closed."""
+
+    closed: bool = False
 
 
 @dataclass
@@ -75,6 +93,7 @@ class Block:
     linked: int
     main: bool
     heading: bool
+    inside: tuple[Unwanted, ...] = ()
 
 
 def _hints(attributes: str) -> set[str]:
@@ -89,85 +108,101 @@ def _hints(attributes: str) -> set[str]:
 
 
 class _Cutter:
-    """Cuts one page into blocks."""
+    """Cuts one page into blocks, with a stack of its open elements: names, and what each adds to the state."""
 
     def __init__(self) -> None:
         self.blocks: list[Block] = []
         self.words: list[tuple[str, bool]] = []
-        self.link = 0
+        self.stack: list[tuple[str, str, Unwanted | None]] = []
+        self.open: dict[str, int] = {}  # elements of a name, and states ("drop", "main", "header"), that are open
+        self.unwanted: tuple[Unwanted, ...] = ()
+        self.link = False
         self.heading = False
-        self.drop: tuple[str, bool] | None = None  # the element left out just now, and whether it holds comments
-        self.depth = 0
-        self.main = 0
-        self.header = 0
 
     def text(self, raw: str) -> None:
-        if not self.drop and raw:
-            self.words.append((html.unescape(raw) if "&" in raw else raw, self.link > 0))
+        if raw and not self.open.get("*drop"):
+            self.words.append((html.unescape(raw) if "&" in raw else raw, self.link))
 
     def flush(self) -> None:
         if self.words:
             text = " ".join("".join(w for w, _ in self.words).split())
-            if text and (not self.header or self.heading):
+            if text and (not self.open.get("*header") or self.heading):
                 linked = sum(len("".join(w.split())) for w, l in self.words if l)
-                self.blocks.append(Block(text, linked, self.main > 0, self.heading))
+                self.blocks.append(Block(text, linked, self.open.get("*main", 0) > 0, self.heading, self.unwanted))
             self.words = []
 
+    def _push(self, name: str, state: str, unwanted: Unwanted | None) -> None:
+        self.stack.append((name, state, unwanted))
+        for k in (name, state):
+            self.open[k] = self.open.get(k, 0) + 1
+        if unwanted:
+            self.unwanted = (*self.unwanted, unwanted)
+
+    def _pop(self, closed: bool) -> str:
+        name, state, unwanted = self.stack.pop()
+        for k in (name, state):
+            self.open[k] -= 1
+        if unwanted:
+            unwanted.closed = closed
+            self.unwanted = self.unwanted[:-1]
+        return name
+
+    def _end(self, names: tuple[str, ...], up_to: frozenset[str] = frozenset()) -> None:
+        """Close the innermost open element of one of the names, and all inside it, unless one of ``up_to`` is between."""
+        for k in range(len(self.stack) - 1, -1, -1):
+            if self.stack[k][0] in names:
+                while len(self.stack) > k:
+                    self._pop(len(self.stack) == k + 1)
+                return
+            if self.stack[k][0] in up_to:
+                return
+
     def tag(self, name: str, closing: bool, attributes: str) -> None:
         if name in BLOCKS:
             self.flush()
         elif name == "br":
             self.text(" ")
-        if self.drop:
-            self._while_dropping(name, closing, attributes)
-            if self.drop or closing:
-                return
+        if name in VOID:
+            return
+        if name == "a":
+            self.link = not closing
+        elif name in HEADINGS:
+            self.heading = not closing
         if closing:
-            self._close(name)
+            if self.open.get(name):
+                self._end((name,))
             return
-        hints = _hints(attributes) if attributes.strip() else set()
-        inside = self.main > 0 and name not in ("footer", "aside", "nav", "form")
-        if name in VOID:
+        if name not in BLOCKS and name not in DROPPED and not attributes.strip():
+            return  # running text; its end tag is not looked for
+        if self.open.get("head") and name not in IN_HEAD:
+            self._end(("head",))
+        if name in BLOCKS and any(self.open.get(x) for x in UNENDED):
+            self._end(UNENDED)
+        if name in BLOCKS and self.open.get("p"):
+            self._end(("p",), LISTS | UNWANTED | MAIN)
+        if name in ENDS_ITEM and any(self.open.get(x) for x in ENDS_ITEM[name]):
+            self._end(ENDS_ITEM[name], LISTS)
+        self._open(name, attributes)
+
+    def _open(self, name: str, attributes: str) -> None:
+        if attributes.endswith("/") and name not in BLOCKS:
             return
-        unwanted = name in DROPPED or bool(hints & HINTS) or bool(attributes and _HIDDEN.search(attributes))
-        if name not in ("html", "body") and not (name in MAIN and not hints & COMMENTS) and unwanted and not attributes.endswith("/"):
-            self.drop, self.depth = (name, bool(hints & COMMENTS)), 1
-        elif name == "header" or (hints & _HEADER and name in ("div", "section")):
-            if inside:
-                self.header += name == "header"
-            else:
-                self.drop, self.depth = (name, False), 1
+        hints = _hints(attributes) if attributes.strip() else set()
+        within = self.open.get("*main", 0) > 0
+        if name in DROPPED or name not in ("html", "body") and (hints & COMMENTS or attributes and _HIDDEN.search(attributes)):
+            self._push(name, "*drop", None)
         elif name in MAIN:
-            self.main += 1
-        elif name == "a":
-            self.link = 1
-        elif name in HEADINGS:
-            self.heading = True
-
-    def _close(self, name: str) -> None:
-        if name in MAIN:
-            self.main = max(0, self.main - 1)
-        elif name == "header":
-            self.header = max(0, self.header - 1)
-        elif name == "a":
-            self.link = 0
-        elif name in HEADINGS:
-            self.heading = False
-
-    def _while_dropping(self, name: str, closing: bool, attributes: str) -> None:
-        left_out, comments = self.drop
-        if name == left_out:
-            self.depth += -1 if closing else 1
-            if not self.depth:
-                self.drop = None
-        elif name in MAIN and not closing and not comments and not _hints(attributes) & HINTS:
-            self.drop = None  # an article is no part of a menu that was never closed
-        elif closing and name in ("body", "html") or closing and name in MAIN and self.main:
-            self.drop = None
+            self._push(name, "*main", None)
+        elif name == "header" and within:
+            self._push(name, "*header", None)  # headings of an article stay
+        elif name not in ("html", "body") and (name == "header" or name in UNWANTED or hints & HINTS and not (within and hints & HINTS <= _HEADER)):
+            self._push(name, "*", Unwanted())
+        else:
+            self._push(name, "*", None)
 
 
 def blocks_of(page: str) -> list[Block]:
-    """The blocks of a page in order, without what never is main text. Broken markup is read as far as it goes."""
+    """The blocks of a page in order, without scripts, controls and comments. Broken markup is read as far as it goes."""
     out, at, end = _Cutter(), 0, len(page)
     while at < end:
         lt = page.find("<", at)
@@ -205,20 +240,30 @@ def blocks_of(page: str) -> list[Block]:
     return out.blocks
 
 
+def has_good_words(text: str) -> bool:
+    """Whether the text has the function words of sentences, or in scripts without spaces their punctuation."""
+    words = _WORDS.findall(text.lower())
+    if 2 * len(_UNSPACED.findall(text)) > sum(map(len, words)):
+        return len(_MARKS.findall(text)) >= MARKS * len(text)
+    return sum(w in STOP_WORDS for w in words) >= STOPS * max(1, len(words))
+
+
 def decide(b: Block, articles: bool) -> bool | None:
     """First pass: good, bad or undecided. ``articles``: the page's articles hold its text (see ``trusted``).
 
     Then a long block inside them that has few stop words is undecided and not bad, and one
     outside has to be longer.
     """
-    if b.linked / max(1, len(b.text.replace(" ", ""))) > LINKS:
+    links = b.linked / max(1, len(b.text.replace(" ", "")))
+    inside = articles and b.main
+    short = len(b.text) < SHORT or b.heading
+    if links > (ALL_LINKS if inside and not short else LINKS):
         return False
-    if len(b.text) < SHORT or b.heading:
+    if short:
         return None
-    words = _WORDS.findall(b.text.lower())
-    good = sum(w in STOP_WORDS for w in words) / max(1, len(words)) >= STOPS
-    if articles and b.main:
-        return good or None
+    good = has_good_words(b.text)
+    if inside:
+        return good or (None if links <= LINKS else False)
     return good and (not articles or len(b.text) >= LONG)
 
 
@@ -232,9 +277,37 @@ def trusted(blocks: list[Block]) -> bool:
     return True
 
 
+def wanted(blocks: list[Block]) -> list[Block]:
+    """The blocks that stand in no unwanted element.
+
+    An element that was never closed, and holds most of the page's good text, does not count; nor does,
+    where nothing good is left, the outermost one that holds most of it.
+    """
+    good = [len(b.text) if decide(b, False) else 0 for b in blocks]
+    ignored: set[Unwanted] = set()
+    held: dict[Unwanted, int] = {}
+    for b, n in zip(blocks, good):
+        for u in b.inside:
+            held[u] = held.get(u, 0) + n
+    ignored.update(u for u, n in held.items() if not u.closed and n >= LONG and 2 * n >= sum(good))
+    while True:
+        inside = [next((u for u in b.inside if u not in ignored), None) for b in blocks]
+        if any(u is None and (n or b.main) for u, n, b in zip(inside, good, blocks)):
+            break
+        held = {}
+        for u, n in zip(inside, good):
+            if u:
+                held[u] = held.get(u, 0) + n
+        most = max(held, key=held.get, default=None)
+        if most is None or held[most] < LONG:
+            break
+        ignored.add(most)
+    return [b for b, u in zip(blocks, inside) if u is None]
+
+
 def main_text(page: str | None) -> str:
     """The main text; empty if there is none."""
-    blocks = blocks_of(page or "")
+    blocks = wanted(blocks_of(page or ""))
     articles = trusted(blocks)
     labels = [decide(b, articles) for b in blocks]
     if not any(labels):  # nothing long: what is undecided is all there is

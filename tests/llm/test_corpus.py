@@ -217,6 +217,94 @@ def test_html_text_articles_are_evidence_only():
     assert "Home" not in html_text.main_text(page.replace("</h1>", f"</h1>{menu}", 1))
 
 
+_SENTENCES = [f"This is part {k} of the story, and it is as long as it has to be for the rule to see that it is good." for k in range(4)]
+_BODY = "".join(f"<p>{x}</p>" for x in _SENTENCES)
+_MENU = "<nav><ul><li><a href=a>Home</a></li><li><a href=b>Latest news</a></li></ul></nav>"
+_MARKUPS = (
+    "<html><head><title>x</title><body>{}</body>",
+    "<body><p class=ad>Buy<p>first the words of the page</p>{}</body>",
+    "<ul><li class=share>Share it<li>Send it</ul>{}",
+    "<nav><ul><li><a href=a>Home</a><li><a href=b>News</a></ul>{}",
+    "<div class='search-page'>" + _MENU + "{}</div>",
+    "<div class='notice-of-meeting'>{}</div>",
+    "<main><h1>Title</h1></main>{}",
+    "<body><title>never closed<div>{}</div></body>",
+    "<aside><p>Cookies of the site</p></aside>{}<footer>All of the rights are reserved by the owner of it</footer>",
+)
+
+
+@pytest.mark.parametrize("markup", _MARKUPS)
+def test_html_text_keeps_the_article(markup):
+    for tag in ("article", "div"):
+        got = html_text.main_text(markup.format(f"<{tag}>{_BODY}</{tag}>")).split("\n\n")
+        assert [x for x in got if x in _SENTENCES] == _SENTENCES
+        assert not {"Buy", "Share it", "Home", "Latest news", "never closed", "Cookies of the site"} & set(got)
+
+
+def test_html_text_paragraphs_of_all_kinds():
+    linked = "The board said in <a href=x>the report of the year that was given to it</a> that it is so, and <a href=y>more of it</a>."
+    kana = "これは日本語の文章です。本文として、きちんと残らなければなりません。句読点があり、長さも十分にあります。そうでないと困ります。もう一つの文も、ここにあります。"
+    page = f"<article>{_BODY}<p>{linked}</p><section class=comments><p>{_SENTENCES[0] * 20}</p></section></article>"
+    got = html_text.main_text(page)
+    assert "The board said" in got and got.count("part 0") == 1
+    assert html_text.main_text(f"{_MENU}<div><p>{kana}</p><p>{kana[::1]}</p></div>") == f"{kana}\n\n{kana}"
+
+
+def _plain_rules(blocks):
+    """The rules as they are stated, for blocks (text, linked characters, inside, heading) of pages without unwanted elements."""
+    words = lambda t: re.findall(r"[^\W\d_]+", t.lower())
+    good = lambda t: sum(w in html_text.STOP_WORDS for w in words(t)) >= 0.12 * max(1, len(words(t)))
+    share = lambda b: b[1] / max(1, len(b[0].replace(" ", "")))
+    sure = [share(b) <= 0.33 and len(b[0]) >= 60 and not b[3] and good(b[0]) for b in blocks]
+    weight = [len(b[0]) if s else 0 for b, s in zip(blocks, sure)]
+    if not any(weight):
+        weight = [len(b[0]) if not b[1] else 0 for b in blocks]
+    art = any(b[2] for b in blocks) and (not any(weight) or 2 * sum(w for w, b in zip(weight, blocks) if b[2]) >= sum(weight))
+    first = []
+    for b in blocks:
+        inside, short = art and b[2], len(b[0]) < 60 or b[3]
+        if share(b) > (0.8 if inside and not short else 0.33):
+            first.append(False)
+        elif short:
+            first.append(None)
+        elif inside:
+            first.append(True if good(b[0]) else None if share(b) <= 0.33 else False)
+        else:
+            first.append(good(b[0]) and (not art or len(b[0]) >= 200))
+    if not any(first):
+        return [x is not False and (b[2] or not art) for b, x in zip(blocks, first)]
+    out = []
+    for i, (b, x) in enumerate(zip(blocks, first)):
+        if x is None:
+            lo = hi = i  # the run of blocks that stand alike, where articles count
+            while lo > 0 and (not art or blocks[lo - 1][2] == b[2]):
+                lo -= 1
+            while hi < len(blocks) - 1 and (not art or blocks[hi + 1][2] == b[2]):
+                hi += 1
+            far = (10**6, True) if art and b[2] else None
+            before = next(((i - j, first[j]) for j in range(i - 1, lo - 1, -1) if first[j] is not None), far or (i - lo + 1, False))
+            after = next(((j - i, first[j]) for j in range(i + 1, hi + 1) if first[j] is not None), far or (hi - i + 1, False))
+            x = before[1] if before[0] < after[0] else after[1] if after[0] < before[0] or b[3] else before[1] and after[1]
+        out.append(x)
+    return out
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["good", "names", "short"]), st.integers(1, 4), st.sampled_from([0, 1, 2]), st.booleans(), st.booleans()), min_size=1, max_size=9))
+def test_html_rules_match_brute_force(parts):
+    unit = {"good": "that is the way of it and it was so here", "names": "Alpha Bravo Charlie Delta Echo Foxtrot Golf", "short": "Ab"}
+    page, blocks = "", []
+    for k, (kind, n, link, inside, heading) in enumerate(parts):
+        words = [f"w{k}", *[unit[kind]] * n]
+        text, linked = " ".join(words), " ".join(words[1:]) if link == 2 else words[1] if link else ""
+        body = text[: len(text) - len(linked)] + (f"<a href=x>{linked}</a>" if linked else "")
+        tag = "h2" if heading else "div"
+        page += f"<article><{tag}>{body}</{tag}></article>" if inside else f"<{tag}>{body}</{tag}>"
+        blocks.append((text, len(linked.replace(" ", "")), inside, heading))
+    want = [b[0] for b, x in zip(blocks, _plain_rules(blocks)) if x]
+    assert html_text.main_text(page) == "\n\n".join(want)
+
+
 def test_html_text_table(spark):
     rows = [(1, "u", PAGE, "x"), (None, None, None, "x"), (1, "u", PAGE, "x"), (2, "v", "<p>" + "the word of it " * 50_000, "x")]
     got = html_text.extracted(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
