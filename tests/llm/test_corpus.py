@@ -405,10 +405,25 @@ def test_url_filters(spark):
     assert url_filters.judge_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
-def test_url_trees_learn_held_out_rules(spark):
-    urls = [f"https://s{k % 50}.example.{'com/fr' if k % 3 else 'com/de'}/{k}" for k in range(400)]
+def test_url_trees_judge_unseen_hosts(spark):
+    """Labels by host, as rules give them; what the trees are asked for are hosts and first folders that no rule names."""
+    good = [f"{a}{b}.example{k % 4}.com" for k, (a, b) in enumerate((a, b) for a in ("news", "river", "paper", "garden", "stone") for b in ("house", "land", "field", "well", "side"))]
+    bad = [f"win-{k * 7919 % 1000}x{k}-bonus.example{k % 4}.com" for k in range(25)]
+    urls = [f"https://{h}/a{k % 3}/story-of-the-day" for h in good for k in range(8)]
+    urls += [f"https://{h}/b{k % 3}/p{k * 37}?id={k * 1234}&ref=ad{k}&go=1" for h in bad for k in range(8)]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
-    rules = [("allow", f"s{k}.example.com/fr/") for k in range(35)] + [("block", f"s{k}.example.com/de/") for k in range(35)]
+    rules = [("allow", f"{h}/") for h in good[:15]] + [("block", f"{h}/") for h in bad[:15]]
     got = url_filters.judge_urls(pages, rules).filter("rule is null").collect()
-    right = sum(r.verdict == ("allow" if r.page_id % 3 else "block") for r in got)
-    assert got and right / len(got) > 0.95
+    right = sum(r.verdict == ("allow" if r.page_id < 8 * len(good) else "block") for r in got)
+    assert len(got) == 160 and right / len(got) > 0.95
+    assert not set(url_filters.FEATURES) & {"segment_rate", "first_folder"}
+
+
+def test_url_suffix_statistics_leave_the_own_part_out(spark):
+    rows = [(f"http://h{k % 10}.a.com/{k}", float(k % 2)) for k in range(40)]
+    once = spark.createDataFrame([(u, "a.com", y, k % 5) for k, (u, y) in enumerate(rows)], "url string, suffix string, label double, fold long")
+    everything = once.selectExpr("avg(label) AS prior")
+    got = {r.url: r for r in url_filters._with_suffixes(once, once, everything).collect()}
+    for k, (u, _) in enumerate(rows):
+        others = [y for j, (_, y) in enumerate(rows) if j % 5 != k % 5]
+        assert got[u].suffix_rate == pytest.approx((sum(others) + 2.5) / (len(others) + 5)) and got[u].suffix_urls == pytest.approx(np.log1p(len(others)))
