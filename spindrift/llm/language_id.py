@@ -25,7 +25,7 @@ MAX_DOCS, MAX_SPANS, SPAN = 6_000, 24_000, 32
 #: Slots of hashed features.
 SLOTS = 1 << 18
 #: Words whose emissions a task keeps, weights (words with padding, times languages) of one forward-backward run, bytes of text at a time.
-_CACHE, _CELLS, _PORTION = 150_000, 4 << 20, 8 << 20
+_CACHE, _CELLS, _PORTION = 100_000, 2 << 20, 4 << 20
 UNKNOWN = "und"
 
 

@@ -125,7 +125,11 @@ def _possible(n: Column, m: Column, p: Column, q: Column) -> Column:
 
 
 def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links ``a, b`` of the pairs ``p, a, q, b`` (nodes and their components) that are near."""
+    """Links ``a, b`` of the pairs ``p, a, q, b`` (nodes and their components) that are near.
+
+    Sets are joined by a shuffle at every size: pairs grow with the table, and are not for a broadcast.
+    """
+    sets = sets.hint("merge")
     left = written(pairs.join(sets, F.col("p") == F.col("node")).select("a", "b", "q", F.col("members").alias("x")), "near-left")
     both = left.join(sets, F.col("q") == F.col("node")).select("a", "b", "x", F.col("members").alias("y"))
     return written(both.mapInArrow(_near, "a long, b long"), "near-links")
@@ -199,7 +203,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         pairs = written(_by_prints(nodes.filter("n > 0")), "near-print-pairs")
         placed = written(nodes.select("node", F.explode("bands").alias("band")), "near-bands")
         shared = placed.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1").select("band")
-        live = written(placed.join(written(shared, "near-shared"), "band", "left_semi"), "near-shared-bands")
+        live = written(placed.join(written(shared, "near-shared").hint("merge"), "band", "left_semi"), "near-shared-bands")
         named = pairs.select(F.col("p").alias("c")).union(pairs.select("q")).union(live.select("node")).distinct()
         about = written(nodes.join(named, F.col("node") == F.col("c"), "left_semi").select("place", F.col("node").alias("value"), "n", "print"), "near-candidates")
         texts = R.beside(docs.select(F.col(text_col).alias("text")), about.select("place", "value"), "node")
@@ -212,6 +216,6 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         for more in links[1:]:
             found = found.union(more)
         roots = written(connected(found, "near-all"), "near-names").withColumnRenamed("node", "at")
-        least = nodes.join(roots, F.col("node") == F.col("at"), "left").groupBy(F.coalesce("root", "node")).agg(F.min("m").alias("m"))
+        least = nodes.join(roots.hint("merge"), F.col("node") == F.col("at"), "left").groupBy(F.coalesce("root", "node")).agg(F.min("m").alias("m"))
         stay = written(least.select("m.place", F.lit(1).cast("long").alias("value")), "near-stay")
         return R.beside(docs, stay, R.unused(docs.columns, "stays")[0]).select(*docs.columns)

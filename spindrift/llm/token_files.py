@@ -153,9 +153,9 @@ class ShardReader:
 
 
 #: Pieces that a worker remembers: it forgets those that it has not met among the last so many, or more.
-REMEMBERED = 250_000
-#: Bytes of text, about, that are encoded in one call.
-PORTION = 2 << 20
+REMEMBERED = 120_000
+#: Bytes of text, about, that are cut in one call, and new pieces that the tokenizer gets in one.
+PORTION, FRESH = 2 << 20, 4096
 _REMEMBERED: dict[str, list[dict[str, bytes]]] = {}
 # Texts that are encoded as they are: control characters, white space that is no single space or line end inside.
 _AS_IT_IS = r"[\x00-\x09\x0B-\x1F\x7F-\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]|[ \n][ \n]|^[ \n]|[ \n]$"
@@ -202,14 +202,15 @@ class Encoder:
                 out[i] = new[p] = found
             else:
                 fresh.append(i)
-        if fresh:
-            names = [pieces[i] for i in fresh]
+        for lo in range(0, len(fresh), FRESH):
+            some = fresh[lo : lo + FRESH]
+            names = [pieces[i] for i in some]
             ids = self._ids("\n" + "\n".join(names))
             at = np.append(np.flatnonzero(ids == self.newline[0]), len(ids))
             raw, at = ids.tobytes(), (4 * at).tolist()
             found = [raw[i + 4 : j] for i, j in zip(at, at[1:])]
             new.update(zip(names, found, strict=True))
-            for i, x in zip(fresh, found):
+            for i, x in zip(some, found):
                 out[i] = x
         if len(new) > REMEMBERED:
             self.known[:] = {}, new
