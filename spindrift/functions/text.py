@@ -1,12 +1,15 @@
 """Text functions on columns: cleaning, provenance, numbers, queries and labels.
 
-All are built-in expressions, so that they stay inside code generation; null text counts
-as empty unless said otherwise.
+All but the decoding of character references are built-in expressions, so that they stay inside
+code generation; null text counts as empty unless said otherwise.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+import html
+
+import pandas as pd
+from pyspark.sql import Column, functions as F, types as T
 
 #: Longest text that is sent to an embedding provider.
 EMBED_CHARS = 30_000
@@ -33,16 +36,30 @@ def sanitize_ascii(c: Column | str) -> Column:
     return F.regexp_replace(c, r"[^\x00-\x7E]", "?")
 
 
-def clean_lines(c: Column | str) -> Column:
-    """Runs of blanks inside a line as one space, lines trimmed, empty lines dropped."""
-    lines = F.split(text_of(c), r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]")
+@F.pandas_udf(T.StringType())
+def _unescaped(texts: pd.Series) -> pd.Series:
+    return texts.map(html.unescape)
+
+
+def unescaped(c: Column | str) -> Column:
+    """With character references (named, decimal, hexadecimal) decoded."""
+    return _unescaped(text_of(c))
+
+
+def _lines(c: Column) -> Column:
+    lines = F.split(c, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")
     lines = F.transform(lines, lambda x: stripped(F.regexp_replace(x, r"[ \t\f\x0b]+", " ")))
     return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
 
+def clean_lines(c: Column | str) -> Column:
+    """Character references decoded, runs of blanks inside a line as one space, lines trimmed, empty lines dropped."""
+    return _lines(unescaped(c))
+
+
 def strip_tags(c: Column | str) -> Column:
-    """Tags as spaces, then :func:`clean_lines`."""
-    return clean_lines(F.regexp_replace(text_of(c), r"<[^>]+>", " "))
+    """Tags as spaces, character references decoded, then :func:`clean_lines`, which decodes once more."""
+    return clean_lines(unescaped(F.regexp_replace(text_of(c), r"<[^>]+>", " ")))
 
 
 def content_hash(c: Column | str) -> Column:
@@ -195,8 +212,9 @@ def haystack(*cols: Column | str) -> Column:
 
 
 def html_meta(html: Column | str, name: str) -> Column:
-    """Content of the first ``<meta name= content=>`` of that name, or empty."""
-    return F.regexp_extract(text_of(html), rf'(?i)<meta\s+name="{name}"\s+content="([^"]*)"', 1)
+    """Content of the first ``<meta name= content=>`` of that name, decoded and trimmed, or empty."""
+    found = F.regexp_extract(text_of(html), rf'(?i)<meta\s+name="{name}"\s+content="([^"]*)"', 1)
+    return stripped(unescaped(found))
 
 
 def fold(c: Column | str) -> Column:

@@ -13,6 +13,7 @@ INTERNAL = (
     r"|\b(R\d{3,4}(?:\.\d+)+)\b"
     r"|\bTable\s+([A-Z]?\d+(?:\.\d+)+)\b"
 )
+_STATUTE_FORM = r"\d{2,3}[A-Z]?-\d+(?:\.\d+)?"
 STATUTE = r"(?:N\.?C\.?G\.?S\.?\s*)?\b(\d{2,3}[A-Z]?-\d+(?:\.\d+)?)(?:\([a-z0-9]+\))*\b"
 #: Sections that expansion adds to a query's results, and the score they get.
 EXPANSION, REFERENCE_SCORE = 3, -1.0
@@ -41,50 +42,69 @@ def extract_refs(sections: DataFrame, text_col: str = "own_text") -> DataFrame:
     return rows.select("corpus", "path", "src_section_id", F.explode("x.raw").alias("dst_raw"), F.col("x.k").alias("dst_kind")).distinct()
 
 
+def said_statutes(text: Column | str) -> Column:
+    """Everything that has the form of a statute and occurs in the text, in whatever case, as a part of a longer number too.
+
+    A lookahead finds one at every place that one may start, and each of its beginnings that has the form is one too.
+    """
+    ends = lambda m: F.sequence(F.instr(m, "-") + 1, F.length(m))
+    found = F.array_distinct(F.regexp_extract_all(F.upper(text_of(text)), F.lit(rf"(?=({_STATUTE_FORM}))"), F.lit(1)))
+    parts = F.flatten(F.transform(found, lambda m: F.transform(ends(m), lambda n: F.left(m, n))))
+    return F.array_distinct(F.filter(parts, lambda p: ~p.endswith(".")))
+
+
+def first_two(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """``keys`` and ``two``: the two smallest different values of the struct ``x`` of each key, in order.
+
+    Two are enough for a reference, which excludes one at most, the section it stands in.
+    Minima are combined before the shuffle, so that a hot key is no hot task.
+    """
+    rows = written(rows.select(*keys, "x"), name)
+    first = written(rows.groupBy(*keys).agg(F.min("x").alias("a")), f"{name}-first")
+    others = rows.join(first, keys).filter("x <> a").groupBy(*keys).agg(F.min("x").alias("b"))
+    return first.join(others, keys, "left").select(*keys, F.filter(F.array("a", "b"), lambda v: v.isNotNull()).alias("two"))
+
+
 def resolve_refs(refs: DataFrame, sections: DataFrame) -> DataFrame:
     """``refs`` with ``dst_section_id`` (and ``dst_path``), null where nothing fits.
 
-    A section number goes to a section of that very number, and only if there is none to one
-    of the number without its leading letters; the same file is preferred, then file and
-    section order; never to the section itself. A statute goes to the longest other section that
-    contains it. Both are equi-joins: statutes are found in the sections' texts once, and
-    ``contains`` is checked on what they match.
+    Sections are listed under their number and under the number without its leading capitals. A
+    section number goes to what is listed under it, and only if nothing is, to what is listed
+    under it without its leading R; the same file is preferred, then file and section order;
+    never to the section itself. A statute goes to the longest other section whose text
+    contains it, in whatever case. Sections are reduced to two for each number and for each statute
+    before they meet the references.
     """
-    s = sections.select(
-        "corpus", F.col("path").alias("s_path"), F.col("section_id").alias("s_id"), F.col("section_number").alias("s_number"), "full_text"
-    )
+    s = sections.select("corpus", F.col("path").alias("s_path"), F.col("section_id").alias("s_id"), F.col("section_number").alias("number"), "full_text")
     keys = ["corpus", "path", "src_section_id", "dst_raw", "dst_kind"]
-    internal = refs.filter("dst_kind = 'internal_section'")
-    wanted = internal.select(*keys, F.posexplode(F.array("dst_raw", F.regexp_replace("dst_raw", "^[A-Za-z]+", ""))).alias("level", "number"))
-    hits = wanted.join(s.drop("full_text"), (wanted["number"] == s["s_number"]) & (wanted["corpus"] == s["corpus"])).drop(s["corpus"])
-    best = W.partitionBy(*keys)
-    hits = hits.withColumn("first", F.min("level").over(best)).filter("level = first")
-    hits = hits.filter(~((F.col("s_id") == F.col("src_section_id")) & (F.col("s_path") == F.col("path"))))
-    order = best.orderBy((F.col("s_path") == F.col("path")).desc(), "s_path", "s_id")
-    by_number = hits.withColumn("rn", F.row_number().over(order)).filter("rn = 1").select(*keys, "s_path", "s_id")
-
-    said = s.select("corpus", "s_path", "s_id", F.length("full_text").alias("size"), F.explode(statute_refs("full_text")).alias("dst_raw"))
-    statutes = refs.filter("dst_kind = 'ncgs'").join(two_longest(said), ["corpus", "dst_raw"])
-    statutes = statutes.filter(~((F.col("s_id") == F.col("src_section_id")) & (F.col("s_path") == F.col("path"))))
-    longest = W.partitionBy(*keys).orderBy(F.col("size").desc(), "s_path", "s_id")
-    by_statute = statutes.withColumn("rn", F.row_number().over(longest)).filter("rn = 1").select(*keys, "s_path", "s_id")
-    found = by_number.unionByName(by_statute).withColumnsRenamed({"s_path": "dst_path", "s_id": "dst_section_id"})
-    return refs.join(found, keys, "left")
-
-
-def two_longest(said: DataFrame) -> DataFrame:
-    """Of ``corpus, s_path, s_id, size, dst_raw`` the two longest sections of each statute: a reference excludes one at most, its own."""
-    keys = ["corpus", "dst_raw"]
-    said = said.groupBy(*keys, "s_path", "s_id").agg(F.max("size").alias("size"))
-    said = written(said.select(*keys, F.struct((-F.col("size")).alias("less"), "s_path", "s_id").alias("x")), "said")
-    first = written(said.groupBy(*keys).agg(F.min("x").alias("x")), "said-first")
-    others = said.join(first.withColumnRenamed("x", "y"), keys).filter("x <> y")
-    second = others.groupBy(*keys).agg(F.min("x").alias("x"))
-    return first.unionByName(second).select(*keys, (-F.col("x.less")).alias("size"), "x.s_path", "x.s_id")
-
-
-def breadcrumbs(sections: DataFrame, key: str = "section_id", parent: str = "parent_section_id", depth: int = DEPTH) -> DataFrame:
-    """``key, breadcrumb``: labels from the root down, joined by ``>``. Cycles end where they close, parents that do not exist at once.
+    number = F.explode(F.array_distinct(F.array("number", F.regexp_replace("number", "^[A-Z]+", ""))))
+    listed = s.filter("number is not null").select("corpus", "s_path", number.alias("number"), F.struct("s_path", "s_id").alias("x"))
+    anywhere = written(first_two(listed, ["corpus", "number"], "numbers"), "numbers-two")
+    in_file = written(first_two(listed, ["corpus", "number", "s_path"], "file-numbers"), "file-numbers-two")
+
+    bare = F.regexp_replace("dst_raw", "^R+", "")
+    wanted = refs.filter("dst_kind = 'internal_section'").select(*keys)
+    as_is, without = (anywhere.select("corpus", F.col("number").alias(n), F.col("two").alias(t)) for n, t in (("dst_raw", "t0"), ("bare", "t1")))
+    wanted = wanted.withColumn("bare", bare).join(as_is, ["corpus", "dst_raw"], "left").join(without, ["corpus", "bare"], "left")
+    wanted = wanted.withColumn("number", F.when(F.col("t0").isNull(), F.col("bare")).otherwise(F.col("dst_raw"))).withColumn("any", F.coalesce("t0", "t1"))
+    own = in_file.select("corpus", "number", F.col("s_path").alias("path"), "two")
+    wanted = wanted.filter("any is not null").join(own, ["corpus", "number", "path"], "left")
+    other = lambda c: F.filter(c, lambda v: (v["s_id"] != F.col("src_section_id")) | (v["s_path"] != F.col("path")))
+    best = F.coalesce(F.get(other(F.col("two")), F.lit(0)), F.get(other(F.col("any")), F.lit(0)))
+    by_number = wanted.select(*keys, best.alias("to"))
+
+    statutes = refs.filter("dst_kind = 'ncgs'").select(*keys)
+    said = s.select("corpus", F.struct((-F.length("full_text")).alias("less"), "s_path", "s_id").alias("x"), F.explode(said_statutes("full_text")).alias("dst_raw"))
+    said = said.join(statutes.select("corpus", "dst_raw").distinct(), ["corpus", "dst_raw"], "left_semi")
+    by_statute = statutes.join(written(first_two(said, ["corpus", "dst_raw"], "statutes"), "statutes-two"), ["corpus", "dst_raw"])
+    by_statute = by_statute.select(*keys, F.get(other(F.col("two")), F.lit(0)).alias("to"))
+    to = by_number.select(*keys, F.col("to.s_path").alias("dst_path"), F.col("to.s_id").alias("dst_section_id"))
+    to = to.unionByName(by_statute.select(*keys, F.col("to.s_path").alias("dst_path"), F.col("to.s_id").alias("dst_section_id")))
+    return refs.join(to.filter("dst_section_id is not null"), keys, "left")
+
+
+def trails(sections: DataFrame, key: str = "section_id", parent: str = "parent_section_id", depth: int = DEPTH) -> DataFrame:
+    """``key, trail``: ids and labels from the root down to the section. Cycles end where they close, parents that do not exist at once.
 
     Pointers double: each round joins every node to twice as many of its ancestors, so that
     the number of joins is the logarithm of ``depth``.
@@ -103,43 +123,50 @@ def breadcrumbs(sections: DataFrame, key: str = "section_id", parent: str = "par
         F.array().cast(rows.schema["trail"].dataType),
         lambda acc, t: F.when(F.exists(acc, lambda a: a["id"] == t["id"]), acc).otherwise(F.concat(F.array(t), acc)),
     )
-    return rows.select(F.col("k").alias(key), F.array_join(F.filter(F.transform(clean, lambda t: t["label"]), lambda x: x.isNotNull()), " > ").alias("breadcrumb"))
+    return rows.select(F.col("k").alias(key), clean.alias("trail"))
+
+
+def breadcrumbs(trail: DataFrame, key: str = "section_id") -> DataFrame:
+    """``key, breadcrumb`` of what :func:`trails` gives: labels from the root down, joined by ``>``."""
+    labels = F.filter(F.transform("trail", lambda t: t["label"]), lambda x: x.isNotNull())
+    return trail.select(key, F.array_join(labels, " > ").alias("breadcrumb"))
 
 
-def rolled_up(sections: DataFrame) -> DataFrame:
-    """``full_text`` of sections with ``corpus, path, ord, last_ord, own_text``: their own text and that of all below.
+def rolled_up(sections: DataFrame, trail: DataFrame) -> DataFrame:
+    """``full_text`` of sections with ``section_id, ord, own_text``: their own text and that of all below, in reading order.
 
-    ``ord`` numbers a file's sections in reading order and ``last_ord`` is the number of the last
-    descendant, so what lies below a section is a range of numbers. A section meets each of
-    its ancestors once: work is the size of the texts times the depth of the tree.
+    ``trail`` is what :func:`trails` gives. A text goes to each section of its trail, by an equi-join, so work is the size
+    of the texts times the depth of the tree.
     """
-    below = sections.select("corpus", "path", F.col("ord").alias("b"), F.col("own_text").alias("t")).filter("t <> ''")
-    s = sections.select("corpus", "path", "ord", "last_ord")
-    pairs = s.join(below, ["corpus", "path"]).filter("b between ord and last_ord")
-    text = pairs.groupBy("corpus", "path", "ord").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "t"))), lambda x: x["t"]), "\n\n").alias("full_text"))
-    return sections.join(text, ["corpus", "path", "ord"], "left").withColumn("full_text", text_of("full_text"))
+    texts = sections.select("section_id", "ord", F.col("own_text").alias("t")).filter("t <> ''")
+    below = texts.join(trail, "section_id").select(F.explode("trail.id").alias("section_id"), "ord", "t")
+    text = below.groupBy("section_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "t"))), lambda x: x["t"]), "\n\n").alias("full_text"))
+    return sections.join(text, "section_id", "left").withColumn("full_text", text_of("full_text"))
 
 
 def drop_ancestors(results: DataFrame) -> DataFrame:
-    """Without results that are the direct parent of another result of the same query."""
-    parents = results.filter("parent_section_id is not null").select("query_id", F.col("parent_section_id").alias("section_id")).distinct()
-    return results.join(parents, ["query_id", "section_id"], "left_anti")
+    """Without results (``query_id, corpus, path, section_id``) that are the direct parent of another result of the same query."""
+    keys = ["query_id", "corpus", "path"]
+    parents = results.filter("parent_section_id is not null").select(*keys, F.col("parent_section_id").alias("section_id")).distinct()
+    return results.join(parents, [*keys, "section_id"], "left_anti")
 
 
 def expand_once(results: DataFrame, refs: DataFrame, sections: DataFrame, most: int = EXPANSION) -> DataFrame:
-    """Up to ``most`` further sections per query, that the results (``query_id, section_id, rank``) refer to.
+    """Up to ``most`` further sections per query, that the results (``query_id, corpus, path, section_id, rank``) refer to.
 
     In the order of the results and then of the references; each once; none that the query has.
-    Returns ``query_id, section_id, referenced_by, reference_raw, score, ref_rank``.
+    Returns ``query_id, corpus, path, section_id, referenced_by, reference_raw, score, ref_rank``.
     """
-    r = refs.filter("dst_section_id is not null").select(F.col("src_section_id").alias("section_id"), "dst_raw", "dst_section_id")
-    have = results.select("query_id", F.col("section_id").alias("dst_section_id"))
-    hits = results.select("query_id", "section_id", "rank").join(r, "section_id").join(have, ["query_id", "dst_section_id"], "left_anti")
-    hits = hits.join(sections.select(F.col("section_id").alias("dst_section_id")).distinct(), "dst_section_id", "left_semi")
-    once = W.partitionBy("query_id", "dst_section_id").orderBy("rank", "section_id", "dst_raw")
+    r = refs.filter("dst_section_id is not null").select("corpus", "path", F.col("src_section_id").alias("section_id"), "dst_raw", "dst_path", "dst_section_id")
+    to = ["corpus", "dst_path", "dst_section_id"]
+    have = results.select("query_id", "corpus", F.col("path").alias("dst_path"), F.col("section_id").alias("dst_section_id"))
+    hits = results.select("query_id", "corpus", "path", "section_id", "rank").join(r, ["corpus", "path", "section_id"]).join(have, ["query_id", *to], "left_anti")
+    there = sections.select("corpus", F.col("path").alias("dst_path"), F.col("section_id").alias("dst_section_id")).distinct()
+    hits = hits.join(there, to, "left_semi")
+    once = W.partitionBy("query_id", *to).orderBy("rank", "path", "section_id", "dst_raw")
     hits = hits.withColumn("n", F.row_number().over(once)).filter("n = 1")
-    order = W.partitionBy("query_id").orderBy("rank", "section_id", "dst_raw", "dst_section_id")
+    order = W.partitionBy("query_id").orderBy("rank", "path", "section_id", "dst_raw", "dst_path", "dst_section_id")
     return hits.withColumn("ref_rank", F.row_number().over(order)).filter(F.col("ref_rank") <= most).select(
-        "query_id", F.col("dst_section_id").alias("section_id"), F.col("section_id").alias("referenced_by"),
+        "query_id", "corpus", F.col("dst_path").alias("path"), F.col("dst_section_id").alias("section_id"), F.col("section_id").alias("referenced_by"),
         F.col("dst_raw").alias("reference_raw"), F.lit(REFERENCE_SCORE).alias("score"), "ref_rank",
     )

@@ -21,16 +21,17 @@ _T = tables.TREE
       FROM tree t LEFT JOIN tree p1 ON t.parent_section_id = p1.section_id LEFT JOIN tree p2 ON p1.parent_section_id = p2.section_id""",
 )
 def crumbs(spark, d):
-    return graph.breadcrumbs(tables.tree(spark, d), depth=4)
+    return graph.breadcrumbs(graph.trails(tables.tree(spark, d), depth=4))
 
 
 def _ordered(spark, d):
-    """The tree with reading order: nodes numbered within their region, ``last_ord`` the last descendant."""
+    """The tree with reading order: nodes numbered within their region; nations with an odd key have a letter before their number."""
     rows = tables.tree(spark, d).withColumn("corpus", F.lit("tpc")).withColumn("path", F.concat(F.lit("region-"), F.col("a").cast("string")))
-    ord_ = F.row_number().over(W.partitionBy("path").orderBy("b", "c"))
-    rows = rows.withColumn("ord", ord_)
-    last = F.when(F.col("b") < 0, F.max("ord").over(W.partitionBy("path"))).when(F.col("c") < 0, F.max("ord").over(W.partitionBy("path", "b"))).otherwise(F.col("ord"))
-    return rows.withColumn("last_ord", last).withColumn("own_text", F.col("section_title"))
+    letter = F.when((F.col("b") >= 0) & (F.col("c") < 0) & (F.col("b") % 2 == 1), "R").otherwise("")
+    rows = rows.withColumn("section_number", F.concat(letter, "section_number"))
+    # reading order without a window over a region: regions, nations and customers by their keys
+    ord_ = (F.col("b") + 1).cast("long") * (1 << 40) + F.col("c") + 1
+    return rows.withColumn("ord", ord_).withColumn("own_text", F.col("section_title"))
 
 
 @query(
@@ -40,38 +41,50 @@ def _ordered(spark, d):
         WHERE x.a = t.a AND (t.b < 0 OR (x.b = t.b AND (t.c < 0 OR x.c = t.c)))) AS h FROM o t""",
 )
 def full_text(spark, d):
-    return graph.rolled_up(_ordered(spark, d)).select("section_id", F.sha2("full_text", 256).alias("h"))
+    rows = written(_ordered(spark, d), "tree")
+    return graph.rolled_up(rows, graph.trails(rows, depth=4)).select("section_id", F.sha2("full_text", 256).alias("h"))
 
 
 def _referring(spark, d):
-    """Customers refer to their nation's section, to their own, and to one that is not there."""
+    """Customers refer to their nation's section by its bare number, to their own, to one that is not there, and to a statute.
+
+    Every third names a statute whose number begins that of the others.
+    """
     rows = _ordered(spark, d)
     number = F.concat((F.col("a") + 1).cast("string"), F.lit("."), (F.col("b") + 1).cast("string"))
-    text = F.when(F.col("c") >= 0, F.concat(F.lit("See Section "), number, F.lit(" and § "), F.col("section_number"), F.lit(", R"), number, F.lit(" or N.C.G.S. 160D-1110(b); Table 99.9.")))
-    return rows.withColumn("own_text", F.coalesce(text, F.lit(""))).withColumn("full_text", F.when(F.col("b") < 0, F.concat("section_title", F.lit(" under 160D-1110 and more"))).otherwise(F.col("own_text")))
+    statute = F.when(F.col("c") % 3 == 0, "160D-11").otherwise("160D-1110")
+    text = F.concat(F.lit("See Section "), number, F.lit(" and § "), F.col("section_number"), F.lit(", R"), number, F.lit(" or N.C.G.S. "), statute, F.lit("(b); Table 99.9."))
+    rows = rows.withColumn("own_text", F.coalesce(F.when(F.col("c") >= 0, text), F.lit("")))
+    return rows.withColumn("full_text", F.when(F.col("b") < 0, F.concat("section_title", F.lit(" under 2160d-11104.5 and more"))).otherwise(F.col("own_text")))
 
 
 @query(
     "c06_references",
-    f"""WITH {_T} SELECT section_id AS src_section_id, unnest([concat(cast(a + 1 AS string), '.', cast(b + 1 AS string)), section_number, '99.9', '160D-1110']) AS dst_raw,
+    f"""WITH {_T} SELECT section_id AS src_section_id, unnest([concat(cast(a + 1 AS string), '.', cast(b + 1 AS string)), section_number, '99.9', CASE WHEN c % 3 = 0 THEN '160D-11' ELSE '160D-1110' END]) AS dst_raw,
       unnest(['internal_section', 'internal_section', 'internal_section', 'ncgs']) AS dst_kind FROM tree WHERE c >= 0""",
 )
 def references(spark, d):
     return graph.extract_refs(_referring(spark, d)).select("src_section_id", "dst_raw", "dst_kind")
 
 
+_TEXTS = f"""{_T}, f AS (SELECT section_id, a, CASE WHEN b < 0 THEN concat(section_title, ' under 2160d-11104.5 and more') WHEN c < 0 THEN '' ELSE concat('See Section ', cast(a + 1 AS string), '.',
+    cast(b + 1 AS string), ' and § ', section_number, ', R', cast(a + 1 AS string), '.', cast(b + 1 AS string), ' or N.C.G.S. ', CASE WHEN c % 3 = 0 THEN '160D-11' ELSE '160D-1110' END, '(b); Table 99.9.') END AS t FROM tree),
+  raws AS (SELECT unnest(['160D-11', '160D-1110']) AS raw),
+  longest AS (SELECT raw, section_id, row_number() OVER (PARTITION BY raw ORDER BY length(t) DESC, concat('region-', cast(a AS string)), section_id) AS n FROM raws JOIN f ON t ILIKE concat('%', raw, '%') QUALIFY n <= 2)"""
+
+
 @query(
     "c07_resolved",
-    f"""WITH {_T}, x AS (SELECT section_id AS src_section_id, unnest([concat(cast(a + 1 AS string), '.', cast(b + 1 AS string)), section_number, '99.9']) AS dst_raw,
+    f"""WITH {_TEXTS}, x AS (SELECT section_id AS src_section_id, unnest([concat(cast(a + 1 AS string), '.', cast(b + 1 AS string)), section_number, '99.9']) AS dst_raw,
           unnest([parent_section_id, NULL, NULL]) AS dst_section_id FROM tree WHERE c >= 0
-        UNION ALL SELECT section_id, '160D-1110', (SELECT section_id FROM (SELECT section_id, length(concat(section_title, ' under 160D-1110 and more')) AS n, a FROM tree WHERE b < 0
-          UNION ALL SELECT section_id, length(concat('See Section ', cast(a + 1 AS string), '.', cast(b + 1 AS string), ' and § ', section_number, ', R', cast(a + 1 AS string), '.', cast(b + 1 AS string), ' or N.C.G.S. 160D-1110(b); Table 99.9.')), a FROM tree WHERE c >= 0) y
-          WHERE y.section_id <> t.section_id ORDER BY n DESC, concat('region-', cast(a AS string)), section_id LIMIT 1) FROM tree t WHERE c >= 0)
+        UNION ALL SELECT src, raw, (SELECT section_id FROM longest l WHERE l.raw = k.raw AND l.section_id <> src ORDER BY n LIMIT 1)
+          FROM (SELECT section_id AS src, CASE WHEN c % 3 = 0 THEN '160D-11' ELSE '160D-1110' END AS raw FROM tree WHERE c >= 0) k)
       SELECT * FROM x""",
 )
 def resolved(spark, d):
     rows = written(_referring(spark, d), "sections")
-    return graph.resolve_refs(graph.extract_refs(rows), rows).select("src_section_id", "dst_raw", "dst_section_id")
+    refs = written(graph.extract_refs(rows), "refs")
+    return graph.resolve_refs(refs, rows).select("src_section_id", "dst_raw", "dst_section_id")
 
 
 def _segments(spark, d):
@@ -79,7 +92,8 @@ def _segments(spark, d):
     c = table(spark, d, "customer")
     low = c.select(F.col("c_mktsegment").alias("query_id"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("section_id"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("parent_section_id"))
     every = table(spark, d, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("section_id"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("parent_section_id"))
-    return low.union(c.select(F.col("c_mktsegment").alias("query_id")).distinct().join(F.broadcast(every)))  # 25 nations
+    rows = low.union(c.select(F.col("c_mktsegment").alias("query_id")).distinct().join(F.broadcast(every)))  # 25 nations
+    return rows.withColumn("corpus", F.lit("tpc")).withColumn("path", F.lit("all"))
 
 
 @query(
@@ -94,22 +108,24 @@ def ancestors(spark, d):
 
 @query(
     "j03_expansion",
-    """WITH s AS (SELECT s_nationkey AS query_id, s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS rank FROM supplier QUALIFY rank <= 5),
+    """WITH s AS (SELECT s_nationkey AS query_id, s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS rank FROM supplier),
         h AS (SELECT DISTINCT query_id, rank, s_suppkey, l_partkey FROM s JOIN lineitem ON l_suppkey = s_suppkey),
         o AS (SELECT *, row_number() OVER (PARTITION BY query_id, l_partkey ORDER BY rank, concat('s', cast(s_suppkey AS string))) AS n FROM h QUALIFY n = 1)
       SELECT query_id, concat('p', cast(l_partkey AS string)) AS section_id, concat('s', cast(s_suppkey AS string)) AS referenced_by,
         cast(row_number() OVER (PARTITION BY query_id ORDER BY rank, concat('s', cast(s_suppkey AS string)), lpad(cast(l_partkey AS string), 9, '0')) AS int) AS ref_rank FROM o QUALIFY ref_rank <= 3""",
 )
 def expansion(spark, d):
+    """Nations as queries, all their suppliers as results, and the parts that those sell as what they refer to."""
     s = table(spark, d, "supplier")
     rank = F.row_number().over(W.partitionBy("s_nationkey").orderBy(F.col("s_acctbal").desc(), "s_suppkey"))
-    results = s.select(F.col("s_nationkey").alias("query_id"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("section_id"), rank.alias("rank")).filter("rank <= 5")
+    placed = lambda rows, path: rows.withColumn("corpus", F.lit("tpc")).withColumn(path, F.lit("all"))
+    results = placed(s.select(F.col("s_nationkey").alias("query_id"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("section_id"), rank.alias("rank")), "path")
     part = lambda c: F.concat(F.lit("p"), F.col(c).cast("string"))
     refs = table(spark, d, "lineitem").select(
         F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("src_section_id"), F.lpad(F.col("l_partkey").cast("string"), 9, "0").alias("dst_raw"), part("l_partkey").alias("dst_section_id")
     ).distinct()
-    sections = table(spark, d, "part").select(part("p_partkey").alias("section_id"))
-    return graph.expand_once(results, refs, sections).select("query_id", "section_id", "referenced_by", "ref_rank")
+    sections = placed(table(spark, d, "part").select(part("p_partkey").alias("section_id")), "path")
+    return graph.expand_once(results, placed(placed(refs, "path"), "dst_path"), sections).select("query_id", "section_id", "referenced_by", "ref_rank")
 
 
 def _disk(spark, d):

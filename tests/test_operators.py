@@ -1,5 +1,6 @@
 """What the given tables cannot reach: section trees, page lists, windows, references, answers, the store and streams."""
 
+import re
 import io
 import random
 import zipfile
@@ -27,12 +28,12 @@ PAGE = """<html><head><meta name="book" content="B &amp; C"></head><body><sectio
 def test_section_tree_is_in_document_order(spark):
     df = spark.createDataFrame([("c", "p", PAGE)], "corpus string, path string, html string")
     rows = df.select("corpus", "path", F.explode(html.section_tree("html")).alias("s")).select("corpus", "path", "s.*")
-    got = {r.section_id: r for r in graph.rolled_up(rows).collect()}
+    got = {r.section_id: r for r in graph.rolled_up(rows, graph.trails(rows)).collect()}
     assert [r.section_id for r in sorted(got.values(), key=lambda r: r.ord)] == ["X_SecA", "X_SecA1", "X_SecA2", "X_SecR101.2.1", "B1"]
     assert got["X_SecA"].full_text == "A\nAlpha\na text\n\na1\n| h | i |\n| --- | --- |\n| 1 | |\n\na2"
     assert (got["X_SecA"].section_number, got["X_SecA"].section_title, got["X_SecR101.2.1"].section_number) == ("A", "Alpha", "R101.2.1")
     assert got["X_SecA1"].has_table and not got["X_SecA2"].has_table and got["X_SecA1"].parent_section_id == "X_SecA"
-    crumbs = {r.section_id: r.breadcrumb for r in graph.breadcrumbs(rows).collect()}
+    crumbs = {r.section_id: r.breadcrumb for r in graph.breadcrumbs(graph.trails(rows)).collect()}
     assert crumbs["X_SecA2"] == "A Alpha > A2"
     kinds = {r.section_id: r.node_type for r in chunking.chunk_sections(with_place(rows).withColumn("own_text", F.rpad("own_text", 40, "."))).collect()}
     assert kinds["X_SecA1"] == "table" and kinds["B1"] == "leaf"
@@ -46,7 +47,7 @@ def with_place(rows):
 def test_breadcrumb_cycles_and_missing_parents(spark):
     rows = [("a", "b", "1", "A"), ("b", "a", "2", "B"), ("c", "zz", "3", None), ("d", "c", None, None)]
     df = spark.createDataFrame(rows, "section_id string, parent_section_id string, section_number string, section_title string")
-    got = {r.section_id: r.breadcrumb for r in graph.breadcrumbs(df).collect()}
+    got = {r.section_id: r.breadcrumb for r in graph.breadcrumbs(graph.trails(df)).collect()}
     assert got == {"a": "2 B > 1 A", "b": "1 A > 2 B", "c": "3", "d": "3"}
 
 
@@ -95,7 +96,9 @@ def test_text_functions(spark):
     assert one(spark, X.safe_name("t"), t="../a b/c d?.pdf") == "c_d_.pdf"
     assert one(spark, X.source_label("t"), t="x: y z ") == "y z" and one(spark, X.source_label("t"), t="xy") == "xy"
     assert one(spark, X.extension("t"), t="A.B.PDF") == ".pdf" and one(spark, X.extension("t"), t=".hidden") == ""
-    assert one(spark, X.html_meta("t", "book"), t=PAGE) == "B &amp; C"
+    assert one(spark, X.html_meta("t", "book"), t=PAGE) == "B & C"
+    assert one(spark, X.clean_lines("t"), t="a &amp;  b&#10;\n &eacute;&nbsp;") == "a & b\né"
+    assert one(spark, X.strip_tags("t"), t="<b>a &amp;lt; b</b>") == "a < b"
     df = spark.createDataFrame([(bytearray("é".encode()),), (bytearray(b"\xe9"),)], "c binary")
     assert [r.x for r in df.select(X.decode_text(F.col("c")).alias("x")).collect()] == ["é", "é"]
     doc = b"\x00\x01" + b"Readable words that are long enough here" + b"\x02\x03\x80" + b"1234567890 1234567890 12" + b"\xff"
@@ -130,15 +133,41 @@ def test_references_resolve_by_preference(spark):
     assert got == {("e", "101.2"): "b", ("d", "R101.2"): "a", ("d", "R5.1"): None, ("a", "1.1"): None, ("a", "160D-1110"): "e"}
 
 
-def test_statutes_meet_two_sections_only(spark):
-    rows = [("c", "f", f"s{k}", 10 + k % 7, "160D-1110") for k in range(50)] + [("c", "f", "s1", 9, "160D-1110"), ("c", "g", "x", 5, "14-7A")]
-    said = spark.createDataFrame(rows, "corpus string, s_path string, s_id string, size int, dst_raw string")
-    got = sorted((r.dst_raw, r.s_id, r["size"]) for r in graph.two_longest(said).collect())
-    assert got == [("14-7A", "x", 5), ("160D-1110", "s13", 16), ("160D-1110", "s20", 16)]
-    sections = said.select("corpus", F.col("s_path").alias("path"), F.col("s_id").alias("section_id"), F.lit("1").alias("section_number"), F.concat(F.repeat(F.lit("x"), F.col("size")), F.lit(" "), "dst_raw").alias("full_text"))
-    refs = sections.select("corpus", "path", F.col("section_id").alias("src_section_id"), F.lit("160D-1110").alias("dst_raw"), F.lit("ncgs").alias("dst_kind")).distinct()
-    found = {r.src_section_id: r.dst_section_id for r in graph.resolve_refs(refs, sections).collect()}
-    assert found == {k: "s20" if k == "s13" else "s13" for k in found}
+def test_first_two_of_a_hot_key(spark):
+    rows = [("c", -10 - k % 7, f"s{k}", "160D-1110") for k in range(50)] + [("c", -9, "s1", "160D-1110"), ("c", -5, "x", "14-7A")]
+    said = spark.createDataFrame(rows, "corpus string, less int, s_id string, dst_raw string").select("corpus", "dst_raw", F.struct("less", "s_id").alias("x"))
+    got = {r.dst_raw: [x.s_id for x in r.two] for r in graph.first_two(said, ["corpus", "dst_raw"], "t").collect()}
+    assert got == {"14-7A": ["x"], "160D-1110": ["s13", "s20"]}
+
+
+def _resolved_plainly(refs, sections):
+    """As it is stated: one reference after the other, over all sections."""
+    out = {}
+    for path, src, raw, kind in refs:
+        rows = sorted(sections)
+        if kind == "ncgs":
+            hits = [(-len(t), p, i) for p, i, _, t in rows if raw.lower() in t.lower() and (p, i) != (path, src)]
+            out[src, raw] = min(hits)[2] if hits else None
+            continue
+        listed = lambda n: [(p, i) for p, i, num, _ in rows if num and n in (num, re.sub("^[A-Z]+", "", num))]
+        found = [x for x in listed(raw) or listed(raw.lstrip("R")) if x != (path, src)]
+        same = [x for x in found if x[0] == path]
+        out[src, raw] = (same or found or [(None, None)])[0][1]
+    return out
+
+
+def test_resolution_equals_the_plain_rules(spark):
+    numbers = ["R105.2", "105.2", "105", "B7.1", "7.1", None, "R7.1", "AR105.2", "9"]
+    texts = ["see 160d-1110.15 here", "under 160D-1110", "160D-111", "1160D-1110", "no statute 12-3", "12-34-56 and 112A-5.", ""]
+    sections = [(f"f{k % 3}", f"s{k}", numbers[k % len(numbers)], texts[k % len(texts)] * (1 + k % 2)) for k in range(40)]
+    raws = ["R105.2", "105.2", "7.1", "R7.1", "RR105", "404.1", "105"]
+    statutes = ["160D-1110", "160D-11", "60D-1110", "34-56", "112A-5", "12A-5", "160D-1110.1", "99A-1"]
+    refs = [(p, i, r, "internal_section") for k, (p, i, _, _) in enumerate(sections) for r in (raws[k % 7], raws[(k + 3) % 7])]
+    refs += [(p, i, statutes[k % 8], "ncgs") for k, (p, i, _, _) in enumerate(sections)]
+    s = spark.createDataFrame([("c", *x) for x in sections] + [("other", "f0", "s999", "404.1", "99A-1")], "corpus string, path string, section_id string, section_number string, full_text string")
+    r = spark.createDataFrame([("c", *x) for x in refs], "corpus string, path string, src_section_id string, dst_raw string, dst_kind string")
+    got = {(x.src_section_id, x.dst_raw): x.dst_section_id for x in graph.resolve_refs(r, s).collect()}
+    assert got == _resolved_plainly(refs, sections) and any(got.values())
 
 
 def _robin(rows, most):
