@@ -9,12 +9,15 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from spindrift.functions import answers as A, text as X
 from spindrift.operators import chunking, graph, index_store, search
-from spindrift.providers import Chat, hashed_vector, replies
+from spindrift.providers import Chat, hashed_vector, paraphrases, replies
 from spindrift.session import written
 from spindrift.sources import files, html
 
 #: What a model says when the excerpts do not help, and the rounds in which it may ask for more.
 REFUSAL, ROUNDS = "I can't answer that from the sources.", 2
+#: Sections of one probe, and what a provider is asked for before the search.
+PER_PROBE = 8
+PLAN = "Plan the search for this question. Reply with one JSON object: cleaned_query, search_queries, rules_to_check."
 FILES = "corpus string, path string, sha256 string, size long, status string"
 
 
@@ -23,43 +26,55 @@ class NeedsConfirmation(Exception):
 
 
 def chunked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Chunks and section nodes of files (``corpus, path, ext, text``): by section where pages mark them, else by window."""
+    """Chunks and section nodes of files (``corpus, path, ext, text, pages``): by section where pages mark them, by heading or page of paper, else by window."""
     docs = docs.withColumn("source_file", X.basename("path"))
-    pages = docs.filter(F.col("ext").isin(".html", ".htm")).withColumn("s", html.section_tree("text"))
-    tree = pages.filter(F.size("s") > 0).select("corpus", "path", "source_file", F.explode("s").alias("s")).select("corpus", "path", "source_file", "s.*")
+    is_html = F.col("ext").isin(".html", ".htm")
+    book = F.when(is_html, F.nullif(X.sanitize_ascii(X.source_label(X.html_meta("text", "book"))), F.lit("")))
+    docs = docs.withColumn("label", book)
+    pages = written(docs.filter(is_html & F.col("text").isNotNull()).withColumn("s", html.section_tree("text")), "html")
+    tree = pages.filter(F.size("s") > 0).select("corpus", "path", "source_file", "label", F.explode("s").alias("s")).select("corpus", "path", "source_file", "label", "s.*")
     key = F.concat("path", F.lit("#"), "section_id")
     parent = F.concat("path", F.lit("#"), "parent_section_id")
     tree = tree.withColumn("section_id", key).withColumn("parent_section_id", parent)
-    tree = written(tree.withColumn("edition", X.edition(F.lit(None).cast("string"), "source_file")).withColumn("jurisdiction", X.jurisdiction("path")), "tree")
-    tree = tree.join(graph.breadcrumbs(tree), "section_id")
-    nodes = graph.rolled_up(tree)
+    tree = tree.withColumn("own_text", X.sanitize_ascii("own_text")).withColumn("section_title", F.nullif(X.sanitize_ascii("section_title"), F.lit("")))
+    tree = written(tree.withColumn("edition", X.edition("label", "source_file")).withColumn("jurisdiction", X.jurisdiction("path")), "tree")
+    trail = written(graph.trails(tree), "trails")
+    tree = tree.join(graph.breadcrumbs(trail), "section_id").withColumn("page", F.lit(None).cast("int"))
+    nodes = graph.rolled_up(tree, trail)
     flat = pages.filter(F.size("s") == 0).withColumn("text", html.flat_text("text")).drop("s")
-    plain = docs.filter(~F.col("ext").isin(".html", ".htm")).unionByName(flat)
-    windows = chunking.chunk_texts(plain.withColumn("label", F.lit(None).cast("string"))).withColumn("node_type", F.lit("leaf"))
-    keep = ["corpus", "path", "chunk_id", "section_id", "section_number", "section_title", "breadcrumb", "edition", "jurisdiction", "piece_no", "node_type", "text", "meta", "embed_input", "content_hash"]
-    chunks = chunking.chunk_sections(tree).select(*keep).unionByName(windows.select(*keep))
+    plain = docs.filter(~is_html & F.col("text").isNotNull()).unionByName(flat).withColumn("text", X.sanitize_ascii("text"))
+    windows = chunking.chunk_texts(plain).withColumn("node_type", F.lit("leaf")).withColumn("page", F.lit(None).cast("int"))
+    paper = docs.filter("pages is not null").withColumn("pages", F.transform("pages", X.sanitize_ascii))
+    paged, paged_nodes = chunking.chunk_pages(paper)
+    keep = ["corpus", "path", "chunk_id", "section_id", "section_number", "section_title", "breadcrumb", "edition", "jurisdiction", "piece_no", "node_type", "text", "meta", "embed_input", "content_hash", "page"]
+    chunks = chunking.chunk_sections(tree).select(*keep).unionByName(windows.select(*keep)).unionByName(paged.withColumn("node_type", F.lit("leaf")).select(*keep))
     node_cols = ["corpus", "path", "section_id", "parent_section_id", "section_number", "section_title", "breadcrumb", "edition", "jurisdiction", "own_text", "full_text"]
-    return chunks.withColumn("source_file", X.basename("path")), nodes.select(*node_cols)
+    return chunks.withColumn("source_file", X.basename("path")), nodes.select(*node_cols).unionByName(paged_nodes.select(*node_cols))
 
 
 def build(
     spark: SparkSession, folder: str, corpus: str, root: str, embed: Callable[[Column], Column] | None = None, full: bool = False,
-    dry_run: bool = False, confirm: bool = False, prune: bool = True,
+    dry_run: bool = False, confirm: bool = False, prune: bool = True, limit: int | None = None, pdf_pages: Callable[[bytes], list[str]] | None = None,
 ) -> DataFrame:
-    """Bring an index up to date with a folder; returns the plan (files, chunks, tokens, cost).
+    """Bring the index of a corpus up to date with a folder; returns the plan (files, chunks, tokens, cost).
 
-    Only new and changed files are chunked and embedded, each distinct text once; files that are gone
+    Only new and changed files are chunked and embedded, each distinct text once (``limit``: the first so many of them, by path); files that are gone
     leave with ``prune``. Nothing is written by a dry run or if the cost is above the limit and
-    not confirmed. Files without text are remembered, so that they are not read again.
+    not confirmed. Files without text are remembered with the reason, so that they are not read again; ``pdf_pages`` reads PDF files.
+    Tables of other corpora are not touched.
     """
     index_store.check_corpus(corpus)
     store = index_store.IndexStore(spark, root)
-    disk = written(files.read_text(spark, folder, corpus), "disk")
-    known = store.read("files") if store.exists() else spark.createDataFrame([], FILES)
-    change = written(index_store.changes(disk, known.filter(F.col("corpus") == corpus), full or store.schema_outdated()), "changes")
-    todo = disk.join(change.filter("action in ('new', 'changed')").select("corpus", "path"), ["corpus", "path"], "left_semi")
+    known = store.read("files", corpus) if corpus in store.corpora() else spark.createDataFrame([], FILES)
+    disk = written(files.read_files(spark, folder, corpus, pdf_pages), "disk")
+    readable = disk.filter("reason is null or reason = 'no_reader'")
+    change = written(index_store.changes(readable, known, full or store.schema_outdated(corpus)), "changes")
+    work = change.filter("action in ('new', 'changed')").select("corpus", "path")
+    if limit is not None:
+        work = written(work.orderBy("path").limit(limit), "limited")
+    todo = readable.join(work, ["corpus", "path"], "left_semi")
     chunks, sections = chunked(todo)
-    chunks, sections = written(chunks, "chunks"), written(sections, "sections")
+    chunks, sections = written(index_store.one_each(chunks, "chunks"), "chunks"), written(index_store.one_each(sections, "sections"), "sections")
     plan = written(index_store.build_plan(todo, chunks), "plan")
     if dry_run:
         return plan
@@ -67,21 +82,32 @@ def build(
         raise NeedsConfirmation(f"estimated cost {plan.first()['usd']:.2f} USD")
     vectors = chunks.select("content_hash", "embed_input").dropDuplicates(["content_hash"])
     vectors = vectors.select("content_hash", (embed or hashed_vector())(F.col("embed_input")).alias("embedding"))
-    chunks = chunks.join(vectors, "content_hash")
-    refs = graph.extract_refs(sections)
+    chunks = written(chunks.join(vectors, "content_hash"), "embedded")
+    index_store.check_chunks(chunks)
     status = chunks.groupBy("corpus", "path").count().select("corpus", "path", F.lit("ok").alias("status"))
-    entries = todo.select("corpus", "path", "sha256", "size").join(status, ["corpus", "path"], "left").fillna("no_text", ["status"])
-    touched = change.filter("action <> 'same'" if prune else "action in ('new', 'changed')")
-    new = {"files": entries, "chunks": chunks, "sections": sections, "raw_refs": refs}
-    if store.exists():
-        new = {n: index_store.replaced(store.read(n), df, touched) for n, df in new.items()}
+    entries = todo.select("corpus", "path", "sha256", "size", "reason").join(status, ["corpus", "path"], "left")
+    entries = entries.select("corpus", "path", "sha256", "size", F.coalesce("status", "reason", F.lit("no_text")).alias("status"))
+    touched = change.filter("action = 'gone'").select("corpus", "path").union(work) if prune else work
+    postings = search.postings(chunks, meta_col="meta").join(chunks.select("chunk_id", "corpus", "path"), "chunk_id")
+    new = {"files": entries, "chunks": chunks, "sections": sections, "raw_refs": graph.extract_refs(sections), "postings": postings}
+    if corpus in store.corpora():
+        new = {n: index_store.replaced(store.read(n, corpus), df, touched) for n, df in new.items()}
     new["refs"] = graph.resolve_refs(new["raw_refs"], new["sections"])
-    new["postings"] = search.postings(new["chunks"], meta_col="meta").join(new["chunks"].select("chunk_id", "corpus", "path"), "chunk_id")
-    store.commit(new)
+    store.commit(corpus, new)
     return plan
 
 
+def skipped(spark: SparkSession, folder: str, corpus: str, pdf_pages: Callable[[bytes], list[str]] | None = None) -> DataFrame:
+    """``corpus, path, ext, size, reason`` of the files of a folder that a build reads no text from."""
+    rows = files.skipped(files.corpus_files(spark, folder, corpus)).select("corpus", "path", "ext", "size", "reason")
+    if pdf_pages is None:
+        paper = files.eligible(files.corpus_files(spark, folder, corpus)).filter("ext = '.pdf'")
+        rows = rows.unionByName(paper.select("corpus", "path", "ext", "size", F.lit("no_reader").alias("reason")))
+    return rows
+
+
 def status(spark: SparkSession, root: str) -> DataFrame:
+    """``corpus, table_name, n`` of the tables with rows."""
     store = index_store.IndexStore(spark, root)
     return index_store.stats({n: store.read(n) for n in ("files", "chunks", "sections", "refs")})
 
@@ -90,26 +116,54 @@ def purge(spark: SparkSession, root: str, corpus: str, path: str) -> None:
     index_store.IndexStore(spark, root).purge(spark.createDataFrame([(corpus, path)], "corpus string, path string"))
 
 
-def find(spark: SparkSession, root: str, queries: DataFrame, embed: Callable[[Column], Column] | None = None, **options) -> DataFrame:
-    """Search a built index for a table of queries (``query_id, q``); options are those of :func:`search.search`."""
+def primary_corpus(spark: SparkSession, root: str, preferred: str = "building-codes") -> str:
+    """The corpus that is searched where none is named: the preferred one, else the first by name."""
+    names = index_store.IndexStore(spark, root).corpora()
+    if not names:
+        raise FileNotFoundError(f"no corpus in {root}")
+    return preferred if preferred in names else names[0]
+
+
+def find(
+    spark: SparkSession, root: str, queries: DataFrame, corpus: str | None = None, embed: Callable[[Column], Column] | None = None,
+    synonyms: DataFrame | None = None, expand: bool = True, **options,
+) -> DataFrame:
+    """Search one corpus of a built index for a table of queries (``query_id, q``).
+
+    Blank queries have no results. With ``synonyms`` (``word, instead``) and ``expand`` each query is also asked in its
+    paraphrases, and all rankings are fused. Further options are those of :func:`search.search`.
+    """
     store = index_store.IndexStore(spark, root)
-    asked = written(queries.withColumn("embedding", (embed or hashed_vector())(F.col("q"))), "queries")
-    chunks = store.read("chunks")
-    return search.search(asked, chunks, store.read("sections"), store.read("refs"), vectors=chunks.select("chunk_id", "embedding"), index=store.read("postings"), **options)
+    corpus = corpus or primary_corpus(spark, root)
+    asked = queries.select("query_id", X.stripped(X.text_of("q")).alias("q")).filter("q <> ''")
+    if synonyms is not None and expand:
+        asked = paraphrases(asked, synonyms)
+    asked = written(asked.withColumn("embedding", (embed or hashed_vector())(F.col("q"))), "queries")
+    chunks = store.read("chunks", corpus)
+    return search.search(
+        asked, chunks, store.read("sections", corpus), store.read("refs", corpus), vectors=chunks.select("chunk_id", "embedding"),
+        index=store.read("postings", corpus), meta_col="meta", **options,
+    )
 
 
 def with_sources(spark: SparkSession, root: str, results: DataFrame) -> DataFrame:
-    """Results with text, label and designation of their sections (or chunks, where there is no section)."""
+    """Results (of :func:`find`) with text, label and designation of their sections (or chunks, where there is no section)."""
     store = index_store.IndexStore(spark, root)
-    s = store.read("sections").select("path", "section_id", "section_number", "section_title", "edition", "jurisdiction", "full_text")
-    c = store.read("chunks").select("chunk_id", F.col("text").alias("leaf"), F.col("edition").alias("leaf_edition"), F.col("jurisdiction").alias("leaf_jurisdiction"))
-    rows = results.join(s, ["path", "section_id"], "left").join(c, "chunk_id", "left")
+    s = store.read("sections").select("corpus", "path", "section_id", "section_number", "section_title", "edition", "jurisdiction", "full_text")
+    c = store.read("chunks").select("corpus", "chunk_id", F.col("text").alias("leaf"), F.col("edition").alias("leaf_edition"), F.col("jurisdiction").alias("leaf_jurisdiction"), "page")
+    rows = results.join(s, ["corpus", "path", "section_id"], "left").join(c, ["corpus", "chunk_id"], "left")
     rows = rows.withColumn("text", F.coalesce(F.nullif("full_text", F.lit("")), "leaf")).withColumn("source_file", X.basename("path"))
     rows = rows.withColumn("edition", F.coalesce("edition", "leaf_edition")).withColumn("jurisdiction", F.coalesce("jurisdiction", "leaf_jurisdiction"))
-    args = ("edition", "jurisdiction", "source_file", "section_number", "section_title", F.lit(None).cast("int"))
+    args = ("edition", "jurisdiction", "source_file", "section_number", "section_title", "page")
     return rows.withColumn("label", A.chunk_label("path", *args, referenced_by="referenced_by")).withColumn("designation", A.designation(*args))
 
 
+def clamped(top_k: int, balance: bool = False, least: int = 1, most: int = 20) -> int:
+    """How many sections a question may ask for; a balanced search has 15 at least. Tools ask for ``least`` 3."""
+    top_k = max(least, min(top_k, most))
+    return max(top_k, 15) if balance else top_k
+
+
 def answer(queries: DataFrame, sources: DataFrame, chat: Chat, instruction: str = "Answer from the excerpts and cite them.") -> DataFrame:
     """``query_id, answer, citations, authorities, status, refused, refusal_reason`` for each query; ``sources`` are ranked sections."""
     numbered = F.array_sort(F.collect_list(F.struct("rank", "label", "text", "designation")))
@@ -130,19 +184,52 @@ def answer(queries: DataFrame, sources: DataFrame, chat: Chat, instruction: str
     )
 
 
+def planned(questions: DataFrame, chat: Chat) -> DataFrame:
+    """``question_id, cleaned_query, probes`` of questions (``query_id, q``): what the provider says as JSON, or the question itself."""
+    said = replies(questions.select("query_id", "q", F.concat(F.lit(PLAN + "\n\nQuestion: "), "q").alias("prompt")), chat)
+    plan = A.loads_json("reply")
+    text = F.nullif(X.stripped(X.text_of(F.try_variant_get(plan, "$.cleaned_query", "string"))), F.lit(""))
+    some = lambda name: F.coalesce(F.try_variant_get(plan, f"$.{name}", "array<string>"), F.array().cast("array<string>"))
+    probes = F.when(text.isNotNull(), F.concat(some("search_queries"), some("rules_to_check"))).otherwise(F.array().cast("array<string>"))
+    return said.select(F.col("query_id").alias("question_id"), F.coalesce(text, X.text_of("q")).alias("cleaned_query"), probes.alias("probes"))
+
+
+def retrieve(spark: SparkSession, root: str, plans: DataFrame, extras: DataFrame | None = None, top_k: int = 15, per_probe: int = PER_PROBE, **options) -> DataFrame:
+    """Sections of planned questions: all probes of all questions are one search, and their rankings are fused.
+
+    ``extras`` (``question_id, extra``) are probes that are asked in any case. Paraphrases are asked for questions without probes only.
+    """
+    none = F.array().cast("array<string>")
+    if extras is not None:
+        plans = plans.join(extras.groupBy("question_id").agg(F.array_sort(F.collect_set("extra")).alias("extras")), "question_id", "left")
+        plans = plans.withColumn("extras", F.coalesce("extras", none))
+    else:
+        plans = plans.withColumn("extras", none)
+    asked = written(search.probes(plans).join(plans.select("question_id", (F.size("probes") == 0).alias("bare")), "question_id"), "probes")
+    results = None
+    for bare in (True, False):
+        queries = asked.filter(F.col("bare") == bare).select(F.struct("question_id", "probe_no").alias("query_id"), F.col("probe").alias("q"))
+        found = find(spark, root, queries, top_k=per_probe, expand=bare, **options)
+        results = found if results is None else results.unionByName(found)
+    per = results.select(F.col("query_id.question_id").alias("question_id"), F.col("query_id.probe_no").alias("probe_no"), *[c for c in results.columns if c != "query_id"])
+    return search.fuse_probes(per, top_k).withColumnRenamed("question_id", "query_id").drop("rrf")
+
+
 def reason(spark: SparkSession, root: str, questions: DataFrame, chat: Chat, top_k: int = 15, rounds: int = ROUNDS, **options) -> DataFrame:
-    """Answers after up to ``rounds`` further searches for questions (``query_id, q``) whose reply is a ``NEED:`` line.
+    """Answers to questions (``query_id, q``): planned, searched by probes, and searched again for up to ``rounds`` replies that are a ``NEED:`` line.
 
     Probes of all questions are rows of one search; what a round finds joins the working set, each section once.
     """
-    held = written(with_sources(spark, root, find(spark, root, questions, top_k=top_k, **options)), "sources")
+    top_k = clamped(top_k, options.get("balance", False))
+    plans = written(planned(questions, chat), "plans")
+    held = written(with_sources(spark, root, retrieve(spark, root, plans, top_k=top_k, **options)), "sources")
     for _ in range(rounds):
         said = written(answer(questions, held, chat), "answers")
-        need = said.select("query_id", A.need_probe("reply").alias("q")).filter("q is not null")
+        need = written(said.select(F.col("query_id").alias("question_id"), A.need_probe("reply").alias("extra")).filter("extra is not null"), "needs")
         if need.isEmpty():
             return said.drop("reply")
-        more = with_sources(spark, root, find(spark, root, need, top_k=top_k, **options))
-        new = more.join(held.select("query_id", "path", "section_id"), ["query_id", "path", "section_id"], "left_anti")
+        more = with_sources(spark, root, retrieve(spark, root, plans.join(need, "question_id", "left_semi"), need, top_k=top_k, **options))
+        new = more.join(held.select("query_id", "corpus", "path", "section_id"), ["query_id", "corpus", "path", "section_id"], "left_anti")
         every = held.withColumn("round", F.lit(0)).unionByName(new.withColumn("round", F.lit(1)))
         order = W.partitionBy("query_id").orderBy("round", "rank", "section_id")
         held = written(every.withColumn("rank", F.row_number().over(order)).drop("round"), "sources")

@@ -189,9 +189,10 @@ def slug(c: Column | str, most: int = 80) -> Column:
 
 
 def source_label(c: Column | str) -> Column:
-    """What follows the first colon, trimmed, after its prefix; labels without a colon as they are."""
+    """A book of the state code by its part after the colon, with its edition; other books as they are."""
     c = text_of(c)
-    return F.when(F.instr(c, ":") > 0, stripped(F.regexp_replace(c, "^[^:]*:", ""))).otherwise(c)
+    part = F.regexp_replace(c, "(?s)^[^:]*:", "")
+    return F.when(c.contains("North Carolina State Building Code") & (F.instr(c, ":") > 0), F.concat(F.lit("NC 2024 "), stripped(part))).otherwise(c)
 
 
 def safe_name(c: Column | str) -> Column:
@@ -227,6 +228,11 @@ def terms(c: Column | str) -> Column:
     return F.regexp_extract_all(fold(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
+def n_terms(c: Column | str) -> Column:
+    """How many :func:`terms` there are."""
+    return F.regexp_count(fold(c), F.lit(r"[\p{L}\p{N}]+"))
+
+
 def decode_text(content: Column) -> Column:
     """Bytes as UTF-8 if they are that, else as Latin-1."""
     return F.coalesce(F.try_validate_utf8(content.cast("string")), F.decode(content, "ISO-8859-1"))

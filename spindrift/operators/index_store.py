@@ -1,12 +1,14 @@
-"""The stored index: tables by corpus, what changed, copy-on-write updates and counts."""
+"""The stored index: tables by corpus, what changed, copy-on-write updates, checks and counts."""
 
 from __future__ import annotations
 
+import json
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from spindrift.functions import text as X
+from spindrift.operators import graph
 
 SCHEMA_VERSION = 2
 CORPUS_NAME = re.compile(r"[a-z0-9][a-z0-9_-]*")
@@ -15,7 +17,8 @@ KEYS = {
     "files": ("corpus", "path"),
     "chunks": ("corpus", "path", "section_id", "piece_no"),
     "sections": ("corpus", "path", "section_id"),
-    "refs": ("corpus", "path", "src_section_id", "dst_raw"),
+    "raw_refs": ("corpus", "path", "src_section_id", "dst_raw", "dst_kind"),
+    "refs": ("corpus", "path", "src_section_id", "dst_raw", "dst_kind"),
     "postings": ("corpus", "path", "chunk_id", "term"),
 }
 
@@ -47,12 +50,6 @@ def build_plan(files: DataFrame, chunks: DataFrame) -> DataFrame:
     return rows.withColumn("ask", F.col("usd") > X.USD_LIMIT)
 
 
-def latest(rows: DataFrame, keys: tuple[str, ...], order: Column) -> DataFrame:
-    """The last row of each key."""
-    w = W.partitionBy(*keys).orderBy(order.desc())
-    return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
-
-
 def replaced(old: DataFrame, new: DataFrame, touched: DataFrame, keys: tuple[str, ...] = ("corpus", "path")) -> DataFrame:
     """The old rows without those of the touched files, and the new ones."""
     return old.join(touched.select(*keys).distinct(), list(keys), "left_anti").unionByName(new, allowMissingColumns=True)
@@ -71,19 +68,35 @@ def stats(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def check_chunks(chunks: DataFrame) -> None:
+    """An error if a chunk has no text or no vector, or if vectors differ in length."""
+    size = F.size("embedding")
+    bad = F.col("embedding").isNull() | (F.coalesce(F.length("text"), F.lit(0)) == 0)
+    row = chunks.agg(F.count_if(bad).alias("bad"), F.min(size).alias("least"), F.max(size).alias("most")).first()
+    if row["bad"] or row["least"] != row["most"]:
+        raise ValueError(f"{row['bad']} chunks without text or vector; vectors of {row['least']} to {row['most']} numbers")
+
+
+def one_each(rows: DataFrame, name: str) -> DataFrame:
+    """The rows of a table, one of each key: of several the last in the order of all columns, so that reruns agree."""
+    keys = KEYS[name]
+    others = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max(F.struct(*others)).alias("last")).select(*keys, "last.*").select(*rows.columns)
+
+
 class IndexStore:
-    """Tables below a root, a version folder each: a commit writes new versions and then one pointer row.
+    """Tables below a root, by corpus, each in folders of versions: a commit writes new versions and then one pointer row.
 
     Readers take the version that the pointer names, so that a build that dies leaves the last
-    state; a table is never overwritten while it is read.
+    state, and a table is never overwritten while it is read. The pointer holds the schema, so that a table without rows
+    can be read. The version before the last is kept for readers that have begun; older ones are removed.
     """
 
+    POINTERS = "table_name string, corpus string, version long, schema_version int, columns string"
+
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _pointers(self) -> DataFrame:
-        return self.spark.read.schema("table_name string, version long, schema_version int").json(f"{self.root}/_pointers")
-
     def _fs(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
@@ -92,31 +105,53 @@ class IndexStore:
         fs, p = self._fs(f"{self.root}/_pointers")
         return fs.exists(p)
 
-    def version(self, name: str) -> int:
-        """0 before the first commit."""
-        row = self._pointers().filter(F.col("table_name") == name).agg(F.max("version")).first() if self.exists() else None
-        return row[0] or 0 if row else 0
-
-    def schema_outdated(self) -> bool:
+    def _current(self) -> dict[tuple[str, str], tuple[int, int, str]]:
+        """Version, schema version and columns of each table and corpus: a few rows."""
         if not self.exists():
-            return False
-        return self._pointers().agg(F.max("schema_version")).first()[0] != SCHEMA_VERSION
-
-    def read(self, name: str) -> DataFrame:
-        v = self.version(name)
-        if not v:
-            raise FileNotFoundError(f"no table {name} in {self.root}")
-        return self.spark.read.parquet(f"{self.root}/{name}/v{v}")
-
-    def commit(self, tables: dict[str, DataFrame]) -> None:
-        """Write new versions of the tables, partitioned by corpus, and point to them."""
-        rows = []
+            return {}
+        rows = self.spark.read.schema(self.POINTERS).json(f"{self.root}/_pointers")
+        last = rows.groupBy("table_name", "corpus").agg(F.max(F.struct("version", "schema_version", "columns")).alias("x"))
+        return {(r["table_name"], r["corpus"]): tuple(r["x"]) for r in last.collect()}
+
+    def corpora(self) -> list[str]:
+        return sorted({c for _, c in self._current()})
+
+    def schema_outdated(self, corpus: str) -> bool:
+        return any(v != SCHEMA_VERSION for (_, c), (_, v, _) in self._current().items() if c == corpus)
+
+    def read(self, name: str, corpus: str | None = None) -> DataFrame:
+        """A table of one corpus, or of all: only the folders of the corpus are read."""
+        out = None
+        for (table, c), (v, _, columns) in sorted(self._current().items()):
+            if table == name and corpus in (None, c):
+                schema = T.StructType.fromJson(json.loads(columns))
+                stored = T.StructType([f for f in schema.fields if f.name != "corpus"])
+                part = self.spark.read.schema(stored).parquet(self._folder(name, c, v)).withColumn("corpus", F.lit(c)).select(*schema.names)
+                out = part if out is None else out.unionByName(part)
+        if out is None:
+            raise FileNotFoundError(f"no table {name}{f' of {corpus}' if corpus else ''} in {self.root}")
+        return out
+
+    def _folder(self, name: str, corpus: str, version: int) -> str:
+        return f"{self.root}/{name}/corpus={corpus}/v{version}"
+
+    def commit(self, corpus: str, tables: dict[str, DataFrame]) -> None:
+        """Write new versions of the tables of one corpus, and point to them; other corpora are not touched."""
+        current, rows = self._current(), []
         for name, df in tables.items():
-            v = self.version(name) + 1
-            df.write.partitionBy("corpus").parquet(f"{self.root}/{name}/v{v}")
-            rows.append((name, v, SCHEMA_VERSION))
-        schema = "table_name string, version long, schema_version int"
-        self.spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(f"{self.root}/_pointers")
+            v = current.get((name, corpus), (0, 0, ""))[0] + 1
+            df.filter(F.col("corpus") == corpus).drop("corpus").write.mode("overwrite").parquet(self._folder(name, corpus, v))
+            rows.append((name, corpus, v, SCHEMA_VERSION, df.schema.json()))
+        self.spark.createDataFrame(rows, self.POINTERS).coalesce(1).write.mode("append").json(f"{self.root}/_pointers")
+        for name, _, v, _, _ in rows:
+            if v > 2:
+                fs, p = self._fs(self._folder(name, corpus, v - 2))
+                fs.delete(p, True)
 
     def purge(self, paths: DataFrame) -> None:
-        self.commit({n: purged(self.read(n), paths) for n in KEYS if self.version(n)})
+        """Remove all rows of files (``corpus, path``) from all tables; references to their sections are resolved anew."""
+        for corpus in [r[0] for r in paths.select("corpus").distinct().collect()]:
+            left = {n: purged(self.read(n, corpus), paths) for n, c in self._current() if c == corpus}
+            if {"raw_refs", "sections"} <= left.keys():
+                left["refs"] = graph.resolve_refs(left["raw_refs"], left["sections"])
+            self.commit(corpus, left)

@@ -8,31 +8,37 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from spindrift.functions import facets, text as X
 from spindrift.operators import graph
+from spindrift.session import new_shared_path, open_store, written
 
 #: Fusion constant; rows per retriever, without and with place or version filters; rerank pool.
 RRF_K, TOP, TOP_FILTERED, POOL = 60, 80, 250, 72
 K1, B, TEXT_WEIGHT, META_WEIGHT, LEAST_IDF = 1.2, 0.75, 1.0, 0.3, 1e-6
-#: Query vectors that are sent to the tasks at once.
-QUERY_BLOCK = 4096
+#: Query vectors that a task compares at once, and vectors that it holds.
+QUERY_BLOCK, VECTOR_BLOCK = 256, 65_536
 
 
 def postings(chunks: DataFrame, text_col: str = "text", meta_col: str | None = None) -> DataFrame:
-    """``chunk_id, term, tf, len``: weighted term frequency, and the number of terms of the chunk."""
+    """``chunk_id, term, tf, len``: weighted term frequency, and the number of terms of the chunk.
+
+    Chunks are dealt out by their id first, so that the many more rows of terms are counted where they are.
+    """
     t = X.terms(text_col)
     m = X.terms(meta_col) if meta_col else F.array().cast("array<string>")
     tag = lambda a, w: F.transform(a, lambda x: F.struct(x.alias("term"), F.lit(w).alias("w")))
-    rows = chunks.select("chunk_id", t.alias("t"), m.alias("m")).withColumn("len", F.size("t") + F.size("m"))
+    rows = chunks.select("chunk_id", text_col, *([meta_col] if meta_col else [])).repartition("chunk_id")
+    rows = rows.select("chunk_id", t.alias("t"), m.alias("m")).withColumn("len", F.size("t") + F.size("m"))
     rows = rows.select("chunk_id", "len", F.explode(F.concat(tag(F.col("t"), TEXT_WEIGHT), tag(F.col("m"), META_WEIGHT))).alias("x"))
     return rows.groupBy("chunk_id", "len", F.col("x.term").alias("term")).agg(F.sum("x.w").alias("tf"))
 
 
 def corpus_stats(chunks: DataFrame, text_col: str = "text", meta_col: str | None = None) -> DataFrame:
     """One row: ``n_chunks, avg_len``."""
-    size = F.size(X.terms(text_col)) + (F.size(X.terms(meta_col)) if meta_col else F.lit(0))
+    size = X.n_terms(text_col) + (X.n_terms(meta_col) if meta_col else F.lit(0))
     return chunks.agg(F.count("*").alias("n_chunks"), F.avg(size).alias("avg_len"))
 
 
@@ -43,8 +49,9 @@ def bm25(queries: DataFrame, index: DataFrame, stats: DataFrame, k: int = TOP) -
     next to nothing. Equal scores are ordered by chunk.
     """
     asked = queries.select("query_id", F.explode(X.terms("q")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    hits = index.join(asked.select("term").distinct(), "term", "left_semi")
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    asked = written(asked, "asked")
+    hits = written(index.join(asked.select("term").distinct(), "term", "left_semi"), "postings")  # read for counts and for scores
+    df = written(hits.groupBy("term").agg(F.count("*").alias("df")), "df")
     scored = hits.join(asked, "term").join(df, "term").crossJoin(F.broadcast(stats))  # one row of statistics
     idf = F.greatest(F.log((F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
     part = F.col("times") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
@@ -61,43 +68,58 @@ def ranked(rows: DataFrame, order: Column, k: int) -> DataFrame:
 def knn(queries: DataFrame, vectors: DataFrame, k: int = TOP, block: int = QUERY_BLOCK) -> DataFrame:
     """``query_id, chunk_id, distance, rank``: the ``k`` nearest vectors of each query vector, by Euclidean distance, exactly.
 
-    Query vectors go to the tasks in blocks of ``block`` rows; a task multiplies its batches
-    with a block and keeps ``k`` rows per query, so that what is shuffled does not grow with
-    the table but with tasks and queries. Null vectors are never found.
+    Query vectors are written to the shared folder. A task takes its vectors block by block, reads the queries
+    ``block`` rows at a time, and passes on ``k`` rows per query and block of vectors, so that its memory grows
+    with neither table and the vectors are read once. Null vectors are never found. Vectors have one length.
     """
-    spark = queries.sparkSession
-    asked = queries.select("query_id", "embedding").filter("embedding is not null").orderBy("query_id")
-    out, rows = None, asked.toLocalIterator(prefetchPartitions=False)
-    while chunk := [r for _, r in zip(range(block), rows)]:
-        ids = [r["query_id"] for r in chunk]
-        shared = spark.sparkContext.broadcast((ids, np.array([r["embedding"] for r in chunk], np.float64)))
-        near = vectors.select("chunk_id", "embedding").filter("embedding is not null").mapInArrow(
-            _nearest(shared, k), "query_id long, chunk_id long, distance double"
-        )
-        out = near if out is None else out.union(near)
-    if out is None:
-        return spark.createDataFrame([], "query_id long, chunk_id long, distance double, rank int")
-    return ranked(out, F.col("distance").asc(), k)
-
-
-def _nearest(shared, k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q = shared.value
-        best_d, best_c = np.empty((len(ids), 0)), np.empty((len(ids), 0), np.int64)
+    asked = queries.select("query_id", "embedding").filter("embedding is not null")
+    folder = new_shared_path(queries.sparkSession, "query-vectors")
+    asked.write.parquet(folder)
+    kind = asked.schema["query_id"].dataType.simpleString()
+    slim = vectors.select("chunk_id", "embedding").filter("embedding is not null")
+    near = slim.mapInArrow(_nearest(folder, k, block), f"query_id {kind}, chunk_id long, distance double")
+    return ranked(near, F.col("distance").asc(), k)
+
+
+def _vectors(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def _nearest(folder: str, k: int, block: int):
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        held: list[pa.RecordBatch] = []
         for b in batches:
-            if not len(b):
+            held.append(b)
+            if sum(map(len, held)) >= VECTOR_BLOCK:
+                yield pa.Table.from_batches(held)
+                held = []
+        if held:
+            yield pa.Table.from_batches(held)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = open_store(folder)
+        for vectors in blocks(batches):
+            if not len(vectors):
                 continue
-            names = b.column(0).to_numpy(zero_copy_only=False)
-            x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(names), -1)
-            d = np.stack([np.sqrt(((x - v) ** 2).sum(axis=1)) for v in q])
-            d, c = np.hstack([best_d, d]), np.hstack([best_c, np.tile(names, (len(ids), 1))])
-            d_, c_ = np.round(d, 9), c
-            order = np.lexsort((c_, d_), axis=1)[:, :k]
-            best_d, best_c = np.take_along_axis(d_, order, 1), np.take_along_axis(c_, order, 1)
-        n = best_d.shape[1]
-        if n:
-            cols = (np.repeat(np.array(ids, np.int64), n), best_c.ravel(), best_d.ravel())
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["query_id", "chunk_id", "distance"])
+            names = vectors.column(0).to_numpy()
+            x = _vectors(vectors.column(1).combine_chunks())
+            squares = (x**2).sum(axis=1)
+            for asked in pyarrow.dataset.dataset(root, filesystem=store, format="parquet").to_batches(batch_size=block):
+                if not len(asked):
+                    continue
+                q = _vectors(asked.column(1))
+                rough = squares - 2 * (q @ x.T)  # the order of distances, but for rounding
+                some = min(k, len(names))
+                limit = np.partition(rough, some - 1, axis=1)[:, some - 1]
+                slack = 1e-6 * (1 + np.abs(limit) + (q**2).sum(axis=1))
+                row, at = np.nonzero(rough <= (limit + slack)[:, None])  # all that may be among the k, ties included
+                d = np.round(np.sqrt(((x[at] - q[row]) ** 2).sum(axis=1)), 9)
+                order = np.lexsort((names[at], d, row))
+                row, at, d = row[order], at[order], d[order]
+                first = np.searchsorted(row, row)  # where the query's rows begin
+                kept = np.arange(len(row)) - first < k
+                cols = [asked.column(0).take(pa.array(row[kept])), pa.array(names[at[kept]]), pa.array(d[kept])]
+                yield pa.RecordBatch.from_arrays(cols, names=["query_id", "chunk_id", "distance"])
 
     return run
 
@@ -105,11 +127,13 @@ def _nearest(shared, k: int):
 def fuse(rankings: Sequence[DataFrame], key: str = "chunk_id", k: int = RRF_K) -> DataFrame:
     """Reciprocal rank fusion of rankings (``query_id, key, rank``): ``query_id, key, rrf, first_pos``.
 
-    ``first_pos`` is the place in which a row first appears, list by list: it breaks ties.
+    A ranking with a ``variant`` holds one list for each. ``first_pos`` is the place in which a row first appears,
+    list by list: it breaks ties.
     """
     rows = None
     for i, r in enumerate(rankings):
-        part = r.select("query_id", key, "rank", F.lit(i).alias("list_no"))
+        variant = F.col("variant") * len(rankings) if "variant" in r.columns else F.lit(0)
+        part = r.select("query_id", key, "rank", (variant + i).alias("list_no"))
         rows = part if rows is None else rows.union(part)
     return rows.groupBy("query_id", key).agg(
         F.round(F.sum(1.0 / (F.col("rank") + k)), 12).alias("rrf"), F.min(F.col("list_no") * 1_000_000 + F.col("rank")).alias("first_pos")
@@ -194,20 +218,28 @@ def collapsed(pool: DataFrame) -> DataFrame:
 
 def search(
     queries: DataFrame, chunks: DataFrame, sections: DataFrame, refs: DataFrame | None = None, vectors: DataFrame | None = None,
-    filters: Filters = Filters(), top_k: int = 8, balance: bool = False, rerank=None, index: DataFrame | None = None,
+    filters: Filters = Filters(), top_k: int = 8, balance: bool = False, rerank=None, index: DataFrame | None = None, meta_col: str | None = None,
 ) -> DataFrame:
     """Hybrid retrieval of a table of queries (``query_id, q`` and, with ``vectors``, ``embedding``).
 
-    Retrievers, fusion, filters, pool, optional rerank (``rerank(query, text)`` as a column
+    A query may come in several ``variant`` rows, 0 being the query itself and the others its paraphrases: the rankings
+    of all are fused. Then come filters, pool, optional rerank (``rerank(query, text)`` as a column
     function), collapse to sections, ancestor drop, ``top_k``, and one hop of references.
-    Returns ``query_id, rank, section_id, path, chunk_id, score, status, referenced_by``.
+    Returns ``query_id, rank, corpus, section_id, path, chunk_id, score, status, referenced_by``.
+    ``meta_col`` is the column of ``chunks`` that ``index`` also covers.
     """
     k = TOP_FILTERED if filters.location or filters.versions is not None else TOP
-    index = index if index is not None else postings(chunks)
-    lists = [bm25(queries, index, corpus_stats(chunks), k)]
+    index = index if index is not None else postings(chunks, meta_col=meta_col)
+    lists, said = [], queries.select("query_id", "q")
+    if "variant" in queries.columns:
+        said = queries.filter("variant = 0").select("query_id", "q")
+        queries = queries.withColumn("query_id", F.struct("query_id", "variant"))
     if vectors is not None:
-        lists.insert(0, knn(queries, vectors, k))
-    fused = fuse(lists).join(queries.select("query_id", "q"), "query_id")
+        lists.append(knn(queries, vectors, k))
+    lists.append(bm25(queries, index, corpus_stats(chunks, meta_col=meta_col), k))
+    if "variant" in queries.columns:
+        lists = [r.select(F.col("query_id.query_id").alias("query_id"), "chunk_id", "rank", F.col("query_id.variant").alias("variant")) for r in lists]
+    fused = written(fuse(lists), "fused").join(said, "query_id")
     rows = in_force(fused.join(chunks, "chunk_id").filter(passes(filters)), filters)
     if filters.short_codes:
         rows = with_codes(rows)
@@ -223,25 +255,27 @@ def search(
     hits = hits.withColumn("top", F.max("score").over(W.partitionBy("query_id"))).withColumn("rank", F.row_number().over(order))
     low = 0.02 if rerank else 0.01
     hits = hits.filter(F.col("rank") <= top_k).withColumn("status", F.when(F.col("top") < low, "low_confidence").otherwise("ok"))
-    out = hits.select("query_id", "rank", "section_id", "path", "chunk_id", "score", "status", F.lit(None).cast("string").alias("referenced_by"))
+    hits = written(hits.select("query_id", "rank", "corpus", "section_id", "path", "chunk_id", "score", "status"), "hits")
+    out = hits.withColumn("referenced_by", F.lit(None).cast("string"))
     if refs is None:
         return out
-    more = graph.expand_once(hits, refs, sections).join(sections.select("section_id", "path", "edition"), "section_id")
+    more = graph.expand_once(hits, refs, sections).join(sections.select("corpus", "section_id", "path", "edition"), ["corpus", "path", "section_id"])
     more = in_force(more, filters)
     last = hits.groupBy("query_id").agg(F.max("rank").alias("n"), F.first("status").alias("status"))
     more = more.join(last, "query_id").select(
-        "query_id", (F.col("n") + F.col("ref_rank")).alias("rank"), "section_id", "path", F.lit(None).cast("long").alias("chunk_id"), "score", "status", "referenced_by"
+        "query_id", (F.col("n") + F.col("ref_rank")).alias("rank"), "corpus", "section_id", "path", F.lit(None).cast("long").alias("chunk_id"), "score", "status", "referenced_by"
     )
     return out.unionByName(more)
 
 
 def fuse_probes(results: DataFrame, top_k: int, k: int = RRF_K) -> DataFrame:
-    """Sections over several probes of a question (``question_id, probe_no, section_id, rank, score``): fused, best copy kept."""
-    per = results.groupBy("question_id", "section_id").agg(
-        F.round(F.sum(1.0 / (F.col("rank") + k)), 12).alias("rrf"), F.max("score").alias("score"), F.min(F.struct("probe_no", "rank")).alias("first")
-    )
+    """Sections over several probes of a question (``question_id, probe_no, section_id, rank, score`` and other columns): fused, the copy with the best score kept."""
+    keys = [c for c in ("question_id", "corpus", "path", "section_id") if c in results.columns]
+    others = [c for c in results.columns if c not in (*keys, "probe_no", "rank", "score")]
+    best = F.min_by(F.struct("score", *others), F.struct(-F.col("score"), "probe_no", "rank"))
+    per = results.groupBy(*keys).agg(F.round(F.sum(1.0 / (F.col("rank") + k)), 12).alias("rrf"), best.alias("best"), F.min(F.struct("probe_no", "rank")).alias("first"))
     order = W.partitionBy("question_id").orderBy(F.col("rrf").desc(), "first", "section_id")
-    return per.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_k).drop("first")
+    return per.select(*keys, "rrf", "best.*", F.row_number().over(order).alias("rank")).filter(F.col("rank") <= top_k)
 
 
 def probes(plans: DataFrame, most: int = 8) -> DataFrame:

@@ -22,7 +22,7 @@ _BM25 = f"""{_POSTINGS}, q AS (SELECT item_id AS query_id, term, count(*) AS tim
 
 def _ranked(spark, d):
     docs = tables.docs(spark, d)
-    return docs, search.bm25(tables.asked(spark, d), search.postings(docs), search.corpus_stats(docs))
+    return docs, written(search.bm25(tables.asked(spark, d), search.postings(docs), search.corpus_stats(docs)), "bm25")
 
 
 @query("a15_term_statistics", f"WITH {_POSTINGS} SELECT term, df, cast(sum(tf) AS bigint) AS total FROM p JOIN df USING (term) GROUP BY ALL")
@@ -186,10 +186,11 @@ def full_search(spark, d):
     docs = tables.docs(spark, d).withColumn("section_id", F.col("source"))
     docs = docs.withColumn("path", F.col("jurisdiction"))
     sections = written(docs.select("corpus", "path", "section_id", F.lit(None).cast("string").alias("parent_section_id"), "edition").dropDuplicates(["path", "section_id"]), "sections")
-    s = sections.select("section_id").distinct()
     number = F.regexp_extract("section_id", r"\d+", 0).cast("int")
-    refs = s.select(F.col("section_id").alias("src_section_id"), F.lit("next").alias("dst_raw"), F.concat(F.lit("src"), ((number + 1) % 20).cast("string")).alias("dst_section_id"))
-    return search.search(tables.asked(spark, d), docs, sections, refs, filters=search.Filters(location="north-carolina"), balance=True)
+    to = F.concat(F.lit("src"), ((number + 1) % 20).cast("string"))
+    refs = sections.select("corpus", "path", F.col("section_id").alias("src_section_id"), F.lit("next").alias("dst_raw"), F.col("path").alias("dst_path"), to.alias("dst_section_id"))
+    found = search.search(tables.asked(spark, d), docs, sections, refs, filters=search.Filters(location="north-carolina"), balance=True)
+    return found.withColumn("score", F.round("score", 8)).drop("corpus")
 
 
 @query(

@@ -9,12 +9,14 @@ whose executors would not see it, gets an error.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 _fallback: list[str] = []
@@ -79,6 +81,11 @@ def scratch(spark: SparkSession, name: str) -> Iterator[None]:
         folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def open_store(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path in the shared folder, for tasks that read or write files there, and the path in it."""
+    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else os.path.abspath(path))
+
+
 def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Send Arrow batches of ``rows`` rows to Python, unless the session names a number of its own.
 

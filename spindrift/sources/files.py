@@ -5,11 +5,11 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from spindrift.functions import text as X
 
@@ -17,20 +17,30 @@ from spindrift.functions import text as X
 TEXT_ENDINGS = (".txt", ".md", ".markdown", ".rst", ".csv", ".log", ".json", ".xml", ".html", ".htm")
 ENDINGS = (*TEXT_ENDINGS, ".pdf", ".docx", ".doc")
 MAX_BYTES = 100 * 1024 * 1024
+RATINGS, CORPUS_NAME = ("good", "bad", "clear"), r"[a-z0-9][a-z0-9_\-]*"
 GOLDEN = "q string, expect array<string>, expect_cite array<string>, expect_answer array<string>, note string"
 
 
+def _load(spark: SparkSession, folder: str, endings: tuple[str, ...] = ()) -> DataFrame:
+    """The files below a folder, or those with one of the endings, in whatever case: only these are opened."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    if endings:
+        any_case = lambda e: "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e)
+        reader = reader.option("pathGlobFilter", "{" + ",".join(f"*{any_case(e)}" for e in endings) + "}")
+    return reader.load(folder)
+
+
 def corpus_files(spark: SparkSession, folder: str, corpus: str) -> DataFrame:
-    """``corpus, path, basename, ext, size, modified`` of all files below a folder but hidden and underscored ones."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).drop("content")
-    return entries(found, folder, corpus)
+    """``corpus, path, size, modified, basename, ext`` of all files below a folder but hidden and underscored ones."""
+    return entries(_load(spark, folder).drop("content"), folder, corpus)
 
 
 def entries(found: DataFrame, folder: str, corpus: str) -> DataFrame:
-    root = F.lit(folder.rstrip("/") + "/")
+    """Rows of the file listing (with ``content``, if they have it) under their paths below the folder."""
     at = F.instr(F.col("path"), folder.rstrip("/") + "/")
-    rel = F.when(at > 0, F.substring(F.col("path"), at + F.length(root), F.length("path"))).otherwise(F.col("path"))
-    rows = found.select(F.lit(corpus).alias("corpus"), rel.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+    rel = F.when(at > 0, F.substring(F.col("path"), at + len(folder.rstrip("/")) + 1, F.length("path"))).otherwise(F.col("path"))
+    content = ["content"] if "content" in found.columns else []
+    rows = found.select(F.lit(corpus).alias("corpus"), rel.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), *content)
     rows = rows.withColumn("basename", F.substring_index("path", "/", -1)).withColumn("ext", X.extension("basename"))
     hidden = F.col("basename").rlike("^[._]") | F.col("path").rlike(r"(^|/)\.")
     return rows.filter(~hidden)
@@ -50,15 +60,32 @@ def skipped(files: DataFrame) -> DataFrame:
     return files.withColumn("reason", skip_reason()).filter("reason is not null")
 
 
-def read_text(spark: SparkSession, folder: str, corpus: str) -> DataFrame:
-    """``corpus, path, text, sha256, size`` of the text and old word files of a folder."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    rows = entries(raw, folder, corpus)
-    at = F.instr(F.col("path"), folder.rstrip("/") + "/")
-    content = raw.select(F.substring(F.col("path"), at + len(folder.rstrip("/")) + 1, F.length("path")).alias("path"), "content")
-    rows = eligible(rows).filter(F.col("ext").isin(*TEXT_ENDINGS, ".doc")).join(content, "path")
+def read_files(spark: SparkSession, folder: str, corpus: str, pdf_pages: Callable[[bytes], list[str]] | None = None) -> DataFrame:
+    """``corpus, path, ext, size, sha256, text, pages, reason`` of all files of a folder, by type.
+
+    Text, HTML, old and new word files give ``text``, as it is in the file; PDF files give ``pages``, by the provider. ``reason`` says
+    why a file has neither: its ending, its size, or that there is no reader of pages. Each file is opened once,
+    in the tasks, and files that are not read are only listed.
+    """
+    columns = ("corpus", "path", "ext", "size", "sha256", "text", "pages", "reason")
+    none = lambda kind: F.lit(None).cast(kind)
+
+    def read(endings: tuple[str, ...]) -> DataFrame:
+        found = entries(_load(spark, folder, endings).filter(F.col("length") <= MAX_BYTES), folder, corpus)
+        return found.withColumn("sha256", F.sha2("content", 256)).withColumn("reason", none("string"))
+
     text = F.when(F.col("ext") == ".doc", X.legacy_doc_text(F.col("content"))).otherwise(X.decode_text(F.col("content")))
-    return rows.select("corpus", "path", "ext", X.sanitize_ascii(text).alias("text"), F.sha2("content", 256).alias("sha256"), "size")
+    plain = read((*TEXT_ENDINGS, ".doc")).withColumn("text", text).withColumn("pages", none("array<string>"))
+    word = read((".docx",)).withColumn("text", docx_column("content")).withColumn("pages", none("array<string>"))
+    out = plain.select(*columns).unionByName(word.select(*columns))
+    paper = read((".pdf",))
+    if pdf_pages is None:
+        paper = paper.withColumn("pages", none("array<string>")).withColumn("reason", F.lit("no_reader"))
+    else:
+        paper = with_pages(paper, pdf_pages)
+    out = out.unionByName(paper.withColumn("text", none("string")).select(*columns))
+    left = skipped(corpus_files(spark, folder, corpus)).withColumns({"sha256": none("string"), "text": none("string"), "pages": none("array<string>")})
+    return out.unionByName(left.select(*columns))
 
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -83,21 +110,25 @@ def docx_text(content: bytes) -> str:
     return "\n".join(out)
 
 
+@F.pandas_udf(T.StringType())
+def docx_column(content: pd.Series) -> pd.Series:
+    return content.map(docx_text)
+
+
 def with_pages(files: DataFrame, pages_of: Callable[[bytes], list[str]]) -> DataFrame:
-    """``corpus, path, pages`` of files with ``content``, by a provider such as a PDF reader; a file it cannot read has none."""
+    """``files`` (with ``content``) and ``pages``, by a provider such as a PDF reader; a file it cannot read has none."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pages = []
-            for content in pdf["content"]:
-                try:
-                    pages.append(pages_of(content))
-                except ValueError:
-                    pages.append([])
-            yield pd.DataFrame({"corpus": pdf["corpus"], "path": pdf["path"], "pages": pages})
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def read(contents: pd.Series) -> pd.Series:
+        out = []
+        for content in contents:
+            try:
+                out.append(list(pages_of(content)))
+            except ValueError:
+                out.append([])
+        return pd.Series(out)
 
-    found = files.mapInPandas(run, "corpus string, path string, pages array<string>")
-    return found.withColumn("pages", F.transform("pages", X.sanitize_ascii))
+    return files.withColumn("pages", read("content"))
 
 
 def golden_set(spark: SparkSession, path: str) -> DataFrame:
@@ -113,6 +144,10 @@ def feedback_log(spark: SparkSession, path: str, streaming: bool = False) -> Dat
 
 
 def append_log(rows: DataFrame, path: str) -> None:
+    """Append ratings; nothing is written if one of them is none of RATINGS or its corpus is no name."""
+    bad = ~F.coalesce(F.col("rating").isin(*RATINGS) & F.col("corpus").rlike(f"^(?:{CORPUS_NAME})$"), F.lit(False))
+    if not rows.filter(bad).isEmpty():
+        raise ValueError(f"a rating is one of {', '.join(RATINGS)}, of a named corpus")
     rows.write.mode("append").json(path)
 
 

@@ -6,7 +6,7 @@ import re
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from spindrift.functions import text as X
 
@@ -150,3 +150,115 @@ def without_lines(text: Column | str, patterns: list[str]) -> Column:
     """Text without blank lines and lines that match a pattern."""
     lines = F.transform(F.split(X.text_of(text), "\n"), lambda x: F.trim(x))
     return F.array_join(F.filter(lines, lambda x: (x != "") & ~x.rlike("|".join(f"(?:{p})" for p in patterns))), "\n")
+
+
+def _plain(c: Column) -> Column:
+    """Without tags, white space as one space."""
+    return F.trim(F.regexp_replace(F.regexp_replace(c, r"<[^>]+>", " "), r"\s+", " "))
+
+
+def entity_field(html: Column | str, name: str) -> Column:
+    """Text of the first item of a named field of a landing page; empty if there is none."""
+    return _plain(F.regexp_extract(X.text_of(html), rf"(?s)field--name-{re.escape(name)}.*?field--item[^>]*>\s*(.*?)\s*</div>", 1))
+
+
+def landing_fields(html: Column | str) -> Column:
+    """Title, date of publication and edition of a document's landing page, as a struct."""
+    h1 = F.regexp_extract(X.text_of(html), r"(?s)<h1[^>]*>(.*?)</h1>", 1)
+    title = F.trim(F.regexp_replace(F.regexp_replace(h1, r"<[^>]+>", ""), r"\s+", " "))
+    published = F.trim(F.regexp_replace(entity_field(html, "document-entity-pub-date"), r"^First Published\s*", ""))
+    return F.struct(title.alias("title"), published.alias("pub_date"), entity_field(html, "document-entity-terms").alias("edition"))
+
+
+def interpretation_fields(text: Column | str) -> Column:
+    """Edition, kind of code, section and date of the head of an interpretation, as a struct; null where it does not say."""
+    said = lambda p, k: F.nullif(F.trim(F.regexp_extract(X.text_of(text), p, k)), F.lit(""))
+    code = r"\bCode:\s*((?:19|20)\d{2})\s+([A-Za-z /]+?Code)\b"
+    return F.struct(
+        said(code, 1).alias("edition"), said(code, 2).alias("code_type"), said(r"\bSection:\s*([A-Z]{0,3}\d[\w.\-]*(?:\.\d+)*)", 1).alias("section"),
+        said(r"\bDate:\s*([A-Za-z]+ \d{1,2},? \d{4})", 1).alias("date"),
+    )
+
+
+def likely_section(title: Column | str, text: Column | str) -> Column:
+    """The section that a title or the first 400 characters of a text name: a code's, else a statute's; empty if none."""
+    head = F.left(X.text_of(text), F.lit(400))
+    code = lambda c: F.nullif(F.regexp_extract(c, r"\b([A-Z]\d{2,4}(?:\.\d+)+)\b", 1), F.lit(""))
+    statute = F.regexp_extract(F.concat_ws(" ", X.text_of(title), head), r"\b(160D-\d{3,4})\b", 1)
+    return F.coalesce(code(X.text_of(title)), code(head), statute)
+
+
+def new_links(pages: DataFrame, most: int = 40) -> DataFrame:
+    """``url, page_no`` of a paged listing (``page_no, html``): each link where it is first met, up to the first page without a new one."""
+    met = pages.filter(F.col("page_no") < most).select("page_no", F.posexplode(links("html")).alias("pos", "url"))
+    first = met.groupBy("url").agg(F.min(F.struct("page_no", "pos")).alias("at"))
+    fresh = first.select(F.col("at.page_no").alias("page_no")).distinct()
+    every = pages.filter(F.col("page_no") < most).select("page_no").distinct()
+    end = every.join(fresh, "page_no", "left_anti").agg(F.coalesce(F.min("page_no"), F.lit(most)).alias("end"))
+    return first.crossJoin(F.broadcast(end)).filter("at.page_no < end").select("url", F.col("at.page_no").alias("page_no"))  # one row
+
+
+#: Places of a page's main content, in order of preference, and elements without any.
+MAIN_PLACES = ("main", "#displayBody", ".pageContent", "#ContentPlaceHolder1", "div[role=main]", ".contentArea")
+NO_CONTENT = ("script", "style", "noscript", "nav", "header", "footer", "form", "iframe", "svg", "button")
+MAIN_LEAST = 200
+
+
+def _is_place(place: str, tag: str, a: dict) -> bool:
+    if place[0] == "#":
+        return a.get("id") == place[1:]
+    if place[0] == ".":
+        return place[1:] in (a.get("class") or "").split()
+    return tag == "div" and a.get("role") == "main" if "[" in place else tag == place
+
+
+class _Places(HTMLParser):
+    """Collects the text of the first element of each of MAIN_PLACES, and that of the body, without NO_CONTENT."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.texts: dict[str, list[str]] = {"body": []}
+        self.open: list[tuple[str, list[str]]] = []
+        self.ignore = 0
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag in _VOID:
+            return self.handle_data("\n")
+        if tag in NO_CONTENT:
+            self.ignore += 1
+        a = dict(attrs)
+        mine = [p for p in MAIN_PLACES if p not in self.texts and _is_place(p, tag, a)] if not self.ignore else []
+        self.texts.update((p, []) for p in mine)
+        self.open.append((tag, mine))
+        self.handle_data("\n")
+
+    def handle_endtag(self, tag: str) -> None:
+        if all(t != tag for t, _ in self.open):
+            return
+        while self.open:
+            t, _ = self.open.pop()
+            self.ignore -= t in NO_CONTENT
+            if t == tag:
+                break
+        self.handle_data("\n")
+
+    def handle_data(self, data: str) -> None:
+        if not self.ignore:
+            self.texts["body"].append(data)
+            for _, mine in self.open:
+                for p in mine:
+                    self.texts[p].append(data)
+
+
+@F.pandas_udf(T.StringType())
+def main_content(pages: pd.Series) -> pd.Series:
+    """Lines of the page's main content: the first of MAIN_PLACES with more than MAIN_LEAST characters, else the body."""
+    out = []
+    for page in pages:
+        p = _Places()
+        p.feed(page or "")
+        p.close()
+        texts = (_clean("".join(p.texts[x])) for x in (*MAIN_PLACES, "body") if x in p.texts)
+        texts = [(t, len(" ".join(t.split()))) for t in texts]
+        out.append(next((t for t, n in texts[:-1] if n > MAIN_LEAST), _clean("".join(p.texts["body"]))))
+    return pd.Series(out)

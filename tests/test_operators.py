@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from spindrift.functions import answers as A, facets, text as X
 from spindrift.operators import chunking, evaluate, graph, index_store, search
+from spindrift.settings import Settings
 from spindrift.sources import files, html
 from spindrift.streaming import logs
 
@@ -94,7 +95,7 @@ def test_text_functions(spark):
     assert tuple(one(spark, X.split_heading("t"), t="General words")) == (None, "General words")
     assert one(spark, X.short_codes("t"), t="R705 in Durham, NC for $20,000 (160D-1110) 'A1'.") == ["R705", "A1"]
     assert one(spark, X.safe_name("t"), t="../a b/c d?.pdf") == "c_d_.pdf"
-    assert one(spark, X.source_label("t"), t="x: y z ") == "y z" and one(spark, X.source_label("t"), t="xy") == "xy"
+    assert one(spark, X.source_label("t"), t="2024 North Carolina State Building Code: Fire Code ") == "NC 2024 Fire Code" and one(spark, X.source_label("t"), t="x: y") == "x: y"
     assert one(spark, X.extension("t"), t="A.B.PDF") == ".pdf" and one(spark, X.extension("t"), t=".hidden") == ""
     assert one(spark, X.html_meta("t", "book"), t=PAGE) == "B & C"
     assert one(spark, X.clean_lines("t"), t="a &amp;  b&#10;\n &eacute;&nbsp;") == "a & b\né"
@@ -258,21 +259,33 @@ def test_evaluation_alternatives(spark):
 
 def test_store_builds_purges_and_keeps_old_state(spark, tmp_path):
     store = index_store.IndexStore(spark, str(tmp_path / "index"))
-    assert not store.exists() and store.version("files") == 0
-    old = spark.createDataFrame([("c", "a", "1"), ("c", "b", "2"), ("d", "a", "3")], "corpus string, path string, sha256 string")
-    store.commit({"files": old})
-    now = spark.createDataFrame([("c", "a", "1"), ("c", "b", "X"), ("c", "n", "4")], "corpus string, path string, sha256 string")
+    assert not store.exists() and store.corpora() == []
+    schema = "corpus string, path string, sha256 string"
+    old, other = spark.createDataFrame([("c", "a", "1"), ("c", "b", "2")], schema), spark.createDataFrame([("d", "a", "3")], schema)
+    store.commit("c", {"files": old})
+    store.commit("d", {"files": other})
+    now = spark.createDataFrame([("c", "a", "1"), ("c", "b", "X"), ("c", "n", "4")], schema)
     change = index_store.changes(now, store.read("files"))
     assert {(r.corpus, r.path): r.action for r in change.collect()} == {("c", "a"): "same", ("c", "b"): "changed", ("c", "n"): "new", ("d", "a"): "gone"}
-    touched = change.filter("action <> 'same'")
-    store.commit({"files": index_store.replaced(store.read("files"), now.join(touched, ["corpus", "path"], "left_semi"), touched)})
-    assert index_store.changes(now, store.read("files")).filter("action <> 'same'").count() == 0
+    touched = change.filter("action <> 'same' and corpus = 'c'")
+    store.commit("c", {"files": index_store.replaced(store.read("files", "c"), now.join(touched, ["corpus", "path"], "left_semi"), touched)})
+    assert index_store.changes(now, store.read("files", "c")).filter("action <> 'same'").count() == 0
     store.purge(now.filter("path <> 'n'"))
-    assert [r.path for r in store.read("files").collect()] == ["n"] and store.version("files") == 3 and not store.schema_outdated()
+    assert [(r.corpus, r.path) for r in store.read("files").orderBy("corpus").collect()] == [("c", "n"), ("d", "a")] and not store.schema_outdated("c")
+    store.purge(now)  # the last row of the corpus
+    assert store.read("files", "c").count() == 0 and store.read("files", "c").columns == ["corpus", "path", "sha256"] and store.read("files").count() == 1
+    assert sorted(p.name for p in (tmp_path / "index/files/corpus=c").iterdir()) == ["v3", "v4"]
     with pytest.raises(FileNotFoundError):
         store.read("chunks")
     with pytest.raises(ValueError):
         index_store.check_corpus("../etc")
+    chunks = lambda *rows: spark.createDataFrame(list(rows), "text string, embedding array<float>")
+    index_store.check_chunks(chunks(("a", [1.0]), ("b", [2.0])))
+    for bad in (("", [1.0]), ("b", None), ("b", [1.0, 2.0])):
+        with pytest.raises(ValueError):
+            index_store.check_chunks(chunks(("a", [1.0]), bad))
+    rows = spark.createDataFrame([("c", "p", "s", 0, "x"), ("c", "p", "s", 0, "y"), ("c", "p", "s", 1, "x")], "corpus string, path string, section_id string, piece_no int, text string")
+    assert sorted((r.piece_no, r.text) for r in index_store.one_each(rows, "chunks").collect()) == [(0, "y"), (1, "x")]
 
 
 def test_files_of_a_folder(spark, tmp_path):
@@ -283,21 +296,73 @@ def test_files_of_a_folder(spark, tmp_path):
     found = files.corpus_files(spark, str(tmp_path), "c")
     assert sorted(r.path for r in found.collect()) == ["a/x.txt", "a/y.md", "b.exe", "c.doc"]
     assert [(r.path, r.reason) for r in files.skipped(found).collect()] == [("b.exe", "excluded_by_ext")]
-    text = {r.path: r.text for r in files.read_text(spark, str(tmp_path), "c").collect()}
-    assert text["a/x.txt"] == "caf?" and text["a/y.md"] == '? "q"' and "plain words" in text["c.doc"]
+    (tmp_path / "d.PDF").write_bytes(b"%PDF- one\fpage")
+    (tmp_path / "e.docx").write_bytes(_docx())
+    rows = {r.path: r for r in files.read_files(spark, str(tmp_path), "c").collect()}
+    assert rows["a/x.txt"].text == "caf\xe9" and rows["a/y.md"].text == "é “q”" and "plain words" in rows["c.doc"].text
+    assert rows["e.docx"].text.startswith("## Top") and (rows["d.PDF"].reason, rows["d.PDF"].pages) == ("no_reader", None) and rows["b.exe"].reason == "excluded_by_ext"
+    rows = {r.path: r for r in files.read_files(spark, str(tmp_path), "c", lambda c: c.decode().split("\f")).collect()}
+    assert len(rows) == 6 and rows["d.PDF"].pages == ["%PDF- one", "page"] and rows["d.PDF"].reason is None
+    log = spark.createDataFrame([("good", "c"), ("clear", "c")], "rating string, corpus string")
+    files.append_log(log, str(tmp_path / "log"))
+    assert files.feedback_log(spark, str(tmp_path / "log")).count() == 2
+    for bad in (("fine", "c"), ("good", "../c"), (None, "c")):
+        with pytest.raises(ValueError):
+            files.append_log(spark.createDataFrame([bad], "rating string, corpus string"), str(tmp_path / "log"))
     golden = tmp_path / "g.jsonl"
     golden.write_text('{"q": "a", "expect": ["x"]}\n\n{"q": "b"}\n')
     assert files.golden_set(spark, str(golden)).count() == 2
 
 
-def test_docx_text():
+def _docx():
     w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
     par = lambda t, s="": f'<w:p><w:pPr>{f"<w:pStyle w:val={chr(34)}{s}{chr(34)}/>" if s else ""}</w:pPr><w:r><w:t>{t}</w:t></w:r></w:p>'
     table = f"<w:tbl><w:tr><w:tc>{par('a')}</w:tc><w:tc>{par('b')}</w:tc></w:tr></w:tbl>"
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
         z.writestr("word/document.xml", f"<w:document {w}><w:body>{par('Top', 'Heading2')}{table}{par('item', 'ListBullet')}{par('text')}</w:body></w:document>")
-    assert files.docx_text(out.getvalue()) == "## Top\n- item\ntext\n| a | b |" and files.docx_text(b"no zip") == ""
+    return out.getvalue()
+
+
+def test_docx_text():
+    assert files.docx_text(_docx()) == "## Top\n- item\ntext\n| a | b |" and files.docx_text(b"no zip") == ""
+
+
+def test_layout_sections(spark):
+    items = [("text", "before", 1, None), ("title", "Code", 1, None), ("section_header", "101 Scope", 1, 1), ("text", "a", 1, None), ("table", "| x |", 2, None),
+             ("section_header", "101.1 More", 2, 2), ("section_header", "102 Next", 2, 1), ("text", None, 2, None), ("text", "b", 3, None)]
+    df = spark.createDataFrame([("c", "f", k, *x) for k, x in enumerate(items)], "corpus string, path string, seq int, label string, text string, page int, level int")
+    got = [(r.section_id, r.section_number, r.section_title, r.parent_section_id, r.own_text, r.has_table, r.page) for r in chunking.layout_sections(df).orderBy("ord").collect()]
+    assert got == [
+        ("sec0001", None, "Code", None, "", False, 1), ("sec0002", "101", "Scope", "sec0001", "a\n| x |", True, 1),
+        ("sec0003", "101.1", "More", "sec0002", "", False, 2), ("sec0004", "102", "Next", "sec0001", "b", False, 2),
+    ]
+
+
+def test_fields_of_crawled_pages(spark):
+    page = '<h1>A <b>guide</b></h1><div class="field--name-document-entity-pub-date x"><div class="field--item">First Published <i>May 1, 2020</i></div></div>'
+    assert tuple(one(spark, html.landing_fields("t"), t=page)) == ("A guide", "May 1, 2020", "")
+    said = "Code: 2012 Residential Code  Date: March 3, 2014 Section: R101.2.2 x"
+    assert tuple(one(spark, html.interpretation_fields("t"), t=said)) == ("2012", "Residential Code", "R101.2.2", "March 3, 2014")
+    assert tuple(one(spark, html.interpretation_fields("t"), t="none")) == (None, None, None, None)
+    for title, text, want in (("2018 NCRC R305.1 Height", "", "R305.1"), ("x", "see E3601.1", "E3601.1"), ("of 160D-1110", "", "160D-1110"), ("x", "y" * 400 + " R1.1", "")):
+        assert one(spark, html.likely_section("a", "b"), a=title, b=text) == want
+    links = lambda *xs: "".join(f'<a href="{x}">' for x in xs)
+    pages = spark.createDataFrame([(0, links("a", "b", "a")), (1, links("b", "c")), (2, links("a")), (3, links("z"))], "page_no int, html string")
+    assert sorted((r.url, r.page_no) for r in html.new_links(pages).collect()) == [("a", 0), ("b", 0), ("c", 1)]
+    long = "words of the page " * 20
+    main = lambda t: one(spark, html.main_content("t"), t=t)
+    assert main(f"<body><nav>menu</nav><main>short</main><div id=displayBody><p>{long}</p></div></body>") == long.strip()
+    assert main(f"<body><nav>menu</nav><div class='x pageContent'>{long}<script>s</script></div>tail") == long.strip()
+    assert main("<body><header>h</header><p>a</p><p>b<br>c</p></body>") == "a\nb\nc" and main(None) == ""
+
+
+def test_settings(tmp_path):
+    path = tmp_path / "s.json"
+    path.write_text('{"A": "file", "B": "", "C": 3}')
+    s = Settings(str(path), {"A": "", "D": "env", "C": "env"})
+    assert [s.get(k, "x") for k in "ABCDE"] == ["file", "x", "env", "env", "x"] and Settings(str(tmp_path / "none"), {}).get("A") is None
+
 
 
 def test_streams(spark, tmp_path):
