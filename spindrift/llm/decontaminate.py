@@ -1,8 +1,7 @@
 """Benchmark decontamination with a generalised suffix automaton of the test items.
 
 The automaton is built over the items' normalised words and sent to every task; its
-size is checked, and a larger benchmark is dealt into several automata that the
-documents pass one after the other. A document's words stream through it, and the
+size is bounded, and a larger benchmark is dealt into several automata. A document's words stream through it, and the
 length of the longest match that ends at each word is tracked. Documents stay where
 they are: there is no shuffle.
 """
@@ -10,19 +9,23 @@ they are: there is no shuffle.
 from __future__ import annotations
 
 import re
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from spindrift.llm import rows as R
 from spindrift.session import bound_batches, written
 
 #: A window is so many consecutive words of an item; a shorter item is one window.
 WINDOW = 10
-#: One automaton takes items of so many bytes of text at most.
-MAX_BYTES = 16 << 20
+#: One automaton takes items of about so many bytes of text, and a pass over the documents so many automata. While it is built, a
+#: mebibyte takes some 100 MB of the driver; then about 12 MB, there and in each worker. A benchmark of more than 16 MB takes more passes.
+MAX_BYTES, PASS = 1 << 20, 16
 
 _KEEP = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -38,52 +41,67 @@ class _Ids(dict):
 
 
 class Automaton:
-    """Suffix automaton of several word sequences.
+    """Suffix automaton of several word sequences, in arrays once it is built.
 
-    ``windows[s]`` names the state of the last WINDOW words of state ``s`` and ``items``
-    the items in which those words occur; ``short[s]`` lists the items of fewer words
+    ``windows[s]`` numbers the last WINDOW words of state ``s`` (0: it has fewer) and ``items_of``
+    gives the items in which those words occur; ``short[s]`` lists the items of fewer words
     (length, item) that are suffixes of ``s``.
     """
 
     def __init__(self, items: Sequence[tuple[str, list[bytes]]], window: int = WINDOW):
         self.window, self.ids = window, _Ids()
         self.next, self.link, self.len = [{}], [-1], [0]
-        ends: list[set[int]] = [set()]
-        whole: dict[int, list[tuple[int, int]]] = {}
         self.names = [name for name, _ in items]
-        pairs: set[tuple[int, int]] = set()
-        self.shortest = window
-        for k, (_, words) in enumerate(items):
-            if not words:
-                continue
-            seq = [self.ids.setdefault(w, len(self.ids)) for w in words]
-            pairs.update(zip(seq, seq[1:]))
-            self.shortest = min(self.shortest, len(seq))
+        seqs = [[self.ids.setdefault(w, len(self.ids)) for w in words] for _, words in items]
+        pairs = {p for seq in seqs for p in zip(seq, seq[1:])}
+        self.shortest = min([window, *(len(seq) for seq in seqs if seq)])
+        for seq in seqs:
             state = 0
             for c in seq:
                 state = self._extend(state, c)
-                ends.extend(set() for _ in range(len(self.len) - len(ends)))
-                ends[state].add(k)
-            if len(seq) < window:
-                whole.setdefault(state, []).append((len(seq), k))
         order = sorted(range(1, len(self.len)), key=self.len.__getitem__)
-        for s in reversed(order):
-            if self.len[self.link[s]] >= window:
-                ends[self.link[s]] |= ends[s]
-        self.windows, self.short = [0] * len(self.len), [()] * len(self.len)
+        windows = [0] * len(self.len)
+        found: list[set[int]] = [set()]
         for s in order:
-            up = self.link[s]
             if self.len[s] >= window:
-                self.windows[s] = self.windows[up] if self.len[up] >= window else s
-            # A clone may have taken the place of a short item's state: look for it by its length.
-            self.short[s] = (*whole.get(s, ()), *self.short[up])
-        self.items = {s: frozenset(ends[s]) for s in set(self.windows) - {0}}
+                up = self.link[s]
+                if self.len[up] < window:
+                    found.append(set())
+                windows[s] = windows[up] if self.len[up] >= window else len(found) - 1
+        whole: dict[int, list[tuple[int, int]]] = {}
+        for k, seq in enumerate(seqs):  # once more through the automaton: which states the items' windows and ends are in
+            state = 0
+            for i, c in enumerate(seq, 1):
+                state = self.next[state][c]
+                if i >= window:
+                    found[windows[state]].add(k)
+            if 0 < len(seq) < window:
+                whole.setdefault(state, []).append((len(seq), k))
+        self.short: dict[int, tuple[tuple[int, int], ...]] = {}
+        for s in order:
+            if here := (*whole.get(s, ()), *self.short.get(self.link[s], ())):
+                self.short[s] = here
+        self.windows = array("i", windows)
+        self.item_starts = array("i", np.cumsum([0, *map(len, found)]).tolist())
+        self.item_list = array("i", [k for f in found for k in sorted(f)])
+        steps = sorted((s << 32 | c, t) for s, following in enumerate(self.next) for c, t in following.items())
+        self.steps, self.targets = array("Q", [k for k, _ in steps]), array("i", [t for _, t in steps])
+        self.link, self.len, self.next = array("i", self.link), array("i", self.len), None
         # Which pairs of words may follow each other, as a bit map: a filter before the automaton.
         self.bits = max(16, (16 * len(pairs)).bit_length())
         self.follows = np.zeros(1 << self.bits, bool)
         if pairs:
             self.follows[self._slot(*np.array(sorted(pairs), np.uint64).T)] = True
 
+    def items_of(self, window: int) -> array:
+        return self.item_list[self.item_starts[window] : self.item_starts[window + 1]]
+
+    def _step(self, state: int, c: int) -> int:
+        """The state after ``c``, or -1."""
+        key = state << 32 | c
+        at = bisect_left(self.steps, key)
+        return self.targets[at] if at < len(self.steps) and self.steps[at] == key else -1
+
     def _slot(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         mixed = (a * np.uint64(0x9E3779B97F4A7C15)) ^ (b * np.uint64(0xC2B2AE3D27D4EB4F))
         return (mixed * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)
@@ -141,18 +159,18 @@ class Automaton:
         for start, stop in self._runs(seq):
             s = n = 0
             for i, c in enumerate(seq[start:stop].tolist(), start):
-                while s and c not in self.next[s]:
+                while (to := self._step(s, c)) < 0 and s:
                     s = self.link[s]
                     n = self.len[s]
-                if c in self.next[s]:
-                    s, n = self.next[s][c], n + 1
+                if to >= 0:
+                    s, n = to, n + 1
                 hit = 0
                 if n >= self.window:
                     hit = self.window
                     if (w := self.windows[s]) not in seen:
                         seen.add(w)
-                        found |= self.items[w]
-                for m, k in self.short[s]:
+                        found.update(self.items_of(w))
+                for m, k in self.short.get(s, ()):
                     if m <= n:
                         hit = max(hit, m)
                         found.add(k)
@@ -168,13 +186,16 @@ class Automaton:
 
 
 def _automata(benchmark: DataFrame, id_col: str, text_col: str, window: int, max_bytes: int) -> Iterator[Automaton]:
-    """Automata of all items, each over at most about ``max_bytes`` of text."""
+    """Automata of all items, each over at most about ``max_bytes`` of text.
+
+    An item goes to the automaton of its hash; the driver holds the items of one at a time.
+    """
     items = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.col(text_col).alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = -(-total // max_bytes)
-    for k in range(max(1, parts)):
+    parts = max(1, -(-total // max_bytes))
+    for k in range(parts):
         mine = items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == k) if parts > 1 else items
-        yield Automaton([(r["id"], words_of(r["text"])) for r in mine.orderBy("id", "text").toLocalIterator()], window)
+        yield Automaton([(r["id"], words_of(r["text"])) for r in mine.orderBy("id", "text").collect()], window)
 
 
 _NAMES = ("n_words", "hit_spans", "hit_items")
@@ -199,36 +220,47 @@ def find_items(
     Null and empty texts have no words; items without words match nothing; repeated items
     and ids count once; empty tables give no hits or no rows.
     """
+    return _passes(docs.drop(*names), benchmark, text_col, item_id, item_text, window, max_bytes, names)
+
+
+def _passes(docs, benchmark, text_col, item_id, item_text, window, max_bytes, names, finish=None) -> DataFrame:
+    """Each pass scans with some of the automata; ``finish`` maps the last one's batches, numbers of words and spans to batches of ``docs``."""
     bound_batches(docs.sparkSession)
-    context = docs.sparkSession.sparkContext
-    out = docs.drop(*names)
-    schema = T.StructType([*out.schema.fields, *map(T.StructField, names, _TYPES)])
-    plain = out.columns
-    first = True
-    for automaton in _automata(benchmark, item_id, item_text, window, max_bytes):
-        if not first:  # one automaton at a time in the tasks' memory
+    plain = docs.columns
+    schema = T.StructType([*docs.schema.fields, *map(T.StructField, names, _TYPES)])
+    automata = _automata(benchmark, item_id, item_text, window, max_bytes)
+    out, some = docs, list(islice(automata, PASS))
+    while some:
+        shared, first, some = docs.sparkSession.sparkContext.broadcast(some), out is docs, list(islice(automata, PASS))
+        if not first:  # the automata of one pass in the tasks' memory
             out = written(out, "op6-part")
-        out = out.mapInArrow(_scanner(context.broadcast(automaton), plain, names, text_col, first), schema)
-        first = False
+        last = finish is not None and not some
+        out = out.mapInArrow(_scanner(shared, plain, names, text_col, first, finish if last else None), docs.schema if last else schema)
     return out
 
 
-def _scanner(shared, plain: list[str], names: tuple[str, str, str], text_col: str, first: bool):
+def _scanner(shared, plain: list[str], names: tuple[str, str, str], text_col: str, first: bool, finish):
+    at = plain.index(text_col)
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = shared.value
         for batch in batches:
             n, spans, items = [], [], []
             old = [None] * len(batch) if first else list(zip(batch.column(len(plain) + 1).to_pylist(), batch.column(len(plain) + 2).to_pylist()))
-            for text, before in zip(batch.column(plain.index(text_col)).to_pylist(), old):
+            for text, before in zip(batch.column(at).to_pylist(), old):
                 words = words_of(text)
-                s, k = automaton.matches(words)
-                hit = {automaton.names[i] for i in k}
-                if before:
-                    s, hit = merged([*map(tuple, before[0]), *s]), hit | set(before[1])
+                hits = [list(map(tuple, before[0]))] if before else []
+                hit = set(before[1]) if before else set()
+                for automaton in shared.value:
+                    s, k = automaton.matches(words)
+                    hits.append(s)
+                    hit.update(automaton.names[i] for i in k)
                 n.append(len(words))
-                spans.append([list(x) for x in s])
+                spans.append([list(x) for x in (hits[0] if len(hits) == 1 else merged(sum(hits, [])))])
                 items.append(sorted(hit))
             cols = [batch.column(i) for i in range(len(plain))]
+            if finish:
+                yield finish(pa.RecordBatch.from_arrays(cols, names=plain), n, spans)
+                continue
             cols += [pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(items, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(cols, names=[*plain, *names])
 
@@ -256,32 +288,30 @@ def without_words(text: str, spans: list[list[int]]) -> str:
     return b"".join([*out, raw[at:]]).decode("utf-8", "surrogatepass")
 
 
-def _hit(spans: str) -> Column:
-    return F.aggregate(F.col(spans), F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
-
-
-def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", most_share: float = 0.5, **options) -> DataFrame:
+def decontaminated(
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", most_share: float = 0.5, item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, max_bytes: int = MAX_BYTES
+) -> DataFrame:
     """The rows of ``docs`` with the benchmark's spans taken out of their text.
 
     Rows whose hit words are more than ``most_share`` of all their words are dropped. Rows without
     a hit come back unchanged, null and empty texts included, and so do all other columns, whatever their
     names. Repeated rows come back repeated; an empty table gives no rows, and an empty benchmark changes nothing.
     """
-    columns = docs.columns
-    n_words, spans, items = R.unused(columns, *_NAMES)
-    found = find_items(docs, benchmark, text_col, names=(n_words, spans, items), **options)
-    kept = found.filter(_hit(spans) <= F.col(n_words) * F.lit(float(most_share)))
+    at = docs.columns.index(text_col)
 
-    @F.pandas_udf("string")
-    def cut(text, spans):
-        return text.combine(spans, lambda t, s: without_words(t, s) if t is not None and len(s) else t)
+    def finish(batch: pa.RecordBatch, n: list[int], spans: list[list[list[int]]]) -> pa.RecordBatch:
+        hit = [sum(b - a for a, b in s) for s in spans]
+        if any(hit):
+            texts = [without_words(t, s) if s else t for t, s in zip(batch.column(at).to_pylist(), spans)]
+            batch = batch.set_column(at, batch.schema.names[at], pa.array(texts, batch.column(at).type))
+        return batch.filter(pa.array([h <= k * most_share for h, k in zip(hit, n)], pa.bool_()))
 
-    return kept.withColumn(text_col, F.when(F.size(spans) > 0, cut(text_col, spans)).otherwise(F.col(text_col))).select(*columns)
+    return _passes(docs, benchmark, text_col, item_id, item_text, window, max_bytes, tuple(R.unused(docs.columns, *_NAMES)), finish)
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` of what find_items returns."""
-    hit = _hit("hit_spans")
+    hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
     return found.select(
         F.col(id_col).alias("doc_id"),
         "n_words",

@@ -101,10 +101,12 @@ def _sketched(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], *_SKETCH]))
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        sets = pa.array([shingles(t).tobytes() for t in b.column(0).to_pylist()], pa.binary())
-        yield pa.RecordBatch.from_arrays([b.column(1), sets], names=["node", "members"])
+_MEMBERS = T.StructType([T.StructField("node", T.LongType()), T.StructField("members", T.BinaryType())])
+
+
+def _sets(b: pa.RecordBatch) -> pa.RecordBatch:
+    sets = pa.array([shingles(t).tobytes() for t in b.column(0).to_pylist()], pa.binary())
+    return pa.RecordBatch.from_arrays([b.column(1), sets], names=_MEMBERS.names)
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,8 +208,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         live = written(placed.join(written(shared, "near-shared").hint("merge"), "band", "left_semi"), "near-shared-bands")
         named = pairs.select(F.col("p").alias("c")).union(pairs.select("q")).union(live.select("node")).distinct()
         about = written(nodes.join(named, F.col("node") == F.col("c"), "left_semi").select("place", F.col("node").alias("value"), "n", "print"), "near-candidates")
-        texts = R.beside(docs.select(F.col(text_col).alias("text")), about.select("place", "value"), "node")
-        sets = written(texts.mapInArrow(_sets, "node long, members binary"), "near-sets")
+        texts = docs.select(F.col(text_col).alias("text"))
+        sets = written(R.beside(texts, about.select("place", "value"), "node", _sets, _MEMBERS), "near-sets")
         links = [_checked(pairs.select("p", F.col("p").alias("a"), "q", F.col("q").alias("b")), sets)]
         live = live.join(about.select(F.col("value").alias("at"), "n", "print"), F.col("node") == F.col("at")).drop("at")
         live = written(_joined(live.withColumn("comp", F.col("node")), links[0]), "near-live")

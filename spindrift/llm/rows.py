@@ -8,8 +8,7 @@ shuffled to drop or repeat some of them, however many decisions there are.
 
 from __future__ import annotations
 
-import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +17,7 @@ from pyarrow import fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from spindrift.session import bound_batches, new_shared_path, written
+from spindrift.session import bound_batches, new_shared_path, open_store, written
 
 #: The name of a row: hash of its file's path, number in the file.
 PLACE = T.StructType([T.StructField("file", T.LongType()), T.StructField("row", T.LongType())])
@@ -26,11 +25,6 @@ PLACE = T.StructType([T.StructField("file", T.LongType()), T.StructField("row",
 FOLDER_ROWS = 1_000_000
 
 
-def open_store(path: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a path in the shared folder, and the path in it."""
-    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else os.path.abspath(path))
-
-
 def unused(columns: list[str], *names: str) -> list[str]:
     """The names, each with as many underscores after it as it takes to be none of the columns."""
     taken = {c.lower() for c in columns}
@@ -64,11 +58,13 @@ def with_place(docs: DataFrame, name: str) -> DataFrame:
     return docs.withColumn(name, _place(docs))
 
 
-def beside(docs: DataFrame, decisions: DataFrame, name: str) -> DataFrame:
+def beside(
+    docs: DataFrame, decisions: DataFrame, name: str, then: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None, schema: T.StructType | None = None
+) -> DataFrame:
     """The rows of ``docs`` (of :func:`in_files`) that ``decisions`` (``place, value`` long, one per place at most) names, and the value.
 
     The decisions are written by hash of the file; a task reads those about the files that
-    it scans, 16 bytes for each of a file's rows.
+    it scans, 16 bytes for each of a file's rows. ``then`` maps the batches further in the same worker, to ``schema``.
     """
     spark = docs.sparkSession
     bound_batches(spark)
@@ -108,6 +104,7 @@ def beside(docs: DataFrame, decisions: DataFrame, name: str) -> DataFrame:
                 there[there] = rows[at[there]] == row[own][there]
                 kept[own], value[own[there]] = there, values[at[there]]
             out = pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(value)], names=[*columns, name])
-            yield out.filter(pa.array(kept))
+            out = out.filter(pa.array(kept))
+            yield then(out) if then else out
 
-    return named.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
+    return named.mapInArrow(run, schema or T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))

@@ -30,8 +30,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from spindrift.llm.rows import open_store
-from spindrift.session import bound_batches, new_shared_path, written
+from spindrift.session import bound_batches, new_shared_path, open_store, written
 
 MAGIC = b"SDTOKEN1"
 BLOCK = 1 << 16
