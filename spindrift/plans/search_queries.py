@@ -171,13 +171,18 @@ def short_code_filter(spark, d):
 
 @query(
     "p09_status",
-    f"""WITH {_BM25} SELECT item_id AS query_id, CASE WHEN max(1.0 / (60 + rank)) IS NULL THEN 'no_results' WHEN max(1.0 / (60 + rank)) < 0.01 THEN 'low_confidence' ELSE 'ok' END AS status
-      FROM benchmark LEFT JOIN (SELECT * FROM bm25 WHERE rank > 40 - query_id % 3) ON item_id = query_id GROUP BY item_id""",
+    f"""WITH {_BM25}, asked AS (SELECT item_id AS query_id, lang FROM benchmark, (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL)),
+        tops AS (SELECT query_id, lang, max(1.0 / (60 + rank)) AS top FROM bm25 JOIN documents ON chunk_id = doc_id GROUP BY ALL)
+      SELECT query_id, lang, CASE WHEN top IS NULL THEN 'no_results' WHEN top < 0.01 THEN 'low_confidence' ELSE 'ok' END AS status FROM asked LEFT JOIN tops USING (query_id, lang)""",
 )
 def status(spark, d):
-    hits = _ranked(spark, d)[1].filter(F.col("rank") > 40 - F.col("query_id") % 3)
-    top = search.fuse([hits]).groupBy("query_id").agg(F.max("rrf").alias("top"))
-    return tables.asked(spark, d).join(top, "query_id", "left").select("query_id", A.status(F.col("top")).alias("status"))
+    """How sure the search of each item is within each language."""
+    docs, hits = _ranked(spark, d)
+    per = hits.join(docs.select("chunk_id", "lang"), "chunk_id").select(F.struct("query_id", "lang").alias("query_id"), "chunk_id", "rank")
+    top = search.fuse([per]).groupBy("query_id").agg(F.max("rrf").alias("top"))
+    languages = docs.filter("lang is not null").select("lang").distinct()
+    asked = tables.asked(spark, d).crossJoin(F.broadcast(languages)).select(F.struct("query_id", "lang").alias("query_id"))  # a handful of languages
+    return asked.join(top, "query_id", "left").select("query_id.*", A.status(F.col("top")).alias("status"))
 
 
 @query("c10_search")
@@ -209,17 +214,18 @@ def probe_fusion(spark, d):
 
 @query(
     "u02_probes",
-    """WITH e AS (SELECT conv_id, turn, trim(left(trim(text), 3)) AS p, row_number() OVER (PARTITION BY conv_id, trim(left(trim(text), 3)) ORDER BY turn) AS rn FROM conversations),
-        k AS (SELECT conv_id, p, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS no FROM e WHERE rn = 1 AND p <> '')
+    r"""WITH e AS (SELECT conv_id, turn, regexp_replace(text, '^\s+|\s+$', '', 'g') AS p FROM conversations), f AS (SELECT *, row_number() OVER (PARTITION BY conv_id, p ORDER BY turn) AS rn FROM e WHERE p <> ''),
+        k AS (SELECT conv_id, p, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS no FROM f WHERE rn = 1)
       SELECT conv_id AS question_id, cast(no AS int) AS probe_no, p AS probe FROM k WHERE no < 4""",
 )
 def probes(spark, d):
-    turns = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.left(F.trim("text"), F.lit(3)).alias("p")))).alias("t"))
-    plans = turns.select(F.col("conv_id").alias("question_id"), F.get("t", F.lit(0))["p"].alias("cleaned_query"), F.transform("t", lambda x: x["p"]).alias("probes"), F.array().cast("array<string>").alias("extras"))
+    """The turns of a conversation as its probes."""
+    turns = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    plans = turns.select(F.col("conv_id").alias("question_id"), F.get("t", F.lit(0))["text"].alias("cleaned_query"), F.transform("t", lambda x: x["text"]).alias("probes"), F.array().cast("array<string>").alias("extras"))
     return search.probes(plans, most=4)
 
 
-_EVAL = f"""{_BM25}, c AS (SELECT item_id AS query_id, lower(left(text, 40)) AS e FROM benchmark),
+_EVAL = f"""{_BM25}, c AS (SELECT item_id AS query_id, lower(text) AS e FROM benchmark),
   h AS (SELECT c.query_id, coalesce(min(CASE WHEN contains(lower(d.text), e) THEN rank END), 0) AS hit_rank FROM c LEFT JOIN (SELECT * FROM bm25 WHERE rank <= 15) b USING (query_id) LEFT JOIN documents d ON b.chunk_id = d.doc_id GROUP BY 1)"""
 
 
@@ -243,7 +249,7 @@ def _hits(spark, d):
     found = hits.filter("rank <= 15").join(docs.select("chunk_id", "text"), "chunk_id").select(
         "query_id", "rank", none.alias("section_number"), none.alias("section_title"), none.alias("breadcrumb"), none.alias("source_file"), "text"
     )
-    cases = tables.asked(spark, d).select("query_id", F.array(F.left("q", F.lit(40))).alias("expect"))
+    cases = tables.asked(spark, d).select("query_id", F.array("q").alias("expect"))
     return evaluate.first_hits(cases, found)
 
 

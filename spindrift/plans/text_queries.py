@@ -226,8 +226,17 @@ def text_chunks(spark, d):
     return chunking.chunk_texts(files).select("path", "piece_no", "section_id", "start_line", "meta", "content_hash", "text")
 
 
-@query("w10_request_batches")
+@query(
+    "w10_request_batches",
+    """WITH RECURSIVE d AS (SELECT doc_id // 1000 AS block, length(text) AS size, row_number() OVER (PARTITION BY doc_id // 1000 ORDER BY doc_id) AS i FROM documents),
+      g AS (SELECT block, i, 0 AS batch_no, 1 AS n, size AS chars FROM d WHERE i = 1
+        UNION ALL SELECT d.block, d.i, CASE WHEN g.n >= 256 OR g.chars + d.size > 500000 THEN g.batch_no + 1 ELSE g.batch_no END,
+          CASE WHEN g.n >= 256 OR g.chars + d.size > 500000 THEN 1 ELSE g.n + 1 END, CASE WHEN g.n >= 256 OR g.chars + d.size > 500000 THEN d.size ELSE g.chars + d.size END
+        FROM g JOIN d ON d.block = g.block AND d.i = g.i + 1)
+      SELECT block, cast(batch_no AS bigint) AS batch_no, max(n) AS n, max(chars) AS chars FROM g GROUP BY block, batch_no""",
+)
 def batches(spark, d):
-    """Requests of at most 256 texts and 500,000 characters, per partition."""
-    rows = chunking.greedy_batches(table(spark, d, "documents").select("doc_id", "text"), "text")
-    return rows.withColumn("part", F.spark_partition_id()).groupBy("part", "batch_no").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+    """Requests of at most 256 texts and 500,000 characters, within blocks of 1,000 ids."""
+    rows = table(spark, d, "documents").select((F.col("doc_id") / 1000).cast("long").alias("block"), "doc_id", "text")
+    rows = chunking.greedy_batches(rows, "text", "block", "doc_id")
+    return rows.groupBy("block", "batch_no").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))

@@ -26,13 +26,13 @@ def first_ratings(stream: DataFrame, ts: str, keys: list[str], late: str) -> Dat
 
 
 def drained(query: DataFrame) -> DataFrame:
-    """Run a streaming query over all that is there and return what it holds, open windows included."""
+    """Run a streaming query in append mode over all that is there and return what it has written to the shared folder.
+
+    A window is written once, when the watermark has passed its end, and leaves the state then; those that are
+    still open stay in the checkpoint for the next run.
+    """
     spark = query.sparkSession
     path = new_shared_path(spark, "stream")
-
-    def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/state")
-
-    running = query.writeStream.outputMode("complete").option("checkpointLocation", f"{path}/checkpoint").foreachBatch(put).trigger(availableNow=True).start()
-    running.awaitTermination()
-    return spark.read.schema(query.schema).parquet(f"{path}/state")
+    sink = query.writeStream.outputMode("append").format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint")
+    sink.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(query.schema).parquet(f"{path}/rows")

@@ -370,9 +370,9 @@ def test_streams(spark, tmp_path):
     spark.createDataFrame(rows, "t string, rating string").selectExpr("cast(t as timestamp) ts", "rating").write.parquet(str(tmp_path / "s"))
     stream = lambda: spark.readStream.schema("ts timestamp, rating string").parquet(str(tmp_path / "s"))
     got = logs.drained(logs.windowed(stream(), "ts", "rating", "1 hour", "10 minutes"))
-    assert sorted(r.n for r in got.collect()) == [3, 3, 3]
-    assert sorted(r.n for r in logs.drained(logs.windowed(stream(), "ts", "rating", "2 hours", "10 minutes", "1 hour")).collect()) == [3, 3, 3, 3, 6]
-    assert sorted(r.n for r in logs.drained(logs.sessions(stream(), "ts", "rating", "45 minutes", "10 minutes")).collect()) == [3, 6]
+    assert sorted(r.n for r in got.collect()) == [3, 3]  # the watermark is 04:40: windows that end later are open
+    assert sorted(r.n for r in logs.drained(logs.windowed(stream(), "ts", "rating", "2 hours", "10 minutes", "1 hour")).collect()) == [3, 3, 6]
+    assert sorted(r.n for r in logs.drained(logs.sessions(stream(), "ts", "rating", "45 minutes", "10 minutes")).collect()) == [6]
 
 
 def test_feedback_and_batches(spark, tmp_path):
@@ -380,5 +380,45 @@ def test_feedback_and_batches(spark, tmp_path):
     for _ in range(2):
         files.append_log(one_row, str(tmp_path / "log"))
     assert files.feedback_log(spark, str(tmp_path / "log")).filter("rating = 'good' and chunk_id is null").count() == 2
-    df = spark.createDataFrame([("x" * n,) for n in (5, 5, 5, 30, 1)], "t string").coalesce(1)
-    assert [r.batch_no for r in chunking.greedy_batches(df, "t", 2, 12).collect()] == [0, 0, 1, 2, 3]
+    df = spark.createDataFrame([(k, i, "x" * n) for k in (1, 2, 3) for i, n in enumerate((5, 5, 5, 30, 1))], "k int, i int, t string").repartition(3)
+    got = chunking.greedy_batches(df, "t", "k", "i", 2, 12).collect()
+    assert sorted((r.k, r.i, r.batch_no) for r in got) == [(k, i, b) for k in (1, 2, 3) for i, b in enumerate([0, 0, 1, 2, 3])]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("ab cd", max_size=200), st.lists(st.sampled_from(["a", "ab", "cd", "d c"]), max_size=3), st.integers(10, 60))
+def test_excerpt_is_the_window_with_most_terms(text, terms, budget):
+    got, flat = A._window(text, terms, budget), " ".join(text.split())
+    hits = [i for t in terms for i in range(len(flat)) if re.compile(re.escape(t)).match(flat, i)]
+    plain = [i for t in terms for i in (m.start() for m in re.finditer(re.escape(t), flat))]
+    assert set(plain) <= set(hits)
+    if len(flat) <= budget:
+        assert got == flat
+    elif not plain:
+        assert got == flat[: budget - 3].rstrip() + "..."
+    else:
+        starts = [max(0, min(h - budget // 5, len(flat) - budget)) for h in sorted(plain)]
+        count = lambda s: sum(s <= h < s + budget for h in plain)
+        best = next(s for s in starts if count(s) == max(map(count, starts)))
+        assert got.strip(".") == flat[best : best + budget].strip() and got.startswith("...") == (best > 0)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text("ab .\n!", max_size=400), st.integers(210, 300))
+def test_windows_end_at_the_last_boundary(text, size):
+    """By looking at every place that a window may end at."""
+    at, want = 0, []
+    while at < len(text) and len(text) > size:
+        stop = min(at + size, len(text))
+        if stop < len(text):
+            ends = range(stop, max(at, stop - chunking.BACK), -1)
+            rank = lambda e: 0 if text[at:e].endswith("\n\n") and e - 2 >= stop - chunking.BACK else 1 if text[e - 2 : e] in chunking.SENTENCE_ENDS and e - 2 >= stop - chunking.BACK else 2 if text[e - 1] == " " else 3
+            best = min(map(rank, ends))
+            stop = stop if best == 3 else next(e for e in ends if rank(e) == best)
+        if text[at:stop].strip():
+            want.append((at, stop, text[at:stop].strip()))
+        if stop >= len(text):
+            break
+        at = stop - size // 8 if stop - size // 8 > at else stop
+    got = chunking.windows(text, size, size // 8)
+    assert got == (want if len(text) > size else [(0, len(text), text)] if text else [])
