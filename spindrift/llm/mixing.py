@@ -18,8 +18,10 @@ from spindrift.llm import rows as R
 from spindrift.session import scratch, written
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Documents in one range of keys: what a task sorts at a time.
+#: Documents in one range of keys, what a task sorts at a time; and ranges in one of the wider ranges that are accumulated first.
 RANGE_ROWS = 1000
+#: Quality weights: bad or toxic, unlabelled, good.
+QUALITIES = (0.5, 1.0, 2.0)
 
 
 def n_words(text: Column) -> Column:
@@ -101,28 +103,28 @@ def mix(
         quality = (
             F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 0.5).when(F.col("quality") == 1, 2.0).otherwise(1.0)
         )
-    keyed = keyed.select("row_id", "doc_id", "source", "size", "tie", (-F.log(uniform(seed, F.col("doc_id"), F.col("tie"))) / quality).alias("key"))
     s = sources.select(F.col("source").alias("s_source"), "source_no", "source_docs", "source_size", "target")
     keyed = keyed.join(s, F.col("source").eqNullSafe(F.col("s_source")))
+    keyed = keyed.withColumn("q", quality).withColumn("key", -F.log(uniform(seed, F.col("doc_id"), F.col("tie"))) / F.col("q"))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
-    ranges = F.ceil(F.col("source_docs") / RANGE_ROWS)
-    keyed = keyed.withColumn("epochs", epochs.cast("long")).withColumn(
-        "part", F.floor((1 - F.exp(-F.col("key"))) * ranges)
-    )
-    keyed = written(keyed.drop("source", "s_source", "source_docs"), "op1-keys")
-
-    # Range sums, accumulated: in one range of each source the budget ends.
-    sums = keyed.groupBy("source_no", "part").agg(
-        F.sum("size").alias("part_size"),
-        F.first(F.col("target") - F.col("epochs") * F.col("source_size")).alias("rest"),
-    )
-    upto = W.partitionBy("source_no").orderBy("part")
-    sums = sums.withColumn("upto", F.sum("part_size").over(upto))
-    ends = sums.withColumn("over", F.col("upto") > F.col("rest"))
-    ends = ends.filter("over").groupBy("source_no").agg(
-        F.min_by(F.struct("part", (F.col("rest") - F.col("upto") + F.col("part_size")).alias("rest")), "part").alias("e")
-    )
-    ends = written(ends.select(F.col("source_no").alias("e_no"), "e.part", "e.rest").withColumnRenamed("part", "e_part"), "op1-ends")
+    keyed = keyed.withColumn("epochs", epochs.cast("long"))
+    keyed = written(keyed.select("row_id", "doc_id", "source_no", "source_docs", "source_size", "target", "size", "tie", "q", "key", "epochs"), "op1-keys")
+
+    # Ranges that hold about as many documents each: by the distribution of the keys of the source's mixture of weights.
+    per = keyed.groupBy("source_no").agg(*[F.avg((F.col("q") == w).cast("double")).alias(f"w{i}") for i, w in enumerate(QUALITIES)])
+    per = written(per.withColumnRenamed("source_no", "w_no"), "op1-weights")
+    below = sum((F.col(f"w{i}") * (1 - F.exp(-w * F.col("key"))) for i, w in enumerate(QUALITIES)), F.lit(0.0))
+    part = F.floor(below * F.ceil(F.col("source_docs") / RANGE_ROWS))
+    keyed = keyed.join(per, F.col("source_no") == F.col("w_no")).withColumn("part", part).drop("w_no", "source_docs", "q", *[f"w{i}" for i in range(len(QUALITIES))])
+
+    # Range sums, accumulated in two steps, ranges of ranges first: in one range of each source the budget ends.
+    rest = F.first(F.col("target") - F.col("epochs") * F.col("source_size")).alias("rest")
+    sums = written(keyed.groupBy("source_no", "part").agg(F.sum("size").alias("n"), rest), "op1-sums").withColumn("wide", F.floor(F.col("part") / RANGE_ROWS))
+    wide = _ending(sums.groupBy("source_no", "wide").agg(F.sum("n").alias("n"), F.first("rest").alias("rest")), "wide")
+    wide = written(wide.select(F.col("source_no").alias("e_no"), F.col("wide").alias("e_wide"), F.col("rest").alias("e_rest")), "op1-wide")
+    inner = sums.join(wide, (F.col("source_no") == F.col("e_no")) & (F.col("wide") == F.col("e_wide"))).withColumn("rest", F.col("e_rest"))
+    ends = _ending(inner.select("source_no", "part", "n", "rest"), "part")
+    ends = written(ends.select(F.col("source_no").alias("e_no"), F.col("part").alias("e_part"), "rest"), "op1-ends")
 
     rows = keyed.join(ends, F.col("source_no") == F.col("e_no"), "left")
     whole = F.col("e_part").isNull() | (F.col("part") < F.col("e_part"))
@@ -155,6 +157,14 @@ def mixed(docs: DataFrame, labels: DataFrame | None = None, **options) -> DataFr
     return rows.withColumn(again, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).select(*columns)
 
 
+def _ending(sums: DataFrame, part: str) -> DataFrame:
+    """``source_no, part, rest``: of sums ``n`` by part, the first part of each source with which ``rest`` is exceeded, and what is left of it there."""
+    upto = F.sum("n").over(W.partitionBy("source_no").orderBy(part))
+    over = sums.withColumn("upto", upto).filter(F.col("upto") > F.col("rest"))
+    end = over.groupBy("source_no").agg(F.min_by(F.struct(part, (F.col("rest") - F.col("upto") + F.col("n")).alias("rest")), part).alias("e"))
+    return end.select("source_no", "e.*")
+
+
 def _fill(last: DataFrame, passes: int = 4) -> DataFrame:
     """Of the last range of each source: the rows that fill its rest, in the order of the keys.
 
