@@ -185,7 +185,29 @@ def status(spark, d):
     return asked.join(top, "query_id", "left").select("query_id.*", A.status(F.col("top")).alias("status"))
 
 
-@query("c10_search")
+_SEARCH = rf"""{_BM25}, r AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM scored QUALIFY rank <= 250),
+  {tables.DOCS}, k AS (SELECT doc_id, text, source, split_part(path, '/', 1) AS j FROM docs),
+  codes AS (SELECT item_id AS query_id, unnest([y FOR y IN [regexp_replace(x, '^[.\-''"]+|[.\-''"]+$', '', 'g') FOR x IN regexp_split_to_array(text, '[\s,;:()\[\]{{}}/]+')]
+    IF regexp_matches(y, '^[A-Z0-9]{{2,8}}$') AND regexp_matches(y, '[A-Z]') AND regexp_matches(y, '[0-9]')]) AS code FROM benchmark),
+  x AS (SELECT r.*, j, source, round(1.0 / (60 + rank), 12) AS rrf, EXISTS (SELECT 1 FROM codes c WHERE c.query_id = r.query_id AND regexp_matches(k.text, concat('', code, ''))) AS hit
+    FROM r JOIN k ON chunk_id = doc_id WHERE j <> 'durham'),
+  y AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, rank, chunk_id) AS pos FROM (SELECT *, bool_or(hit) OVER (PARTITION BY query_id) AS found FROM x) WHERE hit OR NOT found),
+  z AS (SELECT *, row_number() OVER (PARTITION BY query_id, j ORDER BY pos, chunk_id) AS turn, min(pos) OVER (PARTITION BY query_id, j) AS begins FROM y),
+  pool AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY turn, begins, j) AS pool_pos FROM z QUALIFY pool_pos <= 72),
+  c AS (SELECT query_id, j, source, max(rrf) AS score, min(pool_pos) AS pool_pos, arg_min(chunk_id, pool_pos) AS chunk_id FROM pool GROUP BY ALL),
+  h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pool_pos) AS rank, CASE WHEN max(score) OVER (PARTITION BY query_id) < 0.01 THEN 'low_confidence' ELSE 'ok' END AS status FROM c QUALIFY rank <= 8),
+  sec AS (SELECT DISTINCT j, source FROM k),
+  e AS (SELECT query_id, rank, j, h.source AS by_, concat('src', cast((cast(regexp_extract(h.source, '\d+') AS int) + 1) % 20 AS string)) AS dst, status, max(rank) OVER (PARTITION BY query_id) AS n FROM h),
+  f AS (SELECT e.* FROM e JOIN sec ON sec.j = e.j AND sec.source = dst WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.query_id = e.query_id AND h.j = e.j AND h.source = dst)
+    QUALIFY row_number() OVER (PARTITION BY query_id, e.j, dst ORDER BY rank, e.j, by_) = 1),
+  g AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, j, by_, dst) AS ref_rank FROM f QUALIFY ref_rank <= 3)"""
+
+
+@query(
+    "c10_search",
+    f"""WITH {_SEARCH} SELECT query_id, cast(rank AS int) AS rank, source AS section_id, j AS path, chunk_id, round(score, 8) AS score, status, cast(NULL AS string) AS referenced_by FROM h
+      UNION ALL SELECT query_id, cast(n + ref_rank AS int), dst, j, -1, -1.0, status, by_ FROM g""",
+)
 def full_search(spark, d):
     """The whole retrieval of all benchmark items: BM25, filters, balanced pool, collapse to sources, ancestors, one hop of references."""
     docs = tables.docs(spark, d).withColumn("section_id", F.col("source"))
@@ -195,7 +217,7 @@ def full_search(spark, d):
     to = F.concat(F.lit("src"), ((number + 1) % 20).cast("string"))
     refs = sections.select("corpus", "path", F.col("section_id").alias("src_section_id"), F.lit("next").alias("dst_raw"), F.col("path").alias("dst_path"), to.alias("dst_section_id"))
     found = search.search(tables.asked(spark, d), docs, sections, refs, filters=search.Filters(location="north-carolina"), balance=True)
-    return found.withColumn("score", F.round("score", 8)).drop("corpus")
+    return found.withColumns({"score": F.round("score", 8), "chunk_id": F.coalesce("chunk_id", F.lit(-1).cast("long"))}).drop("corpus")
 
 
 @query(
