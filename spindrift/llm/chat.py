@@ -75,9 +75,11 @@ def swapped_answers(turns: DataFrame) -> DataFrame:
     """Rejected sides for the conversations at hand: the last assistant turn says what the next conversation's last one says.
 
     The next conversation is that of the following id; where there is none, the answer is
-    empty. Conversations without an assistant turn come back as they are.
+    empty. Conversations without an assistant turn come back as they are, and so do turns of a null id. Of assistant turns with the
+    same, last number all are swapped, for the greatest text of the next; a null text is an empty answer. Repeated rows come back
+    repeated; an empty table gives no rows; other columns are not read.
     """
-    answers = turns.filter("role = 'assistant'").groupBy("conv_id").agg(
+    answers = turns.filter("role = 'assistant' and conv_id is not null").groupBy("conv_id").agg(
         F.max(F.struct("turn", "text")).alias("last")
     )
     mine = answers.select(F.col("conv_id").alias("m_id"), F.col("last.turn").alias("m_turn"))

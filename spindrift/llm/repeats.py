@@ -22,12 +22,13 @@ import hashlib
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from spindrift.session import new_shared_path, written
+from spindrift.session import scratch, written
 
 LENGTH, GRAM, BLOCK = 200, 32, 64
 #: Blocks that may meet in one task of round 4; where more agree, their strings are counted by Spark one by one.
@@ -306,34 +307,22 @@ def _cut_rows(length: int, keep_text: bool):
     return run
 
 
-def _distinct_texts(docs: DataFrame) -> DataFrame:
-    """``dk, text, copies`` of the distinct texts, bucketed by ``dk``: later joins by ``dk`` don't move texts."""
+@contextmanager
+def _distinct_texts(docs: DataFrame, folder: str) -> Iterator[DataFrame]:
+    """``dk, text, copies`` of the distinct texts, bucketed by ``dk``: later joins by ``dk`` don't move texts. The table is there inside only."""
     spark = docs.sparkSession
     name = f"spindrift_texts_{uuid.uuid4().hex[:12]}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.groupBy("dk").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-    place = new_shared_path(spark, "op9-texts")
-    texts.write.format("parquet").option("path", place).option("compression", "zstd").bucketBy(buckets, "dk").saveAsTable(name)
-    return spark.table(name)
+    try:
+        texts.write.format("parquet").option("path", f"{folder}/texts").option("compression", "zstd").bucketBy(buckets, "dk").saveAsTable(name)
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
-def repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, block: int = BLOCK,
-    most_together: int = MOST_TOGETHER, keep_text: bool = False,
-) -> DataFrame:
-    """One row per input row: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` (and ``kept``, bytes, if asked for).
-
-    Removed is every byte inside a ``length``-byte string of UTF-8 that also starts at another
-    place of any text, the same one included; places are judged on the texts as given.
-    Null text is empty; texts shorter than ``length`` lose nothing; every long text that occurs
-    twice loses all. Repeated rows come back repeated; other columns are not read; an empty
-    table gives no rows.
-    """
-    base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    base = base.withColumn("sha", F.sha2("text", 256)).withColumn("dk", F.unhex(F.substring("sha", 1, 32)))
-    slim = written(base.select("doc_id", "dk", "sha", F.octet_length("text").cast("long").alias("n_bytes")), "op9-docs")
-    texts = _distinct_texts(base.select("dk", "text"))
-
+def _results(texts: DataFrame, length: int, gram: int, block: int, most_together: int, keep_text: bool) -> DataFrame:
+    """``r_dk, n_removed, n_spans, kept_sha256, kept`` of the texts that lose something (``n_removed`` -1: all), and of others that were looked at."""
     # Round 1: anchors that occur once name strings that occur once.
     rows = texts.filter(F.octet_length("text") >= length).select("dk", "text").mapInArrow(
         _anchor_rows(length, gram), "dk binary, anchor long, s long, e long, own boolean"
@@ -393,7 +382,26 @@ def repeats(
     cut = written(cut.join(copied, "dk", "left_anti"), "op9-cut")
     nothing = F.lit(b"") if keep_text else F.lit(None).cast("binary")
     gone = copied.select("dk", F.lit(-1).cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit(b""), 256).alias("kept_sha256"), nothing.alias("kept"))
-    results = written(cut.union(gone).withColumnRenamed("dk", "r_dk"), "op9-results")
+    return written(cut.union(gone).withColumnRenamed("dk", "r_dk"), "op9-results", keep=True)
+
+
+def repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, block: int = BLOCK,
+    most_together: int = MOST_TOGETHER, keep_text: bool = False,
+) -> DataFrame:
+    """One row per input row: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` (and ``kept``, bytes, if asked for).
+
+    Removed is every byte inside a ``length``-byte string of UTF-8 that also starts at another
+    place of any text, the same one included; places are judged on the texts as given.
+    Null text is empty; texts shorter than ``length`` lose nothing; every long text that occurs
+    twice loses all. Repeated rows come back repeated; other columns are not read; an empty
+    table gives no rows.
+    """
+    base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    base = base.withColumn("sha", F.sha2("text", 256)).withColumn("dk", F.unhex(F.substring("sha", 1, 32)))
+    slim = written(base.select("doc_id", "dk", "sha", F.octet_length("text").cast("long").alias("n_bytes")), "op9-docs", keep=True)
+    with scratch(docs.sparkSession, "op9") as folder, _distinct_texts(base.select("dk", "text"), folder) as texts:
+        results = _results(texts, length, gram, block, most_together, keep_text)
 
     n_removed = F.when(F.col("n_removed") < 0, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0)))
     out = slim.join(results, F.col("dk") == F.col("r_dk"), "left").select(

@@ -376,6 +376,17 @@ def test_preferences(spark):
     assert chat.format_preferences(spark.createDataFrame([], schema), spark.createDataFrame(right, schema)).count() == 0
 
 
+def test_swapped_answers(spark):
+    rows = [(1, 0, "user", "q", "x"), (1, 1, "assistant", "a", "x"), (1, 1, "assistant", "a2", "x"), (2, 0, "assistant", "old", "x"), (2, 3, "assistant", None, "x"), (3, 0, "user", "u", "x")]
+    rows += [(None, 0, "assistant", "n", "x"), (4, 0, "user", None, "x"), (4, 0, "user", None, "x")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, m_id string")
+    got = sorted(tuple(r) for r in chat.swapped_answers(turns).filter("conv_id is not null").select("conv_id", "turn", "role", "text").na.fill("-").collect())
+    assert got == [(1, 0, "user", "q"), (1, 1, "assistant", ""), (1, 1, "assistant", ""), (2, 0, "assistant", "old"), (2, 3, "assistant", ""), (3, 0, "user", "u"), (4, 0, "user", "-"), (4, 0, "user", "-")]
+    assert chat.swapped_answers(turns).filter("conv_id is null").first().text == "n" and chat.swapped_answers(turns.limit(0)).count() == 0
+    pairs = chat.format_preferences(turns, chat.swapped_answers(turns)).collect()
+    assert sorted(r.pair_id for r in pairs) == [1, 2, 3, 4] and next(r for r in pairs if r.pair_id == 4).n_prompt_turns == 2
+
+
 def _verdict(url):
     rest = url.split("://", 1)[1] if url and "://" in url else ""
     host = re.match(r"[^/?#]*", rest)[0]
