@@ -1,7 +1,8 @@
 """The corpus pipeline: five stages over ``documents``, each written and read again.
 
 Every stage takes ``(spark, docs, sf_dir)`` and works on all rows of ``docs``, whatever
-their texts; all but the last return the columns of ``documents``.
+their texts; all but the last return the columns of ``docs``, further ones included, whatever their names. Empty tables
+give no rows; repeated rows are rows of their own, but copies for the near-dedup.
 """
 
 from __future__ import annotations
@@ -16,9 +17,9 @@ MIN_LANGUAGE_SCORE = 0.3
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters go, and those whose best language is hardly likelier than the others.
+    """Documents without letters go (null texts too), and those whose best language is hardly likelier than the others.
 
-    Where no language could be learned, all documents pass.
+    Rows without a language or an id are judged, not learned from. Where no language could be learned, all documents pass.
     """
     field = language_id.fit(docs)
     if not field.languages:
@@ -30,24 +31,30 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8 or more) stays: that of the smallest id."""
+    """One document of each group of near copies (five-word shingles, similarity 0.8 or more) stays: that of the smallest id, null last.
+
+    Of equal ids the first row in the files stays. Texts without words, null ones too, are one group.
+    """
     return near_copies.one_of_each(docs)
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of the benchmark are cut out; documents that are mostly such passages go."""
+    """Passages of the benchmark are cut out; documents that are mostly such passages go.
+
+    Null and empty texts stay as they are; null and empty items match nothing.
+    """
     columns = docs.columns
     clean = decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
-    return clean.withColumn("n_chars", F.length("text").cast("long")).select(*columns)
+    return clean.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars")).select(*columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document comes as often as the mix takes it."""
+    """Each document comes as often as the mix takes it. Null is a source of its own; ties of the keys are broken by text and place."""
     return mixing.mixed(docs, table(spark, sf_dir, "labels"))
 
 
 def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The shard files, read back: ``doc_id, start, n_tokens, ids_crc32``."""
+    """The shard files, read back: ``doc_id, start, n_tokens, ids_crc32``, in the order of ids (null first) and texts."""
     return token_files.encoded(docs, with_ids=False)
 
 

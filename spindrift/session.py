@@ -69,12 +69,12 @@ def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
 
 
 @contextmanager
-def scratch(spark: SparkSession, name: str) -> Iterator[None]:
-    """Tables that :func:`written` writes inside are removed at the end: what is returned must not read them."""
+def scratch(spark: SparkSession, name: str) -> Iterator[str]:
+    """A folder for the tables that :func:`written` writes inside; they are removed at the end: what is returned must not read them."""
     path = new_shared_path(spark, name)
     before = _scratch.set(path)
     try:
-        yield
+        yield path
     finally:
         _scratch.reset(before)
         folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
