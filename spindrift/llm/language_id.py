@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from spindrift.session import bound_batches
 
 #: The sample that the field is fitted on: documents (drawn by hash), spans of SPAN words of them (also drawn).
-MAX_DOCS, MAX_SPANS, SPAN = 6_000, 24_000, 32
+MAX_DOCS, MAX_SPANS, SPAN = 6_000, 8_000, 32
 #: Slots of hashed features.
 SLOTS = 1 << 18
 #: Words whose emissions a task keeps, weights (words with padding, times languages) of one forward-backward run, bytes of text at a time.
