@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from spindrift.llm import decontaminate, language_id, mixing, near_copies, rows, token_files
 from spindrift.session import table, written
 
-#: A document stays if a language is found in it with at least this mean probability.
-MIN_LANGUAGE_SCORE = 0.3
+#: A document stays if its best language's mean probability is by this share of the way from pure chance (1 / languages) to certainty.
+LANGUAGE_MARGIN = 0.2
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +26,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
         return docs
     lang, score = rows.unused(docs.columns, "lang_pred", "score")
     found = language_id.identify(docs, field, names=(lang, score))
-    stays = (F.col(lang) != language_id.UNKNOWN) & (F.col(score) >= MIN_LANGUAGE_SCORE)
+    chance = 1 / len(field.languages)
+    least = chance + LANGUAGE_MARGIN * (1 - chance) if chance < 1 else 0.0
+    stays = (F.col(lang) != language_id.UNKNOWN) & (F.col(score) >= least)
     return found.filter(stays).select(*docs.columns)
 
 
