@@ -7,9 +7,9 @@ unrelated pairs, so that the join would grow with the square of the table. The r
 come from bands of min-hashes, which unrelated texts do not share, and have to lie within
 a wide Hamming budget. Every candidate, of either kind, is checked on the sets themselves.
 Copies with equal sets are one node from the start. In each round some nodes of a band's
-bucket outside its largest component meet the others, and it is done when it is one
-component: near copies take few pairs, but a bucket of texts that are not near each other
-is compared in all pairs in the end.
+bucket outside its largest component, its leaders, meet the others, and it is done when it is one
+component. What is joined already is not compared, and rows stand for nodes and never for pairs: near copies take few
+comparisons, but texts of a bucket that are near none of its others are compared with all of them in the end.
 """
 
 from __future__ import annotations
@@ -32,8 +32,11 @@ BANDS, ROWS = 20, 5
 #: Differing bits of fingerprints beyond which a pair that shares a band is not looked at. At 0.8 it is about 10 with a deviation of
 #: 3, for the shortest sets (4 of 5 shingles) 12.
 WIDE = 26
-#: Nodes of a bucket that meet its others in the first round, and how that grows from round to round.
-LEADERS, MORE = 4, 4
+#: Nodes of a bucket that meet its others in the first round, about, how that grows from round to round, and up to what.
+LEADERS, MORE, MOST_LEADERS = 4, 4, 512
+#: Rows of a bucket that one task compares with its leaders, about.
+PART_ROWS = 512
+_ALL = (1 << 64) - 1
 _PIECE = 4096
 _P = np.uint64(0x9E3779B97F4A7C15)
 _MASKS, _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS, 1), dtype=np.uint64)
@@ -109,14 +112,18 @@ def _sets(b: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([b.column(1), sets], names=_MEMBERS.names)
 
 
+def _is_near(s: np.ndarray, t: np.ndarray) -> bool:
+    """Whether two sorted sets have the similarity."""
+    every = np.concatenate((s, t))
+    every.sort(kind="stable")  # merges the two
+    both = int(np.count_nonzero(every[1:] == every[:-1]))
+    return both * NEAR[1] >= (len(every) - both) * NEAR[0]
+
+
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of ``a, b, x, y`` (components and sets of two nodes) the components of those that are near."""
     for batch in batches:
-        good = []
-        for x, y in zip(batch.column(2), batch.column(3)):
-            s, t = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-            both = len(s) + len(t) - len(np.union1d(s, t))
-            good.append(both * NEAR[1] >= (len(s) + len(t) - both) * NEAR[0])
+        good = [_is_near(*(np.frombuffer(v.as_buffer(), np.uint64) for v in pair)) for pair in zip(batch.column(2), batch.column(3))]
         found = batch.filter(pa.array(good, pa.bool_()))
         yield pa.RecordBatch.from_arrays([found.column(0), found.column(1)], names=["a", "b"])
 
@@ -158,31 +165,67 @@ def _joined(live: DataFrame, links: DataFrame) -> DataFrame:
     return live.join(roots, F.col("comp") == F.col("at"), "left").select(*others, F.coalesce("root", "comp").alias("comp"))
 
 
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links ``a, b`` of components among rows ``band, part, follows, node, n, print, comp, members`` in order: of each band and part the leaders first.
+
+    A row is compared with the leaders of other components, as long as it is not joined with them over what was found here.
+    """
+    of, leaders, up = None, [], {}
+
+    def root(c: int) -> int:
+        while (d := up.get(c, c)) != c:
+            up[c] = c = up.get(d, d)
+        return c
+
+    for batch in batches:
+        found = []
+        columns = [batch.column(k).to_pylist() for k in range(7)]
+        for i, (band, part, follows, _, n, print_, comp) in enumerate(zip(*columns)):
+            if (band, part) != of:
+                of, leaders, up = (band, part), [], {}
+            own = np.frombuffer(batch.column(7)[i].as_buffer(), np.uint64)
+            if not follows:
+                leaders.append((n, print_, comp, own))
+                continue
+            for m, other, c, members in leaders:
+                if (
+                    min(n, m) * NEAR[1] >= max(n, m) * NEAR[0]
+                    and ((print_ ^ other) & _ALL).bit_count() <= WIDE
+                    and root(comp) != root(c)
+                    and _is_near(own, members)
+                ):
+                    up[root(comp)] = root(c)
+                    found.append((comp, c))
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+
 def _by_bands(live: DataFrame, sets: DataFrame) -> list[DataFrame]:
-    """Tables of links ``a, b`` that connect what is near; ``live``: ``band, node, n, print, comp``."""
+    """Tables of links ``a, b`` that connect what is near; ``live``: ``band, node, n, print, comp``.
+
+    The rows of a large bucket are dealt into parts, and its leaders go to each; no row stands for a pair.
+    """
     out: list[DataFrame] = []
     leaders = LEADERS
     while True:
         sizes = written(live.groupBy("band", "comp").agg(F.count("*").alias("size")), "near-sizes")
         most = F.max(F.struct("size", "comp"))
         open_ = sizes.groupBy("band").agg(F.sum("size").alias("size"), most.alias("most"), F.count("*").alias("n_comps")).filter("n_comps > 1")
-        open_ = open_.select(F.col("band").alias("in_band"), F.col("most.comp").alias("largest"), (F.col("size") - F.col("most.size")).alias("outside"))
+        open_ = open_.select(F.col("band").alias("in_band"), "size", F.col("most.comp").alias("largest"), (F.col("size") - F.col("most.size")).alias("outside"))
         open_ = written(open_, "near-open")
         if open_.isEmpty():
             return out
         draw = F.pmod(F.xxhash64(F.lit(len(out)), "node"), F.lit(1 << 30)) * F.col("outside") < F.lit(leaders << 30)
-        live = live.join(open_, F.col("band") == F.col("in_band"))
-        live = live.select("band", "node", "n", "print", "comp", ((F.col("comp") != F.col("largest")) & draw).alias("leads"))
+        live = live.join(open_, F.col("band") == F.col("in_band")).withColumn("parts", F.ceil(F.col("size") / PART_ROWS).cast("int"))
+        live = live.select("band", "node", "n", "print", "comp", "parts", ((F.col("comp") != F.col("largest")) & draw).alias("leads"))
         live = written(live, "near-live")
-        lead = live.filter("leads").select(*[F.col(c).alias(f"l_{c}") for c in ("band", "node", "n", "print", "comp")])
-        meets = (F.col("band") == F.col("l_band")) & (F.col("comp") != F.col("l_comp"))
-        pairs = live.join(written(lead, "near-lead"), meets & _possible(F.col("n"), F.col("l_n"), F.col("print"), F.col("l_print")))
-        u, v = F.struct("node", "comp"), F.struct(F.col("l_node").alias("node"), F.col("l_comp").alias("comp"))
-        pairs = pairs.select(F.least(u, v).alias("u"), F.greatest(u, v).alias("v")).distinct()
-        pairs = written(pairs.select(F.col("u.node").alias("p"), F.col("u.comp").alias("a"), F.col("v.node").alias("q"), F.col("v.comp").alias("b")), "near-pairs")
-        out.append(_checked(pairs, sets))
-        live = written(_joined(live.filter("not leads").drop("leads"), out[-1]), "near-live")
-        leaders *= MORE
+        columns = ("band", "part", "follows", "node", "n", "print", "comp")
+        rows = live.select("*", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.lit(True).alias("follows")).select(*columns)
+        lead = live.filter("leads").select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("follows")).select(*columns)
+        rows = written(rows.union(lead), "near-met").join(sets.withColumnRenamed("node", "s_node").hint("merge"), F.col("node") == F.col("s_node"))
+        rows = rows.select(*columns, "members").repartition("band", "part").sortWithinPartitions("band", "part", "follows")
+        out.append(written(rows.mapInArrow(_met, "a long, b long"), "near-links"))
+        live = written(_joined(live.filter("not leads").drop("leads", "parts"), out[-1]), "near-live")
+        leaders = min(leaders * MORE, MOST_LEADERS)
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
