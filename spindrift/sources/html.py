@@ -157,35 +157,36 @@ def _plain(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(c, r"<[^>]+>", " "), r"\s+", " "))
 
 
+# Patterns of landing pages and of the heads of interpretations.
+FIELD = r"(?s)field--name-{}.*?field--item[^>]*>\s*(.*?)\s*</div>"
+FIRST_HEADING, PUBLISHED = r"(?s)<h1[^>]*>(.*?)</h1>", r"^First Published\s*"
+CODE, SECTION, DATE = r"\bCode:\s*((?:19|20)\d{2})\s+([A-Za-z /]+?Code)\b", r"\bSection:\s*([A-Z]{0,3}\d[\w.\-]*(?:\.\d+)*)", r"\bDate:\s*([A-Za-z]+ \d{1,2},? \d{4})"
+CODE_SECTION, STATE_STATUTE, HEAD = r"\b([A-Z]\d{2,4}(?:\.\d+)+)\b", r"\b(160D-\d{3,4})\b", 400
+
+
 def entity_field(html: Column | str, name: str) -> Column:
     """Text of the first item of a named field of a landing page; empty if there is none."""
-    return _plain(F.regexp_extract(X.text_of(html), rf"(?s)field--name-{re.escape(name)}.*?field--item[^>]*>\s*(.*?)\s*</div>", 1))
+    return _plain(F.regexp_extract(X.text_of(html), FIELD.format(re.escape(name)), 1))
 
 
 def landing_fields(html: Column | str) -> Column:
     """Title, date of publication and edition of a document's landing page, as a struct."""
-    h1 = F.regexp_extract(X.text_of(html), r"(?s)<h1[^>]*>(.*?)</h1>", 1)
-    title = F.trim(F.regexp_replace(F.regexp_replace(h1, r"<[^>]+>", ""), r"\s+", " "))
-    published = F.trim(F.regexp_replace(entity_field(html, "document-entity-pub-date"), r"^First Published\s*", ""))
-    return F.struct(title.alias("title"), published.alias("pub_date"), entity_field(html, "document-entity-terms").alias("edition"))
+    title = F.regexp_replace(F.regexp_extract(X.text_of(html), FIRST_HEADING, 1), r"<[^>]+>", "")
+    published = F.regexp_replace(entity_field(html, "document-entity-pub-date"), PUBLISHED, "")
+    return F.struct(_plain(title).alias("title"), F.trim(published).alias("pub_date"), entity_field(html, "document-entity-terms").alias("edition"))
 
 
 def interpretation_fields(text: Column | str) -> Column:
     """Edition, kind of code, section and date of the head of an interpretation, as a struct; null where it does not say."""
-    said = lambda p, k: F.nullif(F.trim(F.regexp_extract(X.text_of(text), p, k)), F.lit(""))
-    code = r"\bCode:\s*((?:19|20)\d{2})\s+([A-Za-z /]+?Code)\b"
-    return F.struct(
-        said(code, 1).alias("edition"), said(code, 2).alias("code_type"), said(r"\bSection:\s*([A-Z]{0,3}\d[\w.\-]*(?:\.\d+)*)", 1).alias("section"),
-        said(r"\bDate:\s*([A-Za-z]+ \d{1,2},? \d{4})", 1).alias("date"),
-    )
+    fields = {"edition": (CODE, 1), "code_type": (CODE, 2), "section": (SECTION, 1), "date": (DATE, 1)}
+    return F.struct(*[F.nullif(F.trim(F.regexp_extract(X.text_of(text), p, k)), F.lit("")).alias(name) for name, (p, k) in fields.items()])
 
 
 def likely_section(title: Column | str, text: Column | str) -> Column:
-    """The section that a title or the first 400 characters of a text name: a code's, else a statute's; empty if none."""
-    head = F.left(X.text_of(text), F.lit(400))
-    code = lambda c: F.nullif(F.regexp_extract(c, r"\b([A-Z]\d{2,4}(?:\.\d+)+)\b", 1), F.lit(""))
-    statute = F.regexp_extract(F.concat_ws(" ", X.text_of(title), head), r"\b(160D-\d{3,4})\b", 1)
-    return F.coalesce(code(X.text_of(title)), code(head), statute)
+    """The section that a title or the first characters of a text name: a code's, else a statute's; empty if none."""
+    parts = (X.text_of(title), F.left(X.text_of(text), F.lit(HEAD)))
+    codes = [F.nullif(F.regexp_extract(p, CODE_SECTION, 1), F.lit("")) for p in parts]
+    return F.coalesce(*codes, F.regexp_extract(F.concat_ws(" ", *parts), STATE_STATUTE, 1))
 
 
 def new_links(pages: DataFrame, most: int = 40) -> DataFrame:
