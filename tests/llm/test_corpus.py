@@ -1,3 +1,4 @@
+import functools
 import hashlib
 import io
 import re
@@ -86,17 +87,27 @@ def test_token_shards_round_trip(ids, kind, block):
     assert [d for d, _ in got] == [d for d, _ in docs] and all((a == b).all() for (_, a), (_, b) in zip(got, docs))
 
 
-def _encoded(texts):
-    ids, n = token_files.Encoder(token_files.vocabulary_path())(pa.array(texts, pa.string()))
+@functools.cache
+def _encoder():
+    return token_files.Encoder(token_files.vocabulary_path())
+
+
+@functools.cache
+def _plain_tokenizer():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(token_files.vocabulary_path())
+
+
+def _encoded(texts, encoder=None):
+    ids, n = (encoder or _encoder())(pa.array(texts, pa.string()))
     ends = np.cumsum(n)
     assert len(ids) == ends[-1] and len(n) == len(texts)
     return [ids[e - k : e].tolist() for e, k in zip(ends, n)]
 
 
 def test_encoder_equals_tokenizer(odd_texts):
-    from tokenizers import Tokenizer
-
-    plain = Tokenizer.from_file(token_files.vocabulary_path())
+    plain = _plain_tokenizer()
     texts = [t or "" for t in odd_texts] + ["a  b", "a \n b", " a b ", "<|endoftext|> x", "x<|endoftext|>", "it's a 's ' s, well-known_x", "x  \t y\n\n z ", "\x1c a \x1c b", "a \x85 b", "line.\nNext, line\n", "''s x's ''s"]
     texts += ["\x00\x01", "\x01", "\x020", "a.b.c,d", "漢。字.x ²,½.", "e\u0301. a\u00a0b", "don't.we'll", "a\nb\nc. d"]
     assert _encoded(texts) == [[*plain.encode(t, add_special_tokens=False).ids, 0] for t in texts]
@@ -106,9 +117,7 @@ def test_encoder_equals_tokenizer(odd_texts):
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(st.sampled_from("ab'sté1².,!-<|>\n \u00a0漢\u0301\x00"), max_size=24), min_size=1, max_size=6))
 def test_encoder_equals_tokenizer_on_any_text(texts):
-    from tokenizers import Tokenizer
-
-    plain = Tokenizer.from_file(token_files.vocabulary_path())
+    plain = _plain_tokenizer()
     assert _encoded(texts) == [[*plain.encode(t, add_special_tokens=False).ids, 0] for t in texts]
 
 
@@ -116,7 +125,8 @@ def test_encoder_forgets(monkeypatch):
     monkeypatch.setattr(token_files, "REMEMBERED", 3)
     monkeypatch.setattr(token_files, "_REMEMBERED", {})
     texts = [prose(k % 5, 9) for k in range(30)]
-    assert [_encoded([t])[0] for t in texts] == _encoded(texts)
+    encoder = token_files.Encoder(token_files.vocabulary_path())
+    assert [_encoded([t], encoder)[0] for t in texts] == _encoded(texts)
     new, old = token_files._REMEMBERED[token_files.vocabulary_path()]
     assert len(new) + len(old) < 300
 
