@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from spindrift.llm import chat, decontaminate, exact_dedup, html_text, language_id, mixing, repeats, simhash, token_files, url_filters
+from spindrift.llm import chat, decontaminate, exact_dedup, html_text, language_id, mixing, periodic_runs, pieces, repeats, simhash, token_files, url_filters, whitening
 from spindrift.session import table
 
 
@@ -55,3 +55,18 @@ def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge_urls(table(spark, sf_dir, "pages")).drop("score")
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return periodic_runs.digest(periodic_runs.with_runs(periodic_runs.looped(docs).select("doc_id", "text")).drop("text"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = whitening.fitted(vectors)
+    return whitening.digest(whitening.whitened(vectors, model), model)
+
+
+def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digest(pieces.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), decoded="decoded"))

@@ -17,6 +17,9 @@ def queries():
         "op8_chat_preferences": q.op8_chat_preferences,
         "op9_repeats": q.op9_repeats,
         "op10_url_filters": q.op10_url_filters,
+        "op11_periodic_runs": q.op11_periodic_runs,
+        "op12_whitening": q.op12_whitening,
+        "op13_pieces": q.op13_pieces,
     }
 
 
