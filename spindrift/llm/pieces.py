@@ -18,10 +18,10 @@ The library itself normalises the text and decodes the ids.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 import sentencepiece
@@ -31,9 +31,11 @@ from spindrift.llm.rows import unused
 from spindrift.session import bound_batches
 
 #: Parts (words) whose ids a task remembers, and the characters of the longest of them; pairs whose test it remembers.
-PARTS, PART_CHARS, PAIRS = 200_000, 40, 1_000_000
-#: Ids in one Arrow batch, about.
-BATCH_IDS = 1 << 20
+PARTS, PART_CHARS, PAIRS = 300_000, 40, 1_000_000
+#: The library's sign for a space (a fixed value).
+SPACE = "\u2581"
+#: Characters whose parts are learned together, about (a text is never split).
+CHARS = 4 << 20
 
 
 class Encoder:
@@ -50,28 +52,64 @@ class Encoder:
         self.bytes = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)] if any(sp.is_byte(i) for i in range(n)) else None
         self.unknown = sp.unk_id()
 
+        self.joins: list[tuple[list, list]] = []  # of each token: a piece, or a character of pieces, that is its own encoding
+        self.token: list[tuple[str, int | None]] = []
+        # Aho-Corasick: steps of each state, its failure link, and the tokens that end in it, longest first
+        self._steps: list[dict[str, int]] = [{}]
+        self._ends: list[list[tuple[int, int]]] = [[]]
         chars = {c for piece in self.id for c in piece}
-        self.joins: dict[str, tuple[list, list]] = {}  # of each piece that is its own encoding
-        self.automaton = ahocorasick.Automaton()
-        for piece in sorted(chars.union(self.id), key=len):
+        for piece in sorted(chars.union(self.id)):
             steps = self._joined(piece)
             if steps is not None:
-                self.joins[piece] = steps
-                self.automaton.add_word(piece, piece)
-        self.automaton.make_automaton()
-        self._part = re.compile(self._parts(), re.S)
-        self._known: dict[str, list[int]] = {}
-        self._pairs: dict[tuple[str, str], bool] = {}
-
-    def _parts(self) -> str:
-        """A pattern of the parts of a text between which no piece reaches.
-
-        A word's space (or any other sign of which this is true) stands in pieces only in front, after its own kind:
-        parts begin with a run of it.
-        """
+                self._add(piece, len(self.joins))
+                self.joins.append(steps)
+                self.token.append((piece, self.id.get(piece)))
+        self._link()
+        self._compatible: list[dict[int, bool]] = [{} for _ in self.joins]
+        self._n_pairs = 0
+
+        # a sign that stands in pieces only in front, after its own kind (a word's space): nothing reaches across it
         inner = {c for piece in self.id for before, c in zip(piece, piece[1:]) if before != c}
-        sign = "▁"
-        return f"{sign}+[^{sign}]*|[^{sign}]+" if sign not in inner else ".+"
+        self.sign = SPACE if SPACE not in inner else None
+        self._part = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+        self._known: dict[str, bytes] = {}
+
+    def _add(self, piece: str, token: int) -> None:
+        state = 0
+        for c in piece:
+            after = self._steps[state].get(c)
+            if after is None:
+                after = self._steps[state][c] = len(self._steps)
+                self._steps.append({})
+                self._ends.append([])
+            state = after
+        self._ends[state].append((len(piece), token))
+
+    def _link(self) -> None:
+        self._fail = [0] * len(self._steps)
+        level = [*self._steps[0].values()]
+        while level:
+            below = []
+            for state in level:
+                for c, after in self._steps[state].items():
+                    back = self._fail[state]
+                    while back and c not in self._steps[back]:
+                        back = self._fail[back]
+                    self._fail[after] = self._steps[back].get(c, 0)
+                    below.append(after)
+            for state in below:
+                self._ends[state] += self._ends[self._fail[state]]
+            level = below
+
+    def _step(self, state: int, c: str) -> int:
+        """The state after a character that ``state`` has no step for; kept as a step of its own if the model knows the character."""
+        back = state
+        while back and c not in self._steps[back]:
+            back = self._fail[back]
+        after = self._steps[back].get(c, 0)
+        if after:
+            self._steps[state][c] = after
+        return after
 
     def _joined(self, piece: str) -> tuple[list, list] | None:
         """The joins of a piece in their order, as ``score, symbol at its right border`` and the same for its left border; None if it is not its own encoding."""
@@ -90,75 +128,98 @@ class Encoder:
             right.append((best, symbols[-1]))
         return right, left
 
-    def compatible(self, a: str, b: str) -> bool:
-        """Whether the encoding of ``a + b`` is ``a, b``, both being their own encodings."""
-        known = self._pairs.get((a, b))
-        if known is None:
-            if len(self._pairs) >= PAIRS:
-                self._pairs.clear()
-            known = self._pairs[a, b] = self._compatible(self.joins[a][0], self.joins[b][1])
-        return known
-
-    def _compatible(self, a: list, b: list) -> bool:
-        i = j = 0
-        low = float("-inf")
+    def compatible(self, a: int, b: int) -> bool:
+        """Whether the encoding of two tokens' joined text is these two."""
+        if self._n_pairs >= PAIRS:
+            self._compatible, self._n_pairs = [{} for _ in self.joins], 0
+        self._n_pairs += 1
+        out = self._compatible[a][b] = self._apart(self.joins[a][0], self.joins[b][1])
+        return out
+
+    def _apart(self, a: list, b: list) -> bool:
+        """Whether no join across the border comes to be the next one, given the joins left and right of it in their order."""
+        score = self.score.get
+        i, j, low = 1, 1, float("-inf")
+        (left, x), (right, y) = a[0], b[0]
+        left, right = a[1][0] if len(a) > 1 else low, b[1][0] if len(b) > 1 else low
         while True:
-            across = self.score.get(a[i][1] + b[j][1])
-            left = a[i + 1][0] if i + 1 < len(a) else low
-            right = b[j + 1][0] if j + 1 < len(b) else low
+            across = score(x + y)
             if across is not None and across > left and across >= right:  # of equals the leftmost
                 return False
             if left == right == low:
                 return True
             if left >= right:
-                i += 1
+                x, i = a[i][1], i + 1
+                left = a[i][0] if i < len(a) else low
             else:
-                j += 1
-
-    def _encoded(self, part: str) -> list[int]:
-        """The ids of a part: last tokens forwards, ids backwards."""
-        n = len(part)
-        last: list[str | None] = [None] * (n + 1)  # of the prefix of each length
-        ends = 0  # prefixes below are done
-        for at, piece in self.automaton.iter(part):
-            for k in range(ends + 1, at + 1):  # no piece ends here: a character that the model does not know
-                if last[k] is None:
-                    last[k] = part[k - 1]
-            ends = at
-            if last[at + 1] is None:
-                start = at + 1 - len(piece)
-                before = last[start] if start else None
-                if before is None or before not in self.joins or self.compatible(before, piece):
-                    last[at + 1] = piece
-        for k in range(ends + 1, n + 1):
-            if last[k] is None:
-                last[k] = part[k - 1]
-        out: list[int] = []
-        while n:
-            piece = last[n]
-            i = self.id.get(piece)
-            if i is not None:
-                out.append(i)
-            elif self.bytes:
-                out += [self.bytes[b] for b in reversed(piece.encode())]
-            elif not out or out[-1] != self.unknown:  # the library gives neighbours without a piece one id
-                out.append(self.unknown)
-            n -= len(piece)
-        out.reverse()
+                y, j = b[j][1], j + 1
+                right = b[j][0] if j < len(b) else low
+
+    def learn(self, parts: Iterable[str]) -> dict[str, bytes]:
+        """The ids of distinct parts, as bytes of 32-bit numbers: last tokens forwards, ids backwards.
+
+        Parts are taken in order of their characters; a part goes on with the table of the one before it as far as the two agree.
+        """
+        out = {}
+        before_part = ""
+        last, states = [-1], [0]  # the token that the prefix of each length ends with (-1: a character that the model does not know, or none)
+        steps, ends, known, tokens = self._steps, self._ends, self._compatible, self.token
+        for part in sorted(parts):
+            at = 0
+            for x, y in zip(part, before_part):
+                if x != y:
+                    break
+                at += 1
+            del last[at + 1 :], states[at + 1 :]
+            state = states[at]
+            for c in part[at:]:
+                at += 1
+                after = steps[state].get(c)
+                state = after if after is not None else self._step(state, c)
+                for size, token in ends[state]:
+                    before = last[at - size]
+                    if before < 0:
+                        break
+                    fits = known[before].get(token)
+                    if fits is None:
+                        fits = self.compatible(before, token)
+                        known = self._compatible
+                    if fits:
+                        break
+                else:
+                    token = -1
+                last.append(token)
+                states.append(state)
+            before_part = part
+            ids = array("i")
+            while at:
+                token = last[at]
+                text, i = tokens[token] if token >= 0 else (part[at - 1], None)
+                if i is not None:
+                    ids.append(i)
+                elif self.bytes:
+                    ids.extend(self.bytes[b] for b in reversed(text.encode()))
+                elif not ids or ids[-1] != self.unknown:  # the library gives neighbours without a piece one id
+                    ids.append(self.unknown)
+                at -= len(text)
+            ids.reverse()
+            out[part] = ids.tobytes()
         return out
 
-    def ids(self, text: str) -> np.ndarray:
-        known, pieces = self._known, []
-        for part in self._part.findall(self.library.normalize(text)):
-            found = known.get(part)
-            if found is None:
-                found = self._encoded(part)
-                if len(part) <= PART_CHARS:
-                    if len(known) >= PARTS:
-                        known.clear()
-                    known[part] = found
-            pieces += found
-        return np.array(pieces, np.int32)
+    def ids(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text; parts are cut where no piece reaches across, and those not known are learned together."""
+        normal = map(self.library.normalize, texts)
+        parts = [self._part.findall(t) if self.sign else [t] for t in normal]
+        if len(self._known) > PARTS:
+            self._known.clear()
+        new = set().union(*parts).difference(self._known)
+        self._known.update(self.learn(p for p in new if len(p) <= PART_CHARS))
+        rare = self.learn(p for p in new if len(p) > PART_CHARS)
+        for own in parts:
+            found = [*map(self._known.get, own)]
+            if rare and None in found:
+                found = [rare[p] if f is None else f for p, f in zip(own, found)]
+            yield np.frombuffer(b"".join(found), np.int32)
 
 
 @lru_cache(maxsize=2)
@@ -172,7 +233,7 @@ def encoded(docs: DataFrame, model: str | None = None, text_col: str = "text", i
 
     With ``decoded``, also the text that the library's ``decode`` makes of the ids. Null counts as empty: no ids, an empty text.
     Each row stands for itself, so repeated rows come back repeated; an empty table gives no rows. The new columns get
-    underscores where ``docs`` has columns of these names. A task holds one text, its ids and a batch of about BATCH_IDS ids at a time.
+    underscores where ``docs`` has columns of these names. A task holds one text, its ids and at least CHARS characters of others.
     """
     bound_batches(docs.sparkSession)
     model = model or model_path()
@@ -192,16 +253,15 @@ def encoded(docs: DataFrame, model: str | None = None, text_col: str = "text", i
             return pa.RecordBatch.from_arrays([*cols, pa.array(back, pa.string())] if decoded else cols, names=names)
 
         for batch in batches:
-            found, back, held, lo = [], [], 0, 0
+            texts = batch.column(n)
+            lo, held = 0, 0
             for k in range(len(batch)):
-                own = e.ids(batch.column(n)[k].as_py())
-                found.append(own)
-                if decoded:
-                    back.append(e.library.decode(own.tolist()))
-                held += len(own)
-                if held >= BATCH_IDS or k == len(batch) - 1:
+                held += len(texts[k].as_py())
+                if held >= CHARS or k == len(batch) - 1:
+                    found = [*e.ids(texts.slice(lo, k + 1 - lo).to_pylist())]
+                    back = [e.library.decode(x.tolist()) for x in found] if decoded else []
                     yield rows(batch.slice(lo, k + 1 - lo), found, back)
-                    found, back, held, lo = [], [], 0, k + 1
+                    lo, held = k + 1, 0
 
     return docs.withColumn(raw, F.coalesce(text_col, F.lit(""))).mapInArrow(run, T.StructType(schema))
 
