@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from spindrift.functions import answers as A, facets, text as X
-from spindrift.operators import evaluate, search
+from spindrift.operators import evaluate, inverted, search
 from spindrift.plans import tables
 from spindrift.plans.registry import query
 from spindrift.session import table, written
@@ -289,3 +289,67 @@ def answer_rates(spark, d):
     answers = turns.withColumn("refused", F.col("query_id") % 7 == 0).withColumn("designations", F.array().cast("array<string>"))
     cases = turns.select("query_id", F.array(F.lit("The ")).alias("expect_cite"), F.array(F.lit("of | de"), F.lit("and|der")).alias("expect_answer"))
     return evaluate.answer_summary(cases, answers)
+
+
+def _index(spark, d, width=8):
+    return inverted.build(tables.docs(spark, d), width=width)
+
+
+@query("t02_block_max", f"WITH {_BM25} SELECT query_id, chunk_id, score, cast(rank AS int) AS rank FROM bm25 WHERE rank <= 10")
+def block_max(spark, d):
+    """The ten best chunks of each item, reading only the blocks that can hold one."""
+    return inverted.search(tables.asked(spark, d), _index(spark, d), 10, phrases=False).hits
+
+
+_PLACES = f"w AS (SELECT doc_id, {_TERMS} AS w FROM documents), places AS (SELECT doc_id, w, unnest(w) AS term, unnest(range(1, len(w) + 1)) AS p FROM w)"
+
+
+@query(
+    "f13_phrases",
+    f"""WITH {_PLACES}, i AS (SELECT {_TERMS} AS w FROM benchmark), pairs AS (SELECT DISTINCT w[k] AS a, w[k + 1] AS b FROM (SELECT w, unnest(range(1, len(w))) AS k FROM i)),
+      hits AS (SELECT a, b, doc_id, count(*) AS n FROM places JOIN pairs ON term = a AND w[p + 1] = b GROUP BY ALL)
+      SELECT concat(a, ' ', b) AS phrase, count(*) AS n_chunks, cast(sum(n) AS bigint) AS n_places, min(doc_id) AS first_chunk FROM hits GROUP BY a, b""",
+)
+def phrases(spark, d):
+    """Each pair of neighbours in a benchmark item as a phrase, searched in all documents."""
+    words = tables.asked(spark, d).select(X.terms("q").alias("w"))
+    pair = lambda i: F.slice("w", i, F.lit(2))
+    asked = words.filter(F.size("w") > 1).select(F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 1), pair)).alias("phrase")).distinct()
+    hits = inverted.phrase_postings(asked, _index(spark, d))
+    out = hits.groupBy("phrase").agg(F.count("*").alias("n_chunks"), F.sum(F.size("at")).alias("n_places"), F.min("chunk_id").alias("first_chunk"))
+    return out.withColumn("phrase", F.array_join("phrase", " "))
+
+
+_PHRASES = rf"""{_PLACES}, l AS (SELECT doc_id, len(w) AS len FROM w), s AS (SELECT count(*) AS n, avg(len) AS avg_len FROM l),
+  x AS (SELECT item_id AS query_id, unnest(regexp_split_to_array(regexp_replace(text, '["()*:^]', ' ', 'g'), '\s+')) AS text FROM benchmark),
+  q AS (SELECT query_id, f, count(*) AS times FROM (SELECT query_id, {_TERMS} AS f FROM x) WHERE len(f) > 0 GROUP BY ALL),
+  t AS (SELECT f, doc_id, count(*) AS tf FROM places JOIN (SELECT DISTINCT f FROM q) ON term = f[1] AND w[p : p + len(f) - 1] = f GROUP BY ALL),
+  df AS (SELECT f, count(*) AS df FROM t GROUP BY f),
+  scored AS (SELECT query_id, doc_id AS chunk_id, round(sum(times * greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))), 9) AS score
+    FROM q JOIN t USING (f) JOIN df USING (f) JOIN l USING (doc_id), s GROUP BY ALL)"""
+
+
+@query("t02_phrases", f"WITH {_PHRASES} SELECT *, cast(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS int) AS rank FROM scored QUALIFY rank <= 80")
+def phrase_search(spark, d):
+    """BM25 in which a word of several terms counts where its terms follow one another."""
+    return inverted.search(tables.asked(spark, d), _index(spark, d)).hits
+
+
+@query(
+    "p01_filtered_top",
+    f"""WITH {_BM25}, allowed AS (SELECT item_id AS query_id, doc_id AS chunk_id FROM benchmark, documents
+        WHERE item_id % 5 = 4 OR lang IN ('en', CASE item_id % 5 WHEN 0 THEN 'fr' WHEN 1 THEN 'de' ELSE 'xx' END) AND (item_id % 5 <> 3 OR source IN ('src1', 'src2', 'src3')))
+      SELECT query_id, chunk_id, score, cast(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS int) AS rank
+      FROM scored JOIN allowed USING (query_id, chunk_id) QUALIFY rank <= 10""",
+)
+def filtered_top(spark, d):
+    """The ten best chunks of each item among those that pass its filter: two languages, one, one with three sources, or none."""
+    index = _index(spark, d)
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.explode(F.create_map(F.lit("lang"), "lang", F.lit("source"), "source")).alias("facet", "value"))
+    filters = spark.createDataFrame(
+        [(k, "lang", v) for k, vs in ((0, "en fr"), (1, "en de"), (2, "en xx"), (3, "en xx")) for v in vs.split()] + [(3, "source", f"src{n}") for n in (1, 2, 3)],
+        "filter_id int, facet string, value string",
+    )
+    asked = tables.asked(spark, d).withColumn("filter_id", F.nullif((F.col("query_id") % 5).cast("int"), F.lit(4)))
+    allowed = inverted.allowed(filters, inverted.facet_bitmaps(docs, index))
+    return inverted.search(asked, index, 10, allowed, phrases=False).hits
