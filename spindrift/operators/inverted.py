@@ -2,7 +2,7 @@
 
 Chunks are numbered in order of their length, and WIDTH consecutive numbers make a range. A block is one row for a term
 and a range: at most WIDTH postings, with the places of the term in each chunk. Its head (number of postings,
-largest share in a score) is a row of its own table. So a search first reads heads, which are few, and then only the
+largest share in a score) stands in columns of its own. So a search first reads heads, which are small, and then only the
 blocks that can still matter:
 
 * the heads of a query's terms bound the score of any chunk of a range; ranges are read from the highest bound on, and those
@@ -16,7 +16,7 @@ No key of a shuffle is a term or a query alone: work is dealt by range, and a fr
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
@@ -27,22 +27,33 @@ from spindrift.session import new_shared_path, written
 
 #: Chunks of a range (a multiple of 8), folders that terms fall into, and bits of a bitmap (fixed by Spark's functions).
 WIDTH, BUCKETS, BITS = 64, 16, 32_768
-#: Ranges that a query reads first hold about so many times k chunks.
-FIRST = 4
+#: The stored tables.
+TABLES = {
+    "numbers": "chunk_id long, len int, no long",
+    "blocks": "term string, range long, n int, most double, postings array<struct<no long, chunk_id long, len int, n_text int, tf double, at array<int>>>, bucket int",
+    "terms": "term string, df long",
+    "stats": "n_chunks long, avg_len double",
+}
+#: Ranges that a query reads at first and then hold about so many times k chunks; the others are read if their bound allows.
+FIRST = (2, 12)
 
 
 @dataclass(frozen=True)
 class Inverted:
-    """The tables of an index: ``numbers`` (chunk_id, no, len), ``blocks`` (bucket, term, range, postings), ``heads`` (bucket, term, range, n, most),
-    ``terms`` (term, df), ``stats`` (one row: n_chunks, avg_len)."""
+    """The tables of an index: ``numbers`` (chunk_id, no, len), ``blocks`` (bucket, term, range, n, most, postings), ``terms`` (term, df),
+    ``stats`` (one row: n_chunks, avg_len)."""
 
     numbers: DataFrame
     blocks: DataFrame
-    heads: DataFrame
     terms: DataFrame
     stats: DataFrame
     width: int = WIDTH
 
+    @property
+    def heads(self) -> DataFrame:
+        """The columns of the blocks that are read before their postings."""
+        return self.blocks.select("bucket", "term", "range", "n", "most")
+
 
 def _bucket(term: Column | str) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
@@ -61,46 +72,44 @@ def build(
     spark = chunks.sparkSession
     folder = folder or new_shared_path(spark, "inverted")
     cols = ["chunk_id", text_col, *([meta_col] if meta_col else [])]
-    size = X.n_terms(text_col) + (X.n_terms(meta_col) if meta_col else F.lit(0))
-    ordered = chunks.select("chunk_id", size.alias("size")).repartitionByRange("size", "chunk_id").sortWithinPartitions("size", "chunk_id")
-    numbered = written(ordered.select("chunk_id", F.monotonically_increasing_id().alias("no")), "numbers")
-
-    rows = chunks.select(*cols).join(numbered, "chunk_id").withColumn("range", F.expr(f"no div {width}"))
-    rows = rows.repartition("range")
+    sizes = X.n_terms(text_col) + (X.n_terms(meta_col) if meta_col else F.lit(0))
+    sizes = written(chunks.select("chunk_id", sizes.alias("len")), "lengths")
+    ordered = sizes.repartitionByRange("len", "chunk_id").sortWithinPartitions("len", "chunk_id")
+    ordered.withColumn("no", F.monotonically_increasing_id()).write.parquet(f"{folder}/numbers")
+    sizes.agg(F.count("*").alias("n_chunks"), F.avg("len").alias("avg_len")).write.parquet(f"{folder}/stats")
+
+    numbers, stats = _table(spark, folder, "numbers"), _table(spark, folder, "stats")
+    rows = chunks.select(*cols).join(numbers, "chunk_id").crossJoin(F.broadcast(stats))  # one row of statistics
+    rows = rows.withColumn("range", F.expr(f"no div {width}")).repartition("range")
     text, meta = X.terms(text_col), X.terms(meta_col) if meta_col else F.array().cast("array<string>")
-    rows = rows.select("range", "no", "chunk_id", text.alias("t"), meta.alias("m"))
-    rows = rows.withColumn("n_text", F.size("t")).withColumn("len", F.size("t") + F.size("m"))
-    numbers = rows.select("chunk_id", "no", "len")
-    numbers.write.parquet(f"{folder}/numbers")
-    placed = lambda a, first: F.transform(a, lambda x, i: F.struct(x.alias("term"), (i + first).cast("int").alias("at")))
-    both = F.concat(placed(F.col("t"), F.lit(0)), placed(F.col("m"), F.col("n_text") + 1))
-    rows = rows.select("range", "no", "chunk_id", "n_text", "len", F.explode(both).alias("x"))
-    per = rows.groupBy("range", "no", "chunk_id", "n_text", "len", F.col("x.term").alias("term")).agg(F.array_sort(F.collect_list("x.at")).alias("at"))
-    posting = F.struct("no", "chunk_id", "len", "n_text", "at")
-    blocks = per.groupBy("range", "term").agg(F.array_sort(F.collect_list(posting)).alias("postings"))
-    blocks = blocks.withColumn("bucket", _bucket("term"))
+    chunk = F.struct("no", "chunk_id", "len", F.size("t").alias("n_text"), "avg_len")
+    rows = rows.select("range", "no", "chunk_id", "len", "avg_len", text.alias("t"), meta.alias("m")).withColumn("c", chunk)
+    places = rows.select("range", "c", F.posexplode("t").alias("at", "term"))
+    if meta_col:
+        places = places.union(rows.select("range", "c", F.posexplode("m").alias("at", "term")).withColumn("at", F.col("at") + F.col("c.n_text") + 1))
+    per = places.groupBy("range", "c.no", "term").agg(F.first("c").alias("c"), tf_of("at", "c.n_text").alias("tf"), F.array_sort(F.collect_list("at")).alias("at"))
+    posting = F.struct("no", "c.chunk_id", "c.len", "c.n_text", "tf", "at")
+    most = F.max(share(F.col("tf"), F.col("c.len"), F.col("c.avg_len")))
+    blocks = per.groupBy("range", "term").agg(F.count("*").cast("int").alias("n"), most.alias("most"), F.array_sort(F.collect_list(posting)).alias("postings"))
     # a frequent term's blocks are dealt over tasks by range
-    spread = blocks.repartition(F.col("bucket"), F.pmod("range", F.lit(8))).sortWithinPartitions("bucket", "term", "range")
-    spread.select("term", "range", "postings", "bucket").write.partitionBy("bucket").parquet(f"{folder}/blocks")
-    stats = spark.read.parquet(f"{folder}/numbers").agg(F.count("*").alias("n_chunks"), F.avg("len").alias("avg_len"))
-    stats.write.parquet(f"{folder}/stats")
-    stored = spark.read.parquet(f"{folder}/blocks").crossJoin(F.broadcast(spark.read.parquet(f"{folder}/stats")))  # one row
-    most = F.array_max(F.transform("postings", lambda p: share(tf(p["at"], p["n_text"]), p["len"], F.col("avg_len"))))
-    heads = stored.select("term", "range", F.size("postings").alias("n"), most.alias("most"), "bucket")
-    heads.write.partitionBy("bucket").parquet(f"{folder}/heads")
-    spark.read.parquet(f"{folder}/heads").groupBy("term").agg(F.sum("n").alias("df")).write.parquet(f"{folder}/terms")
+    blocks = blocks.withColumn("bucket", _bucket("term")).repartition("bucket", F.pmod("range", F.lit(8)))
+    blocks.select("term", "range", "n", "most", "postings", "bucket").sortWithinPartitions("bucket", "term", "range").write.partitionBy("bucket").parquet(f"{folder}/blocks")
+    _table(spark, folder, "blocks").groupBy("term").agg(F.sum("n").alias("df")).write.parquet(f"{folder}/terms")
     return opened(spark, folder, width)
 
 
 def opened(spark: SparkSession, folder: str, width: int = WIDTH) -> Inverted:
     """The index that was built in a folder."""
-    return Inverted(*(spark.read.parquet(f"{folder}/{f.name}") for f in fields(Inverted) if f.name != "width"), width)
+    return Inverted(*(_table(spark, folder, t) for t in TABLES), width)
+
+
+def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.schema(TABLES[name]).parquet(f"{folder}/{name}")
 
 
-def tf(at: Column, n_text: Column) -> Column:
-    """Weighted frequency: places in the text count more than those after it."""
-    in_text = F.size(F.filter(at, lambda p: p < n_text))
-    return in_text * F.lit(TEXT_WEIGHT) + (F.size(at) - in_text) * F.lit(META_WEIGHT)
+def tf_of(at: str, n_text: str) -> Column:
+    """Weighted frequency (an aggregate over places): places in the text count more than those after it."""
+    return F.sum(F.when(F.col(at) < F.col(n_text), TEXT_WEIGHT).otherwise(META_WEIGHT))
 
 
 def share(tf_: Column, len_: Column, avg_len: Column) -> Column:
@@ -116,7 +125,7 @@ def tokens(queries: DataFrame) -> DataFrame:
 
 
 def phrase_postings(phrases: DataFrame, index: Inverted) -> DataFrame:
-    """``phrase, range, no, chunk_id, len, n_text, at``: the chunks in which the terms of each phrase (array of terms) follow one another, and where.
+    """``phrase, range, no, chunk_id, len, n_text, at, tf``: the chunks in which the terms of each phrase (array of terms) follow one another, and where.
 
     The ranges that have all terms are found from the heads; only their blocks are read. A phrase may be one term; an empty one is
     nowhere.
@@ -129,12 +138,12 @@ def phrase_postings(phrases: DataFrame, index: Inverted) -> DataFrame:
     wanted = written(near.join(offsets, "phrase"), "phrase-blocks")
     found = wanted.join(index.blocks, ["bucket", "term", "range"]).select("phrase", "off", "range", F.explode("postings").alias("p"))
     shifted = F.transform("p.at", lambda x: x - F.col("off"))
-    per = found.groupBy("phrase", "range", "p.no").agg(
-        F.first("p.chunk_id").alias("chunk_id"), F.first("p.len").alias("len"), F.first("p.n_text").alias("n_text"), F.collect_list(shifted).alias("starts")
-    )
+    per = found.groupBy("phrase", "range", "p.no").agg(F.first("p").alias("p"), F.collect_list(shifted).alias("starts"))
     per = per.filter(F.size("starts") == F.size("phrase"))
-    both = F.aggregate("starts", F.get("starts", F.lit(0)), lambda a, x: F.array_intersect(a, x))
-    return per.select("phrase", "range", "no", "chunk_id", "len", "n_text", F.array_sort(both).alias("at")).filter(F.size("at") > 0)
+    both = F.array_sort(F.aggregate("starts", F.get("starts", F.lit(0)), lambda a, x: F.array_intersect(a, x)))
+    rows = per.select("phrase", "range", "no", "p.chunk_id", "p.len", "p.n_text", both.alias("at")).filter(F.size("at") > 0)
+    in_text = F.size(F.filter("at", lambda p: p < F.col("n_text")))
+    return rows.withColumn("tf", in_text * F.lit(TEXT_WEIGHT) + (F.size("at") - in_text) * F.lit(META_WEIGHT))
 
 
 def masks(allowed: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -211,7 +220,7 @@ def search(queries: DataFrame, index: Inverted, k: int = TOP, allowed: DataFrame
 
     bounds = [single.join(index.heads, ["bucket", "term"]).select("query_id", "range", (F.col("w") * F.col("most")).alias("u"), F.lit(1).alias("b"))]
     if made is not None:
-        scored = made.crossJoin(avg).withColumn("s", share(tf(F.col("at"), F.col("n_text")), F.col("len"), F.col("avg_len")))
+        scored = made.crossJoin(avg).withColumn("s", share(F.col("tf"), F.col("len"), F.col("avg_len")))
         tops = scored.groupBy("phrase", "range").agg(F.max("s").alias("most"))
         bounds.append(several.join(tops, "phrase").select("query_id", "range", (F.col("w") * F.col("most")).alias("u"), F.lit(0).alias("b")))
     bound = reduce(DataFrame.unionByName, bounds).groupBy("query_id", "range").agg(F.sum("u").alias("u"), F.sum("b").alias("b"))
@@ -225,22 +234,33 @@ def search(queries: DataFrame, index: Inverted, k: int = TOP, allowed: DataFrame
         """``query_id, chunk_id, score`` of all chunks of the ranges (``query_id, range`` and, where filtered, ``mask``)."""
         live = ranges.select("query_id", "range", *(["mask"] if filtered else []))
         parts = single.join(live, "query_id").join(index.blocks, ["bucket", "term", "range"]).withColumn("p", F.explode("postings"))
-        cols = ["query_id", "no", "chunk_id", "len", "n_text", "at", "w", *(["mask"] if filtered else [])]
-        parts = parts.select(*(f"p.{c}" if c in ("no", "chunk_id", "len", "n_text", "at") else c for c in cols))
+        cols = ["query_id", "no", "chunk_id", "len", "tf", "w", *(["mask"] if filtered else [])]
+        parts = parts.select(*(f"p.{c}" if c in ("no", "chunk_id", "len", "tf") else c for c in cols))
         if made is not None:
             parts = parts.union(several.join(live, "query_id").join(made, ["phrase", "range"]).select(*cols))
         if filtered:
             parts = parts.filter(F.col("mask").isNull() | passes(F.col("mask"), F.col("no"), width))
-        s = F.col("w") * share(tf(F.col("at"), F.col("n_text")), F.col("len"), F.col("avg_len"))
+        s = F.col("w") * share(F.col("tf"), F.col("len"), F.col("avg_len"))
         return parts.crossJoin(avg).groupBy("query_id", "chunk_id").agg(F.round(F.sum(s), 9).alias("score"))
 
     order = W.partitionBy("query_id").orderBy(F.col("u").desc(), "range")
-    first = written(bound.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= -(-FIRST * k // width) + 1).drop("r"), "first")
-    best = written(ranked(read(first), F.col("score").desc(), k), "best")
-    kth = best.filter(F.col("rank") == k).select("query_id", F.col("score").alias("kth"))
-    rest = bound.join(first.select("query_id", "range"), ["query_id", "range"], "left_anti").join(kth, "query_id", "left")
-    rest = written(rest.filter("kth is null or u + 1e-6 >= kth"), "rest")  # scores are rounded; ties may have a smaller chunk_id
-    hits = ranked(read(rest).unionByName(best.select("query_id", "chunk_id", "score")), F.col("score").desc(), k)
-    used = first.select("query_id", "b").unionByName(rest.select("query_id", "b")).groupBy("query_id").agg(F.sum("b").alias("blocks_read"))
-    reading = bound.groupBy("query_id").agg(F.sum("b").alias("blocks")).join(used, "query_id")
-    return Found(hits, reading)
+    best = left = None
+    used = []
+    for n in (*FIRST, None):  # ranges from the highest bound on, a few more each time, then all whose bound is not below the k-th score
+        if best is None:
+            left = bound
+        else:
+            kth = best.filter(F.col("rank") == k).select("query_id", F.col("score").alias("kth"))
+            left = left.join(used[-1].select("query_id", "range"), ["query_id", "range"], "left_anti").drop("kth").join(kth, "query_id", "left")
+            left = left.filter("kth is null or u + 1e-6 >= kth")  # scores are rounded; ties may have a smaller chunk_id
+        now = left if n is None else left.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= -(-n * k // width) + 1).drop("r")
+        used.append(written(now, "ranges"))
+        found = read(used[-1])
+        if best is not None:
+            found = found.unionByName(best.select("query_id", "chunk_id", "score"))
+        best = ranked(found, F.col("score").desc(), k)
+        if n is not None:
+            best = written(best, "best")
+    read_ = reduce(DataFrame.unionByName, (u.select("query_id", "b") for u in used)).groupBy("query_id").agg(F.sum("b").alias("blocks_read"))
+    reading = bound.groupBy("query_id").agg(F.sum("b").alias("blocks")).join(read_, "query_id")
+    return Found(best, reading)

@@ -81,10 +81,28 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int = TOP, block: int = QUERY
     return ranked(near, F.col("distance").asc(), k)
 
 
-def _vectors(column: pa.Array) -> np.ndarray:
+def matrix(column: pa.Array) -> np.ndarray:
+    """Vectors of one length, a row each."""
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
+def nearest_rows(asked: pa.Array, q: np.ndarray, names: np.ndarray, x: np.ndarray, k: int) -> pa.RecordBatch:
+    """``query_id, chunk_id, distance`` of the ``k`` vectors of ``x`` nearest to each of ``q``, ties by name."""
+    squares = (x**2).sum(axis=1)
+    rough = squares - 2 * (q @ x.T)  # the order of distances, but for rounding
+    some = min(k, len(names))
+    limit = np.partition(rough, some - 1, axis=1)[:, some - 1]
+    slack = 1e-6 * (1 + np.abs(limit) + (q**2).sum(axis=1))
+    row, at = np.nonzero(rough <= (limit + slack)[:, None])  # all that may be among the k, ties included
+    d = np.round(np.sqrt(((x[at] - q[row]) ** 2).sum(axis=1)), 9)
+    order = np.lexsort((names[at], d, row))
+    row, at, d = row[order], at[order], d[order]
+    first = np.searchsorted(row, row)  # where the query's rows begin
+    kept = np.arange(len(row)) - first < k
+    cols = [asked.take(pa.array(row[kept])), pa.array(names[at[kept]]), pa.array(d[kept])]
+    return pa.RecordBatch.from_arrays(cols, names=["query_id", "chunk_id", "distance"])
+
+
 def _nearest(folder: str, k: int, block: int):
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         held: list[pa.RecordBatch] = []
@@ -102,24 +120,10 @@ def _nearest(folder: str, k: int, block: int):
             if not len(vectors):
                 continue
             names = vectors.column(0).to_numpy()
-            x = _vectors(vectors.column(1).combine_chunks())
-            squares = (x**2).sum(axis=1)
+            x = matrix(vectors.column(1).combine_chunks())
             for asked in pyarrow.dataset.dataset(root, filesystem=store, format="parquet").to_batches(batch_size=block):
-                if not len(asked):
-                    continue
-                q = _vectors(asked.column(1))
-                rough = squares - 2 * (q @ x.T)  # the order of distances, but for rounding
-                some = min(k, len(names))
-                limit = np.partition(rough, some - 1, axis=1)[:, some - 1]
-                slack = 1e-6 * (1 + np.abs(limit) + (q**2).sum(axis=1))
-                row, at = np.nonzero(rough <= (limit + slack)[:, None])  # all that may be among the k, ties included
-                d = np.round(np.sqrt(((x[at] - q[row]) ** 2).sum(axis=1)), 9)
-                order = np.lexsort((names[at], d, row))
-                row, at, d = row[order], at[order], d[order]
-                first = np.searchsorted(row, row)  # where the query's rows begin
-                kept = np.arange(len(row)) - first < k
-                cols = [asked.column(0).take(pa.array(row[kept])), pa.array(names[at[kept]]), pa.array(d[kept])]
-                yield pa.RecordBatch.from_arrays(cols, names=["query_id", "chunk_id", "distance"])
+                if len(asked):
+                    yield nearest_rows(asked.column(0), matrix(asked.column(1)), names, x, k)
 
     return run
 

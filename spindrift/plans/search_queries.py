@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from spindrift.functions import answers as A, facets, text as X
-from spindrift.operators import evaluate, inverted, search
+from spindrift.operators import evaluate, inverted, search, vectors
 from spindrift.plans import tables
 from spindrift.plans.registry import query
 from spindrift.session import table, written
@@ -353,3 +353,31 @@ def filtered_top(spark, d):
     asked = tables.asked(spark, d).withColumn("filter_id", F.nullif((F.col("query_id") % 5).cast("int"), F.lit(4)))
     allowed = inverted.allowed(filters, inverted.facet_bitmaps(docs, index))
     return inverted.search(asked, index, 10, allowed, phrases=False).hits
+
+
+@query("t01_lists")
+def knn_lists(spark, d):
+    """The ten nearest vectors by inverted lists, for the queries of t01; tests measure the recall."""
+    v = _vectors(spark, d)
+    q = v.filter("chunk_id % 100 = 0").withColumnRenamed("chunk_id", "query_id")  # a search: the stated set of queries
+    return vectors.knn_lists(q, vectors.build_lists(v), 10).select("query_id", "chunk_id", F.round("distance", 6).alias("distance"), "rank")
+
+
+@query(
+    "p05_filtered_knn",
+    """WITH v AS (SELECT vec_id, cast(embedding AS double[]) AS e, label, vec_id % 3 AS third FROM embeddings)
+      SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, round(list_distance(a.e, b.e), 6) AS distance,
+        cast(row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_distance(a.e, b.e), 9), b.vec_id) AS int) AS rank
+      FROM v a, v b WHERE a.vec_id % 100 = 0 AND b.label IN (a.label, (a.label + 1) % 10) AND b.third = 1 QUALIFY rank <= 10""",
+)
+def filtered_knn(spark, d):
+    """The ten nearest vectors of two labels and one third of the ids, for the queries of t01: filtered before the top-k."""
+    rows = table(spark, d, "embeddings")
+    index = inverted.build(rows.select(F.col("vec_id").alias("chunk_id"), F.lit("").alias("text")))
+    text = lambda c: c.cast("string")
+    facet = F.explode(F.create_map(F.lit("label"), text(F.col("label")), F.lit("third"), text(F.col("vec_id") % 3))).alias("facet", "value")
+    bitmaps = inverted.facet_bitmaps(rows.select(F.col("vec_id").alias("chunk_id"), facet), index)
+    filters = spark.createDataFrame([(n, f, v) for n in range(10) for f, v in (("label", str(n)), ("label", str((n + 1) % 10)), ("third", "1"))], "filter_id int, facet string, value string")
+    q = rows.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding", F.col("label").alias("filter_id"))  # a search: the stated set of queries
+    hits = vectors.knn_filtered(q, _vectors(spark, d), inverted.allowed(filters, bitmaps), index, 10)
+    return hits.select("query_id", "chunk_id", F.round("distance", 6).alias("distance"), "rank")
