@@ -16,17 +16,22 @@ No key of a shuffle is a term or a query alone: work is dealt by range, and a fr
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from spindrift.functions import text as X
 from spindrift.operators.search import B, K1, LEAST_IDF, META_WEIGHT, TEXT_WEIGHT, TOP, ranked
-from spindrift.session import new_shared_path, written
+from spindrift.session import bound_batches, new_shared_path, written
 
 #: Chunks of a range (a multiple of 8), folders that terms fall into, and bits of a bitmap (fixed by Spark's functions).
 WIDTH, BUCKETS, BITS = 64, 16, 32_768
+#: Terms that a task lays in blocks at once, about (a range is never split).
+TOKENS = 1 << 20
 #: The stored tables.
 TABLES = {
     "numbers": "chunk_id long, len int, no long",
@@ -64,12 +69,13 @@ def build(
 ) -> Inverted:
     """Write the index of ``chunks`` (``chunk_id`` long, unique, and texts) to a folder (default: one in the shared folder).
 
-    Texts move once, to the task of their range; all counting is done there. A null text has no terms. Places in ``meta_col``
+    Texts move once, to the task of their range, which lays its chunks' terms in blocks, some ranges at a time. A null text has no terms. Places in ``meta_col``
     follow those of the text after a gap, so that no phrase reaches from one into the other.
     """
     if width % 8:
         raise ValueError("the width of a range is a multiple of 8")
     spark = chunks.sparkSession
+    bound_batches(spark)
     folder = folder or new_shared_path(spark, "inverted")
     cols = ["chunk_id", text_col, *([meta_col] if meta_col else [])]
     sizes = X.n_terms(text_col) + (X.n_terms(meta_col) if meta_col else F.lit(0))
@@ -78,26 +84,75 @@ def build(
     ordered.withColumn("no", F.monotonically_increasing_id()).write.parquet(f"{folder}/numbers")
     sizes.agg(F.count("*").alias("n_chunks"), F.avg("len").alias("avg_len")).write.parquet(f"{folder}/stats")
 
-    numbers, stats = _table(spark, folder, "numbers"), _table(spark, folder, "stats")
-    rows = chunks.select(*cols).join(numbers, "chunk_id").crossJoin(F.broadcast(stats))  # one row of statistics
-    rows = rows.withColumn("range", F.expr(f"no div {width}")).repartition("range")
+    avg_len = _table(spark, folder, "stats").first()["avg_len"]
     text, meta = X.terms(text_col), X.terms(meta_col) if meta_col else F.array().cast("array<string>")
-    chunk = F.struct("no", "chunk_id", "len", F.size("t").alias("n_text"), "avg_len")
-    rows = rows.select("range", "no", "chunk_id", "len", "avg_len", text.alias("t"), meta.alias("m")).withColumn("c", chunk)
-    places = rows.select("range", "c", F.posexplode("t").alias("at", "term"))
-    if meta_col:
-        places = places.union(rows.select("range", "c", F.posexplode("m").alias("at", "term")).withColumn("at", F.col("at") + F.col("c.n_text") + 1))
-    per = places.groupBy("range", "c.no", "term").agg(F.first("c").alias("c"), tf_of("at", "c.n_text").alias("tf"), F.array_sort(F.collect_list("at")).alias("at"))
-    posting = F.struct("no", "c.chunk_id", "c.len", "c.n_text", "tf", "at")
-    most = F.max(share(F.col("tf"), F.col("c.len"), F.col("c.avg_len")))
-    blocks = per.groupBy("range", "term").agg(F.count("*").cast("int").alias("n"), most.alias("most"), F.array_sort(F.collect_list(posting)).alias("postings"))
+    rows = chunks.select(*cols).join(_table(spark, folder, "numbers"), "chunk_id").withColumn("range", F.expr(f"no div {width}"))
+    rows = rows.repartition("range").sortWithinPartitions("range", "no")
+    blocks = rows.select("range", "no", "chunk_id", "len", text.alias("t"), meta.alias("m")).mapInArrow(_blocks(avg_len), TABLES["blocks"].removesuffix(", bucket int"))
     # a frequent term's blocks are dealt over tasks by range
     blocks = blocks.withColumn("bucket", _bucket("term")).repartition("bucket", F.pmod("range", F.lit(8)))
-    blocks.select("term", "range", "n", "most", "postings", "bucket").sortWithinPartitions("bucket", "term", "range").write.partitionBy("bucket").parquet(f"{folder}/blocks")
+    blocks.sortWithinPartitions("bucket", "term", "range").write.partitionBy("bucket").parquet(f"{folder}/blocks")
     _table(spark, folder, "blocks").groupBy("term").agg(F.sum("n").alias("df")).write.parquet(f"{folder}/terms")
     return opened(spark, folder, width)
 
 
+def _blocks(avg_len: float):
+    """The blocks of chunks (``range, no, chunk_id, len``, terms of text and meta) that come by range, then number."""
+
+    def made(rows: pa.Table) -> pa.RecordBatch:
+        range_, no, chunk, size = (rows.column(k).to_numpy() for k in range(4))
+        lists = [rows.column(k).combine_chunks() for k in (4, 5)]
+        n_text, n_meta = (np.asarray(x.value_lengths()).astype(np.int64) for x in lists)
+        words = pa.concat_arrays([x.flatten() for x in lists]).dictionary_encode()
+        row = np.concatenate([np.repeat(np.arange(len(rows)), n) for n in (n_text, n_meta)])
+        first = [np.cumsum(n) - n for n in (n_text, n_meta)]
+        at = np.arange(len(row))
+        t = int(n_text.sum())
+        at[:t] -= np.repeat(first[0], n_text)
+        at[t:] -= np.repeat(first[1] - n_text - 1, n_meta) + t  # after the text and a gap
+        weight = np.where(np.arange(len(row)) < t, TEXT_WEIGHT, META_WEIGHT)
+        term = words.indices.to_numpy().astype(np.int64)
+        key = (np.searchsorted(np.unique(range_), range_)[row] * (len(words.dictionary) + 1) + term) * len(rows) + row
+        order = np.argsort(key, kind="stable")  # by range, term, chunk; places stay in order
+        key = key[order]
+        posting = np.flatnonzero(np.diff(key, prepend=-1))
+        own = row[order[posting]]
+        tf = np.add.reduceat(weight[order], posting) if len(posting) else np.zeros(0)
+        block = np.flatnonzero(np.diff(key[posting] // max(1, len(rows)), prepend=-1))
+        part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[own] / avg_len))
+        most = np.maximum.reduceat(part, block) if len(block) else np.zeros(0)
+        ends = lambda begins, n: pa.array(np.append(begins, n), pa.int32())
+        places = pa.ListArray.from_arrays(ends(posting, len(row)), pa.array(at[order], pa.int32()))
+        fields = {"no": no[own], "chunk_id": chunk[own], "len": size[own], "n_text": n_text[own].astype(np.int32), "tf": tf, "at": places}
+        postings = pa.StructArray.from_arrays([pa.array(v) for v in fields.values()], names=[*fields])
+        head = order[posting[block]]
+        n = np.diff(block, append=len(posting)).astype(np.int32)
+        lists_ = pa.ListArray.from_arrays(ends(block, len(posting)), postings)
+        cols = [words.dictionary.take(pa.array(term[head])), pa.array(range_[row[head]]), pa.array(n), pa.array(most), lists_]
+        return pa.RecordBatch.from_arrays(cols, names=["term", "range", "n", "most", "postings"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # a range that may go on, and what was not much before it
+        size = 0
+        for batch in batches:
+            range_, n = batch.column(0).to_numpy(), batch.column(3).to_numpy()
+            begins = np.flatnonzero(np.diff(range_, prepend=-1))
+            if held and len(range_) and held[-1].column(0)[-1].as_py() == range_[0]:
+                begins = begins[1:]
+            lo = 0
+            for i in begins.tolist():
+                if size + int(n[lo:i].sum()) >= TOKENS:
+                    yield made(pa.Table.from_batches([*held, batch.slice(lo, i - lo)]))
+                    held, size, lo = [], 0, i
+            if lo < len(batch):
+                held.append(batch.slice(lo))
+                size += int(n[lo:].sum())
+        if held:
+            yield made(pa.Table.from_batches(held))
+
+    return run
+
+
 def opened(spark: SparkSession, folder: str, width: int = WIDTH) -> Inverted:
     """The index that was built in a folder."""
     return Inverted(*(_table(spark, folder, t) for t in TABLES), width)
@@ -107,11 +162,6 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(TABLES[name]).parquet(f"{folder}/{name}")
 
 
-def tf_of(at: str, n_text: str) -> Column:
-    """Weighted frequency (an aggregate over places): places in the text count more than those after it."""
-    return F.sum(F.when(F.col(at) < F.col(n_text), TEXT_WEIGHT).otherwise(META_WEIGHT))
-
-
 def share(tf_: Column, len_: Column, avg_len: Column) -> Column:
     """What a term adds to a score, but for its weight."""
     return tf_ * (K1 + 1) / (tf_ + K1 * (1 - B + B * len_ / avg_len))

@@ -291,14 +291,14 @@ def answer_rates(spark, d):
     return evaluate.answer_summary(cases, answers)
 
 
-def _index(spark, d, width=8):
-    return inverted.build(tables.docs(spark, d), width=width)
+def _index(spark, d, **options):
+    return inverted.build(tables.docs(spark, d).select("chunk_id", "text"), **options)
 
 
 @query("t02_block_max", f"WITH {_BM25} SELECT query_id, chunk_id, score, cast(rank AS int) AS rank FROM bm25 WHERE rank <= 10")
 def block_max(spark, d):
     """The ten best chunks of each item, reading only the blocks that can hold one."""
-    return inverted.search(tables.asked(spark, d), _index(spark, d), 10, phrases=False).hits
+    return inverted.search(tables.asked(spark, d), _index(spark, d, width=8), 10, phrases=False).hits
 
 
 _PLACES = f"w AS (SELECT doc_id, {_TERMS} AS w FROM documents), places AS (SELECT doc_id, w, unnest(w) AS term, unnest(range(1, len(w) + 1)) AS p FROM w)"
