@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from spindrift.functions import answers as A, text as X
-from spindrift.operators import chunking, graph, index_store, search
+from spindrift.operators import chunking, graph, index_store, inverted, search
 from spindrift.providers import Chat, hashed_vector, paraphrases, replies
 from spindrift.session import written
 from spindrift.sources import files, html
@@ -58,7 +58,7 @@ def build(
 ) -> DataFrame:
     """Bring the index of a corpus up to date with a folder; returns the plan (files, chunks, tokens, cost).
 
-    Only new and changed files are chunked and embedded, each distinct text once (``limit``: the first so many of them, by path); files that are gone
+    Files are hashed first; only new and changed ones are parsed, chunked and embedded, each distinct text once (``limit``: the first so many of them, by path); files that are gone
     leave with ``prune``. Nothing is written by a dry run or if the cost is above the limit and
     not confirmed. Files without text are remembered with the reason, so that they are not read again; ``pdf_pages`` reads PDF files.
     Tables of other corpora are not touched.
@@ -66,13 +66,13 @@ def build(
     index_store.check_corpus(corpus)
     store = index_store.IndexStore(spark, root)
     known = store.read("files", corpus) if corpus in store.corpora() else spark.createDataFrame([], FILES)
-    disk = written(files.read_files(spark, folder, corpus, pdf_pages), "disk")
+    disk = written(files.listed(spark, folder, corpus, pdf_pages is not None), "disk")
     readable = disk.filter("reason is null or reason = 'no_reader'")
     change = written(index_store.changes(readable, known, full or store.schema_outdated(corpus)), "changes")
     work = change.filter("action in ('new', 'changed')").select("corpus", "path")
     if limit is not None:
         work = written(work.orderBy("path").limit(limit), "limited")
-    todo = readable.join(work, ["corpus", "path"], "left_semi")
+    todo = written(files.read_files(spark, folder, corpus, pdf_pages, work), "texts")
     chunks, sections = chunked(todo)
     chunks, sections = written(index_store.one_each(chunks, "chunks"), "chunks"), written(index_store.one_each(sections, "sections"), "sections")
     plan = written(index_store.build_plan(todo, chunks), "plan")
@@ -88,8 +88,7 @@ def build(
     entries = todo.select("corpus", "path", "sha256", "size", "reason").join(status, ["corpus", "path"], "left")
     entries = entries.select("corpus", "path", "sha256", "size", F.coalesce("status", "reason", F.lit("no_text")).alias("status"))
     touched = change.filter("action = 'gone'").select("corpus", "path").union(work) if prune else work
-    postings = search.postings(chunks, meta_col="meta").join(chunks.select("chunk_id", "corpus", "path"), "chunk_id")
-    new = {"files": entries, "chunks": chunks, "sections": sections, "raw_refs": graph.extract_refs(sections), "postings": postings}
+    new = {"files": entries, "chunks": chunks, "sections": sections, "raw_refs": graph.extract_refs(sections)}
     if corpus in store.corpora():
         new = {n: index_store.replaced(store.read(n, corpus), df, touched) for n, df in new.items()}
     new["refs"] = graph.resolve_refs(new["raw_refs"], new["sections"])
@@ -131,7 +130,8 @@ def find(
     """Search one corpus of a built index for a table of queries (``query_id, q``).
 
     Blank queries have no results. With ``synonyms`` (``word, instead``) and ``expand`` each query is also asked in its
-    paraphrases, and all rankings are fused. Further options are those of :func:`search.search`.
+    paraphrases, and all rankings are fused. A word of several terms (160D-1110) is searched as a phrase. ``top_k`` is clamped; further options are
+    those of :func:`search.search`.
     """
     store = index_store.IndexStore(spark, root)
     corpus = corpus or primary_corpus(spark, root)
@@ -140,17 +140,21 @@ def find(
         asked = paraphrases(asked, synonyms)
     asked = written(asked.withColumn("embedding", (embed or hashed_vector())(F.col("q"))), "queries")
     chunks = store.read("chunks", corpus)
+    index = store.inverted(corpus)
+    options["top_k"] = clamped(options.get("top_k", PER_PROBE), options.get("balance", False))
     return search.search(
         asked, chunks, store.read("sections", corpus), store.read("refs", corpus), vectors=chunks.select("chunk_id", "embedding"),
-        index=store.read("postings", corpus), meta_col="meta", **options,
+        fulltext=lambda q, k: inverted.search(q, index, k).hits, **options,
     )
 
 
 def with_sources(spark: SparkSession, root: str, results: DataFrame) -> DataFrame:
     """Results (of :func:`find`) with text, label and designation of their sections (or chunks, where there is no section)."""
     store = index_store.IndexStore(spark, root)
-    s = store.read("sections").select("corpus", "path", "section_id", "section_number", "section_title", "edition", "jurisdiction", "full_text")
-    c = store.read("chunks").select("corpus", "chunk_id", F.col("text").alias("leaf"), F.col("edition").alias("leaf_edition"), F.col("jurisdiction").alias("leaf_jurisdiction"), "page")
+    corpus = results.select("corpus").distinct().collect()  # a few names
+    corpus = corpus[0]["corpus"] if len(corpus) == 1 else None
+    s = store.read("sections", corpus).select("corpus", "path", "section_id", "section_number", "section_title", "edition", "jurisdiction", "full_text")
+    c = store.read("chunks", corpus).select("corpus", "chunk_id", F.col("text").alias("leaf"), F.col("edition").alias("leaf_edition"), F.col("jurisdiction").alias("leaf_jurisdiction"), "page")
     rows = results.join(s, ["corpus", "path", "section_id"], "left").join(c, ["corpus", "chunk_id"], "left")
     rows = rows.withColumn("text", F.coalesce(F.nullif("full_text", F.lit("")), "leaf")).withColumn("source_file", X.basename("path"))
     rows = rows.withColumn("edition", F.coalesce("edition", "leaf_edition")).withColumn("jurisdiction", F.coalesce("jurisdiction", "leaf_jurisdiction"))

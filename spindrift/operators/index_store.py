@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from spindrift.functions import text as X
-from spindrift.operators import graph
+from spindrift.operators import graph, inverted
 
-SCHEMA_VERSION = 2
+SCHEMA_VERSION = 3
 CORPUS_NAME = re.compile(r"[a-z0-9][a-z0-9_-]*")
 #: Keys of the tables; a later row replaces an earlier one of the same key.
 KEYS = {
@@ -19,7 +20,6 @@ KEYS = {
     "sections": ("corpus", "path", "section_id"),
     "raw_refs": ("corpus", "path", "src_section_id", "dst_raw", "dst_kind"),
     "refs": ("corpus", "path", "src_section_id", "dst_raw", "dst_kind"),
-    "postings": ("corpus", "path", "chunk_id", "term"),
 }
 
 
@@ -89,10 +89,12 @@ class IndexStore:
 
     Readers take the version that the pointer names, so that a build that dies leaves the last
     state, and a table is never overwritten while it is read. The pointer holds the schema, so that a table without rows
-    can be read. The version before the last is kept for readers that have begun; older ones are removed.
+    can be read, and the folder, whose name no other commit uses: of two writers at once each leaves a whole state, and
+    all readers take the same one. The version before the last is kept for readers that have begun; older ones are removed.
+    With the chunks goes their inverted index, built once a commit.
     """
 
-    POINTERS = "table_name string, corpus string, version long, schema_version int, columns string"
+    POINTERS = "table_name string, corpus string, version long, schema_version int, columns string, folder string"
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -105,53 +107,67 @@ class IndexStore:
         fs, p = self._fs(f"{self.root}/_pointers")
         return fs.exists(p)
 
-    def _current(self) -> dict[tuple[str, str], tuple[int, int, str]]:
-        """Version, schema version and columns of each table and corpus: a few rows."""
+    def _pointers(self) -> DataFrame:
+        rows = self.spark.read.schema(self.POINTERS).json(f"{self.root}/_pointers")
+        old = F.format_string("%s/corpus=%s/v%d", "table_name", "corpus", "version")
+        return rows.withColumn("folder", F.concat(F.lit(self.root + "/"), F.coalesce("folder", old)))
+
+    def _current(self) -> dict[tuple[str, str], tuple[int, int, str, str]]:
+        """Version, schema version, columns and folder of each table and corpus: a few rows."""
         if not self.exists():
             return {}
-        rows = self.spark.read.schema(self.POINTERS).json(f"{self.root}/_pointers")
-        last = rows.groupBy("table_name", "corpus").agg(F.max(F.struct("version", "schema_version", "columns")).alias("x"))
+        last = self._pointers().groupBy("table_name", "corpus").agg(F.max(F.struct("version", "schema_version", "columns", "folder")).alias("x"))
         return {(r["table_name"], r["corpus"]): tuple(r["x"]) for r in last.collect()}
 
     def corpora(self) -> list[str]:
         return sorted({c for _, c in self._current()})
 
     def schema_outdated(self, corpus: str) -> bool:
-        return any(v != SCHEMA_VERSION for (_, c), (_, v, _) in self._current().items() if c == corpus)
+        return any(v[1] != SCHEMA_VERSION for (_, c), v in self._current().items() if c == corpus)
 
     def read(self, name: str, corpus: str | None = None) -> DataFrame:
         """A table of one corpus, or of all: only the folders of the corpus are read."""
         out = None
-        for (table, c), (v, _, columns) in sorted(self._current().items()):
+        for (table, c), (_, _, columns, folder) in sorted(self._current().items()):
             if table == name and corpus in (None, c):
                 schema = T.StructType.fromJson(json.loads(columns))
                 stored = T.StructType([f for f in schema.fields if f.name != "corpus"])
-                part = self.spark.read.schema(stored).parquet(self._folder(name, c, v)).withColumn("corpus", F.lit(c)).select(*schema.names)
+                part = self.spark.read.schema(stored).parquet(folder).withColumn("corpus", F.lit(c)).select(*schema.names)
                 out = part if out is None else out.unionByName(part)
         if out is None:
             raise FileNotFoundError(f"no table {name}{f' of {corpus}' if corpus else ''} in {self.root}")
         return out
 
-    def _folder(self, name: str, corpus: str, version: int) -> str:
-        return f"{self.root}/{name}/corpus={corpus}/v{version}"
+    def inverted(self, corpus: str) -> inverted.Inverted:
+        """The inverted index of a corpus's chunks."""
+        return inverted.opened(self.spark, self._current()["inverted", corpus][3])
 
     def commit(self, corpus: str, tables: dict[str, DataFrame]) -> None:
         """Write new versions of the tables of one corpus, and point to them; other corpora are not touched."""
         current, rows = self._current(), []
+        own = uuid.uuid4().hex[:12]
+
+        def add(name: str, columns: str) -> str:
+            v = current.get((name, corpus), (0,))[0] + 1
+            rows.append((name, corpus, v, SCHEMA_VERSION, columns, f"{name}/corpus={corpus}/v{v}-{own}"))
+            return f"{self.root}/{rows[-1][-1]}"
+
         for name, df in tables.items():
-            v = current.get((name, corpus), (0, 0, ""))[0] + 1
-            df.filter(F.col("corpus") == corpus).drop("corpus").write.mode("overwrite").parquet(self._folder(name, corpus, v))
-            rows.append((name, corpus, v, SCHEMA_VERSION, df.schema.json()))
+            df.filter(F.col("corpus") == corpus).drop("corpus").write.parquet(add(name, df.schema.json()))
+        if "chunks" in tables:
+            chunks = self.spark.read.schema(tables["chunks"].schema).parquet(f"{self.root}/{next(r[-1] for r in rows if r[0] == 'chunks')}")
+            inverted.build(chunks, meta_col="meta", folder=add("inverted", ""))
         self.spark.createDataFrame(rows, self.POINTERS).coalesce(1).write.mode("append").json(f"{self.root}/_pointers")
-        for name, _, v, _, _ in rows:
-            if v > 2:
-                fs, p = self._fs(self._folder(name, corpus, v - 2))
-                fs.delete(p, True)
+        new = self.spark.createDataFrame([(r[0], r[2]) for r in rows], "table_name string, v long")
+        old = self._pointers().filter(F.col("corpus") == corpus).join(new, "table_name").filter(F.col("version").isin(F.col("v") - 2, F.col("v") - 3))
+        for r in old.select("folder").collect():  # a few rows
+            fs, p = self._fs(r["folder"])
+            fs.delete(p, True)
 
     def purge(self, paths: DataFrame) -> None:
         """Remove all rows of files (``corpus, path``) from all tables; references to their sections are resolved anew."""
         for corpus in [r[0] for r in paths.select("corpus").distinct().collect()]:
-            left = {n: purged(self.read(n, corpus), paths) for n, c in self._current() if c == corpus}
+            left = {n: purged(self.read(n, corpus), paths) for n, c in self._current() if c == corpus and n != "inverted"}
             if {"raw_refs", "sections"} <= left.keys():
                 left["refs"] = graph.resolve_refs(left["raw_refs"], left["sections"])
             self.commit(corpus, left)

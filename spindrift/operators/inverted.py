@@ -261,7 +261,7 @@ def search(queries: DataFrame, index: Inverted, k: int = TOP, allowed: DataFrame
     terms = one.select("term").distinct()
     df = index.terms.join(terms, "term", "left_semi").select(F.array("term").alias("phrase"), "df")
     made = None
-    if phrases:
+    if phrases and not asked.filter(F.size("phrase") > 1).isEmpty():
         made = written(phrase_postings(asked.filter(F.size("phrase") > 1), index), "phrases")
         df = df.union(made.groupBy("phrase").agg(F.count("*").alias("df")))
     weights = asked.join(df, "phrase").crossJoin(avg).select("query_id", "phrase", (F.col("times") * idf).alias("w"))
@@ -295,8 +295,10 @@ def search(queries: DataFrame, index: Inverted, k: int = TOP, allowed: DataFrame
 
     order = W.partitionBy("query_id").orderBy(F.col("u").desc(), "range")
     best = left = None
-    used = []
-    for n in (*FIRST, None):  # ranges from the highest bound on, a few more each time, then all whose bound is not below the k-th score
+    used: list[DataFrame] = []
+    most = bound.groupBy("query_id").count().agg(F.max("count")).first()[0] or 0  # ranges of a query
+    steps = [n for n in FIRST if -(-n * k // width) + 1 < most]
+    for n in (*steps, None):  # ranges from the highest bound on, a few more each time, then all whose bound is not below the k-th score
         if best is None:
             left = bound
         else:

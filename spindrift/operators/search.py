@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import fnmatch
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -193,8 +193,8 @@ def with_codes(rows: DataFrame) -> DataFrame:
     """If a query (``q``) has short codes and any of its rows holds one, only the rows that do."""
     hit = F.exists(X.short_codes("q"), lambda c: F.regexp_like("text", F.concat(F.lit(r"\b"), c, F.lit(r"\b"))))
     rows = rows.withColumn("_hit", F.coalesce(hit, F.lit(False)))
-    rows = rows.withColumn("_any", F.max("_hit").over(W.partitionBy("query_id")))
-    return rows.filter("_hit or not _any").drop("_hit", "_any")
+    found = rows.groupBy("query_id").agg(F.max("_hit").alias("_any"))  # texts stay where they are
+    return rows.join(found, "query_id").filter("_hit or not _any").drop("_hit", "_any")
 
 
 def stratified(rows: DataFrame, group: Column, position: Column, most: int = POOL) -> DataFrame:
@@ -223,6 +223,7 @@ def collapsed(pool: DataFrame) -> DataFrame:
 def search(
     queries: DataFrame, chunks: DataFrame, sections: DataFrame, refs: DataFrame | None = None, vectors: DataFrame | None = None,
     filters: Filters = Filters(), top_k: int = 8, balance: bool = False, rerank=None, index: DataFrame | None = None, meta_col: str | None = None,
+    fulltext: Callable[[DataFrame, int], DataFrame] | None = None,
 ) -> DataFrame:
     """Hybrid retrieval of a table of queries (``query_id, q`` and, with ``vectors``, ``embedding``).
 
@@ -230,17 +231,21 @@ def search(
     of all are fused. Then come filters, pool, optional rerank (``rerank(query, text)`` as a column
     function), collapse to sections, ancestor drop, ``top_k``, and one hop of references.
     Returns ``query_id, rank, corpus, section_id, path, chunk_id, score, status, referenced_by``.
-    ``meta_col`` is the column of ``chunks`` that ``index`` also covers.
+    ``meta_col`` is the column of ``chunks`` that ``index`` also covers. ``fulltext(queries, k)`` ranks by a stored index
+    (:func:`inverted.search`) instead of by postings.
     """
     k = TOP_FILTERED if filters.location or filters.versions is not None else TOP
-    index = index if index is not None else postings(chunks, meta_col=meta_col)
+    if fulltext is None:
+        index = index if index is not None else postings(chunks, meta_col=meta_col)
+        stats = corpus_stats(chunks, meta_col=meta_col)
+        fulltext = lambda q, n: bm25(q, index, stats, n)
     lists, said = [], queries.select("query_id", "q")
     if "variant" in queries.columns:
         said = queries.filter("variant = 0").select("query_id", "q")
         queries = queries.withColumn("query_id", F.struct("query_id", "variant"))
     if vectors is not None:
         lists.append(knn(queries, vectors, k))
-    lists.append(bm25(queries, index, corpus_stats(chunks, meta_col=meta_col), k))
+    lists.append(fulltext(queries, k))
     if "variant" in queries.columns:
         lists = [r.select(F.col("query_id.query_id").alias("query_id"), "chunk_id", "rank", F.col("query_id.variant").alias("variant")) for r in lists]
     fused = written(fuse(lists), "fused").join(said, "query_id")

@@ -60,32 +60,35 @@ def skipped(files: DataFrame) -> DataFrame:
     return files.withColumn("reason", skip_reason()).filter("reason is not null")
 
 
-def read_files(spark: SparkSession, folder: str, corpus: str, pdf_pages: Callable[[bytes], list[str]] | None = None) -> DataFrame:
-    """``corpus, path, ext, size, sha256, text, pages, reason`` of all files of a folder, by type.
+def listed(spark: SparkSession, folder: str, corpus: str, pdf_reader: bool = False) -> DataFrame:
+    """``corpus, path, ext, size, sha256, reason`` of all files of a folder. Files that can be read are hashed in the tasks and not parsed, others are only listed.
 
-    Text, HTML, old and new word files give ``text``, as it is in the file; PDF files give ``pages``, by the provider. ``reason`` says
-    why a file has neither: its ending, its size, or that there is no reader of pages. Each file is opened once,
-    in the tasks, and files that are not read are only listed.
+    ``reason`` says why a file has no text: its ending, its size, or (``no_reader``) a PDF file without a reader of pages.
     """
-    columns = ("corpus", "path", "ext", "size", "sha256", "text", "pages", "reason")
-    none = lambda kind: F.lit(None).cast(kind)
-
-    def read(endings: tuple[str, ...]) -> DataFrame:
-        found = entries(_load(spark, folder, endings).filter(F.col("length") <= MAX_BYTES), folder, corpus)
-        return found.withColumn("sha256", F.sha2("content", 256)).withColumn("reason", none("string"))
-
-    text = F.when(F.col("ext") == ".doc", X.legacy_doc_text(F.col("content"))).otherwise(X.decode_text(F.col("content")))
-    plain = read((*TEXT_ENDINGS, ".doc")).withColumn("text", text).withColumn("pages", none("array<string>"))
-    word = read((".docx",)).withColumn("text", docx_column("content")).withColumn("pages", none("array<string>"))
-    out = plain.select(*columns).unionByName(word.select(*columns))
-    paper = read((".pdf",))
-    if pdf_pages is None:
-        paper = paper.withColumn("pages", none("array<string>")).withColumn("reason", F.lit("no_reader"))
-    else:
-        paper = with_pages(paper, pdf_pages)
-    out = out.unionByName(paper.withColumn("text", none("string")).select(*columns))
-    left = skipped(corpus_files(spark, folder, corpus)).withColumns({"sha256": none("string"), "text": none("string"), "pages": none("array<string>")})
-    return out.unionByName(left.select(*columns))
+    found = entries(_load(spark, folder, ENDINGS).filter(F.col("length") <= MAX_BYTES), folder, corpus)
+    no_reader = F.when((F.col("ext") == ".pdf") & F.lit(not pdf_reader), "no_reader")
+    found = found.select("corpus", "path", "ext", "size", F.sha2("content", 256).alias("sha256"), no_reader.alias("reason"))
+    left = skipped(corpus_files(spark, folder, corpus)).withColumn("sha256", F.lit(None).cast("string"))
+    return found.unionByName(left.select(*found.columns))
+
+
+def read_files(spark: SparkSession, folder: str, corpus: str, pdf_pages: Callable[[bytes], list[str]] | None = None, only: DataFrame | None = None) -> DataFrame:
+    """``corpus, path, ext, size, sha256, text, pages, reason`` of the files of a folder that can be read, or of ``only`` those (``corpus, path``), by type.
+
+    Text, HTML, old and new word files give ``text``, as it is in the file; PDF files give ``pages``, by the provider, or a ``reason``.
+    One listing; only the wanted files are decoded, unzipped or given to the provider, each once.
+    """
+    found = entries(_load(spark, folder, ENDINGS).filter(F.col("length") <= MAX_BYTES), folder, corpus)
+    if only is not None:
+        found = found.join(only.select("corpus", "path"), ["corpus", "path"], "left_semi")
+    found = found.withColumn("sha256", F.sha2("content", 256))
+    kind = F.when(F.col("ext") == ".docx", F.lit("word")).when(F.col("ext") == ".pdf", F.lit("paper")).otherwise(F.lit("plain"))
+    of = lambda k: F.when(kind == k, F.col("content"))
+    plain = F.when(F.col("ext") == ".doc", X.legacy_doc_text(F.col("content"))).otherwise(X.decode_text(F.col("content")))
+    found = found.withColumn("text", F.when(kind == "word", docx_column(of("word"))).when(kind == "plain", plain))
+    pages = F.lit(None).cast("array<string>") if pdf_pages is None else F.when(kind == "paper", pages_column(pdf_pages)(of("paper")))
+    reason = F.when((kind == "paper") & F.lit(pdf_pages is None), "no_reader")
+    return found.withColumn("pages", pages).withColumn("reason", reason).select("corpus", "path", "ext", "size", "sha256", "text", "pages", "reason")
 
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -112,23 +115,28 @@ def docx_text(content: bytes) -> str:
 
 @F.pandas_udf(T.StringType())
 def docx_column(content: pd.Series) -> pd.Series:
-    return content.map(docx_text)
+    return content.map(docx_text, na_action="ignore")
 
 
-def with_pages(files: DataFrame, pages_of: Callable[[bytes], list[str]]) -> DataFrame:
-    """``files`` (with ``content``) and ``pages``, by a provider such as a PDF reader; a file it cannot read has none."""
+def pages_column(pages_of: Callable[[bytes], list[str]]) -> Callable[[Column], Column]:
+    """The pages of a file's content, by a provider such as a PDF reader; a file it cannot read has none, and null content does not reach it."""
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def read(contents: pd.Series) -> pd.Series:
         out = []
         for content in contents:
             try:
-                out.append(list(pages_of(content)))
+                out.append(None if content is None else list(pages_of(content)))
             except ValueError:
                 out.append([])
-        return pd.Series(out)
+        return pd.Series(out, dtype=object)
+
+    return read
 
-    return files.withColumn("pages", read("content"))
+
+def with_pages(files: DataFrame, pages_of: Callable[[bytes], list[str]]) -> DataFrame:
+    """``files`` (with ``content``) and ``pages``."""
+    return files.withColumn("pages", pages_column(pages_of)(F.col("content")))
 
 
 def golden_set(spark: SparkSession, path: str) -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spindrift import engine, providers
-from spindrift.operators import index_store, search
+from spindrift.operators import index_store, inverted, search
 
 CODE = """<html><body><section id="C_SecR105"><span class="tg-number">R105</span><span class="tg-title">Permits</span><p>A permit is needed to build a shed. See Section 101.2.</p>
 <section id="C_SecR105.2"><span class="tg-title">Exempt work</span><p>Sheds below two hundred square feet need no permit, under N.C.G.S. 160D-1110.</p></section></section>
@@ -109,11 +109,49 @@ def test_purge_drops_raw_references(spark, folder):
     store = index_store.IndexStore(spark, root)
     assert store.read("raw_refs").select("path").distinct().count() == 2
     engine.purge(spark, root, "codes", "model/2024/irc/ch1.html")
-    for table in ("raw_refs", "refs", "postings", "sections"):
+    for table in ("raw_refs", "refs", "chunks", "sections"):
         assert {r.path for r in store.read(table).select("path").distinct().collect()} <= {"north-carolina/NCBC2024/law.html", "durham/notes.txt"}
     assert store.read("refs").filter("dst_path = 'model/2024/irc/ch1.html'").count() == 0
 
 
+def test_only_changed_files_are_parsed_and_codes_are_phrases(spark, tmp_path):
+    """Calls of the PDF reader over four builds; the parts of a code elsewhere are no hits of the code; two writers at once leave one whole state."""
+    docs, calls, root = tmp_path / "docs", tmp_path / "calls", str(tmp_path / "index")
+    for d in (docs, calls):
+        d.mkdir()
+    for name, body in {"a.pdf": "Rules of section 160D-1110 on sheds.", "b.pdf": "Part 160D of the law, and page 1110 of it.", "c.txt": "Nothing on this."}.items():
+        (docs / name).write_text(body)
+
+    def pages(content):
+        with open(f"{calls}/{hash(content)}", "a") as f:
+            f.write("x")
+        return [content.decode()]
+
+    def built():
+        before = sum(len(f.read_text()) for f in calls.iterdir())
+        n = engine.build(spark, str(docs), "codes", root, pdf_pages=pages).first()["files"]
+        return n, sum(len(f.read_text()) for f in calls.iterdir()) - before
+
+    assert built() == (3, 2) and built() == (0, 0)
+    (docs / "b.pdf").write_text("Part 160D of the law, and page 1110 of the same.")
+    assert built() == (1, 1)
+    store = index_store.IndexStore(spark, root)
+    q = spark.createDataFrame([(1, "160D-1110")], "query_id long, q string")
+    words = inverted.search(q, store.inverted("codes"), 5)
+    assert [store.read("chunks").filter(F.col("chunk_id") == r.chunk_id).first().path for r in words.hits.collect()] == ["a.pdf"]
+    assert inverted.search(q, store.inverted("codes"), 5, phrases=False).hits.count() == 2
+    assert engine.find(spark, root, q, top_k=99).first().path == "a.pdf"
+
+    other, first = index_store.IndexStore(spark, root), {"files": store.read("files", "codes")}
+    current = store._current()
+    other._current = lambda: current  # has looked before the first one's commit
+    store.commit("codes", first)
+    other.commit("codes", first)
+    assert store.read("files").count() == 3 == other.read("files").count()
+    (docs / "a.pdf").unlink()
+    assert built() == (0, 0) and {r.path for r in store.read("files").collect()} == {"b.pdf", "c.txt"}
+
+
 def test_top_k_is_clamped():
     assert [engine.clamped(k) for k in (-1, 5, 99)] == [1, 5, 20] and engine.clamped(3, balance=True) == 15 and engine.clamped(1, least=3) == 3
 
