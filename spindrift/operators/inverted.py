@@ -81,7 +81,11 @@ def build(
     sizes = X.n_terms(text_col) + (X.n_terms(meta_col) if meta_col else F.lit(0))
     sizes = written(chunks.select("chunk_id", sizes.alias("len")), "lengths")
     ordered = sizes.repartitionByRange("len", "chunk_id").sortWithinPartitions("len", "chunk_id")
-    ordered.withColumn("no", F.monotonically_increasing_id()).write.parquet(f"{folder}/numbers")
+    placed = written(ordered.withColumn("m", F.monotonically_increasing_id()).withColumn("part", F.shiftright("m", 33)), "numbers")
+    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # one row a partition
+    parts = placed.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    numbers = placed.join(parts, "part").select("chunk_id", "len", (F.col("first") + F.col("m").bitwiseAND(F.lit((1 << 33) - 1))).alias("no"))
+    numbers.write.parquet(f"{folder}/numbers")
     sizes.agg(F.count("*").alias("n_chunks"), F.avg("len").alias("avg_len")).write.parquet(f"{folder}/stats")
 
     avg_len = _table(spark, folder, "stats").first()["avg_len"]
@@ -89,9 +93,8 @@ def build(
     rows = chunks.select(*cols).join(_table(spark, folder, "numbers"), "chunk_id").withColumn("range", F.expr(f"no div {width}"))
     rows = rows.repartition("range").sortWithinPartitions("range", "no")
     blocks = rows.select("range", "no", "chunk_id", "len", text.alias("t"), meta.alias("m")).mapInArrow(_blocks(avg_len), TABLES["blocks"].removesuffix(", bucket int"))
-    # a frequent term's blocks are dealt over tasks by range
-    blocks = blocks.withColumn("bucket", _bucket("term")).repartition("bucket", F.pmod("range", F.lit(8)))
-    blocks.sortWithinPartitions("bucket", "term", "range").write.partitionBy("bucket").parquet(f"{folder}/blocks")
+    # each task writes its own ranges to every folder: the blocks, larger than the texts, are not moved, and a frequent term is in all tasks' files
+    blocks.withColumn("bucket", _bucket("term")).write.partitionBy("bucket").parquet(f"{folder}/blocks")
     _table(spark, folder, "blocks").groupBy("term").agg(F.sum("n").alias("df")).write.parquet(f"{folder}/terms")
     return opened(spark, folder, width)
 
@@ -200,8 +203,9 @@ def masks(allowed: DataFrame, width: int = WIDTH) -> DataFrame:
     """``filter_id, range, mask``: the bits of each range, of the bitmaps of :func:`allowed`; ranges without a bit are left out."""
     per, size = BITS // width, width // 8
     cut = lambda i: F.struct((F.col("bitmap_no") * per + i).alias("range"), F.substring(F.col("bitmap"), (i * size + 1).cast("int"), F.lit(size)).alias("mask"))
-    rows = allowed.select("filter_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(per - 1)), cut)).alias("x")).select("filter_id", "x.*")
-    return rows.filter(F.col("mask") != F.expr(f"unhex(repeat('00', {size}))"))
+    none = F.expr(f"unhex(repeat('00', {size}))")
+    some = F.filter(F.transform(F.sequence(F.lit(0), F.lit(per - 1)), cut), lambda x: x["mask"] != none)
+    return allowed.select("filter_id", F.explode(some).alias("x")).select("filter_id", "x.*")
 
 
 def passes(mask: Column, no: Column, width: int = WIDTH) -> Column:
