@@ -272,7 +272,9 @@ def search(queries: DataFrame, index: Inverted, k: int = TOP, allowed: DataFrame
     weights = written(weights.withColumn("term", F.get("phrase", F.lit(0))).withColumn("bucket", _bucket("term")), "weights")
     single, several = weights.filter(F.size("phrase") == 1), weights.filter(F.size("phrase") > 1)
 
-    bounds = [single.join(index.heads, ["bucket", "term"]).select("query_id", "range", (F.col("w") * F.col("most")).alias("u"), F.lit(1).alias("b"))]
+    # the queries' terms are few beside the index: other blocks are dropped where they are scanned, before any shuffle
+    blocks = index.blocks.join(written(single.select("bucket", "term").distinct(), "terms"), ["bucket", "term"], "left_semi")
+    bounds = [single.join(blocks.drop("postings"), ["bucket", "term"]).select("query_id", "range", (F.col("w") * F.col("most")).alias("u"), F.lit(1).alias("b"))]
     if made is not None:
         scored = made.crossJoin(avg).withColumn("s", share(F.col("tf"), F.col("len"), F.col("avg_len")))
         tops = scored.groupBy("phrase", "range").agg(F.max("s").alias("most"))
@@ -287,7 +289,7 @@ def search(queries: DataFrame, index: Inverted, k: int = TOP, allowed: DataFrame
     def read(ranges: DataFrame) -> DataFrame:
         """``query_id, chunk_id, score`` of all chunks of the ranges (``query_id, range`` and, where filtered, ``mask``)."""
         live = ranges.select("query_id", "range", *(["mask"] if filtered else []))
-        parts = single.join(live, "query_id").join(index.blocks, ["bucket", "term", "range"]).withColumn("p", F.explode("postings"))
+        parts = single.join(live, "query_id").join(blocks, ["bucket", "term", "range"]).withColumn("p", F.explode("postings"))
         cols = ["query_id", "no", "chunk_id", "len", "tf", "w", *(["mask"] if filtered else [])]
         parts = parts.select(*(f"p.{c}" if c in ("no", "chunk_id", "len", "tf") else c for c in cols))
         if made is not None:
