@@ -149,7 +149,7 @@ class IndexStore:
 
         def add(name: str, columns: str) -> str:
             v = current.get((name, corpus), (0,))[0] + 1
-            rows.append((name, corpus, v, SCHEMA_VERSION, columns, f"{name}/corpus={corpus}/v{v}-{own}"))
+            rows.append((name, corpus, v, SCHEMA_VERSION, columns, f"{name}/corpus={corpus}/v{v}/{own}"))
             return f"{self.root}/{rows[-1][-1]}"
 
         for name, df in tables.items():
@@ -158,11 +158,10 @@ class IndexStore:
             chunks = self.spark.read.schema(tables["chunks"].schema).parquet(f"{self.root}/{next(r[-1] for r in rows if r[0] == 'chunks')}")
             inverted.build(chunks, meta_col="meta", folder=add("inverted", ""))
         self.spark.createDataFrame(rows, self.POINTERS).coalesce(1).write.mode("append").json(f"{self.root}/_pointers")
-        new = self.spark.createDataFrame([(r[0], r[2]) for r in rows], "table_name string, v long")
-        old = self._pointers().filter(F.col("corpus") == corpus).join(new, "table_name").filter(F.col("version").isin(F.col("v") - 2, F.col("v") - 3))
-        for r in old.select("folder").collect():  # a few rows
-            fs, p = self._fs(r["folder"])
-            fs.delete(p, True)
+        for name, _, v, *_ in rows:
+            if v > 2:
+                fs, p = self._fs(f"{self.root}/{name}/corpus={corpus}/v{v - 2}")
+                fs.delete(p, True)
 
     def purge(self, paths: DataFrame) -> None:
         """Remove all rows of files (``corpus, path``) from all tables; references to their sections are resolved anew."""

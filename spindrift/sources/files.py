@@ -73,10 +73,10 @@ def listed(spark: SparkSession, folder: str, corpus: str, pdf_reader: bool = Fal
 
 
 def read_files(spark: SparkSession, folder: str, corpus: str, pdf_pages: Callable[[bytes], list[str]] | None = None, only: DataFrame | None = None) -> DataFrame:
-    """``corpus, path, ext, size, sha256, text, pages, reason`` of the files of a folder that can be read, or of ``only`` those (``corpus, path``), by type.
+    """``corpus, path, ext, size, sha256, text, pages, reason`` of all files of a folder, or of ``only`` those (``corpus, path``) that can be read, by type.
 
-    Text, HTML, old and new word files give ``text``, as it is in the file; PDF files give ``pages``, by the provider, or a ``reason``.
-    One listing; only the wanted files are decoded, unzipped or given to the provider, each once.
+    Text, HTML, old and new word files give ``text``, as it is in the file; PDF files give ``pages``, by the provider. ``reason`` says
+    why a file has neither. Only the wanted files are decoded, unzipped or given to the provider, each once; files that are not read are only listed.
     """
     found = entries(_load(spark, folder, ENDINGS).filter(F.col("length") <= MAX_BYTES), folder, corpus)
     if only is not None:
@@ -88,7 +88,11 @@ def read_files(spark: SparkSession, folder: str, corpus: str, pdf_pages: Callabl
     found = found.withColumn("text", F.when(kind == "word", docx_column(of("word"))).when(kind == "plain", plain))
     pages = F.lit(None).cast("array<string>") if pdf_pages is None else F.when(kind == "paper", pages_column(pdf_pages)(of("paper")))
     reason = F.when((kind == "paper") & F.lit(pdf_pages is None), "no_reader")
-    return found.withColumn("pages", pages).withColumn("reason", reason).select("corpus", "path", "ext", "size", "sha256", "text", "pages", "reason")
+    out = found.withColumn("pages", pages).withColumn("reason", reason).select("corpus", "path", "ext", "size", "sha256", "text", "pages", "reason")
+    if only is not None:
+        return out
+    none = {c: F.lit(None).cast(out.schema[c].dataType) for c in ("sha256", "text", "pages")}
+    return out.unionByName(skipped(corpus_files(spark, folder, corpus)).withColumns(none).select(*out.columns))
 
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
