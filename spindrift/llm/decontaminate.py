@@ -1,20 +1,21 @@
 """Benchmark decontamination with a generalised suffix automaton of the test items.
 
-The automaton is built over the items' normalised words and sent to every task; its
-size is bounded, and a larger benchmark is dealt into several automata. A document's words stream through it, and the
-length of the longest match that ends at each word is tracked. Documents stay where
-they are: there is no shuffle.
+The automaton is built over the items' normalised words in a task and sent to every task that scans; its
+size is bounded, and a larger benchmark is dealt into several automata, each built by a task of its own. A document's
+words stream through it, and the length of the longest match that ends at each word is tracked. Documents stay where
+they are: there is no shuffle of them.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from array import array
 from bisect import bisect_left
 from collections.abc import Iterator, Sequence
-from itertools import islice
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -23,8 +24,9 @@ from spindrift.session import bound_batches, written
 
 #: A window is so many consecutive words of an item; a shorter item is one window.
 WINDOW = 10
-#: One automaton takes items of about so many bytes of text, and a pass over the documents so many automata. While it is built, a
-#: mebibyte takes some 100 MB of the driver; then about 12 MB, there and in each worker. A benchmark of more than 16 MB takes more passes.
+#: One automaton takes items of about so many bytes of text and ids, and a pass over the documents so many automata. While it is built, a
+#: mebibyte takes some 100 MB of the task that builds it; then about 12 MB of the driver and of each worker, and less where items are equal
+#: or short, as each text is kept once. A benchmark of more than 16 MB takes more passes.
 MAX_BYTES, PASS = 1 << 20, 16
 
 _KEEP = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -43,16 +45,20 @@ class _Ids(dict):
 class Automaton:
     """Suffix automaton of several word sequences, in arrays once it is built.
 
-    ``windows[s]`` numbers the last WINDOW words of state ``s`` (0: it has fewer) and ``items_of``
-    gives the items in which those words occur; ``short[s]`` lists the items of fewer words
-    (length, item) that are suffixes of ``s``.
+    Items of equal words are one sequence, and ``names`` holds the ids of each. ``windows[s]`` numbers
+    the last WINDOW words of state ``s`` (0: it has fewer) and ``items_of`` gives the sequences in which
+    those words occur. ``short[s]`` lists the sequences of fewer words (length, sequence) that end in
+    ``s`` itself; ``ends[s]`` is the nearest such state on the way of suffix links that starts at ``s``
+    (0: there is none), so that no state repeats what its suffixes hold.
     """
 
     def __init__(self, items: Sequence[tuple[str, list[bytes]]], window: int = WINDOW):
         self.window, self.ids = window, _Ids()
         self.next, self.link, self.len = [{}], [-1], [0]
-        self.names = [name for name, _ in items]
-        seqs = [[self.ids.setdefault(w, len(self.ids)) for w in words] for _, words in items]
+        same: dict[tuple[int, ...], list[str]] = {}
+        for name, words in items:
+            same.setdefault(tuple(self.ids.setdefault(w, len(self.ids)) for w in words), []).append(name)
+        seqs, self.names = list(same), list(same.values())
         pairs = {p for seq in seqs for p in zip(seq, seq[1:])}
         self.shortest = min([window, *(len(seq) for seq in seqs if seq)])
         for seq in seqs:
@@ -68,7 +74,7 @@ class Automaton:
                 if self.len[up] < window:
                     found.append(set())
                 windows[s] = windows[up] if self.len[up] >= window else len(found) - 1
-        whole: dict[int, list[tuple[int, int]]] = {}
+        self.short: dict[int, list[tuple[int, int]]] = {}
         for k, seq in enumerate(seqs):  # once more through the automaton: which states the items' windows and ends are in
             state = 0
             for i, c in enumerate(seq, 1):
@@ -76,11 +82,10 @@ class Automaton:
                 if i >= window:
                     found[windows[state]].add(k)
             if 0 < len(seq) < window:
-                whole.setdefault(state, []).append((len(seq), k))
-        self.short: dict[int, tuple[tuple[int, int], ...]] = {}
+                self.short.setdefault(state, []).append((len(seq), k))
+        self.ends = array("i", [0]) * len(self.len)
         for s in order:
-            if here := (*whole.get(s, ()), *self.short.get(self.link[s], ())):
-                self.short[s] = here
+            self.ends[s] = s if s in self.short else self.ends[self.link[s]]
         self.windows = array("i", windows)
         self.item_starts = array("i", np.cumsum([0, *map(len, found)]).tolist())
         self.item_list = array("i", [k for f in found for k in sorted(f)])
@@ -149,7 +154,7 @@ class Automaton:
         return [(int(a), int(b) + (self.shortest > 1)) for a, b in zip(first[long], last[long])]
 
     def matches(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
-        """Maximal spans of words inside windows (end exclusive), and the items of those windows."""
+        """Maximal spans of words inside windows (end exclusive), and the sequences of those windows."""
         if len(words) < self.shortest:
             return [], set()
         seq = np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
@@ -170,10 +175,13 @@ class Automaton:
                     if (w := self.windows[s]) not in seen:
                         seen.add(w)
                         found.update(self.items_of(w))
-                for m, k in self.short.get(s, ()):
-                    if m <= n:
-                        hit = max(hit, m)
-                        found.add(k)
+                e = self.ends[s]
+                while e:  # fewer than ``window`` sequences in all: suffixes of one match differ in length
+                    for m, k in self.short[e]:
+                        if m <= n:
+                            hit = max(hit, m)
+                            found.add(k)
+                    e = self.ends[self.link[e]]
                 if hit:
                     a = i + 1 - hit
                     while spans and spans[-1][0] >= a:
@@ -185,17 +193,25 @@ class Automaton:
         return [(a, b) for a, b in spans], found
 
 
-def _automata(benchmark: DataFrame, id_col: str, text_col: str, window: int, max_bytes: int) -> Iterator[Automaton]:
-    """Automata of all items, each over at most about ``max_bytes`` of text.
+def _automata(benchmark: DataFrame, id_col: str, text_col: str, window: int, max_bytes: int) -> Iterator[list[Automaton]]:
+    """Automata of all items, each over at most about ``max_bytes`` of text and ids, PASS at a time.
 
-    An item goes to the automaton of its hash; the driver holds the items of one at a time.
+    An item goes to the automaton of its hash, which a task builds and writes to the shared
+    folder. The driver holds those of one pass.
     """
     items = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.col(text_col).alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    total = items.agg(F.sum(F.octet_length("id") + F.coalesce(F.octet_length("text"), F.lit(0)))).first()[0] or 0
     parts = max(1, -(-total // max_bytes))
-    for k in range(parts):
-        mine = items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == k) if parts > 1 else items
-        yield Automaton([(r["id"], words_of(r["text"])) for r in mine.orderBy("id", "text").collect()], window)
+
+    def build(key: tuple[int], mine: pd.DataFrame) -> pd.DataFrame:
+        named = sorted((i, t or "") for i, t in zip(mine["id"], mine["text"]))
+        return pd.DataFrame({"part": [key[0]], "automaton": [pickle.dumps(Automaton([(i, words_of(t)) for i, t in named], window))]})
+
+    dealt = items.withColumn("part", F.pmod(F.xxhash64("id", "text"), F.lit(parts)))
+    built = written(dealt.groupBy("part").applyInPandas(build, "part long, automaton binary"), "op6-automata")
+    for k in range(0, parts, PASS):
+        if some := built.filter(F.col("part").between(k, k + PASS - 1)).orderBy("part").collect():
+            yield [pickle.loads(r["automaton"]) for r in some]
 
 
 _NAMES = ("n_words", "hit_spans", "hit_items")
@@ -229,9 +245,9 @@ def _passes(docs, benchmark, text_col, item_id, item_text, window, max_bytes, na
     plain = docs.columns
     schema = T.StructType([*docs.schema.fields, *map(T.StructField, names, _TYPES)])
     automata = _automata(benchmark, item_id, item_text, window, max_bytes)
-    out, some = docs, list(islice(automata, PASS))
+    out, some = docs, next(automata, [Automaton([], window)])
     while some:
-        shared, first, some = docs.sparkSession.sparkContext.broadcast(some), out is docs, list(islice(automata, PASS))
+        shared, first, some = docs.sparkSession.sparkContext.broadcast(some), out is docs, next(automata, [])
         if not first:  # the automata of one pass in the tasks' memory
             out = written(out, "op6-part")
         last = finish is not None and not some
@@ -253,7 +269,7 @@ def _scanner(shared, plain: list[str], names: tuple[str, str, str], text_col: st
                 for automaton in shared.value:
                     s, k = automaton.matches(words)
                     hits.append(s)
-                    hit.update(automaton.names[i] for i in k)
+                    hit.update(*(automaton.names[i] for i in k))
                 n.append(len(words))
                 spans.append([list(x) for x in (hits[0] if len(hits) == 1 else merged(sum(hits, [])))])
                 items.append(sorted(hit))
