@@ -5,7 +5,11 @@ stop-word density, length and link density. Where it stands (inside an article o
 moves these limits, if the page's articles hold most of its good text. Blocks of
 elements that hold no main text by their name or class (menus, footers, adverts) are
 left out, but not where nothing would be left. The second pass gives short, undecided
-blocks the label of their nearest decided neighbour.
+blocks the label of their nearest decided neighbour; the nearer one shares more open elements.
+
+Stop words are listed for four languages. A block that has next to none of them and reads as
+sentences (long ones, ended by marks, in lower case) is good as well; sentences with few of them
+are undecided, and so is text in another script.
 """
 
 from __future__ import annotations
@@ -66,15 +70,19 @@ _HEADER = frozenset(("header", "banner", "masthead"))
 #: Rules of the first pass: link density over LINKS is bad, inside articles that hold the text over ALL_LINKS; below SHORT characters
 #: a block is undecided; stop words of a share of at least STOPS make a block good, outside such articles from LONG characters on.
 #: Scripts without spaces have no stop words here: there it is marks of punctuation, of a share of at least MARKS of the characters.
-LINKS, ALL_LINKS, SHORT, STOPS, LONG, MARKS = 0.33, 0.8, 60, 0.12, 200, 0.015
+#: Below a share of FEW the block's language may not be listed: then half of its words have to be in sentences of SENTENCE words or more.
+LINKS, ALL_LINKS, SHORT, STOPS, LONG, MARKS, FEW, SENTENCE = 0.33, 0.8, 60, 0.12, 200, 0.015, 0.04, 5
 
-_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"<]{0,8192}"|'[^'<]{0,8192}')*+)>""")
+_START = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_STEP = re.compile(r"""[^>=]*+(?:(>)|=\s*+(?:(["'])|[^\s>]*+))""")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^<>]*)>")
-_NAMED = re.compile(r"""(?i)\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
-_HIDDEN = re.compile(r"""(?i)(?:^|\s)(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""")
+_ATTRIBUTE = re.compile(r"""([^\s=/"'<>]++)(?:\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*+)))?""")
+_NO_DISPLAY = re.compile(r"(?i)display\s*:\s*none")
 _PARTS = re.compile(r"[-_\s]+|(?<=[a-z])(?=[A-Z])")
 _WORDS = re.compile(r"[^\W\d_]+")
 _UNSPACED = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff]")
+_LATIN = re.compile(r"[A-Za-z\u00c0-\u024f]")
+_SENTENCE = re.compile(r"(?<=[.!?\u2026\u037e\u0589\u061f\u06d4\u0964])[\"'\u00bb\u201d\u2019)\]]*(?:\s+|$)")
 _MARKS = re.compile(r"[\u3001\u3002\uff01\uff0c\uff1f.,!?]|(?<=[\u0e00-\u0eff]) ")
 
 
@@ -94,19 +102,61 @@ class Block:
     main: bool
     heading: bool
     inside: tuple[Unwanted, ...] = ()
+    where: tuple[int, ...] = ()  # numbers of the open elements, outermost first
+
+
+def _attributes(raw: str) -> dict[str, str]:
+    """Attributes by name; of repeated ones the first counts."""
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(raw):
+        found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return found
+
 
+def _hidden(named: dict[str, str]) -> bool:
+    return "hidden" in named or named.get("aria-hidden", "").lower() == "true" or bool(_NO_DISPLAY.search(named.get("style", "")))
 
-def _hints(attributes: str) -> set[str]:
+
+def _hints(named: dict[str, str]) -> set[str]:
     """Words of class, id and role; names that say what an element has or lacks do not count."""
     found: set[str] = set()
-    for m in _NAMED.finditer(attributes):
-        for name in (m[2] or m[3] or m[4] or "").split():
+    for key in ("class", "id", "role"):
+        for name in named.get(key, "").split():
             parts = [p.lower() for p in _PARTS.split(name)]
             if parts[0] not in ("has", "with", "no", "without", "is", "not"):
                 found.update(parts)
     return found
 
 
+class _Tags:
+    """Reads the tags of a page. A quoted value may hold anything and be of any length.
+
+    Where a tag does not end because a quote does not, tags up to that quote are read
+    without regard to quotes, so that no part of a page is searched again and again.
+    """
+
+    def __init__(self, page: str) -> None:
+        self.page, self.loose = page, -1
+
+    def read(self, lt: int) -> tuple[str, bool, str, int] | None:
+        """Name, whether it closes, attributes and end of the tag that starts at ``lt``."""
+        start = _START.match(self.page, lt)
+        if start and lt >= self.loose:
+            at = start.end()
+            while m := _STEP.match(self.page, at):
+                at = m.end()
+                if m[1]:
+                    return start[2].lower(), bool(start[1]), self.page[start.end() : at - 1], at
+                if m[2]:
+                    close = self.page.find(m[2], at)
+                    if close < 0:
+                        break
+                    at = close + 1
+            self.loose = at
+        m = start and _LOOSE.match(self.page, lt)
+        return (m[2].lower(), bool(m[1]), m[3], m.end()) if m else None
+
+
 class _Cutter:
     """Cuts one page into blocks, with a stack of its open elements: names, and what each adds to the state."""
 
@@ -114,6 +164,8 @@ class _Cutter:
         self.blocks: list[Block] = []
         self.words: list[tuple[str, bool]] = []
         self.stack: list[tuple[str, str, Unwanted | None]] = []
+        self.where: list[int] = []  # numbers of the elements on the stack
+        self.pushed = 0
         self.open: dict[str, int] = {}  # elements of a name, and states ("drop", "main", "header"), that are open
         self.unwanted: tuple[Unwanted, ...] = ()
         self.link = False
@@ -128,11 +180,13 @@ class _Cutter:
             text = " ".join("".join(w for w, _ in self.words).split())
             if text and (not self.open.get("*header") or self.heading):
                 linked = sum(len("".join(w.split())) for w, l in self.words if l)
-                self.blocks.append(Block(text, linked, self.open.get("*main", 0) > 0, self.heading, self.unwanted))
+                self.blocks.append(Block(text, linked, self.open.get("*main", 0) > 0, self.heading, self.unwanted, tuple(self.where)))
             self.words = []
 
     def _push(self, name: str, state: str, unwanted: Unwanted | None) -> None:
         self.stack.append((name, state, unwanted))
+        self.pushed += 1
+        self.where.append(self.pushed)
         for k in (name, state):
             self.open[k] = self.open.get(k, 0) + 1
         if unwanted:
@@ -140,6 +194,7 @@ class _Cutter:
 
     def _pop(self, closed: bool) -> str:
         name, state, unwanted = self.stack.pop()
+        self.where.pop()
         for k in (name, state):
             self.open[k] -= 1
         if unwanted:
@@ -187,9 +242,10 @@ class _Cutter:
     def _open(self, name: str, attributes: str) -> None:
         if attributes.endswith("/") and name not in BLOCKS:
             return
-        hints = _hints(attributes) if attributes.strip() else set()
+        named = _attributes(attributes) if attributes.strip() else {}
+        hints = _hints(named)
         within = self.open.get("*main", 0) > 0
-        if name in DROPPED or name not in ("html", "body") and (hints & COMMENTS or attributes and _HIDDEN.search(attributes)):
+        if name in DROPPED or name not in ("html", "body") and (hints & COMMENTS or _hidden(named)):
             self._push(name, "*drop", None)
         elif name in MAIN:
             self._push(name, "*main", None)
@@ -203,7 +259,7 @@ class _Cutter:
 
 def blocks_of(page: str) -> list[Block]:
     """The blocks of a page in order, without scripts, controls and comments. Broken markup is read as far as it goes."""
-    out, at, end = _Cutter(), 0, len(page)
+    out, tags, at, end = _Cutter(), _Tags(page), 0, len(page)
     while at < end:
         lt = page.find("<", at)
         if lt < 0:
@@ -219,8 +275,8 @@ def blocks_of(page: str) -> list[Block]:
             stop = page.find(">", lt)
             at = end if stop < 0 else stop + 1
             continue
-        m = _TAG.match(page, lt) or _LOOSE.match(page, lt)
-        if not m:
+        tag = tags.read(lt)
+        if not tag:
             if re.match(r"</?[a-zA-Z]", page[lt : lt + 3]):  # a tag that never ends
                 stop = page.find("<", lt + 1)
                 at = end if stop < 0 else stop
@@ -228,24 +284,44 @@ def blocks_of(page: str) -> list[Block]:
                 out.text("<")
                 at = lt + 1
             continue
-        name = m[2].lower()
-        at = m.end()
+        name, closing, attributes, at = tag
         if name in RAW:
-            if not m[1]:
+            if not closing:
                 stop = re.compile(rf"(?i)</{name}[^>]*>").search(page, at)
                 at = stop.end() if stop else end
             continue
-        out.tag(name, bool(m[1]), m[3])
+        out.tag(name, closing, attributes)
     out.flush()
     return out.blocks
 
 
-def has_good_words(text: str) -> bool:
-    """Whether the text has the function words of sentences, or in scripts without spaces their punctuation."""
+def has_sentences(text: str) -> bool:
+    """Whether at least half of the words stand in sentences of SENTENCE words or more that are not in title case."""
+    total = good = 0
+    for part in _SENTENCE.split(text):
+        words = part.split()
+        total += len(words)
+        if len(words) >= SENTENCE and part[-1] not in ",:;" and 2 * sum(not w[0].isupper() for w in words) > len(words):
+            good += len(words) if _SENTENCE.search(part[-1]) else 0
+    return total > 0 and 2 * good >= total
+
+
+def has_good_words(text: str) -> bool | None:
+    """Whether the text has the function words of sentences, or in scripts without spaces their punctuation.
+
+    Where a listed language is unlikely, sentences count; without them, text of another script than Latin is undecided, and
+    so are sentences with some function words, but too few.
+    """
     words = _WORDS.findall(text.lower())
-    if 2 * len(_UNSPACED.findall(text)) > sum(map(len, words)):
+    letters = sum(map(len, words))
+    if 2 * len(_UNSPACED.findall(text)) > letters:
         return len(_MARKS.findall(text)) >= MARKS * len(text)
-    return sum(w in STOP_WORDS for w in words) >= STOPS * max(1, len(words))
+    stops = sum(w in STOP_WORDS for w in words)
+    if stops >= STOPS * max(1, len(words)):
+        return True
+    if has_sentences(text):
+        return True if stops < FEW * len(words) else None
+    return None if stops < FEW * len(words) and 2 * len(_LATIN.findall(text)) < letters else False
 
 
 def decide(b: Block, articles: bool) -> bool | None:
@@ -264,7 +340,7 @@ def decide(b: Block, articles: bool) -> bool | None:
     good = has_good_words(b.text)
     if inside:
         return good or (None if links <= LINKS else False)
-    return good and (not articles or len(b.text) >= LONG)
+    return good if not good or not articles or len(b.text) >= LONG else False
 
 
 def trusted(blocks: list[Block]) -> bool:
@@ -320,22 +396,39 @@ def main_text(page: str | None) -> str:
     return "\n\n".join(b.text for b, x in zip(blocks, labels) if x)
 
 
+def _shared(a: tuple[int, ...], b: tuple[int, ...]) -> int:
+    """How many open elements two blocks share."""
+    n = 0
+    for x, y in zip(a, b):
+        if x != y:
+            break
+        n += 1
+    return n
+
+
 def _inherit(blocks: list[Block], labels: list[bool | None], inside: bool = False) -> list[bool]:
-    """Second pass: an undecided block takes the nearer neighbour's label; the page's ends are bad.
+    """Second pass: an undecided block takes the nearer decided neighbour's label; the page's ends are bad.
 
-    At equal distance a heading follows the next block, and any other is good if both are.
+    Nearer is the neighbour with which it shares more elements, then the one with fewer blocks between. At equal
+    distance a heading follows the next block, and any other is good if both are.
     ``inside`` an article that holds the text the ends do not count, and without any decided block all is good.
     """
     n = len(labels)
-    before, after = [(n + 1, False)] * n, [(n + 1, False)] * n
-    for ahead, order in ((False, range(n)), (True, range(n - 1, -1, -1))):
-        last = (2 * n, True) if inside else (0, False)
+    none = ((1, 2 * n), True) if inside else ((1, 0), False)
+    sides = []
+    for order in (range(n), range(n - 1, -1, -1)):
+        last, side = None, [none] * n
         for i in order:
-            last = (0, labels[i]) if labels[i] is not None else (last[0] + 1, last[1])
-            (after if ahead else before)[i] = last
+            if labels[i] is not None:
+                last = i
+            elif last is not None:
+                side[i] = ((-_shared(blocks[i].where, blocks[last].where), abs(i - last)), labels[last])
+            elif not inside:
+                side[i] = ((0, i + 1 if order.step > 0 else n - i), False)
+        sides.append(side)
     out = []
     for i, x in enumerate(labels):
-        (d0, a), (d1, b) = before[i], after[i]
+        (d0, a), (d1, b) = sides[0][i], sides[1][i]
         out.append(x if x is not None else a if d0 < d1 else b if d1 < d0 or blocks[i].heading else a and b)
     return out
 

@@ -3,10 +3,13 @@ import hashlib
 import io
 import pickle
 import re
+import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings, strategies as st
 
@@ -261,6 +264,42 @@ def test_html_text_paragraphs_of_all_kinds():
     assert html_text.main_text(f"{_MENU}<div><p>{kana}</p><p>{kana[::1]}</p></div>") == f"{kana}\n\n{kana}"
 
 
+_RU = "Сегодня утром в городе открылась новая библиотека для детей и взрослых. Жители давно ждали этого и пришли всей семьёй."
+_PL = "Dzisiaj rano otwarto nową bibliotekę, której mieszkańcy od dawna oczekiwali. Dyrektor powiedział, że książki można wypożyczać bezpłatnie."
+_EN = "The library of the town was opened in the morning, and it is free for all of the people who live in it."
+
+
+@pytest.mark.parametrize("page, want", [
+    (f'<nav><a href="/">Главная</a></nav><div><p>{_RU}</p></div>', [_RU]),
+    (f"<div><p>{_EN}</p><p>{_PL}</p></div><div class=footer>(c) 2024</div>", [_EN, _PL]),
+    (f"<div><h1>Title</h1><p>{_EN}</p><ul><li>One</li><li>Two</li></ul><p>The end.</p></div><footer>Imprint</footer>", ["Title", _EN, "One", "Two", "The end."]),
+])
+def test_html_text_of_unlisted_languages_and_short_ends(page, want):
+    assert html_text.main_text(page).split("\n\n") == want
+
+
+@pytest.mark.parametrize("tag", ['<div title="a < b">', '<div data-tip="<b>x</b> is > y">', f'<div data-x="{"y " * 9000}>z">', "<div don't>", '<div data-x="<i class=ad>">'])
+def test_html_text_values_of_any_kind(tag):
+    assert html_text.main_text(f"{tag}{_EN}</div>") == _EN
+    assert html_text.main_text(f'{tag}{_EN}</div><div class="ad" data-x="<i>">{_EN} Buy.</div>') == _EN
+
+
+def test_html_text_quotes_without_end():
+    assert html_text.main_text(f'<p title="x>{_EN}</p><p>{_EN}</p>') == f"{_EN}\n\n{_EN}"
+    start = time.time()
+    assert html_text.main_text('<a b="' * 100_000 + "'") == "" and time.time() - start < 20
+
+
+def test_html_text_without_article_tags():
+    """The given pages with their articles renamed: nearly all that stands inside is found, and next to nothing else."""
+    found = inside = both = 0
+    for page in pq.read_table("/root/testdata/sf0.01/pages.parquet", columns=["html"])["html"].to_pylist():
+        want, got = (html_text.main_text(p).split("\n\n") for p in (page, re.sub(r"(</?)article\b", r"\1div", page or "")))
+        found, inside = found + sum(map(len, got)), inside + sum(map(len, want))
+        both += sum(len(b) * n for b, n in (Counter(want) & Counter(got)).items())
+    assert both >= 0.98 * inside and both >= 0.98 * found
+
+
 def _plain_rules(blocks):
     """The rules as they are stated, for blocks (text, linked characters, inside, heading) of pages without unwanted elements."""
     words = lambda t: re.findall(r"[^\W\d_]+", t.lower())
