@@ -61,7 +61,7 @@ def build(
     Files are hashed first; only new and changed ones are parsed, chunked and embedded, each distinct text once (``limit``: the first so many of them, by path); files that are gone
     leave with ``prune``. Nothing is written by a dry run or if the cost is above the limit and
     not confirmed. Files without text are remembered with the reason, so that they are not read again; ``pdf_pages`` reads PDF files.
-    Tables of other corpora are not touched.
+    Tables of other corpora are not touched. Only references that the changed files hold, or that ask for what these list, are resolved again.
     """
     index_store.check_corpus(corpus)
     store = index_store.IndexStore(spark, root)
@@ -88,10 +88,15 @@ def build(
     entries = todo.select("corpus", "path", "sha256", "size", "reason").join(status, ["corpus", "path"], "left")
     entries = entries.select("corpus", "path", "sha256", "size", F.coalesce("status", "reason", F.lit("no_text")).alias("status"))
     touched = change.filter("action = 'gone'").select("corpus", "path").union(work) if prune else work
-    new = {"files": entries, "chunks": chunks, "sections": sections, "raw_refs": graph.extract_refs(sections)}
-    if corpus in store.corpora():
-        new = {n: index_store.replaced(store.read(n, corpus), df, touched) for n, df in new.items()}
-    new["refs"] = graph.resolve_refs(new["raw_refs"], new["sections"])
+    new = {"files": entries, "chunks": chunks, "sections": sections, "raw_refs": written(graph.extract_refs(sections), "refs"), "ref_keys": written(graph.listed_keys(sections), "ref-keys")}
+    stored = store.names(corpus)
+    if stored:
+        new = {n: index_store.replaced(store.read(n, corpus), df, touched) for n, df in new.items() if n in stored}
+    if {"ref_keys", "refs"} <= stored:
+        new["refs"] = graph.propagate(store.read("refs", corpus), new["raw_refs"], store.read("ref_keys", corpus), new["ref_keys"], touched)
+    else:  # the first build, or an index of before keys were stored
+        new["ref_keys"] = new.get("ref_keys", graph.listed_keys(new["sections"]))
+        new["refs"] = graph.resolve_by(new["raw_refs"], new["ref_keys"])
     store.commit(corpus, new)
     return plan
 

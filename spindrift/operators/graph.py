@@ -65,25 +65,51 @@ def first_two(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
     return first.join(others, keys, "left").select(*keys, F.filter(F.array("a", "b"), lambda v: v.isNotNull()).alias("two"))
 
 
+REF = ["corpus", "path", "src_section_id", "dst_raw", "dst_kind"]
+
+
+def listed_keys(sections: DataFrame) -> DataFrame:
+    """``corpus, path, section_id, kind, key, less``: what a reference may find each section by.
+
+    A section is listed under its number and under the number without its leading capitals, and
+    under every statute that its text contains. ``less`` orders sections of one statute: longest first.
+    """
+    bare = F.array_distinct(F.array("section_number", F.regexp_replace("section_number", "^[A-Z]+", "")))
+    kinds = F.array(
+        F.struct(F.lit("internal_section").alias("kind"), F.when(F.col("section_number").isNotNull(), bare).alias("keys"), F.lit(0).alias("less")),
+        F.struct(F.lit("ncgs").alias("kind"), said_statutes("full_text").alias("keys"), (-F.length("full_text")).alias("less")),
+    )
+    rows = sections.select("corpus", "path", "section_id", F.explode(kinds).alias("x"))
+    return rows.select("corpus", "path", "section_id", "x.kind", F.explode("x.keys").alias("key"), "x.less")
+
+
+def asked_keys(refs: DataFrame) -> DataFrame:
+    """``refs`` once for each key (``kind, key``) on which their resolution depends: a number also without its leading R."""
+    keys = F.when(F.col("dst_kind") == "internal_section", F.array_distinct(F.array("dst_raw", F.regexp_replace("dst_raw", "^R+", "")))).otherwise(F.array("dst_raw"))
+    return refs.select(*REF, F.col("dst_kind").alias("kind"), F.explode(keys).alias("key"))
+
+
 def resolve_refs(refs: DataFrame, sections: DataFrame) -> DataFrame:
-    """``refs`` with ``dst_section_id`` (and ``dst_path``), null where nothing fits.
+    """``refs`` with ``dst_section_id`` (and ``dst_path``), null where nothing fits: see :func:`resolve_by`."""
+    return resolve_by(refs, written(listed_keys(sections), "listed"))
+
 
-    Sections are listed under their number and under the number without its leading capitals. A
-    section number goes to what is listed under it, and only if nothing is, to what is listed
+def resolve_by(refs: DataFrame, listed: DataFrame) -> DataFrame:
+    """``refs`` with ``dst_section_id`` (and ``dst_path``) by what sections are listed under, null where nothing fits.
+
+    A section number goes to what is listed under it, and only if nothing is, to what is listed
     under it without its leading R; the same file is preferred, then file and section order;
     never to the section itself. A statute goes to the longest other section whose text
     contains it, in whatever case. Sections are reduced to two for each number and for each statute
     before they meet the references.
     """
-    s = sections.select("corpus", F.col("path").alias("s_path"), F.col("section_id").alias("s_id"), F.col("section_number").alias("number"), "full_text")
-    keys = ["corpus", "path", "src_section_id", "dst_raw", "dst_kind"]
-    number = F.explode(F.array_distinct(F.array("number", F.regexp_replace("number", "^[A-Z]+", ""))))
-    listed = s.filter("number is not null").select("corpus", "s_path", number.alias("number"), F.struct("s_path", "s_id").alias("x"))
-    anywhere = written(first_two(listed, ["corpus", "number"], "numbers"), "numbers-two")
-    in_file = written(first_two(listed, ["corpus", "number", "s_path"], "file-numbers"), "file-numbers-two")
+    s = listed.select("corpus", F.col("path").alias("s_path"), F.col("section_id").alias("s_id"), "kind", "key", "less")
+    numbers = s.filter("kind = 'internal_section'").select("corpus", "s_path", F.col("key").alias("number"), F.struct("s_path", "s_id").alias("x"))
+    anywhere = written(first_two(numbers, ["corpus", "number"], "numbers"), "numbers-two")
+    in_file = written(first_two(numbers, ["corpus", "number", "s_path"], "file-numbers"), "file-numbers-two")
 
     bare = F.regexp_replace("dst_raw", "^R+", "")
-    wanted = refs.filter("dst_kind = 'internal_section'").select(*keys)
+    wanted = refs.filter("dst_kind = 'internal_section'").select(*REF)
     as_is, without = (anywhere.select("corpus", F.col("number").alias(n), F.col("two").alias(t)) for n, t in (("dst_raw", "t0"), ("bare", "t1")))
     wanted = wanted.withColumn("bare", bare).join(as_is, ["corpus", "dst_raw"], "left").join(without, ["corpus", "bare"], "left")
     wanted = wanted.withColumn("number", F.when(F.col("t0").isNull(), F.col("bare")).otherwise(F.col("dst_raw"))).withColumn("any", F.coalesce("t0", "t1"))
@@ -91,16 +117,48 @@ def resolve_refs(refs: DataFrame, sections: DataFrame) -> DataFrame:
     wanted = wanted.filter("any is not null").join(own, ["corpus", "number", "path"], "left")
     other = lambda c: F.filter(c, lambda v: (v["s_id"] != F.col("src_section_id")) | (v["s_path"] != F.col("path")))
     best = F.coalesce(F.get(other(F.col("two")), F.lit(0)), F.get(other(F.col("any")), F.lit(0)))
-    by_number = wanted.select(*keys, best.alias("to"))
+    by_number = wanted.select(*REF, best.alias("to"))
 
-    statutes = refs.filter("dst_kind = 'ncgs'").select(*keys)
-    said = s.select("corpus", F.struct((-F.length("full_text")).alias("less"), "s_path", "s_id").alias("x"), F.explode(said_statutes("full_text")).alias("dst_raw"))
+    statutes = refs.filter("dst_kind = 'ncgs'").select(*REF)
+    said = s.filter("kind = 'ncgs'").select("corpus", F.struct("less", "s_path", "s_id").alias("x"), F.col("key").alias("dst_raw"))
     said = said.join(statutes.select("corpus", "dst_raw").distinct(), ["corpus", "dst_raw"], "left_semi")
     by_statute = statutes.join(written(first_two(said, ["corpus", "dst_raw"], "statutes"), "statutes-two"), ["corpus", "dst_raw"])
-    by_statute = by_statute.select(*keys, F.get(other(F.col("two")), F.lit(0)).alias("to"))
-    to = by_number.select(*keys, F.col("to.s_path").alias("dst_path"), F.col("to.s_id").alias("dst_section_id"))
-    to = to.unionByName(by_statute.select(*keys, F.col("to.s_path").alias("dst_path"), F.col("to.s_id").alias("dst_section_id")))
-    return refs.join(to.filter("dst_section_id is not null"), keys, "left")
+    by_statute = by_statute.select(*REF, F.get(other(F.col("two")), F.lit(0)).alias("to"))
+    to = by_number.select(*REF, F.col("to.s_path").alias("dst_path"), F.col("to.s_id").alias("dst_section_id"))
+    to = to.unionByName(by_statute.select(*REF, F.col("to.s_path").alias("dst_path"), F.col("to.s_id").alias("dst_section_id")))
+    return refs.join(to.filter("dst_section_id is not null"), REF, "left")
+
+
+def changed_keys(before: DataFrame, after: DataFrame, touched: DataFrame) -> DataFrame:
+    """``corpus, kind, key`` under which something else is listed than before. Only what ``touched`` files list is read.
+
+    Entries count 1 after and -1 before; those that cancel out have not changed. They are summed before the shuffle.
+    """
+    signed = lambda rows, n: rows.join(touched, ["corpus", "path"], "left_semi").withColumn("n", F.lit(n))
+    entries = signed(after, 1).unionByName(signed(before, -1))
+    return entries.groupBy("corpus", "path", "section_id", "kind", "key", "less").agg(F.sum("n").alias("n")).filter("n <> 0").select("corpus", "kind", "key").distinct()
+
+
+def affected_refs(refs: DataFrame, changed: DataFrame, touched: DataFrame) -> DataFrame:
+    """The references that may resolve otherwise than before: those of ``touched`` files, and those that ask for a changed key."""
+    asking = asked_keys(refs).join(changed, ["corpus", "kind", "key"], "left_semi").select(*REF)
+    return asking.union(refs.join(touched, ["corpus", "path"], "left_semi").select(*REF)).distinct()
+
+
+def propagate(resolved: DataFrame, refs: DataFrame, before: DataFrame, after: DataFrame, touched: DataFrame) -> DataFrame:
+    """What ``resolve_by(refs, after)`` gives, from what was ``resolved`` by ``before``.
+
+    ``touched`` are the files (``corpus, path``) of which sections, or references, were added, changed or
+    removed. Only affected references meet sections, and only sections that one of them asks for; all
+    others keep what they had. Nothing but the keys of sections is read, never their texts.
+    """
+    touched = written(touched.select("corpus", "path").distinct(), "touched")
+    affected = written(affected_refs(refs, written(changed_keys(before, after, touched), "changed-keys"), touched), "affected")
+    wanted = asked_keys(affected).select("corpus", "kind", "key").distinct()
+    anew = resolve_by(affected, written(after.join(wanted, ["corpus", "kind", "key"], "left_semi"), "wanted"))
+    kept = resolved.join(touched, ["corpus", "path"], "left_anti").join(affected, REF, "left_anti")
+    out = [*REF, "dst_path", "dst_section_id"]
+    return kept.select(*out).unionByName(anew.select(*out))
 
 
 def trails(sections: DataFrame, key: str = "section_id", parent: str = "parent_section_id", depth: int = DEPTH) -> DataFrame:

@@ -122,6 +122,10 @@ class IndexStore:
     def corpora(self) -> list[str]:
         return sorted({c for _, c in self._current()})
 
+    def names(self, corpus: str) -> set[str]:
+        """The tables that a corpus has."""
+        return {n for n, c in self._current() if c == corpus}
+
     def schema_outdated(self, corpus: str) -> bool:
         return any(v[1] != SCHEMA_VERSION for (_, c), v in self._current().items() if c == corpus)
 
@@ -164,9 +168,11 @@ class IndexStore:
                 fs.delete(p, True)
 
     def purge(self, paths: DataFrame) -> None:
-        """Remove all rows of files (``corpus, path``) from all tables; references to their sections are resolved anew."""
+        """Remove all rows of files (``corpus, path``) from all tables; references that asked for their sections are resolved anew."""
         for corpus in [r[0] for r in paths.select("corpus").distinct().collect()]:
             left = {n: purged(self.read(n, corpus), paths) for n, c in self._current() if c == corpus and n != "inverted"}
-            if {"raw_refs", "sections"} <= left.keys():
+            if {"raw_refs", "ref_keys", "refs"} <= left.keys():
+                left["refs"] = graph.propagate(self.read("refs", corpus), left["raw_refs"], self.read("ref_keys", corpus), left["ref_keys"], paths)
+            elif {"raw_refs", "sections"} <= left.keys():
                 left["refs"] = graph.resolve_refs(left["raw_refs"], left["sections"])
             self.commit(corpus, left)

@@ -73,20 +73,38 @@ _TEXTS = f"""{_T}, f AS (SELECT section_id, a, CASE WHEN b < 0 THEN concat(secti
   longest AS (SELECT raw, section_id, row_number() OVER (PARTITION BY raw ORDER BY length(t) DESC, concat('region-', cast(a AS string)), section_id) AS n FROM raws JOIN f ON t ILIKE concat('%', raw, '%') QUALIFY n <= 2)"""
 
 
-@query(
-    "c07_resolved",
-    f"""WITH {_TEXTS}, x AS (SELECT section_id AS src_section_id, unnest([concat(cast(a + 1 AS string), '.', cast(b + 1 AS string)), section_number, '99.9']) AS dst_raw,
+_RESOLVED = f"""WITH {_TEXTS}, x AS (SELECT section_id AS src_section_id, unnest([concat(cast(a + 1 AS string), '.', cast(b + 1 AS string)), section_number, '99.9']) AS dst_raw,
           unnest([parent_section_id, NULL, NULL]) AS dst_section_id FROM tree WHERE c >= 0
         UNION ALL SELECT src, raw, (SELECT section_id FROM longest l WHERE l.raw = k.raw AND l.section_id <> src ORDER BY n LIMIT 1)
           FROM (SELECT section_id AS src, CASE WHEN c % 3 = 0 THEN '160D-11' ELSE '160D-1110' END AS raw FROM tree WHERE c >= 0) k)
-      SELECT * FROM x""",
-)
+      SELECT * FROM x"""
+
+
+@query("c07_resolved", _RESOLVED)
 def resolved(spark, d):
     rows = written(_referring(spark, d), "sections")
     refs = written(graph.extract_refs(rows), "refs")
     return graph.resolve_refs(refs, rows).select("src_section_id", "dst_raw", "dst_section_id")
 
 
+@query("k05_delta_refs", _RESOLVED)
+def delta_resolved(spark, d):
+    """All references after one region's file came, one was written anew and one went, from what was resolved before."""
+    after = written(_referring(spark, d), "sections")
+    first, second, gone = "region-0", "region-1", "region-9"
+    longer = F.concat("full_text", F.lit(" and much more of it, N.C.G.S. 160D-1110 and 160D-11."))
+    before = after.filter(F.col("path") != first)
+    before = before.withColumn("full_text", F.when(F.col("path") == second, longer).otherwise(F.col("full_text")))
+    before = before.withColumn("section_number", F.when(F.col("path") == second, F.concat(F.lit("Q"), "section_number")).otherwise(F.col("section_number")))
+    extra = after.filter(F.col("path") == first).withColumn("path", F.lit(gone)).withColumn("section_id", F.concat(F.lit("x-"), "section_id"))
+    before = written(before.unionByName(extra.withColumn("section_number", F.when(F.col("c") >= 0, F.lit("99.9")).otherwise(F.col("section_number")))), "before")
+    refs, old_refs = written(graph.extract_refs(after), "refs"), written(graph.extract_refs(before), "old-refs")
+    old_keys, keys = written(graph.listed_keys(before), "old-keys"), written(graph.listed_keys(after), "keys")
+    touched = spark.createDataFrame([("tpc", p) for p in (first, second, gone)], "corpus string, path string")
+    now = graph.propagate(written(graph.resolve_by(old_refs, old_keys), "resolved"), refs, old_keys, keys, touched)
+    return now.select("src_section_id", "dst_raw", "dst_section_id")
+
+
 def _segments(spark, d):
     """Market segments as queries; their customers and those customers' nations as results."""
     c = table(spark, d, "customer")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from spindrift.functions import answers as A, facets, text as X
 from spindrift.operators import chunking, evaluate, graph, index_store, search
+from spindrift.session import written
 from spindrift.settings import Settings
 from spindrift.sources import files, html
 from spindrift.streaming import logs
@@ -422,3 +423,37 @@ def test_windows_end_at_the_last_boundary(text, size):
         at = stop - size // 8 if stop - size // 8 > at else stop
     got = chunking.windows(text, size, size // 8)
     assert got == (want if len(text) > size else [(0, len(text), text)] if text else [])
+
+
+def test_delta_of_references_equals_full_resolution(spark):
+    """Files that come, change and go, in any mixture: the same as resolving all, and only what is affected meets sections."""
+    rng = random.Random(7)
+    schema = "corpus string, path string, section_id string, section_number string, own_text string, full_text string"
+    numbers, statutes = ["R1.1", "1.1", "1.2", "RR1.2", "2.1", None], ["160D-1110", "160D-11", "143-138"]
+
+    def file_of(path):
+        rows = []
+        for k in range(rng.randint(0, 4)):
+            text = " ".join(f"Section {rng.choice(['R1.1', '1.1', '1.2', 'R2.1', '9.9'])}, N.C.G.S. {rng.choice(statutes)}" for _ in range(rng.randint(0, 2)))
+            rows.append(("c", path, f"s{k}", rng.choice(numbers), text, text + " more" * rng.randint(0, 2)))
+        return rows
+
+    state = {f"f{k}": file_of(f"f{k}") for k in range(6)}
+    frame = lambda s: spark.createDataFrame([r for rows in s.values() for r in rows], schema)
+    rows = lambda df: sorted(tuple(str(v) for v in r) for r in df.select(*graph.REF, "dst_path", "dst_section_id").collect())
+    keys = graph.listed_keys(frame(state))
+    done = graph.resolve_by(graph.extract_refs(frame(state)), keys)
+    for change in (["f0"], ["f1", "f6"], ["f2", "f3", "f7"], []):
+        for path in change:
+            state[path] = file_of(path) if rng.random() < 0.7 else []
+        touched = spark.createDataFrame([("c", p) for p in change], "corpus string, path string")
+        refs, now = graph.extract_refs(frame(state)), graph.listed_keys(frame(state))
+        done, keys = written(graph.propagate(done, refs, keys, now, touched), "done"), now
+        assert rows(done) == rows(graph.resolve_refs(refs, frame(state)))
+    other = {**state, "f0": [("c", "f0", "s0", "7.7", "", "")]}
+    none = graph.changed_keys(graph.listed_keys(frame(state)), graph.listed_keys(frame(state)), spark.createDataFrame([("c", "f0")], "corpus string, path string"))
+    assert none.count() == 0  # touched, and nothing listed otherwise
+    only = graph.changed_keys(graph.listed_keys(frame(state | {"f0": []})), graph.listed_keys(frame(other)), spark.createDataFrame([("c", "f0")], "corpus string, path string"))
+    assert [tuple(r) for r in only.collect()] == [("c", "internal_section", "7.7")]
+    touched = spark.createDataFrame([("c", "f0")], "corpus string, path string")
+    assert graph.affected_refs(graph.extract_refs(frame(other)), only, touched).count() == 0
