@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from spindrift.functions import answers as A, facets, text as X
-from spindrift.operators import evaluate, inverted, search, vectors
+from spindrift.operators import evaluate, inverted, search, substrings, vectors
 from spindrift.plans import tables
 from spindrift.plans.registry import query
 from spindrift.session import table, written
@@ -381,3 +381,14 @@ def filtered_knn(spark, d):
     q = rows.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding", F.col("label").alias("filter_id"))  # a search: the stated set of queries
     hits = vectors.knn_filtered(q, _vectors(spark, d), inverted.allowed(filters, bitmaps), index, 10)
     return hits.select("query_id", "chunk_id", F.round("distance", 6).alias("distance"), "rank")
+
+
+@query(
+    "p14_substrings",
+    "SELECT DISTINCT item_id, doc_id FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(b.text)) WHERE b.text <> ''",
+)
+def contained(spark, d):
+    """Documents that contain a benchmark item, in whatever case, by the substring index."""
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    found = substrings.search(tables.asked(spark, d), substrings.build(rows), rows)
+    return found.select(F.col("query_id").alias("item_id"), F.col("chunk_id").alias("doc_id"))
