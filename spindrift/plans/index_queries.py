@@ -10,7 +10,7 @@ from spindrift.plans import tables
 from spindrift.plans.registry import query
 from spindrift.session import table, written
 from spindrift.sources import files
-from spindrift.streaming import logs
+from spindrift.streaming import histories, logs
 
 _T = tables.TREE
 
@@ -248,6 +248,13 @@ def history(spark, d):
     return table(spark, d, "conversations").withColumn("rn", F.row_number().over(w)).filter("rn <= 6").select("conv_id", "turn", "text")
 
 
+@query("w09_stream", "SELECT conv_id, turn, text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 6")
+def history_stream(spark, d):
+    """The conversations as a stream: the last six turns of each, from the state."""
+    stream = spark.readStream.schema(table(spark, d, "conversations").schema).parquet(f"{d}/conversations.parquet")
+    return histories.latest(histories.replayed(stream))
+
+
 @query(
     "k06_feedback_days",
     "SELECT date_trunc('day', ts) AS start, event_type AS rating, count(*) AS n, count(DISTINCT user_id) AS users, round(sum(value), 4) AS total FROM events GROUP BY ALL",
