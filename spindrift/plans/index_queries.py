@@ -251,7 +251,7 @@ def history(spark, d):
 @query("w09_stream", "SELECT conv_id, turn, text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 6")
 def history_stream(spark, d):
     """The conversations as a stream: the last six turns of each, from the state."""
-    stream = spark.readStream.schema(table(spark, d, "conversations").schema).parquet(f"{d}/conversations.parquet")
+    stream = spark.readStream.schema(table(spark, d, "conversations").schema).parquet(f"{d}/conversations.parque[t]")  # a pattern: a stream takes no path of a single file
     return histories.latest(histories.replayed(stream))
 
 
