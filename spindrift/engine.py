@@ -80,6 +80,15 @@ def build(
         return plan
     if plan.first()["ask"] and not confirm:
         raise NeedsConfirmation(f"estimated cost {plan.first()['usd']:.2f} USD")
+    touched = change.filter("action = 'gone'").select("corpus", "path").union(work) if prune else work
+    _put(store, corpus, todo, chunks, sections, touched, embed)
+    return plan
+
+
+def _put(
+    store: index_store.IndexStore, corpus: str, todo: DataFrame, chunks: DataFrame, sections: DataFrame, touched: DataFrame, embed: Callable[[Column], Column] | None
+) -> None:
+    """Commit parsed files (``todo``) with their chunks and sections in place of all that the index holds of the ``touched`` ones."""
     vectors = chunks.select("content_hash", "embed_input").dropDuplicates(["content_hash"])
     vectors = vectors.select("content_hash", (embed or hashed_vector())(F.col("embed_input")).alias("embedding"))
     chunks = written(chunks.join(vectors, "content_hash"), "embedded")
@@ -87,7 +96,6 @@ def build(
     status = chunks.groupBy("corpus", "path").count().select("corpus", "path", F.lit("ok").alias("status"))
     entries = todo.select("corpus", "path", "sha256", "size", "reason").join(status, ["corpus", "path"], "left")
     entries = entries.select("corpus", "path", "sha256", "size", F.coalesce("status", "reason", F.lit("no_text")).alias("status"))
-    touched = change.filter("action = 'gone'").select("corpus", "path").union(work) if prune else work
     new = {"files": entries, "chunks": chunks, "sections": sections, "raw_refs": written(graph.extract_refs(sections), "refs"), "ref_keys": written(graph.listed_keys(sections), "ref-keys")}
     stored = store.names(corpus)
     if stored:
@@ -98,7 +106,35 @@ def build(
         new["ref_keys"] = new.get("ref_keys", graph.listed_keys(new["sections"]))
         new["refs"] = graph.resolve_by(new["raw_refs"], new["ref_keys"])
     store.commit(corpus, new)
-    return plan
+
+
+def follow(
+    spark: SparkSession, folder: str, corpus: str, root: str, checkpoint: str, embed: Callable[[Column], Column] | None = None,
+    pdf_pages: Callable[[bytes], list[str]] | None = None, per_batch: int = 1000,
+) -> None:
+    """Index the files of a folder as a stream: all that came since the last run, ``per_batch`` files a commit.
+
+    The checkpoint (a folder that driver and executors share) says which files each batch holds. A batch that
+    died before its end comes again with the same files, and a commit replaces all rows of its files: after a crash, also one between a commit and its
+    checkpoint, each file is there once. The stream takes each path once, whatever its time: files that changed or are
+    gone are for a :func:`build`, which compares hashes; a build and a stream of one corpus must not run at once.
+    """
+    index_store.check_corpus(corpus)
+    # fixed: the columns of Spark's reader of whole files
+    stream = spark.readStream.schema("path string, modificationTime timestamp, length long, content binary").format("binaryFile")
+    stream = stream.option("recursiveFileLookup", "true").option("maxFilesPerTrigger", per_batch)
+    stream = stream.option("maxFileAge", "36500d").load(folder)  # a file that comes late may be older than those that were read
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        store = index_store.IndexStore(batch.sparkSession, root)
+        todo = written(files.parsed(files.eligible(files.entries(batch, folder, corpus)), pdf_pages), "texts")
+        if todo.isEmpty():
+            return
+        chunks, sections = chunked(todo)
+        chunks, sections = written(index_store.one_each(chunks, "chunks"), "chunks"), written(index_store.one_each(sections, "sections"), "sections")
+        _put(store, corpus, todo, chunks, sections, todo.select("corpus", "path"), embed)
+
+    stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def skipped(spark: SparkSession, folder: str, corpus: str, pdf_pages: Callable[[bytes], list[str]] | None = None) -> DataFrame:

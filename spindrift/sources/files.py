@@ -81,6 +81,15 @@ def read_files(spark: SparkSession, folder: str, corpus: str, pdf_pages: Callabl
     found = entries(_load(spark, folder, ENDINGS).filter(F.col("length") <= MAX_BYTES), folder, corpus)
     if only is not None:
         found = found.join(only.select("corpus", "path"), ["corpus", "path"], "left_semi")
+    out = parsed(found, pdf_pages)
+    if only is not None:
+        return out
+    none = {c: F.lit(None).cast(out.schema[c].dataType) for c in ("sha256", "text", "pages")}
+    return out.unionByName(skipped(corpus_files(spark, folder, corpus)).withColumns(none).select(*out.columns))
+
+
+def parsed(found: DataFrame, pdf_pages: Callable[[bytes], list[str]] | None = None) -> DataFrame:
+    """``corpus, path, ext, size, sha256, text, pages, reason`` of files with their ``content``, by type."""
     found = found.withColumn("sha256", F.sha2("content", 256))
     kind = F.when(F.col("ext") == ".docx", F.lit("word")).when(F.col("ext") == ".pdf", F.lit("paper")).otherwise(F.lit("plain"))
     of = lambda k: F.when(kind == k, F.col("content"))
@@ -88,11 +97,7 @@ def read_files(spark: SparkSession, folder: str, corpus: str, pdf_pages: Callabl
     found = found.withColumn("text", F.when(kind == "word", docx_column(of("word"))).when(kind == "plain", plain))
     pages = F.lit(None).cast("array<string>") if pdf_pages is None else F.when(kind == "paper", pages_column(pdf_pages)(of("paper")))
     reason = F.when((kind == "paper") & F.lit(pdf_pages is None), "no_reader")
-    out = found.withColumn("pages", pages).withColumn("reason", reason).select("corpus", "path", "ext", "size", "sha256", "text", "pages", "reason")
-    if only is not None:
-        return out
-    none = {c: F.lit(None).cast(out.schema[c].dataType) for c in ("sha256", "text", "pages")}
-    return out.unionByName(skipped(corpus_files(spark, folder, corpus)).withColumns(none).select(*out.columns))
+    return found.withColumn("pages", pages).withColumn("reason", reason).select("corpus", "path", "ext", "size", "sha256", "text", "pages", "reason")
 
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"

@@ -1,8 +1,13 @@
 """Histories in the state of a stream, and files that arrive as a stream."""
 
+import os
 import random
 from datetime import datetime, timedelta
 
+import pytest
+
+from spindrift import engine
+from spindrift.operators import index_store
 from spindrift.streaming import histories
 
 COLUMNS = "conv_id long, turn long, text string, ts timestamp"
@@ -55,3 +60,43 @@ def test_idle_conversations_are_forgotten(spark, tmp_path):
 def test_no_turns(spark, tmp_path):
     spark.createDataFrame([], COLUMNS).write.parquet(str(tmp_path / "in"))
     assert histories.latest(histories.replayed(spark.readStream.schema(COLUMNS).parquet(str(tmp_path / "in")))).count() == 0
+
+
+def test_files_as_a_stream_survive_a_crash(spark, tmp_path, monkeypatch):
+    """A run dies after a commit, before its checkpoint; the next goes on, each file is there once, and all is as after a build."""
+    docs, root = tmp_path / "docs", str(tmp_path / "index")
+    docs.mkdir()
+    for i in range(4):
+        (docs / f"paper{i}.txt").write_text(f"Rule {i} asks for permit {i} of sheds.\n" * 30)
+    (docs / "picture.png").write_bytes(b"no text")
+    commit, commits = index_store.IndexStore.commit, []
+
+    def dies(self, corpus, tables):
+        commit(self, corpus, tables)
+        commits.append(corpus)
+        if len(commits) == 2:
+            raise RuntimeError("lost driver")
+
+    monkeypatch.setattr(index_store.IndexStore, "commit", dies)
+    follow = lambda: engine.follow(spark, str(docs), "papers", root, str(tmp_path / "checkpoint"), per_batch=2)
+    with pytest.raises(Exception, match="lost driver"):
+        follow()
+    follow()
+    assert len(commits) >= 3
+
+    def content(where):
+        rows = index_store.IndexStore(spark, where).read("chunks", "papers").select("path", "section_id", "piece_no", "text", "content_hash")
+        return sorted(tuple(r) for r in rows.collect())
+
+    files = index_store.IndexStore(spark, root).read("files", "papers").collect()
+    assert sorted((r.path, r.status) for r in files) == [(f"paper{i}.txt", "ok") for i in range(4)]
+    engine.build(spark, str(docs), "papers", str(tmp_path / "whole"))
+    assert content(root) == content(str(tmp_path / "whole")) != []
+
+    before = len(commits)
+    follow()
+    assert len(commits) == before  # nothing new
+    (docs / "old.txt").write_text("It is of fences.\n" * 20)
+    os.utime(docs / "old.txt", (1_000_000_000, 1_000_000_000))  # it comes later than younger files
+    follow()
+    assert {r[0] for r in content(root)} == {"old.txt", *(f"paper{i}.txt" for i in range(4))}
