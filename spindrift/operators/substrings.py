@@ -112,7 +112,11 @@ def search(queries: DataFrame, postings: DataFrame, texts: DataFrame, rare: int
     needles = written(asked.select("q").distinct().withColumn("no", F.monotonically_increasing_id()), "needles")
     groups = max(1, -(-needles.count() // TOGETHER))
     hits = candidates(needles, postings, rare).join(needles, "no")
-    hits = hits.groupBy("chunk_id", F.pmod(F.xxhash64("no"), F.lit(groups)).alias("g")).agg(F.collect_list("q").alias("q"))
+    hits = hits.groupBy("chunk_id", F.pmod(F.xxhash64("no"), F.lit(groups)).alias("g")).agg(F.collect_list("q").alias("q")).drop("g")
+    # written as large as it is: where Spark's size check lets it broadcast this table, the texts stay where they are
+    folder = new_shared_path(queries.sparkSession, "candidates")
+    hits.write.options(**{"compression": "none", "parquet.enable.dictionary": "false"}).parquet(folder)
+    hits = queries.sparkSession.read.schema(hits.schema).parquet(folder)
     lower = texts.select(F.col("chunk_id").cast("long").alias("chunk_id"), F.lower("text").alias("t"))
     found = hits.join(lower, "chunk_id").select("chunk_id", F.explode(F.filter("q", lambda q: F.contains(F.col("t"), q))).alias("q"))
     return asked.join(found.distinct(), "q").select("query_id", "chunk_id").distinct()
