@@ -20,6 +20,8 @@ from spindrift.session import bound_batches, new_shared_path, written
 
 #: Characters of a block, about (a text is never split); grams of a string whose lists are intersected; strings that a row of the comparison holds, about.
 BLOCK, RARE, TOGETHER = 1 << 20, 6, 1000
+#: Bytes of strings up to which all of them are sent to the tasks that compare, and candidates are numbers; above, candidates carry their strings.
+LEXICON = 8 << 20
 POSTINGS = "block long, gram long, n int, ids array<long>"
 
 
@@ -110,13 +112,18 @@ def search(queries: DataFrame, postings: DataFrame, texts: DataFrame, rare: int
     asked = queries.select("query_id", F.lower("q").alias("q")).filter("q <> ''")
     asked = written(asked, "asked")
     needles = written(asked.select("q").distinct().withColumn("no", F.monotonically_increasing_id()), "needles")
-    groups = max(1, -(-needles.count() // TOGETHER))
-    hits = candidates(needles, postings, rare).join(needles, "no")
-    hits = hits.groupBy("chunk_id", F.pmod(F.xxhash64("no"), F.lit(groups)).alias("g")).agg(F.collect_list("q").alias("q")).drop("g")
+    n, size = needles.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("q")), F.lit(0))).first()
+    by_number = size <= LEXICON
+    hits = candidates(needles, postings, rare)
+    hits = hits if by_number else hits.join(needles, "no")
+    group = F.pmod(F.xxhash64("no"), F.lit(max(1, -(-n // TOGETHER))))
+    hits = hits.groupBy("chunk_id", group.alias("g")).agg(F.collect_list("no" if by_number else "q").alias("wanted")).drop("g")
     # written as large as it is: where Spark's size check lets it broadcast this table, the texts stay where they are
     folder = new_shared_path(queries.sparkSession, "candidates")
     hits.write.options(**{"compression": "none", "parquet.enable.dictionary": "false"}).parquet(folder)
     hits = queries.sparkSession.read.schema(hits.schema).parquet(folder)
     lower = texts.select(F.col("chunk_id").cast("long").alias("chunk_id"), F.lower("text").alias("t"))
-    found = hits.join(lower, "chunk_id").select("chunk_id", F.explode(F.filter("q", lambda q: F.contains(F.col("t"), q))).alias("q"))
+    met = hits.join(lower, "chunk_id").select("chunk_id", "t", F.explode("wanted").alias("no" if by_number else "q"))
+    met = met.join(F.broadcast(needles), "no") if by_number else met
+    found = met.filter(F.contains(F.col("t"), F.col("q"))).select("chunk_id", "q")
     return asked.join(found.distinct(), "q").select("query_id", "chunk_id").distinct()

@@ -22,6 +22,8 @@ def test_search_equals_brute_force(spark, monkeypatch):
         assert {tuple(r) for r in got} == want and len(got) == len(want)
     monkeypatch.setattr(substrings, "TOGETHER", 7)
     assert {tuple(r) for r in substrings.search(queries, postings, rows).collect()} == want
+    monkeypatch.setattr(substrings, "LEXICON", 0)  # candidates carry their strings
+    assert {tuple(r) for r in substrings.search(queries, postings, rows).collect()} == want
 
 
 def test_empty_tables(spark):
