@@ -7,6 +7,7 @@ code generation; null text counts as empty unless said otherwise.
 from __future__ import annotations
 
 import html
+import re
 
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
@@ -41,9 +42,24 @@ def _unescaped(texts: pd.Series) -> pd.Series:
     return texts.map(html.unescape)
 
 
-def unescaped(c: Column | str) -> Column:
-    """With character references (named, decimal, hexadecimal) decoded."""
-    return _unescaped(text_of(c))
+_CLOSED = re.compile(r"&(?:#\d+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
+
+
+def _closed(m: re.Match) -> str:
+    return html.unescape(m[0]) if m[0][1] == "#" or m[0][1:] in html.entities.html5 else m[0]
+
+
+@F.pandas_udf(T.StringType())
+def _unescaped_closed(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: _CLOSED.sub(_closed, t))
+
+
+def unescaped(c: Column | str, closed: bool = False) -> Column:
+    """With character references (named, decimal, hexadecimal) decoded; with ``closed`` only those that end in a semicolon.
+
+    Otherwise older names also count without one, as browsers read them (``&amp`` at the end of a text that was cut).
+    """
+    return (_unescaped_closed if closed else _unescaped)(text_of(c))
 
 
 def _lines(c: Column) -> Column:
@@ -52,14 +68,14 @@ def _lines(c: Column) -> Column:
     return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
 
-def clean_lines(c: Column | str) -> Column:
-    """Character references decoded, runs of blanks inside a line as one space, lines trimmed, empty lines dropped."""
-    return _lines(unescaped(c))
+def clean_lines(c: Column | str, closed: bool = False) -> Column:
+    """Character references decoded (see :func:`unescaped`), runs of blanks inside a line as one space, lines trimmed, empty lines dropped."""
+    return _lines(unescaped(c, closed))
 
 
-def strip_tags(c: Column | str) -> Column:
+def strip_tags(c: Column | str, closed: bool = False) -> Column:
     """Tags as spaces, character references decoded, then :func:`clean_lines`, which decodes once more."""
-    return clean_lines(unescaped(F.regexp_replace(text_of(c), r"<[^>]+>", " ")))
+    return clean_lines(unescaped(F.regexp_replace(text_of(c), r"<[^>]+>", " "), closed), closed)
 
 
 def content_hash(c: Column | str) -> Column:

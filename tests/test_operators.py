@@ -87,6 +87,13 @@ def test_page_sections(spark):
     assert [r.section_id for r in leaves.filter("path = 'x.pdf'").collect()] == ["x.pdf#p1"]
 
 
+def test_references_without_semicolon(spark, tmp_path):
+    cut = "<p>ver&amp</p> a&ampx; &amp;copy &amp;lt;&#9731;&amp;amp;"
+    assert one(spark, X.strip_tags("t", closed=True), t=cut) == "ver&amp a&ampx; &copy <\u2603&"
+    assert one(spark, X.strip_tags("t"), t=cut) == "ver& a&x; \u00a9 <\u2603&"
+    assert one(spark, X.clean_lines("t", closed=True), t=cut) == "<p>ver&amp</p> a&ampx; &copy &lt;\u2603&amp;"
+
+
 def test_text_functions(spark):
     assert one(spark, X.sanitize_ascii("t"), t="‘a’ “b” — – … • c\x01\x7f\U0001f600é\t") == "'a' \"b\" -- - ... - c??" + "?\t"
     assert one(spark, X.sanitize_ascii("t"), t=None) == ""
