@@ -22,13 +22,12 @@ _BM25 = f"""{_POSTINGS}, q AS (SELECT item_id AS query_id, term, count(*) AS tim
 
 def _ranked(spark, d):
     docs = tables.docs(spark, d)
-    return docs, written(search.bm25(tables.asked(spark, d), search.postings(docs), search.corpus_stats(docs)), "bm25")
+    return docs, written(search.bm25(tables.asked(spark, d), search.postings(docs)), "bm25")
 
 
 @query("a15_term_statistics", f"WITH {_POSTINGS} SELECT term, df, cast(sum(tf) AS bigint) AS total FROM p JOIN df USING (term) GROUP BY ALL")
 def term_statistics(spark, d):
-    p = search.postings(tables.docs(spark, d))
-    return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").cast("long").alias("total"))
+    return search.term_counts(search.postings(tables.docs(spark, d))).withColumn("total", F.col("total").cast("long"))
 
 
 @query("t02_bm25", f"WITH {_BM25} SELECT query_id, chunk_id, score, cast(rank AS int) AS rank FROM bm25")

@@ -2,6 +2,7 @@
 
 import re
 import io
+import math
 import random
 import zipfile
 
@@ -87,6 +88,38 @@ def test_page_sections(spark):
     assert [r.section_id for r in leaves.filter("path = 'x.pdf'").collect()] == ["x.pdf#p1"]
 
 
+def test_bm25_in_blocks_shuffles_no_pairs(spark, monkeypatch):
+    rng = random.Random(3)
+    text = lambda n: " ".join(rng.choice("abcdefgh") + rng.choice("xyz") for _ in range(n))
+    chunks = spark.createDataFrame([(i, text(i % 13), text(i % 3)) for i in range(150)] + [(i, "ax ax bx", None) for i in range(150, 180)], "chunk_id long, text string, meta string")
+    queries = spark.createDataFrame([(i, text(1 + i % 4) if i else "none") for i in range(23)], "query_id long, q string")
+    index = search.postings(chunks, meta_col="meta")
+    got = {}
+    for size in (1 << 20, 5):
+        for name in ("TERM_BLOCK", "HIT_BLOCK", "QUERY_BLOCK", "PRODUCTS"):
+            monkeypatch.setattr(search, name, size)
+        hits = search.bm25(queries, index, k=7)
+        assert "query_id" in (plan := hits._jdf.queryExecution().toString()) and "hashpartitioning(query_id#" in plan
+        assert not re.search(r"hashpartitioning\(query_id#\d+L?, chunk_id", plan)  # what is shuffled are the k best of each block
+        got[size] = sorted(map(tuple, hits.collect()))
+    counts = {r.chunk_id: [r.t.count(w) + 0.3 * r.m.count(w) for w in sorted(a + b for a in "abcdefgh" for b in "xyz")] for r in index.collect()}
+    sizes = {r.chunk_id: r.len for r in index.collect()}
+    words, avg = sorted(a + b for a in "abcdefgh" for b in "xyz"), sum(sizes.values()) / len(sizes)
+    df = [sum(c[i] > 0 for c in counts.values()) for i in range(len(words))]
+    want = []
+    for query, q in queries.collect():
+        s = {}
+        for c, tf in counts.items():
+            parts = [max(math.log((180 - df[i] + 0.5) / (df[i] + 0.5)), 1e-6) * tf[i] * 2.2 / (tf[i] + 1.2 * (0.25 + 0.75 * sizes[c] / avg)) for i in map(words.index, q.split() if q != "none" else []) if tf[i]]
+            if parts:
+                s[c] = round(sum(parts), 9)
+        want += [(query, c, s[c], n) for n, c in enumerate(sorted(s, key=lambda c: (-s[c], c))[:7], 1)]
+    for rows in got.values():
+        assert [r[:2] + r[3:] for r in rows] == sorted(r[:2] + r[3:] for r in want) and [r[2] for r in rows] == pytest.approx([r[2] for r in sorted(want)])
+    totals = {r.term: (r.df, r.total) for r in search.term_counts(index).collect()}
+    assert totals == {w: (d, pytest.approx(sum(c[i] for c in counts.values()))) for i, (w, d) in enumerate(zip(words, df)) if d}
+
+
 def test_references_without_semicolon(spark, tmp_path):
     cut = "<p>ver&amp</p> a&ampx; &amp;copy &amp;lt;&#9731;&amp;amp;"
     assert one(spark, X.strip_tags("t", closed=True), t=cut) == "ver&amp a&ampx; &copy <\u2603&"
