@@ -81,6 +81,20 @@ def scratch(spark: SparkSession, name: str) -> Iterator[str]:
         folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+@contextmanager
+def conf(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A setting of the session for what is written inside."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def open_store(path: str) -> tuple[fs.FileSystem, str]:
     """The file system of a path in the shared folder, for tasks that read or write files there, and the path in it."""
     return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else os.path.abspath(path))
