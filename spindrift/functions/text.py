@@ -234,9 +234,13 @@ def html_meta(html: Column | str, name: str) -> Column:
     return stripped(unescaped(found))
 
 
+#: Accents of Latin letters that terms are compared without.
+ACCENTS = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+
+
 def fold(c: Column | str) -> Column:
     """Lower case without the accents of Latin letters, as full-text terms are compared."""
-    return F.translate(F.lower(text_of(c)), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+    return F.translate(F.lower(text_of(c)), *ACCENTS)
 
 
 def terms(c: Column | str) -> Column:
@@ -249,6 +253,17 @@ def n_terms(c: Column | str) -> Column:
     return F.regexp_count(fold(c), F.lit(r"[\p{L}\p{N}]+"))
 
 
+def term_text(c: Column | str) -> Column:
+    """The :func:`terms` with a blank between them, but with their accents, which are cheaper to take off each different word."""
+    return F.trim(F.regexp_replace(F.lower(text_of(c)), r"[^\p{L}\p{N}]++", " "))
+
+
+def n_words(c: Column | str) -> Column:
+    """How many words a text has that is empty or has a blank between words."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.when(c == "", 0).otherwise(F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit(""))) + 1)
+
+
 def decode_text(content: Column) -> Column:
     """Bytes as UTF-8 if they are that, else as Latin-1."""
     return F.coalesce(F.try_validate_utf8(content.cast("string")), F.decode(content, "ISO-8859-1"))
