@@ -17,6 +17,8 @@ _STATUTE_FORM = r"\d{2,3}[A-Z]?-\d+(?:\.\d+)?"
 STATUTE = r"(?:N\.?C\.?G\.?S\.?\s*)?\b(\d{2,3}[A-Z]?-\d+(?:\.\d+)?)(?:\([a-z0-9]+\))*\b"
 #: Sections that expansion adds to a query's results, and the score they get.
 EXPANSION, REFERENCE_SCORE = 3, -1.0
+#: Sections that a task reads for references, about.
+SECTIONS = 65_536
 #: Levels that a tree may have.
 DEPTH = 32
 
@@ -32,13 +34,22 @@ def statute_refs(text: Column | str) -> Column:
     return F.array_distinct(F.filter(F.regexp_extract_all(text_of(text), F.lit(STATUTE), F.lit(1)), lambda x: x.rlike("[A-Z]")))
 
 
+def spread(sections: DataFrame) -> DataFrame:
+    """``sections`` dealt to tasks by section: as many tasks as shuffles have, and more where each would get more than SECTIONS.
+
+    A scan cuts files by their bytes, so millions of short sections may come in one task; reading them for references takes far longer than moving them.
+    """
+    n = max(int(sections.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-sections.count() // SECTIONS))
+    return sections.repartition(n, "corpus", "path", "section_id")
+
+
 def extract_refs(sections: DataFrame, text_col: str = "own_text") -> DataFrame:
-    """``corpus, path, src_section_id, dst_raw, dst_kind``, one row per section, kind and number."""
+    """``corpus, path, src_section_id, dst_raw, dst_kind``, one row per section, kind and number. All rows of a section are made, and told apart, in one task."""
     kinds = F.array(
         F.struct(F.lit("internal_section").alias("k"), internal_refs(text_col).alias("raw")),
         F.struct(F.lit("ncgs").alias("k"), statute_refs(text_col).alias("raw")),
     )
-    rows = sections.select("corpus", "path", F.col("section_id").alias("src_section_id"), F.explode(kinds).alias("x"))
+    rows = spread(sections.select("corpus", "path", "section_id", text_col)).select("corpus", "path", F.col("section_id").alias("src_section_id"), F.explode(kinds).alias("x"))
     return rows.select("corpus", "path", "src_section_id", F.explode("x.raw").alias("dst_raw"), F.col("x.k").alias("dst_kind")).distinct()
 
 
@@ -79,7 +90,7 @@ def listed_keys(sections: DataFrame) -> DataFrame:
         F.struct(F.lit("internal_section").alias("kind"), F.when(F.col("section_number").isNotNull(), bare).alias("keys"), F.lit(0).alias("less")),
         F.struct(F.lit("ncgs").alias("kind"), said_statutes("full_text").alias("keys"), (-F.length("full_text")).alias("less")),
     )
-    rows = sections.select("corpus", "path", "section_id", F.explode(kinds).alias("x"))
+    rows = spread(sections.select("corpus", "path", "section_id", "section_number", "full_text")).select("corpus", "path", "section_id", F.explode(kinds).alias("x"))
     return rows.select("corpus", "path", "section_id", "x.kind", F.explode("x.keys").alias("key"), "x.less")
 
 

@@ -82,7 +82,7 @@ _RESOLVED = f"""WITH {_TEXTS}, x AS (SELECT section_id AS src_section_id, unnest
 
 @query("c07_resolved", _RESOLVED)
 def resolved(spark, d):
-    rows = written(_referring(spark, d), "sections")
+    rows = written(graph.spread(_referring(spark, d)), "sections")
     refs = written(graph.extract_refs(rows), "refs")
     return graph.resolve_refs(refs, rows).select("src_section_id", "dst_raw", "dst_section_id")
 
@@ -90,7 +90,7 @@ def resolved(spark, d):
 @query("k05_delta_refs", _RESOLVED)
 def delta_resolved(spark, d):
     """All references after one region's file came, one was written anew and one went, from what was resolved before."""
-    after = written(_referring(spark, d), "sections")
+    after = written(graph.spread(_referring(spark, d)), "sections")
     first, second, gone = "region-0", "region-1", "region-9"
     longer = F.concat("full_text", F.lit(" and much more of it, N.C.G.S. 160D-1110 and 160D-11."))
     before = after.filter(F.col("path") != first)
