@@ -508,8 +508,8 @@ def test_delta_of_references_equals_full_resolution(spark):
 
 def test_references_are_read_by_as_many_tasks_as_sections_need(spark, monkeypatch):
     monkeypatch.setattr(graph, "SECTIONS", 10, raising=False)
-    key = F.concat(F.lit("s"), (F.col("id") % 50).cast("string"))
-    one = spark.range(100).coalesce(1).select(F.lit("c").alias("corpus"), F.lit("f").alias("path"), key.alias("section_id"), F.lit("See Section 1.2, § 1.2").alias("own_text"))
+    rows = [("c", f"f{k % 5}", f"s{k % 50}", "See Section 1.2, § 1.2") for k in range(100)]
+    one = spark.createDataFrame(rows, "corpus string, path string, section_id string, own_text string").coalesce(1)
     refs = graph.extract_refs(one)
     assert refs.count() == 50 and {r.dst_raw for r in refs.collect()} == {"1.2"}
     assert refs.select(F.spark_partition_id()).distinct().count() > 5
