@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from spindrift.functions import text as X
 from spindrift.operators import graph, inverted
 
-SCHEMA_VERSION = 4
+SCHEMA_VERSION = 5
 CORPUS_NAME = re.compile(r"[a-z0-9][a-z0-9_-]*")
 #: Keys of the tables; a later row replaces an earlier one of the same key.
 KEYS = {
