@@ -13,6 +13,7 @@ INTERNAL = (
     r"|\b(R\d{3,4}(?:\.\d+)+)\b"
     r"|\bTable\s+([A-Z]?\d+(?:\.\d+)+)\b"
 )
+_BEFORE_NUMBER = r"^(?:(?:Section|Sec\.|§)\s*|Table\s+)"
 _STATUTE_FORM = r"\d{2,3}[A-Z]?-\d+(?:\.\d+)?"
 STATUTE = r"(?:N\.?C\.?G\.?S\.?\s*)?\b(\d{2,3}[A-Z]?-\d+(?:\.\d+)?)(?:\([a-z0-9]+\))*\b"
 #: Sections that expansion adds to a query's results, and the score they get.
@@ -24,9 +25,9 @@ DEPTH = 32
 
 
 def internal_refs(text: Column | str) -> Column:
-    """Distinct section numbers referred to."""
-    groups = F.concat(*[F.regexp_extract_all(text_of(text), F.lit(INTERNAL), F.lit(k)) for k in (1, 2, 3)])
-    return F.array_distinct(F.filter(groups, lambda x: x.isNotNull() & (x != "")))
+    """Distinct section numbers referred to: what matches, without the word before the number."""
+    found = F.regexp_extract_all(text_of(text), F.lit(INTERNAL), F.lit(0))
+    return F.array_distinct(F.transform(found, lambda x: F.regexp_replace(x, _BEFORE_NUMBER, "")))
 
 
 def statute_refs(text: Column | str) -> Column:
@@ -68,12 +69,11 @@ def first_two(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
     """``keys`` and ``two``: the two smallest different values of the struct ``x`` of each key, in order.
 
     Two are enough for a reference, which excludes one at most, the section it stands in.
-    Minima are combined before the shuffle, so that a hot key is no hot task.
+    Each task passes on two values of a key, so that a hot key is no hot task.
     """
-    rows = written(rows.select(*keys, "x"), name)
-    first = written(rows.groupBy(*keys).agg(F.min("x").alias("a")), f"{name}-first")
-    others = rows.join(first, keys).filter("x <> a").groupBy(*keys).agg(F.min("x").alias("b"))
-    return first.join(others, keys, "left").select(*keys, F.filter(F.array("a", "b"), lambda v: v.isNotNull()).alias("two"))
+    nth = F.dense_rank().over(W.partitionBy(*keys).orderBy("x"))
+    least = rows.select(*keys, "x", nth.alias("nth")).filter("nth <= 2")
+    return written(least.groupBy(*keys).agg(F.array_sort(F.collect_set("x")).alias("two")), name)
 
 
 REF = ["corpus", "path", "src_section_id", "dst_raw", "dst_kind"]
@@ -96,7 +96,7 @@ def listed_keys(sections: DataFrame) -> DataFrame:
 
 def asked_keys(refs: DataFrame) -> DataFrame:
     """``refs`` once for each key (``kind, key``) on which their resolution depends: a number also without its leading R."""
-    keys = F.when(F.col("dst_kind") == "internal_section", F.array_distinct(F.array("dst_raw", F.regexp_replace("dst_raw", "^R+", "")))).otherwise(F.array("dst_raw"))
+    keys = F.when(F.col("dst_kind") == "internal_section", F.array_distinct(F.array("dst_raw", _bare("dst_raw")))).otherwise(F.array("dst_raw"))
     return refs.select(*REF, F.col("dst_kind").alias("kind"), F.explode(keys).alias("key"))
 
 
@@ -116,28 +116,32 @@ def resolve_by(refs: DataFrame, listed: DataFrame) -> DataFrame:
     """
     s = listed.select("corpus", F.col("path").alias("s_path"), F.col("section_id").alias("s_id"), "kind", "key", "less")
     numbers = s.filter("kind = 'internal_section'").select("corpus", "s_path", F.col("key").alias("number"), F.struct("s_path", "s_id").alias("x"))
-    anywhere = written(first_two(numbers, ["corpus", "number"], "numbers"), "numbers-two")
-    in_file = written(first_two(numbers, ["corpus", "number", "s_path"], "file-numbers"), "file-numbers-two")
+    anywhere = first_two(numbers, ["corpus", "number"], "numbers-two")
+    in_file = first_two(numbers, ["corpus", "number", "s_path"], "file-numbers-two")
 
-    bare = F.regexp_replace("dst_raw", "^R+", "")
-    wanted = refs.filter("dst_kind = 'internal_section'").select(*REF)
+    out = [*refs.columns, F.col("to.s_path").alias("dst_path"), F.col("to.s_id").alias("dst_section_id")]
+    wanted = refs.filter("dst_kind = 'internal_section'")
     as_is, without = (anywhere.select("corpus", F.col("number").alias(n), F.col("two").alias(t)) for n, t in (("dst_raw", "t0"), ("bare", "t1")))
-    wanted = wanted.withColumn("bare", bare).join(as_is, ["corpus", "dst_raw"], "left").join(without, ["corpus", "bare"], "left")
-    wanted = wanted.withColumn("number", F.when(F.col("t0").isNull(), F.col("bare")).otherwise(F.col("dst_raw"))).withColumn("any", F.coalesce("t0", "t1"))
+    wanted = wanted.withColumn("bare", _bare("dst_raw")).join(as_is, ["corpus", "dst_raw"], "left").join(without, ["corpus", "bare"], "left")
+    # a number that is listed nowhere is in no file: those who ask for it are dealt by their own sections, as it may be asked for often
+    number = F.when(F.col("t0").isNotNull(), F.col("dst_raw")).when(F.col("t1").isNotNull(), F.col("bare")).otherwise(F.concat(F.lit(" "), "src_section_id"))
+    wanted = wanted.withColumn("number", number).withColumn("any", F.coalesce("t0", "t1"))
     own = in_file.select("corpus", "number", F.col("s_path").alias("path"), "two")
-    wanted = wanted.filter("any is not null").join(own, ["corpus", "number", "path"], "left")
+    wanted = wanted.join(own, ["corpus", "number", "path"], "left")
     other = lambda c: F.filter(c, lambda v: (v["s_id"] != F.col("src_section_id")) | (v["s_path"] != F.col("path")))
     best = F.coalesce(F.get(other(F.col("two")), F.lit(0)), F.get(other(F.col("any")), F.lit(0)))
-    by_number = wanted.select(*REF, best.alias("to"))
+    by_number = wanted.withColumn("to", best).select(*out)
 
-    statutes = refs.filter("dst_kind = 'ncgs'").select(*REF)
+    statutes = refs.filter("dst_kind is distinct from 'internal_section'")  # of other kinds nothing fits
     said = s.filter("kind = 'ncgs'").select("corpus", F.struct("less", "s_path", "s_id").alias("x"), F.col("key").alias("dst_raw"))
     said = said.join(statutes.select("corpus", "dst_raw").distinct(), ["corpus", "dst_raw"], "left_semi")
-    by_statute = statutes.join(written(first_two(said, ["corpus", "dst_raw"], "statutes"), "statutes-two"), ["corpus", "dst_raw"])
-    by_statute = by_statute.select(*REF, F.get(other(F.col("two")), F.lit(0)).alias("to"))
-    to = by_number.select(*REF, F.col("to.s_path").alias("dst_path"), F.col("to.s_id").alias("dst_section_id"))
-    to = to.unionByName(by_statute.select(*REF, F.col("to.s_path").alias("dst_path"), F.col("to.s_id").alias("dst_section_id")))
-    return refs.join(to.filter("dst_section_id is not null"), REF, "left")
+    by_statute = statutes.join(first_two(said, ["corpus", "dst_raw"], "statutes-two"), ["corpus", "dst_raw"], "left")
+    by_statute = by_statute.withColumn("to", F.when(F.col("dst_kind") == "ncgs", F.get(other(F.col("two")), F.lit(0)))).select(*out)
+    return by_number.unionByName(by_statute)
+
+
+def _bare(number: Column | str) -> Column:
+    return F.regexp_replace(number, "^R+", "")
 
 
 def changed_keys(before: DataFrame, after: DataFrame, touched: DataFrame) -> DataFrame:
@@ -150,26 +154,35 @@ def changed_keys(before: DataFrame, after: DataFrame, touched: DataFrame) -> Dat
     return entries.groupBy("corpus", "path", "section_id", "kind", "key", "less").agg(F.sum("n").alias("n")).filter("n <> 0").select("corpus", "kind", "key").distinct()
 
 
+def marked(refs: DataFrame, changed: DataFrame) -> DataFrame:
+    """``refs`` with ``anew``: whether what they ask for may have ``changed``. A number and the same with an R before it are taken for one here, so that a reference asks for one key."""
+    key = lambda kind, c: F.when(F.col(kind) == "internal_section", _bare(c)).otherwise(F.col(c)).alias("key")
+    keys = changed.select("corpus", F.col("kind").alias("dst_kind"), key("kind", "key")).distinct().withColumn("anew", F.lit(True))
+    rows = refs.select("*", key("dst_kind", "dst_raw")).join(keys, ["corpus", "dst_kind", "key"], "left")
+    return rows.select(*refs.columns, F.coalesce("anew", F.lit(False)).alias("anew"))
+
+
 def affected_refs(refs: DataFrame, changed: DataFrame, touched: DataFrame) -> DataFrame:
     """The references that may resolve otherwise than before: those of ``touched`` files, and those that ask for a changed key."""
-    asking = asked_keys(refs).join(changed, ["corpus", "kind", "key"], "left_semi").select(*REF)
-    return asking.union(refs.join(touched, ["corpus", "path"], "left_semi").select(*REF)).distinct()
+    others = marked(refs.select(*REF).join(touched, ["corpus", "path"], "left_anti"), changed)
+    return others.filter("anew").select(*REF).unionByName(refs.select(*REF).join(touched, ["corpus", "path"], "left_semi"))
 
 
 def propagate(resolved: DataFrame, refs: DataFrame, before: DataFrame, after: DataFrame, touched: DataFrame) -> DataFrame:
     """What ``resolve_by(refs, after)`` gives, from what was ``resolved`` by ``before``.
 
     ``touched`` are the files (``corpus, path``) of which sections, or references, were added, changed or
-    removed. Only affected references meet sections, and only sections that one of them asks for; all
+    removed; the references of all others are those that were resolved. Only affected references meet sections, and only sections that one of them asks for; all
     others keep what they had. Nothing but the keys of sections is read, never their texts.
     """
     touched = written(touched.select("corpus", "path").distinct(), "touched")
-    affected = written(affected_refs(refs, written(changed_keys(before, after, touched), "changed-keys"), touched), "affected")
+    out = [*REF, "dst_path", "dst_section_id"]
+    others = resolved.select(*out).join(touched, ["corpus", "path"], "left_anti")
+    others = written(marked(others, written(changed_keys(before, after, touched), "changed-keys")), "marked")
+    affected = written(others.filter("anew").select(*REF).unionByName(refs.select(*REF).join(touched, ["corpus", "path"], "left_semi")), "affected")
     wanted = asked_keys(affected).select("corpus", "kind", "key").distinct()
     anew = resolve_by(affected, written(after.join(wanted, ["corpus", "kind", "key"], "left_semi"), "wanted"))
-    kept = resolved.join(touched, ["corpus", "path"], "left_anti").join(affected, REF, "left_anti")
-    out = [*REF, "dst_path", "dst_section_id"]
-    return kept.select(*out).unionByName(anew.select(*out))
+    return others.filter("not anew").select(*out).unionByName(anew.select(*out))
 
 
 def trails(sections: DataFrame, key: str = "section_id", parent: str = "parent_section_id", depth: int = DEPTH) -> DataFrame:

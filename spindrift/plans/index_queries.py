@@ -98,9 +98,12 @@ def delta_resolved(spark, d):
     before = before.withColumn("section_number", F.when(F.col("path") == second, F.concat(F.lit("Q"), "section_number")).otherwise(F.col("section_number")))
     extra = after.filter(F.col("path") == first).withColumn("path", F.lit(gone)).withColumn("section_id", F.concat(F.lit("x-"), "section_id"))
     before = written(before.unionByName(extra.withColumn("section_number", F.when(F.col("c") >= 0, F.lit("99.9")).otherwise(F.col("section_number")))), "before")
-    refs, old_refs = written(graph.extract_refs(after), "refs"), written(graph.extract_refs(before), "old-refs")
-    old_keys, keys = written(graph.listed_keys(before), "old-keys"), written(graph.listed_keys(after), "keys")
-    touched = spark.createDataFrame([("tpc", p) for p in (first, second, gone)], "corpus string, path string")
+    old_refs, old_keys = written(graph.extract_refs(before), "old-refs"), written(graph.listed_keys(before), "old-keys")
+    touched = written(spark.createDataFrame([("tpc", p) for p in (first, second, gone)], "corpus string, path string"), "touched")
+    # as a build does: only sections of touched files are read, all else is as it was stored
+    new = after.join(touched, ["corpus", "path"], "left_semi")
+    refs = index_store.replaced(old_refs, written(graph.extract_refs(new), "new-refs"), touched)
+    keys = index_store.replaced(old_keys, written(graph.listed_keys(new), "new-keys"), touched)
     now = graph.propagate(written(graph.resolve_by(old_refs, old_keys), "resolved"), refs, old_keys, keys, touched)
     return now.select("src_section_id", "dst_raw", "dst_section_id")
 

@@ -506,6 +506,29 @@ def test_delta_of_references_equals_full_resolution(spark):
     assert graph.affected_refs(graph.extract_refs(frame(other)), only, touched).count() == 0
 
 
+def test_delta_reads_sections_of_touched_files_only(spark, monkeypatch):
+    from spindrift.plans import index_queries
+
+    read = {}
+    for name in ("extract_refs", "listed_keys"):
+        own = getattr(graph, name)
+        monkeypatch.setattr(graph, name, lambda s, own=own, name=name: read.setdefault(name, []).append({r.path for r in s.select("path").distinct().collect()}) or own(s))
+    assert index_queries.delta_resolved(spark, "/root/testdata/sf0.001").count() > 0
+    for before, after in read.values():
+        assert len(before) == 5 and after == {"region-0", "region-1"}
+
+
+def test_references_meet_sections_without_a_join_of_their_own(spark):
+    s = spark.createDataFrame([("c", "f", "a", "1.2", ""), ("c", "f", "b", "R7.1", "160D-1110")], "corpus string, path string, section_id string, section_number string, full_text string")
+    r = [("c", "f", "b", "1.2", "internal_section"), ("c", "f", "a", "160D-1110", "ncgs"), ("c", "f", "a", "9.9", "internal_section"), ("c", "f", "a", "160D-1110", "other"), ("c", "f", "a", "7.1", None)]
+    refs = spark.createDataFrame(r, "corpus string, path string, src_section_id string, dst_raw string, dst_kind string")
+    done = graph.resolve_refs(refs, s)
+    assert not re.search(r"hashpartitioning\([^)]*src_section_id", done._jdf.queryExecution().toString())
+    assert sorted((x.dst_raw, str(x.dst_kind), str(x.dst_path), str(x.dst_section_id)) for x in done.collect()) == [
+        ("1.2", "internal_section", "f", "a"), ("160D-1110", "ncgs", "f", "b"), ("160D-1110", "other", "None", "None"), ("7.1", "None", "None", "None"), ("9.9", "internal_section", "None", "None")
+    ]
+
+
 def test_references_are_read_by_as_many_tasks_as_sections_need(spark, monkeypatch):
     monkeypatch.setattr(graph, "SECTIONS", 10, raising=False)
     rows = [("c", f"f{k % 5}", f"s{k % 50}", "See Section 1.2, § 1.2") for k in range(100)]
